@@ -79,11 +79,37 @@ class BpeModel:
         v = self.vocab
         return [v.get(s, self.unk_id) for s in syms]
 
+    def _encode_segment(self, seg: str) -> list[int]:
+        out: list[int] = []
+        for piece in _PIECE.findall(seg):
+            out.extend(self._merge_word(piece))
+        return out
+
     def encode(self, text: str | None, cache: dict | None = None, cache_cap: int = 200_000):
         if text is None:
             return None
-        out: list[int] = []
-        text = text.replace(" ", SPACE_TOKEN) if SPACE_TOKEN in self.specials else text
+        space = self.specials.get(SPACE_TOKEN)
+        others = [t for t in self.specials if t != SPACE_TOKEN]
+        if space is not None and not any(t in text for t in others):
+            # Fast path: no literal special token in the text, so blanks are the
+            # only special matches; encode blank-separated segments, cached whole.
+            out: list[int] = []
+            cache = {} if cache is None else cache
+            get, extend, append, enc = cache.get, out.extend, out.append, self._encode_segment
+            for seg in text.split(" "):
+                if seg:
+                    ids = get(seg)
+                    if ids is None:
+                        ids = enc(seg)
+                        if len(cache) >= cache_cap:
+                            cache.clear()
+                        cache[seg] = ids
+                    extend(ids)
+                append(space)
+            out.pop()
+            return out
+        out = []
+        text = text.replace(" ", SPACE_TOKEN) if space is not None else text
         parts = self._special_re.split(text) if self._special_re is not None else [text]
         for part in parts:
             if not part:
@@ -92,15 +118,7 @@ class BpeModel:
             if sid is not None:
                 out.append(sid)
                 continue
-            for piece in _PIECE.findall(part):
-                ids = None if cache is None else cache.get(piece)
-                if ids is None:
-                    ids = self._merge_word(piece)
-                    if cache is not None:
-                        if len(cache) >= cache_cap:
-                            cache.clear()
-                        cache[piece] = ids
-                out.extend(ids)
+            out.extend(self._encode_segment(part))
         return out
 
     # -- decoding ---------------------------------------------------------

@@ -22,3 +22,16 @@ def collect_bounded(df: DataFrame, max_rows: int, what: str) -> list:
     if len(rows) > max_rows:
         raise ValueError(f"{what} has more than {max_rows} rows; refusing to ship it to tasks")
     return rows
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin the rows over at least ``min_partitions`` tasks (default: the
+    cluster's parallelism) before expensive per-row Python work.
+
+    Only when the input has fewer partitions than that, e.g. a file written as
+    one row group; a large table already arrives in many splits and is left
+    alone, so no shuffle is added at scale.
+    """
+    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    have = df.rdd.getNumPartitions()
+    return df.repartition(want) if have < want else df

@@ -18,6 +18,7 @@ from ..functions import idiv
 from ..functions.bpe import bpe_encode, load_tokenizer
 from ..functions.text import normalise_text, rewrite_prefix
 from ..operators.batching import plan_batches
+from ..plans.joins import spread
 from ..operators.manifest import filter_by_length, pair_clips, phase_limits
 from ..resources import default_tokenizer_path
 from ..sources.manifest import parse_manifest
@@ -29,8 +30,9 @@ def phase_report(spark: SparkSession, sf: str, tokenizer: str | None = None, acc
     parsed, _rejects = parse_manifest(S.manifest_lines(spark, sf), keep=("line_no", "phase"))
     m = parsed.withColumn("audio_path", rewrite_prefix("audio_path", S.OLD_ROOT, S.NEW_ROOT))
     paired, _missing = pair_clips(m, S.clips(spark, sf).select("audio_path", "n_samples"))
-    ex = paired.select("line_no", "phase", F.col("n_samples").alias("wav_len"),
-                       F.size(bpe_encode(normalise_text("text"), tok)).alias("text_len"))
+    ex = spread(paired.select("line_no", "phase", "n_samples", "text")).select(
+        "line_no", "phase", F.col("n_samples").alias("wav_len"),
+        F.size(bpe_encode(normalise_text("text"), tok)).alias("text_len"))
     limits = phase_limits(spark)
     kept, dropped = filter_by_length(ex, limits)
     kept = kept.join(F.broadcast(limits.select("phase", "batch")), "phase")

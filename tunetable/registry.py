@@ -18,6 +18,7 @@ from .functions import idiv
 from .functions import lengths as LN
 from .functions import text as TX
 from .operators import batching, codes as CO, decoding as DE, manifest as MA, metrics as ME, tensors as TE
+from .plans.joins import spread
 from .plans.prefix import int_bucket
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,7 +104,7 @@ def q_vocab_usage(spark, sf):
     from .resources import default_tokenizer_path
     from .sources.vocab import read_vocab
     vocab, _merges = read_vocab(spark)
-    docs = S.table(spark, sf, "documents")
+    docs = spread(S.table(spark, sf, "documents").select("text"))
     ids = docs.select(F.explode(bpe_encode(TX.normalise_text("text"), default_tokenizer_path())).alias("id"))
     counts = ids.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
     return counts.join(F.broadcast(vocab), "id", "left").select("id", "token", "n")
@@ -772,7 +773,7 @@ def q_adapter_params(spark, sf):
 def q_bpe_token_counts(spark, sf):
     from .functions.bpe import bpe_encode
     from .resources import default_tokenizer_path
-    d = S.table(spark, sf, "documents").select("doc_id", bpe_encode(TX.normalise_text("text"),
+    d = spread(S.table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", bpe_encode(TX.normalise_text("text"),
                                                                       default_tokenizer_path()).alias("ids"))
     return d.select("doc_id", long_(F.size("ids")).alias("n_tokens"),
                     long_(F.size(F.filter("ids", lambda x: x == 1))).alias("n_unk"))
@@ -786,7 +787,7 @@ def q_bpe_roundtrip(spark, sf):
     from .functions.bpe import bpe_decode, bpe_encode, load_tokenizer
     from .resources import default_tokenizer_path
     tok = load_tokenizer(default_tokenizer_path())
-    d = S.table(spark, sf, "documents")
+    d = spread(S.table(spark, sf, "documents").select("doc_id", "text"))
     return d.select("doc_id", bpe_decode(bpe_encode(TX.normalise_text("text"), tok), tok).alias("text"))
 
 

@@ -8,8 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def stream_parquet(spark: SparkSession, path: str, max_files: int = 1) -> DataFrame:
+    """Stream a Parquet directory, or one file (its directory filtered to that name)."""
+    import os
     schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
+    r = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
+    if path.endswith(".parquet"):
+        return r.option("pathGlobFilter", os.path.basename(path)).parquet(os.path.dirname(path))
+    return r.parquet(path)
 
 
 def run_available(df: DataFrame, fn: Callable[[DataFrame], DataFrame], sink_path: str,
