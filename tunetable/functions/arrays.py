@@ -127,8 +127,12 @@ def for_each(arr, fn) -> Column:
 
 
 def char_codes(text) -> Column:
-    """Unicode code points of a string, one per character."""
-    return F.transform(F.split(col_of(text), ""), lambda c: F.ascii(c))
+    """Unicode code points of a string, one per character (a pure expression).
+
+    Measured against an Arrow batch UDF doing one UTF-32 encode per string:
+    no faster, so the work stays in the JVM.
+    """
+    return F.transform(F.filter(F.split(col_of(text), ""), lambda c: c != ""), lambda c: F.ascii(c))
 
 
 def _position_ids_arrow(mask: pa.Array) -> pa.Array:

@@ -36,19 +36,26 @@ def plan_batches(df: DataFrame, order, batch, micro: int = 1, partition=None,
 
 
 def pack_blocks(df: DataFrame, tokens: str, order, block: int = 1024, id_col: str = "doc_id",
-                bucket=None, width: int = 4096) -> DataFrame:
+                bucket=None, width: int = 4096, n_col=None) -> DataFrame:
     """Treat the corpus as one token stream in ``order`` and cut it into blocks.
 
     No separator token between documents; the short last block is kept.
-    Output: ``block_id, tokens, n_tokens, n_docs, first_doc``. Each document is
-    split at block borders by array slicing, so a block group never holds more
+    Output: ``block_id, tokens, n_tokens, n_docs, first_doc``.
+
+    The running offset is computed on a narrow ``(id, order, n)`` table (two
+    longs per document go through its shuffles, never the token arrays); pass
+    ``n_col`` when the token count is cheaper to get than the tokens (it must
+    equal ``size(tokens)``). The arrays are then joined to their offsets and
+    split at block borders by slicing, so a block group never holds more
     than ``block`` tokens.
     """
     order = [order] if isinstance(order, str) else list(order)
     bucket = bucket if bucket is not None else int_bucket(order[0], width)
-    d = df.select(id_col, *[o for o in order if o != id_col], F.col(tokens).alias("__tok"))
-    d = d.withColumn("__n", F.size("__tok").cast("long"))
-    d = running_sum(d, "__n", order, bucket, None, out="__off", inclusive=False)
+    n = (F.col(n_col) if isinstance(n_col, str) else n_col) if n_col is not None else F.size(tokens)
+    lens = df.select(id_col, *[o for o in order if o != id_col], n.cast("long").alias("__n"))
+    offs = running_sum(lens, "__n", order, bucket, None, out="__off", inclusive=False).select(
+        F.col(id_col).alias("__id"), "__off", "__n")
+    d = df.select(id_col, F.col(tokens).alias("__tok")).join(offs, F.col(id_col) == F.col("__id")).drop("__id")
     d = d.filter(F.col("__n") > 0)
     first = idiv(F.col("__off"), F.lit(block))
     last = idiv(F.col("__off") + F.col("__n") - 1, F.lit(block))

@@ -19,6 +19,7 @@ from ..functions.bpe import bpe_encode, load_tokenizer
 from ..functions.text import normalise_text, rewrite_prefix
 from ..operators.batching import plan_batches
 from ..plans.joins import spread
+from ..plans.lineage import materialize
 from ..operators.manifest import filter_by_length, pair_clips, phase_limits
 from ..resources import default_tokenizer_path
 from ..sources.manifest import parse_manifest
@@ -33,6 +34,8 @@ def phase_report(spark: SparkSession, sf: str, tokenizer: str | None = None, acc
     ex = spread(paired.select("line_no", "phase", "n_samples", "text")).select(
         "line_no", "phase", F.col("n_samples").alias("wav_len"),
         F.size(bpe_encode(normalise_text("text"), tok)).alias("text_len"))
+    # tokenise once: the index below reads its input in two branches, the drop report in a third
+    ex = materialize(ex)
     limits = phase_limits(spark)
     kept, dropped = filter_by_length(ex, limits)
     kept = kept.join(F.broadcast(limits.select("phase", "batch")), "phase")

@@ -497,8 +497,9 @@ SELECT CAST((off + p - 1) // 1024 AS BIGINT) AS block_id, count(*) AS n_tokens,
        min(doc_id) AS first_doc, CAST(sum(t) AS BIGINT) AS token_sum
 FROM u GROUP BY 1""")
 def q_pack_blocks(spark, sf):
-    d = S.table(spark, sf, "documents").select("doc_id", A.char_codes(F.col("text")).alias("tokens"))
-    b = batching.pack_blocks(d, "tokens", "doc_id", block=1024)
+    d = spread(S.table(spark, sf, "documents").select("doc_id", "text"))
+    d = d.select("doc_id", A.char_codes(F.col("text")).alias("tokens"), F.length("text").alias("n_chars"))
+    b = batching.pack_blocks(d, "tokens", "doc_id", block=1024, n_col="n_chars")
     return b.select(long_("block_id").alias("block_id"), long_("n_tokens").alias("n_tokens"),
                     long_("n_docs").alias("n_docs"), long_("first_doc").alias("first_doc"),
                     long_(F.aggregate("tokens", F.lit(0).cast("long"), lambda a, x: a + x)).alias("token_sum"))
@@ -820,7 +821,7 @@ SELECT doc_id, CAST(len(tok) AS BIGINT) AS n_tok,
 FROM t""")
 def q_injector_chain(spark, sf):
     from .plans.injectors import run_injectors
-    d = run_injectors(S.table(spark, sf, "documents").select("doc_id", "text"), _CHAIN)
+    d = run_injectors(spread(S.table(spark, sf, "documents").select("doc_id", "text")), _CHAIN)
     return d.select("doc_id", long_("n_tok").alias("n_tok"), aj("padded").alias("padded"))
 
 
