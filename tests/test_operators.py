@@ -195,3 +195,24 @@ def test_weighted_loss_and_cadence(spark):
     out = ME.cadence_flags(ME.weighted_loss(df)).orderBy("step").collect()
     assert out[1]["loss_total"] == pytest.approx(3.02)
     assert out[1]["is_validate"] and not out[1]["is_log"] and out[2]["is_log"] and not out[0]["is_validate"]
+
+
+def test_key_difference_and_intersection(spark):
+    a = spark.createDataFrame([("a", 0), ("b", 0), ("b", 0), ("c", 1)], "tensor string, row int")
+    b = spark.createDataFrame([("b", 0), ("c", 1), ("d", 2)], "tensor string, row int")
+    assert sorted(map(tuple, TE.key_difference(a, b).collect())) == [("a", 0), ("b", 0)]
+    assert sorted(map(tuple, TE.key_intersection(a, b).collect())) == [("b", 0), ("c", 1)]
+
+
+def test_select_text_field_and_metrics_sink(spark, tmp_path):
+    from tunetable.operators.batching import select_text_field
+    from tunetable.sources.corpus import requests_from, write_metrics
+    df = spark.createDataFrame([("hi", 1)], "prompt string, x int")
+    assert select_text_field(df).columns == ["text"]
+    req = requests_from(spark, ["one", "two", "three"])
+    assert [(r["request_id"], r["text"]) for r in req.orderBy("request_id").collect()] == [(0, "one"), (1, "two"), (2, "three")]
+    m = spark.createDataFrame([(1, 0, 2.0), (2, 0, 3.0)], "run_id long, step int, loss double")
+    write_metrics(m, str(tmp_path / "m"))
+    write_metrics(m.filter("run_id = 1"), str(tmp_path / "m"))
+    back = spark.read.parquet(str(tmp_path / "m"))
+    assert back.filter("run_id = 1").count() == 2 and back.count() == 3

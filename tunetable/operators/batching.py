@@ -96,6 +96,11 @@ def step_plan(df: DataFrame, limits: DataFrame, phase: str = "phase", accumulate
         (F.lit(max_steps) * eff / F.col("n_examples")).alias("epochs_covered"))
 
 
+def select_text_field(df: DataFrame, field: str = "prompt", out: str = "text") -> DataFrame:
+    """The trainer consumes one named text column."""
+    return df.select(F.col(field).alias(out))
+
+
 def collate_causal(df: DataFrame, batch_col: str, tokens: str, pad: int = 0,
                    ignore: int = -100) -> DataFrame:
     """Pad each batch to its longest sequence; labels are the inputs with pad positions ``ignore``.
@@ -112,8 +117,13 @@ def collate_causal(df: DataFrame, batch_col: str, tokens: str, pad: int = 0,
     return d.drop("__len")
 
 
-def seeded_shuffle(df: DataFrame, key: str, seed: int, bits: int = 12, out: str = "shuffle_pos") -> DataFrame:
-    """Reproducible permutation: position of each row in ``(xxhash64(seed, key), key)`` order."""
+def seeded_shuffle(df: DataFrame, key: str, seed: int, bits: int = 16, out: str = "shuffle_pos") -> DataFrame:
+    """Reproducible permutation: position of each row in ``(xxhash64(seed, key), key)`` order.
+
+    The hash is uniform, so its top ``bits`` bits split the rows into 2**bits
+    equal cells: each cell is one bounded window, and the cell table (2**bits
+    rows) is the only global step.
+    """
     h = F.xxhash64(F.lit(seed), F.col(key))
     d = df.withColumn("__h", h)
     return row_index(d, ["__h", key], hash_bucket("__h", bits), None, out=out).drop("__h")

@@ -49,15 +49,14 @@ def assign_codes(vectors: DataFrame, codebook: DataFrame, id_col: str = "vec_id"
             approx = (x * x).sum(axis=1)[:, None] - 2.0 * (x @ book_.T) + bsq[None, :]
             best = approx.min(axis=1)
             tol = 1e-9 * np.maximum(1.0, np.abs(best))
-            out_code = np.empty(len(x), dtype=np.int64)
-            out_dist = np.empty(len(x), dtype=np.float64)
-            for i in range(len(x)):
-                cand = np.nonzero(approx[i] <= best[i] + tol[i])[0]
-                diff = x[i][None, :] - book_[cand]
-                exact = (diff * diff).sum(axis=1)
-                j = np.lexsort((codes_[cand], exact))[0]
-                out_code[i] = codes_[cand[j]]
-                out_dist[i] = exact[j]
+            # exact re-scoring of every (row, code) pair within rounding of the row's best
+            rows, cand = np.nonzero(approx <= (best + tol)[:, None])
+            diff = x[rows] - book_[cand]
+            exact = (diff * diff).sum(axis=1)
+            order = np.lexsort((codes_[cand], exact, rows))
+            first = order[np.unique(rows[order], return_index=True)[1]]
+            out_code = codes_[cand[first]]
+            out_dist = exact[first]
             yield pa.RecordBatch.from_arrays([ids, pa.array(out_code), pa.array(out_dist)],
                                              names=[id_col, code_col, "dist"])
 

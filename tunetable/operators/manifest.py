@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import col_of
+from ..plans.lineage import materialize
 from ..plans.prefix import int_bucket, row_index
 
 # Fixed per-phase values (must equal the reference configuration):
@@ -60,18 +61,22 @@ def conditioning_candidates(df: DataFrame, group, id_col: str, k, width: int = 1
     ``(r + j) mod cnt`` for j = 1..min(k, cnt - 1): the next K cyclically, no
     repeats, fewer when the group is small. The lookup is an equi join on
     (group, member number), whose keys are unique.
-    ``k`` may be a column (per-row count).
+    ``k`` may be a column (per-row count). Output: group columns, ``id_col``,
+    ``cond_rank`` (1..k) and ``out``.
     """
     group = [group] if isinstance(group, str) else list(group)
-    idx = row_index(df, [id_col], int_bucket(id_col, width), group, out="__rn")
+    # the narrow member index is read twice below (the rows and the member lookup):
+    # build it once
+    kcol = k if not isinstance(k, int) else F.lit(k)
+    narrow = df.select(*group, id_col, kcol.alias("__k"))
+    idx = materialize(row_index(narrow, [id_col], int_bucket(id_col, width), group, out="__rn"))
     counts = idx.groupBy(*group).agg(F.count(F.lit(1)).alias("__cnt"))
     d = idx.join(counts, group)
-    kk = F.least(col_of(k) if not isinstance(k, int) else F.lit(k), F.col("__cnt") - 1)
+    kk = F.least(F.col("__k"), F.col("__cnt") - 1)
     d = d.withColumn("cond_rank", F.explode(F.sequence(F.lit(1), F.greatest(kk, F.lit(0)).cast("int"))))
     d = d.filter((F.col("cond_rank") >= 1) & (F.col("cond_rank") <= kk))
     d = d.withColumn("__target", F.pmod(F.col("__rn") + F.col("cond_rank"), F.col("__cnt")))
     members = idx.select(*[F.col(g).alias("__g_" + g) for g in group], F.col("__rn").alias("__target_rn"),
                          F.col(id_col).alias(out))
     cond = [d[g].eqNullSafe(members["__g_" + g]) for g in group] + [d["__target"] == members["__target_rn"]]
-    return (d.join(members, cond, "inner")
-            .select(*[d[c] for c in df.columns], "cond_rank", out))
+    return d.join(members, cond, "inner").select(*[d[c] for c in group + [id_col]], "cond_rank", out)

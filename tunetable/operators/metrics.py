@@ -65,26 +65,29 @@ def cadence_flags(df: DataFrame, step: str = "step", cadence: dict = CADENCE) ->
 
 
 def rolling_mean(df: DataFrame, group, order: str, value: str, n: int = 500,
-                 out: str = "rolling_mean", width: int = 4096) -> DataFrame:
+                 out: str = "rolling_mean", width: int = 4096, dense: bool = False) -> DataFrame:
     """Mean of ``value`` over the last ``n`` rows per group (current row included).
 
     Also returns ``<out>_sum`` and ``<out>_count``; the mean is one division of
     the two (exact sums for decimal input).
 
-    Exact without a whole-group window: rows get a dense index (two-level),
-    are cut into chunks of ``n``, and each chunk is evaluated together with a
-    copy of the previous chunk (its halo). Every window then holds at most 2n
-    rows, however large the group.
+    Exact without a whole-group window: rows are cut into chunks of ``n``
+    consecutive positions, and every row is emitted twice by one ``explode``
+    (into its own chunk and, as halo, into the next one). Each window then
+    holds at most 2n rows, however large the group, and the input is read
+    once. Positions come from the two-level index, or directly from ``order``
+    when ``dense`` says it already counts rows (consecutive integers per group).
     """
     g = [group] if isinstance(group, str) else list(group)
-    d = row_index(df, [order], int_bucket(order, width), g, out="__i")
-    d = d.withColumn("__chunk", idiv(F.col("__i"), F.lit(n)))
-    native = d.withColumn("__home", F.col("__chunk")).withColumn("__native", F.lit(True))
-    halo = d.withColumn("__home", F.col("__chunk") + 1).withColumn("__native", F.lit(False))
-    both = native.unionByName(halo)
+    if dense:
+        d = df.withColumn("__i", F.col(order).cast("long"))
+    else:
+        d = row_index(df, [order], int_bucket(order, width), g, out="__i")
+    chunk = idiv(F.col("__i"), F.lit(n))
+    d = d.withColumn("__home", F.explode(F.array(chunk, chunk + 1)))
     w = Window.partitionBy(*g, "__home").orderBy("__i").rowsBetween(-(n - 1), 0)
-    res = (both.withColumn(out + "_sum", F.sum(col_of(value)).over(w))
+    res = (d.withColumn(out + "_sum", F.sum(col_of(value)).over(w))
            .withColumn(out + "_count", F.count(col_of(value)).over(w))
            .withColumn(out, F.col(out + "_sum").cast("double") / F.col(out + "_count"))
-           .filter(F.col("__native")))
-    return res.drop("__i", "__chunk", "__home", "__native")
+           .filter(F.col("__home") == idiv(F.col("__i"), F.lit(n))))
+    return res.drop("__i", "__home")

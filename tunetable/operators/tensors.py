@@ -91,6 +91,16 @@ def reconcile(expected: DataFrame, given: DataFrame, keys=("tensor", "row"),
     return j.select(*keys, status.alias("status"))
 
 
+def key_difference(left: DataFrame, right: DataFrame, keys=("tensor", "row")) -> DataFrame:
+    """Keys of ``left`` absent from ``right`` (multiset difference, EXCEPT ALL)."""
+    return left.select(*keys).exceptAll(right.select(*keys))
+
+
+def key_intersection(left: DataFrame, right: DataFrame, keys=("tensor", "row")) -> DataFrame:
+    """Keys present in both (INTERSECT, distinct)."""
+    return left.select(*keys).intersect(right.select(*keys))
+
+
 def load_checked(expected: DataFrame, given: DataFrame, strict: bool = True,
                  ignore_mismatched: bool = False, keys=("tensor", "row")) -> DataFrame:
     """Load ``given`` against ``expected``.

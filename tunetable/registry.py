@@ -514,7 +514,7 @@ FROM steps WINDOW w AS (PARTITION BY run_id ORDER BY step ROWS BETWEEN {n - 1} P
 
 def _rolling(spark, sf, n):
     s = S.step_losses(spark, sf).withColumn("loss_text_ce", cents("loss_text_ce"))
-    r = ME.rolling_mean(s, "run_id", "step", "loss_text_ce", n=n)
+    r = ME.rolling_mean(s, "run_id", "step", "loss_text_ce", n=n, dense=True)  # step is the per-run rank
     return r.select(long_("run_id").alias("run_id"), long_("step").alias("step"), r6("rolling_mean").alias("rolling_mean"))
 
 
