@@ -125,7 +125,9 @@ def q_tensor_scan(spark, sf):
                     r6(F.col("values")[0]).alias("first_value"))
 
 
-@query("adapter_roundtrip")
+@query("adapter_roundtrip", S.with_sql(S.SQL_BASE) + """
+SELECT tensor, "row", CAST(len("values") AS BIGINT) AS n_values, 16 AS r, 32 AS lora_alpha, true AS fan_in_fan_out
+FROM base WHERE string_split(tensor, '.')[-1] = 'c_fc'""")
 def q_adapter_roundtrip(spark, sf):
     from .session import scratch_path
     from .sources.tensors import read_adapter, write_adapter
@@ -825,7 +827,11 @@ def q_injector_chain(spark, sf):
     return d.select("doc_id", long_("n_tok").alias("n_tok"), aj("padded").alias("padded"))
 
 
-@query("score_batches")
+@query("score_batches", """
+WITH u AS (SELECT vec_id, label, CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+c AS (SELECT label, i, avg(x) AS m FROM u GROUP BY label, i),
+l AS (SELECT u.vec_id, c.label, sum(u.x * c.m) AS logit FROM u JOIN c USING (i) GROUP BY u.vec_id, c.label)
+SELECT vec_id, CAST(arg_max(label, logit) AS BIGINT) AS pred, round(max(logit), 6) AS score FROM l GROUP BY vec_id""")
 def q_score_batches(spark, sf):
     import numpy as np
     import pandas as pd
@@ -845,11 +851,25 @@ def q_score_batches(spark, sf):
         return pd.DataFrame({"vec_id": pdf["vec_id"].astype("int64"), "pred": keys[best].astype("int64"),
                              "score": logits.max(axis=1) if len(pdf) else np.zeros(0)})
 
-    return score_batches(e.select("vec_id", "embedding"), parquet_matrix_loader(path, "label", "w"), fn,
-                         "vec_id long, pred long, score double")
-
-
-@query("merge_adapter")
+    out = score_batches(e.select("vec_id", "embedding"), parquet_matrix_loader(path, "label", "w"), fn,
+                        "vec_id long, pred long, score double")
+    return out.select("vec_id", "pred", r6("score").alias("score"))
+
+
+@query("merge_adapter", S.with_sql(S.SQL_BASE) + """,
+t AS (SELECT tensor, "row", "values" FROM base WHERE string_split(tensor, '.')[-1] IN ('c_fc', 'c_proj')),
+ar AS (SELECT tensor, "values", row_number() OVER (PARTITION BY tensor ORDER BY "row") - 1 AS j FROM t),
+a AS (SELECT tensor, any_value("values") FILTER (WHERE j = 0) AS a0, any_value("values") FILTER (WHERE j = 1) AS a1,
+             any_value("values") FILTER (WHERE j = 2) AS a2, any_value("values") FILTER (WHERE j = 3) AS a3
+      FROM ar WHERE j < 4 GROUP BY tensor),
+ta AS (SELECT t.tensor, t."row" AS rw, t."values" AS vs, a.a0, a.a1, a.a2, a.a3 FROM t JOIN a ON t.tensor = a.tensor),
+m AS (SELECT tensor, rw, list_transform(vs, lambda w, i: CAST(w AS DOUBLE) + 2.0 * ((((0.0
+          + ((rw * 7 + 0) % 5 - 2) / 10.0 * (CAST(a0[i] AS DOUBLE) / 100))
+          + ((rw * 7 + 1) % 5 - 2) / 10.0 * (CAST(a1[i] AS DOUBLE) / 100))
+          + ((rw * 7 + 2) % 5 - 2) / 10.0 * (CAST(a2[i] AS DOUBLE) / 100))
+          + ((rw * 7 + 3) % 5 - 2) / 10.0 * (CAST(a3[i] AS DOUBLE) / 100))) AS v
+      FROM ta)
+SELECT tensor, rw AS "row", round(list_reduce(v, lambda acc, x: acc + x, 0.0), 6) AS row_sum FROM m""")
 def q_merge_adapter(spark, sf):
     from .operators.adapters import merge_adapter
     r = 4
@@ -868,7 +888,19 @@ def q_merge_adapter(spark, sf):
     return m.select("tensor", "row", r6(F.aggregate("values", F.lit(0.0), lambda a, x: a + x)).alias("row_sum"))
 
 
-@query("apply_adapter")
+@query("apply_adapter", """
+WITH x AS (SELECT vec_id, label % 2 AS aid, CAST(unnest(embedding) AS DOUBLE) AS xv, generate_subscripts(embedding, 1) - 1 AS k
+           FROM embeddings),
+w AS (SELECT vec_id AS o, CAST(unnest(embedding) AS DOUBLE) AS wv, generate_subscripts(embedding, 1) - 1 AS k
+      FROM embeddings WHERE vec_id < 16),
+y0 AS (SELECT x.vec_id, w.o, sum(w.wv * x.xv) AS y0 FROM x JOIN w ON x.k = w.k GROUP BY x.vec_id, w.o),
+ax AS (SELECT x.vec_id, r.j, sum(CASE WHEN x.aid = 0 THEN ((r.j + 3 * x.k) % 7 - 3) / 50.0
+                                      ELSE ((2 * r.j + x.k) % 5 - 2) / 40.0 END * x.xv) AS h
+       FROM x CROSS JOIN range(0, 2) r(j) GROUP BY x.vec_id, r.j),
+dy AS (SELECT ax.vec_id, q.o, sum(((5 * q.o + ax.j) % 3 - 1) / 10.0 * ax.h) AS dy
+       FROM ax CROSS JOIN range(0, 16) q(o) GROUP BY ax.vec_id, q.o)
+SELECT y0.vec_id, CAST(y0.o AS INTEGER) AS pos, round(y0.y0 + 2.0 * dy.dy, 6) AS y
+FROM y0 JOIN dy ON y0.vec_id = dy.vec_id AND y0.o = dy.o""")
 def q_apply_adapter(spark, sf):
     from .operators.adapters import apply_adapter
     e = S.table(spark, sf, "embeddings")
