@@ -37,17 +37,26 @@ def rows_of(columns, rows):
     return sorted(out, key=lambda t: tuple((x is None, str(x)) for x in t))
 
 
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+                 "boolean": "BOOLEAN", "float": "FLOAT", "smallint": "SMALLINT", "tinyint": "TINYINT"}
+
+
 def compare(spark, con, name, fn, sql, sf):
     sdf = fn(spark, sf)
     s_cols = sdf.columns
+    s_types = {f.name: f.dataType.simpleString() for f in sdf.schema.fields}
     s_rows = [tuple(r) for r in sdf.collect()]
     rel = con.sql(sql)
     d_cols = rel.columns
+    d_types = dict(zip(d_cols, [str(t) for t in rel.types]))
     d_rows = rel.fetchall()
     problems = []
     if sorted(s_cols) != sorted(d_cols):
         problems.append(f"columns spark={s_cols} duck={d_cols}")
         return problems
+    tdiff = [(c, s_types[c], d_types[c]) for c in s_cols if SPARK_TO_DUCK.get(s_types[c], s_types[c]) != d_types[c]]
+    if tdiff:
+        problems.append(f"types differ {tdiff}")
     if len(s_rows) != len(d_rows):
         problems.append(f"rows spark={len(s_rows)} duck={len(d_rows)}")
     a, b = rows_of(s_cols, s_rows), rows_of(d_cols, d_rows)

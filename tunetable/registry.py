@@ -762,7 +762,8 @@ def q_collate_causal(spark, sf):
 
 
 @query("adapter_params", S.with_sql(S.SQL_BASE) + """
-SELECT tensor, 64 AS in_dim, count(*) AS out_dim, 16 * (64 + count(*)) AS params, 2.0 AS scale
+SELECT tensor, CAST(max(len("values")) AS BIGINT) AS in_dim, count(*) AS out_dim,
+       16 * (max(len("values")) + count(*)) AS params, CAST(32 AS DOUBLE) / 16 AS scale
 FROM base WHERE ndim = 2 GROUP BY tensor""")
 def q_adapter_params(spark, sf):
     b = S.base_tensors(spark, sf).filter(F.col("ndim") == 2)

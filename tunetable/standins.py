@@ -67,7 +67,8 @@ def codes_col():
 
 
 def codes(spark, sf) -> DataFrame:
-    d = table(spark, sf, "documents")
+    from .plans.joins import spread
+    d = spread(table(spark, sf, "documents").select("doc_id", "n_chars"))
     return d.select("doc_id", "n_chars", codes_col().alias("codes"))
 
 
