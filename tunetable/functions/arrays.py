@@ -135,7 +135,7 @@ def char_codes(text) -> Column:
     return F.transform(F.filter(F.split(col_of(text), ""), lambda c: c != ""), lambda c: F.ascii(c))
 
 
-def _position_ids_arrow(mask: pa.Array) -> pa.Array:
+def _position_ids_arrow(mask: "pa.Array") -> "pa.Array":
     if isinstance(mask, pa.ChunkedArray):
         mask = mask.combine_chunks()
     offsets = mask.offsets.to_numpy()

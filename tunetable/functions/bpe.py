@@ -181,7 +181,7 @@ def bpe_encode(text, tokenizer) -> Column:
             yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, type=pa.int32()),
                                            mask=pa.array(~valid))
 
-    udf = F.arrow_udf(run, "array<int>", F.ArrowUDFType.SCALAR_ITER)
+    udf = F.arrow_udf(run, "array<int>")
     return udf(col_of(text))
 
 
@@ -193,5 +193,5 @@ def bpe_decode(ids, tokenizer) -> Column:
         for arr in batches:
             yield pa.array([model.decode(x) for x in arr.to_pylist()], type=pa.string())
 
-    udf = F.arrow_udf(run, "string", F.ArrowUDFType.SCALAR_ITER)
+    udf = F.arrow_udf(run, "string")
     return udf(col_of(ids))

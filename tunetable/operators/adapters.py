@@ -219,8 +219,7 @@ def quantise_blocks(arr, block: int = 64):
             yield pa.StructArray.from_arrays([codes_arr, sc_arr, pa.array(smax)],
                                              names=["codes", "scale_codes", "scale_max"])
 
-    udf = F.arrow_udf(run, "struct<codes:array<tinyint>,scale_codes:array<smallint>,scale_max:double>",
-                      F.ArrowUDFType.SCALAR_ITER)
+    udf = F.arrow_udf(run, "struct<codes:array<tinyint>,scale_codes:array<smallint>,scale_max:double>")
     return udf(F.col(arr) if isinstance(arr, str) else arr)
 
 
@@ -240,5 +239,5 @@ def dequantise_blocks(q, block: int = 64):
             out = NF4_LEVELS[cvals.astype(np.int64)] * scale[blk]
             yield pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(out))
 
-    udf = F.arrow_udf(run, "array<double>", F.ArrowUDFType.SCALAR_ITER)
+    udf = F.arrow_udf(run, "array<double>")
     return udf(F.col(q) if isinstance(q, str) else q)
