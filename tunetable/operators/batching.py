@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import col_of, idiv, lit_of
 from ..functions.arrays import pad_or_truncate
+from ..plans.joins import bounded_broadcast
 from ..plans.prefix import hash_bucket, int_bucket, row_index, running_sum
 
 
@@ -87,7 +88,7 @@ def step_plan(df: DataFrame, limits: DataFrame, phase: str = "phase", accumulate
               max_steps: int = 500) -> DataFrame:
     """Per phase: examples, batch, accumulation, effective batch, steps per epoch, epochs covered."""
     counts = df.groupBy(F.col(phase).alias("phase")).agg(F.count(F.lit(1)).alias("n_examples"))
-    j = counts.join(F.broadcast(limits.select("phase", "batch")), "phase")
+    j = counts.join(bounded_broadcast(limits.select("phase", "batch"), 10_000), "phase")
     eff = F.col("batch") * accumulate
     return j.select(
         "phase", "n_examples", "batch", F.lit(accumulate).alias("accumulate"),

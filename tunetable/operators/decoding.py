@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import col_of
+from ..plans.joins import bounded_broadcast
 
 # Fixed values (must equal the reference's): default generation settings and presets.
 DEFAULT_SETTINGS = {"temperature": "0.8", "length_penalty": "1.0", "repetition_penalty": "2.0",
@@ -41,10 +42,10 @@ def resolve_settings(requests: DataFrame, presets: DataFrame, defaults: dict = D
                      preset_col: str = "preset", overrides_col: str | None = "overrides") -> DataFrame:
     """Per key: defaults < preset < request override, into ``settings map<string,string>``.
 
-    An unknown preset name fails the job. ``presets`` is a configuration table
-    (a few rows), broadcast.
+    An unknown preset name fails the job. ``presets`` is a configuration table,
+    broadcast once its row count is checked.
     """
-    p = F.broadcast(presets.select(F.col("preset").alias("__pname"), F.col("settings").alias("__pset")))
+    p = bounded_broadcast(presets.select(F.col("preset").alias("__pname"), F.col("settings").alias("__pset")), 10_000)
     j = requests.join(p, col_of(preset_col) == F.col("__pname"), "left")
     unknown = col_of(preset_col).isNotNull() & F.col("__pname").isNull()
     d = _map_lit(defaults)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import col_of
+from ..plans.joins import bounded_broadcast
 from ..plans.lineage import materialize
 from ..plans.prefix import int_bucket, row_index
 
@@ -27,10 +28,10 @@ def filter_by_length(df: DataFrame, limits: DataFrame, text_len: str = "text_len
 
     ``dropped`` carries one ``reason``, tested in the order: unknown phase,
     null length, text too long, wav too long. kept + dropped = input.
-    ``limits`` is a per-phase configuration table (a handful of rows), so it
-    is broadcast.
+    ``limits`` is a per-phase configuration table: broadcast once its row
+    count is checked.
     """
-    lim = F.broadcast(limits.select(F.col("phase").alias("__lphase"), "max_text", "max_wav"))
+    lim = bounded_broadcast(limits.select(F.col("phase").alias("__lphase"), "max_text", "max_wav"), 10_000)
     j = df.join(lim, col_of(phase) == F.col("__lphase"), "left")
     reason = (F.when(F.col("__lphase").isNull(), F.lit("unknown_phase"))
               .when(col_of(text_len).isNull() | col_of(wav_len).isNull(), F.lit("null_length"))

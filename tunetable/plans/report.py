@@ -38,7 +38,7 @@ def phase_report(spark: SparkSession, sf: str, tokenizer: str | None = None, acc
     ex = materialize(ex)
     limits = phase_limits(spark)
     kept, dropped = filter_by_length(ex, limits)
-    kept = kept.join(F.broadcast(limits.select("phase", "batch")), "phase")
+    kept = kept.join(F.broadcast(limits.select("phase", "batch")), "phase")  # constant two-row table
     planned = plan_batches(kept, "line_no", F.col("batch"), micro=micro, partition=["phase"])
     per_phase = planned.groupBy("phase").agg(
         F.count(F.lit(1)).alias("n_examples"), F.sum("text_len").alias("n_tokens"),

@@ -18,7 +18,7 @@ from .functions import idiv
 from .functions import lengths as LN
 from .functions import text as TX
 from .operators import batching, codes as CO, decoding as DE, manifest as MA, metrics as ME, tensors as TE
-from .plans.joins import spread
+from .plans.joins import bounded_broadcast, spread
 from .plans.prefix import int_bucket
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,7 +107,7 @@ def q_vocab_usage(spark, sf):
     docs = spread(S.table(spark, sf, "documents").select("text"))
     ids = docs.select(F.explode(bpe_encode(TX.normalise_text("text"), default_tokenizer_path())).alias("id"))
     counts = ids.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
-    return counts.join(F.broadcast(vocab), "id", "left").select("id", "token", "n")
+    return counts.join(bounded_broadcast(vocab, 1_000_000), "id", "left").select("id", "token", "n")
 
 
 @query("tensor_scan", S.with_sql(S.SQL_BASE, S.SQL_TUNED) + """
@@ -138,7 +138,7 @@ def q_adapter_roundtrip(spark, sf):
            "modules_to_save": ["lm_head"], "rank_pattern": {}, "alpha_pattern": {}, "task_type": "CAUSAL_LM"}
     write_adapter(t, cfg, path, "a1")
     tens, conf = read_adapter(spark, path, "a1")
-    return tens.crossJoin(F.broadcast(conf.select("r", "lora_alpha", "fan_in_fan_out"))).select(
+    return tens.join(F.broadcast(conf.select("adapter_id", "r", "lora_alpha", "fan_in_fan_out")), "adapter_id").select(
         "tensor", "row", long_(F.size("values")).alias("n_values"), "r", "lora_alpha", "fan_in_fan_out")
 
 
@@ -313,7 +313,7 @@ WHERE r.j <= least(a.k, a.cnt - 1)""")
 def q_conditioning_candidates(spark, sf):
     d = S.table(spark, sf, "documents").select("doc_id", S.phase_col().alias("phase"),
                                                 F.col("source").alias("speaker"))
-    lim = F.broadcast(MA.phase_limits(spark).select("phase", "n_cond"))
+    lim = F.broadcast(MA.phase_limits(spark).select("phase", "n_cond"))  # constant two-row table
     d = d.join(lim, "phase")
     c = MA.conditioning_candidates(d, ["phase", "speaker"], "doc_id", F.col("n_cond"))
     return c.select(long_("doc_id").alias("doc_id"), F.col("cond_rank").cast("int").alias("cond_rank"),
@@ -484,7 +484,7 @@ SELECT doc_id, phase, CAST(idx // batch AS BIGINT) AS batch_id, CAST(idx % batch
 FROM i""")
 def q_plan_batches(spark, sf):
     d = S.table(spark, sf, "documents").select("doc_id", S.phase_col().alias("phase"))
-    d = d.join(F.broadcast(MA.phase_limits(spark).select("phase", "batch")), "phase")
+    d = d.join(F.broadcast(MA.phase_limits(spark).select("phase", "batch")), "phase")  # constant two-row table
     b = batching.plan_batches(d, "doc_id", F.col("batch"), micro=4, partition=["phase"])
     return b.select(long_("doc_id").alias("doc_id"), "phase", long_("batch_id").alias("batch_id"),
                     long_("position").alias("position"), long_("micro_id").alias("micro_id"))
