@@ -163,18 +163,20 @@ def q_normalise_delimiter(spark, sf):
 
 
 @query("merge_columns", """
-SELECT r.r_regionkey AS r_regionkey,
-       r.r_name || ' ->: [' || coalesce(string_agg('''' || n.n_name || '''', ', ' ORDER BY n.n_name), '') || ']' AS prediction
-FROM region r LEFT JOIN nation n ON n.n_regionkey = r.r_regionkey
-GROUP BY r.r_regionkey, r.r_name""")
+WITH t AS (
+  SELECT d.doc_id, d.text,
+         list_sort(list_filter([d.lang, CASE WHEN l.quality = 1 THEN 'quality' END,
+                                CASE WHEN l.toxic = 1 THEN 'toxic' END], lambda x: x IS NOT NULL)) AS tags
+  FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)
+SELECT doc_id, text || ' ->: [' || array_to_string(list_transform(tags, lambda x: chr(39) || x || chr(39)), ', ') || ']' AS prediction
+FROM t""")
 def q_merge_columns(spark, sf):
-    r = S.table(spark, sf, "region")
-    n = S.table(spark, sf, "nation")
-    tags = n.groupBy("n_regionkey").agg(F.sort_array(F.collect_list("n_name")).alias("tags"))
-    j = r.join(tags, r.r_regionkey == tags.n_regionkey, "left")
-    tl = F.coalesce(F.col("tags"), F.array().cast("array<string>"))
-    return j.select(F.col("r_regionkey").cast("int").alias("r_regionkey"),
-                    TX.merge_columns("r_name", tl).alias("prediction"))
+    d = S.table(spark, sf, "documents").select("doc_id", "text", "lang")
+    lab = S.table(spark, sf, "labels").select("doc_id", "quality", "toxic")
+    j = d.join(lab, "doc_id", "left")
+    tags = F.array_sort(F.filter(F.array(F.col("lang"), F.when(F.col("quality") == 1, F.lit("quality")),
+                                         F.when(F.col("toxic") == 1, F.lit("toxic"))), lambda x: x.isNotNull()))
+    return j.select("doc_id", TX.merge_columns("text", tags).alias("prediction"))
 
 
 _LEN_SQL = """lens AS (
