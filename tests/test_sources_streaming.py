@@ -115,3 +115,42 @@ def test_latency_stream_equals_batch(spark):
     assert got.keys() == batch.keys()
     assert all(got[k][0] <= batch[k][0] for k in got)
     assert sum(v[0] for v in batch.values()) == ev.count()
+
+
+def _wide_row_local(df, clips):
+    """Many row-local operators at once (ST1): text, BPE, arrays, lengths, schedule, J1 vs a static table."""
+    from tunetable.functions import lengths as LN
+    from tunetable.functions.bpe import bpe_encode, load_tokenizer
+    from tunetable.operators.manifest import pair_clips
+    from tunetable.resources import default_tokenizer_path
+    tok = load_tokenizer(default_tokenizer_path())
+    codes = S.codes_col()
+    d = df.select(
+        "doc_id", "source", "n_chars",
+        TX.rewrite_prefix(S.old_path(), S.OLD_ROOT, S.NEW_ROOT).alias("audio_path"),
+        TX.normalise_delimiter(TX.manifest_line(S.old_path(), F.col("text"))).alias("tsv"),
+        TX.redact_bracketed("text").alias("redacted"),
+        F.size(bpe_encode(TX.normalise_text("text"), tok)).alias("n_bpe"),
+        A.array_join_safe(A.pad_or_truncate(codes, 64)).alias("padded"),
+        A.array_join_safe(A.pad_right(codes, -2, 8193)).alias("right"),
+        A.array_join_safe(A.mask_past_end(codes, S.n_samples_col())).alias("masked"),
+        A.array_join_safe(A.position_ids(F.transform(codes, lambda x: F.when(x == 83, 0).otherwise(1)))).alias("pos"),
+        F.size(A.char_codes("text")).alias("n_cp"),
+        LN.output_length(S.n_samples_col()).alias("out_len"),
+        LN.multistep_lr(F.col("doc_id"), warmup=10).alias("lr"))
+    paired, _ = pair_clips(d, clips)
+    return paired.drop("speaker", "sample_rate")
+
+
+def test_stream_parity_wide(spark):
+    clips = S.clips(spark, SF)
+    batch = sorted(map(tuple, _wide_row_local(spark.read.parquet(SF + "/documents.parquet"), clips).collect()))
+    schema = spark.read.parquet(SF + "/documents.parquet").schema
+    stream = (spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet")
+              .option("maxFilesPerTrigger", 1).parquet(SF))
+    q = (_wide_row_local(stream, clips).writeStream.format("memory").queryName("tt_wide")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    got = sorted(map(tuple, spark.sql("select * from tt_wide").collect()))
+    assert len(got) == len(batch) > 0
+    assert got == batch

@@ -121,6 +121,11 @@ def seeded_crop_start(arr, n, key, seed: int) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), col_of(key)), gap.cast("long") + 1).cast("int")
 
 
+def array_join_safe(arr, sep: str = ",") -> Column:
+    """Array as text, nulls kept as null (for comparisons and sinks that take no arrays)."""
+    return F.array_join(col_of(arr), sep)
+
+
 def for_each(arr, fn) -> Column:
     """Apply one element transform to every element of an array column."""
     return F.transform(col_of(arr), fn)
