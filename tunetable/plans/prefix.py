@@ -56,6 +56,17 @@ def col_of(c):
     return F.col(c) if isinstance(c, str) else c
 
 
+def _key_default(dt):
+    from pyspark.sql import types as T
+    if isinstance(dt, T.StringType):
+        return F.lit("")
+    if isinstance(dt, T.BooleanType):
+        return F.lit(False)
+    if isinstance(dt, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return F.lit(0).cast(dt)
+    return None
+
+
 def running_sum(df: DataFrame, value: str | Column, order: Sequence, bucket: Column,
                 partition: Sequence | None = None, out: str = "running_sum",
                 inclusive: bool = True) -> DataFrame:
@@ -65,23 +76,37 @@ def running_sum(df: DataFrame, value: str | Column, order: Sequence, bucket: Col
     ``sum(value) over (partition by .. order by .. rows unbounded preceding)``
     (minus the current row when ``inclusive`` is false), provided ``order``
     is a total order inside each partition.
+
+    The partition keys are materialised once as non-null key columns (value
+    or a typed default, plus a null flag), and the cell window, the cell
+    totals and the join back all use exactly those columns. The big side is
+    therefore shuffled once (into cells); only the small offsets table moves
+    again for the join.
     """
     part = _cols(partition)
     order = _cols(order)
     v = col_of(value)
     d = df.withColumn(_B, bucket).withColumn("__tt_v", v)
-    cell = Window.partitionBy(*part, _B).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    keys = []
+    for i, p in enumerate(part):
+        name = p if isinstance(p, str) else None
+        dt = df.schema[name].dataType if name in df.columns else None
+        c = col_of(p)
+        default = _key_default(dt) if dt is not None else None
+        if default is None:  # other types: compare through their string form
+            c, default = c.cast("string"), F.lit("")
+        d = d.withColumn(f"__tt_p{i}", F.coalesce(c, default)).withColumn(f"__tt_n{i}", c.isNull())
+        keys += [f"__tt_p{i}", f"__tt_n{i}"]
+    cell = Window.partitionBy(*keys, _B).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     d = d.withColumn(_L, F.sum("__tt_v").over(cell))
-    totals = d.groupBy(*part, _B).agg(F.sum("__tt_v").alias("__tt_tot"))
-    ow = Window.partitionBy(*part).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*part, _B, F.coalesce(F.sum("__tt_tot").over(ow), F.lit(0)).alias(_O))
-    o = offsets.alias("__tt_o")
-    cond = [d[_B] == o[_B]] + [d[p].eqNullSafe(o[p]) for p in part]
-    j = d.join(o, cond, "inner").select(d["*"], o[_O])
+    totals = d.groupBy(*keys, _B).agg(F.sum("__tt_v").alias("__tt_tot"))
+    ow = Window.partitionBy(*keys).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*keys, _B, F.coalesce(F.sum("__tt_tot").over(ow), F.lit(0)).alias(_O))
+    j = d.join(offsets, keys + [_B], "inner")
     res = F.col(_O) + F.col(_L)
     if not inclusive:
         res = res - F.col("__tt_v")
-    return j.withColumn(out, res).drop(_B, _L, _O, "__tt_v")
+    return j.withColumn(out, res).drop(_B, _L, _O, "__tt_v", *keys)
 
 
 def row_index(df: DataFrame, order: Sequence, bucket: Column,
