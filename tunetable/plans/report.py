@@ -4,8 +4,9 @@
 batches and optimiser steps does each phase give?"
 
 manifest -> rewrite prefix -> normalise text -> BPE -> pair with clips ->
-length filter -> plan batches -> aggregate by phase. One lazy plan; the
-only Python is the tokenising UDF, which runs once per row.
+length filter -> plan batches -> aggregate by phase. The only Python is the
+tokenising UDF; it runs once per line, before any shuffle, and its narrow
+output is checkpointed so that no later branch repeats it.
 """
 
 from __future__ import annotations
@@ -29,13 +30,14 @@ def phase_report(spark: SparkSession, sf: str, tokenizer: str | None = None, acc
                  micro: int = 4) -> DataFrame:
     tok = load_tokenizer(tokenizer or default_tokenizer_path())
     parsed, _rejects = parse_manifest(S.manifest_lines(spark, sf), keep=("line_no", "phase"))
-    m = parsed.withColumn("audio_path", rewrite_prefix("audio_path", S.OLD_ROOT, S.NEW_ROOT))
-    paired, _missing = pair_clips(m, S.clips(spark, sf).select("audio_path", "n_samples"))
-    ex = spread(paired.select("line_no", "phase", "n_samples", "text")).select(
-        "line_no", "phase", F.col("n_samples").alias("wav_len"),
+    m = spread(parsed).select(
+        "line_no", "phase", rewrite_prefix("audio_path", S.OLD_ROOT, S.NEW_ROOT).alias("audio_path"),
         F.size(bpe_encode(normalise_text("text"), tok)).alias("text_len"))
-    # tokenise once: the index below reads its input in two branches, the drop report in a third
-    ex = materialize(ex)
+    # Tokenise before any shuffle, so no text crosses the network, and only once:
+    # the narrow result feeds the join, the index (two branches) and the drop report.
+    m = materialize(m)
+    paired, _missing = pair_clips(m, S.clips(spark, sf).select("audio_path", "n_samples"))
+    ex = paired.select("line_no", "phase", F.col("n_samples").alias("wav_len"), "text_len")
     limits = phase_limits(spark)
     kept, dropped = filter_by_length(ex, limits)
     kept = kept.join(F.broadcast(limits.select("phase", "batch")), "phase")  # constant two-row table
