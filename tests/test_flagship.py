@@ -36,3 +36,29 @@ def test_phase_report_matches_brute_force(spark, sf):
     got = {r["phase"]: (r["n_examples"], r["n_tokens"], r["n_samples"], r["n_batches"], r["n_steps"], r["n_dropped"])
            for r in E.queries()["phase_report"](spark, sf).collect()}
     assert got == brute(sf)
+
+
+def _encoded(sf):
+    d = pd.read_parquet(f"{sf}/documents.parquet")
+    tok = load_tokenizer(default_tokenizer_path())
+    ws = re.compile(r"[ \t\n\r\f\x0b]+")
+    return d, tok, {i: tok.encode(ws.sub(" ", t.lower()).strip()) for i, t in zip(d.doc_id, d.text)}
+
+
+def test_bpe_queries_match_brute_force(spark):
+    sf = "/root/testdata/sf0.001"
+    d, tok, enc = _encoded(sf)
+    counts = {r["doc_id"]: (r["n_tokens"], r["n_unk"]) for r in E.queries()["bpe_token_counts"](spark, sf).collect()}
+    assert counts == {i: (len(v), v.count(1)) for i, v in enc.items()}
+    usage = {r["id"]: (r["token"], r["n"]) for r in E.queries()["vocab_usage"](spark, sf).collect()}
+    from collections import Counter
+    c = Counter(t for v in enc.values() for t in v)
+    assert usage == {i: (tok.id_to_token[i], n) for i, n in c.items()}
+
+
+def test_object_catalog_lists_every_table(spark):
+    import os
+    sf = "/root/testdata/sf0.01"
+    rows = E.queries()["object_catalog"](spark, sf).collect()
+    got = {os.path.basename(r["path"]): r["size"] for r in rows}
+    assert got == {f: os.path.getsize(os.path.join(sf, f)) for f in os.listdir(sf) if f.endswith(".parquet")}
