@@ -11,8 +11,13 @@ task. The two-level scheme keeps every window bounded:
    prefix-summed in a small table whose size is the number of cells;
 4. the offsets are joined back on (partition, bucket) and added.
 
-The cell exchange is shared by steps 2 and 3, so upstream work (for example a
-tokenising UDF) runs once.
+The input is read by two branches (the cell window and the cell totals).
+The totals branch needs only the key, order and value columns, so a plain
+scan costs little; an input produced by expensive per-row work (a
+tokenising UDF) should be materialised first (``plans.lineage.materialize``),
+as the flagship does. The partition keys are materialised as non-null
+columns, so the cell window's exchange also serves the join back: the big
+side is shuffled once.
 """
 
 from __future__ import annotations

@@ -42,15 +42,20 @@ def build_session(master: str | None = None, app: str = "tunetable",
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a private one only when unset."""
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = spark.sparkContext.getCheckpointDir()
+    """The cluster's shared checkpoint folder (``spark.checkpoint.dir``).
+
+    Only in local mode, when the setting is absent (tests), is a private
+    folder created; on a cluster a missing setting is an error, never a
+    machine-local folder.
+    """
+    sc = spark.sparkContext
+    d = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS/S3/...) for this cluster")
         d = tempfile.mkdtemp(prefix="tunetable-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(d)
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(d)
     return d
 
 
@@ -75,10 +80,12 @@ _SHIPPED: set = set()
 def ship_package(spark: SparkSession) -> None:
     """Make ``tunetable`` importable in the executors' Python workers.
 
-    The package is zipped once per session into the shared folder and added
-    with ``addPyFile``, which distributes it to every executor (present and
-    future, so a replaced executor gets it too).
+    The package is zipped in memory once per session, written into the
+    shared folder (through the Hadoop FileSystem API when that folder is not
+    local) and added with ``addPyFile``, which distributes it to every
+    executor, including ones that replace lost executors.
     """
+    import io
     import zipfile
 
     sc = spark.sparkContext
@@ -86,10 +93,8 @@ def ship_package(spark: SparkSession) -> None:
     if key in _SHIPPED:
         return
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
-    base = local_path(shared_dir(spark))
-    os.makedirs(base, exist_ok=True)
-    zpath = os.path.join(base, f"tunetable-{uuid.uuid4().hex[:8]}.zip")
-    with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
         for root, _dirs, files in os.walk(pkg_dir):
             if "__pycache__" in root:
                 continue
@@ -97,5 +102,17 @@ def ship_package(spark: SparkSession) -> None:
                 if f.endswith((".py", ".json")):
                     full = os.path.join(root, f)
                     z.write(full, os.path.relpath(full, os.path.dirname(pkg_dir)))
-    sc.addPyFile(zpath)
+    target = shared_dir(spark).rstrip("/") + f"/tunetable-{uuid.uuid4().hex[:8]}.zip"
+    if "://" not in target or target.startswith("file:"):
+        path = local_path(target)
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        with open(path, "wb") as f:
+            f.write(buf.getvalue())
+    else:
+        jvm = sc._jvm
+        hpath = jvm.org.apache.hadoop.fs.Path(target)
+        out = hpath.getFileSystem(sc._jsc.hadoopConfiguration()).create(hpath, True)
+        out.write(bytearray(buf.getvalue()))
+        out.close()
+    sc.addPyFile(target)
     _SHIPPED.add(key)
