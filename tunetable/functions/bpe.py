@@ -151,9 +151,10 @@ def parse_tokenizer(spec: dict) -> BpeModel:
 
 
 def load_tokenizer(path: str) -> BpeModel:
-    """Parse a tokenizer JSON (a small configuration file) on the driver."""
-    with open(path, encoding="utf-8") as f:
-        return parse_tokenizer(json.load(f))
+    """Parse a tokenizer JSON (a small configuration file) on the driver; local path or URI."""
+    from ..session import open_input
+    with open_input(path) as f:
+        return parse_tokenizer(json.loads(f.read().decode("utf-8")))
 
 
 def _as_model(tok) -> BpeModel:

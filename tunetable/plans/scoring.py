@@ -30,7 +30,12 @@ def parquet_matrix_loader(path: str, key: str, values: str):
         import numpy as np
         import pyarrow.parquet as pq
         from ..session import local_path
-        t = pq.read_table(local_path(path), columns=[key, values]).sort_by(key)
+        if "://" in path and not path.startswith("file:"):
+            from pyarrow import fs as pafs
+            filesystem, inner = pafs.FileSystem.from_uri(path)
+            t = pq.read_table(inner, columns=[key, values], filesystem=filesystem).sort_by(key)
+        else:
+            t = pq.read_table(local_path(path), columns=[key, values]).sort_by(key)
         keys = t.column(key).to_numpy()
         mat = np.array([np.asarray(v, dtype=np.float64) for v in t.column(values).to_pylist()])
         return keys, mat

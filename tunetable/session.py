@@ -70,6 +70,16 @@ def local_path(path: str) -> str:
     return path[len("file:"):] if path.startswith("file:") else path
 
 
+def open_input(path: str):
+    """Open a small file for reading: a local path, or any URI pyarrow's
+    filesystems understand (hdfs://, s3://, gs://, file://)."""
+    if "://" in path and not path.startswith("file:"):
+        from pyarrow import fs as pafs
+        filesystem, inner = pafs.FileSystem.from_uri(path)
+        return filesystem.open_input_file(inner)
+    return open(local_path(path), "rb")
+
+
 def exists_local(path: str) -> bool:
     return os.path.exists(local_path(path))
 
