@@ -216,3 +216,11 @@ def test_select_text_field_and_metrics_sink(spark, tmp_path):
     write_metrics(m.filter("run_id = 1"), str(tmp_path / "m"))
     back = spark.read.parquet(str(tmp_path / "m"))
     assert back.filter("run_id = 1").count() == 2 and back.count() == 3
+
+
+def test_typical_filter_with_underflowing_probability(spark):
+    df = spark.createDataFrame([(1, 0, 0.0), (1, 1, -0.5), (1, 2, -5000.0)], "g int, tok int, s double")
+    kept = sorted(r["tok"] for r in DE.typical_filter(df, "g", "s", "tok", mass=0.9).collect())
+    assert 2 not in kept and kept
+    lp = {r["tok"]: r["lp"] for r in DE.softmax(df, "g", "s", log_out="lp").collect()}
+    assert lp[2] < -4000 and lp[0] < 0

@@ -71,14 +71,23 @@ def _groups(group):
     return [group] if isinstance(group, str) else list(group)
 
 
-def softmax(df: DataFrame, group, score: str, temperature: float = 1.0, out: str = "prob") -> DataFrame:
-    """Numerically stable softmax of ``score / temperature`` inside each group."""
+def softmax(df: DataFrame, group, score: str, temperature: float = 1.0, out: str = "prob",
+            log_out: str | None = None) -> DataFrame:
+    """Numerically stable softmax of ``score / temperature`` inside each group.
+
+    ``log_out`` also keeps the log-probability, computed as a log-softmax
+    (finite even where the probability underflows to 0).
+    """
     w = Window.partitionBy(*_groups(group))
     z = col_of(score).cast("double") / F.lit(float(temperature))
-    return (df.withColumn("__z", z)
-            .withColumn("__e", F.exp(F.col("__z") - F.max("__z").over(w)))
-            .withColumn(out, F.col("__e") / F.sum("__e").over(w))
-            .drop("__z", "__e"))
+    d = (df.withColumn("__z", z)
+         .withColumn("__zs", F.col("__z") - F.max("__z").over(w))
+         .withColumn("__e", F.exp("__zs"))
+         .withColumn("__se", F.sum("__e").over(w))
+         .withColumn(out, F.col("__e") / F.col("__se")))
+    if log_out:
+        d = d.withColumn(log_out, F.col("__zs") - F.log(F.col("__se")))
+    return d.drop("__z", "__zs", "__e", "__se")
 
 
 def nucleus_filter(df: DataFrame, group, score: str, token: str, p: float = 0.8,
@@ -99,9 +108,8 @@ def nucleus_filter(df: DataFrame, group, score: str, token: str, p: float = 0.8,
 def typical_filter(df: DataFrame, group, score: str, token: str, mass: float = 0.9) -> DataFrame:
     """Locally typical filtering: order by |surprise - entropy|, keep until ``mass`` is reached."""
     g = _groups(group)
-    d = softmax(df, g, score, 1.0)
+    d = softmax(df, g, score, 1.0, log_out="__lp")
     wg = Window.partitionBy(*g)
-    d = d.withColumn("__lp", F.log(F.col("prob")))
     d = d.withColumn("__h", -F.sum(F.col("prob") * F.col("__lp")).over(wg))
     d = d.withColumn("typical_dev", F.abs(-F.col("__lp") - F.col("__h")))
     w = (Window.partitionBy(*g).orderBy(F.col("typical_dev").asc(), col_of(token).asc())

@@ -573,8 +573,11 @@ def q_nucleus_filter(spark, sf):
 
 
 @query("typical_filter", S.with_sql(S.SQL_SCORES) + _softmax_sql(1.0) + """,
-h AS (SELECT *, -sum(prob * ln(prob)) OVER (PARTITION BY request_id) AS ent FROM p),
-t AS (SELECT *, abs(-ln(prob) - ent) AS dev FROM h),
+lp AS (SELECT p.*, (z.z - max(z.z) OVER (PARTITION BY z.request_id))
+                   - ln(sum(exp(z.z - m.mz)) OVER (PARTITION BY z.request_id)) AS logp
+       FROM p JOIN z USING (request_id, token) JOIN (SELECT request_id, max(z) AS mz FROM z GROUP BY 1) m USING (request_id)),
+h AS (SELECT *, -sum(prob * logp) OVER (PARTITION BY request_id) AS ent FROM lp),
+t AS (SELECT *, abs(-logp - ent) AS dev FROM h),
 c AS (SELECT *, sum(prob) OVER (PARTITION BY request_id ORDER BY dev, token
                                 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum_prob FROM t)
 SELECT request_id, token, round(prob, 6) AS prob FROM c WHERE cum_prob - prob < 0.9""")
