@@ -224,3 +224,11 @@ def test_typical_filter_with_underflowing_probability(spark):
     assert 2 not in kept and kept
     lp = {r["tok"]: r["lp"] for r in DE.softmax(df, "g", "s", log_out="lp").collect()}
     assert lp[2] < -4000 and lp[0] < 0
+
+
+def test_assign_codes_keeps_bad_vectors_with_null_code(spark):
+    v = spark.createDataFrame([(1, [0.0, 0.0]), (2, None), (3, [1.0]), (4, [2.0, 0.0])], "vec_id long, embedding array<float>")
+    book = spark.createDataFrame([(5, [1.0, 0.0]), (2, [0.0, 1.0])], "code long, embedding array<float>")
+    got = {r["vec_id"]: (r["code"], r["dist"]) for r in CO.assign_codes(v, book).collect()}
+    assert got[2] == (None, None) and got[3] == (None, None)
+    assert got[1] == (2, 1.0) and got[4] == (5, 1.0)

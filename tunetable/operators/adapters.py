@@ -74,9 +74,10 @@ def apply_adapter(vectors: DataFrame, base: DataFrame, adapters: DataFrame, alph
         W_, ad_ = bc.value
         for b in batches:
             ids = b.column(0)
-            aid = b.column(2).to_numpy(zero_copy_only=False)
-            lst = b.column(1)
-            X = lst.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(b), -1) if len(b) else np.zeros((0, W_.shape[1]))
+            from .codes import valid_matrix
+            valid, X = valid_matrix(b.column(1), W_.shape[1])
+            aid_col = b.column(2).fill_null(-1)
+            aid = aid_col.to_numpy(zero_copy_only=False)[valid]
             Y = X @ W_.T
             for a in np.unique(aid):
                 if int(a) not in ad_:
@@ -84,8 +85,11 @@ def apply_adapter(vectors: DataFrame, base: DataFrame, adapters: DataFrame, alph
                 m = aid == a
                 A, B = ad_[int(a)]
                 Y[m] += scale * ((X[m] @ A.T) @ B.T)
-            off = np.arange(0, len(b) * Y.shape[1] + 1, max(Y.shape[1], 1), dtype=np.int32)[: len(b) + 1]
-            out = pa.ListArray.from_arrays(pa.array(off), pa.array(Y.ravel()))
+            k = W_.shape[0]
+            full = np.zeros((len(b), k))
+            full[valid] = Y
+            off = (np.arange(len(b) + 1) * k).astype(np.int32)
+            out = pa.ListArray.from_arrays(pa.array(off), pa.array(full.ravel()), mask=pa.array(~valid))
             yield pa.RecordBatch.from_arrays([ids, out], names=[id_col, "output"])
 
     id_type = vectors.schema[id_col].dataType.simpleString()

@@ -21,6 +21,19 @@ def _as_matrix(list_arr) -> np.ndarray:
     return flat.reshape(n, -1) if n else np.zeros((0, 0))
 
 
+def valid_matrix(list_arr, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """(mask, matrix): rows that are non-null vectors of width ``dim``, as a float64 matrix."""
+    if isinstance(list_arr, pa.ChunkedArray):
+        list_arr = list_arr.combine_chunks()
+    import pyarrow.compute as pc
+    lengths = pc.list_value_length(list_arr).fill_null(-1).to_numpy(zero_copy_only=False)
+    mask = lengths == dim
+    if not mask.any():
+        return mask, np.zeros((0, dim))
+    sub = list_arr.filter(pa.array(mask))
+    return mask, sub.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+
+
 def assign_codes(vectors: DataFrame, codebook: DataFrame, id_col: str = "vec_id",
                  vec_col: str = "embedding", code_col: str = "code",
                  code_vec_col: str = "embedding", max_codes: int = 65536) -> DataFrame:
@@ -30,7 +43,8 @@ def assign_codes(vectors: DataFrame, codebook: DataFrame, id_col: str = "vec_id"
     rows, checked): it is shipped to the tasks once and each Arrow batch is
     scored with one matrix product. Candidates within rounding of the best
     are re-scored exactly, so the distance and the tie rule are exact.
-    Output: ``id, code, dist`` (double).
+    Output: ``id, code, dist`` (double); a null or wrong-width vector gets
+    null code and distance.
     """
     rows = collect_bounded(codebook.select(col_of(code_col).alias("c"), col_of(code_vec_col).alias("v"))
                            .orderBy("c"), max_codes, "codebook")
@@ -43,8 +57,12 @@ def assign_codes(vectors: DataFrame, codebook: DataFrame, id_col: str = "vec_id"
         codes_, book_, bsq = bc.value
         for b in batches:
             ids = b.column(0)
-            x = _as_matrix(b.column(1))
+            mask, x = valid_matrix(b.column(1), book_.shape[1])
+            code_all = np.zeros(len(b), dtype=np.int64)
+            dist_all = np.zeros(len(b))
             if len(x) == 0:
+                yield pa.RecordBatch.from_arrays([ids, pa.array(code_all, mask=~mask), pa.array(dist_all, mask=~mask)],
+                                                 names=[id_col, code_col, "dist"])
                 continue
             approx = (x * x).sum(axis=1)[:, None] - 2.0 * (x @ book_.T) + bsq[None, :]
             best = approx.min(axis=1)
@@ -55,9 +73,10 @@ def assign_codes(vectors: DataFrame, codebook: DataFrame, id_col: str = "vec_id"
             exact = (diff * diff).sum(axis=1)
             order = np.lexsort((codes_[cand], exact, rows))
             first = order[np.unique(rows[order], return_index=True)[1]]
-            out_code = codes_[cand[first]]
-            out_dist = exact[first]
-            yield pa.RecordBatch.from_arrays([ids, pa.array(out_code), pa.array(out_dist)],
+            code_all[mask] = codes_[cand[first]]
+            dist_all[mask] = exact[first]
+            # a null or wrong-width vector keeps its row, with a null code
+            yield pa.RecordBatch.from_arrays([ids, pa.array(code_all, mask=~mask), pa.array(dist_all, mask=~mask)],
                                              names=[id_col, code_col, "dist"])
 
     id_type = vectors.schema[id_col].dataType.simpleString()
