@@ -3,8 +3,8 @@
 BPE is not expressible in SQL, so this is the one tokenising UDF: an Arrow
 iterator UDF, so the model and a per-task word cache are built once per task
 and every batch is returned as one Arrow list array (no per-row pandas
-objects). The model is a small, fixed-size parameter (vocabulary + merges);
-it travels inside the UDF closure, never the data.
+objects). The model is a fixed-size parameter (vocabulary + merges); it is
+broadcast once per application, and the data never passes the driver.
 
 Rules (tokenizer JSON layout: ``added_tokens``, ``model.vocab``,
 ``model.merges``, ``model.unk_token``):
@@ -161,11 +161,25 @@ def _as_model(tok) -> BpeModel:
     return tok if isinstance(tok, BpeModel) else load_tokenizer(tok)
 
 
+_BROADCASTS: dict = {}
+
+
+def _broadcast_model(model: BpeModel):
+    """One broadcast per model and application: shipped once per executor, not per task."""
+    from pyspark import SparkContext
+    sc = SparkContext.getOrCreate()
+    key = (sc.applicationId, id(model))
+    if key not in _BROADCASTS:
+        _BROADCASTS[key] = (model, sc.broadcast(model))
+    return _BROADCASTS[key][1]
+
+
 def bpe_encode(text, tokenizer) -> Column:
     """Column of token ids (``array<int>``) for a string column."""
-    model = _as_model(tokenizer)
+    bc = _broadcast_model(_as_model(tokenizer))
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        model = bc.value
         cache: dict = {}
         for arr in batches:
             texts = arr.to_pylist()
@@ -188,9 +202,10 @@ def bpe_encode(text, tokenizer) -> Column:
 
 def bpe_decode(ids, tokenizer) -> Column:
     """Inverse of ``bpe_encode``: blanks restored, special tokens dropped."""
-    model = _as_model(tokenizer)
+    bc = _broadcast_model(_as_model(tokenizer))
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        model = bc.value
         for arr in batches:
             yield pa.array([model.decode(x) for x in arr.to_pylist()], type=pa.string())
 
