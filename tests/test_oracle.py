@@ -38,3 +38,16 @@ def test_entry(spark):
     rows = E.entry(spark).collect()
     assert {r["phase"] for r in rows} == {"train", "val"}
     assert all(r["n_examples"] >= 0 and r["n_steps"] >= 0 for r in rows)
+
+
+def test_outputs_are_flat_and_named(spark):
+    allowed_time = {("object_catalog", "mtime")}
+    for name, fn in QUERIES.items():
+        sch = fn(spark, "/root/testdata/sf0.001").schema
+        names = [f.name for f in sch.fields]
+        assert len(set(names)) == len(names), name
+        for f in sch.fields:
+            t = f.dataType.simpleString()
+            assert not t.startswith(("array", "map", "struct", "binary")), (name, f.name, t)
+            if t.startswith("timestamp"):
+                assert (name, f.name) in allowed_time
