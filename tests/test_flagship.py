@@ -17,6 +17,8 @@ def brute(sf):
     d = pd.read_parquet(f"{sf}/documents.parquet")
     tok = load_tokenizer(default_tokenizer_path())
     ws = re.compile(r"[ \t\n\r\f\x0b]+")
+    phase_of = lambda i: "val" if i % 10 == 0 else "train"
+    missing = {p: sum(1 for i in d.doc_id if i % 17 == 0 and phase_of(i) == p) for p in LIMITS}
     d = d[d.doc_id % 17 != 0]                       # lines whose clip exists
     out = {}
     for phase, g in d.assign(phase=["val" if i % 10 == 0 else "train" for i in d.doc_id]).groupby("phase"):
@@ -27,13 +29,14 @@ def brute(sf):
         keep = [(a, b) for a, b in zip(tl, wl) if a <= mt and b <= mw]
         n = len(keep)
         out[phase] = (n, sum(a for a, _ in keep), sum(b for _, b in keep), math.ceil(n / batch),
-                      math.ceil(n / (batch * 4)), len(tl) - n)
+                      math.ceil(n / (batch * 4)), len(tl) - n, missing[phase], 0)
     return out
 
 
 @pytest.mark.parametrize("sf", ["/root/testdata/sf0.001", "/root/testdata/sf0.01"])
 def test_phase_report_matches_brute_force(spark, sf):
-    got = {r["phase"]: (r["n_examples"], r["n_tokens"], r["n_samples"], r["n_batches"], r["n_steps"], r["n_dropped"])
+    got = {r["phase"]: (r["n_examples"], r["n_tokens"], r["n_samples"], r["n_batches"], r["n_steps"], r["n_dropped"],
+                        r["n_missing"], r["n_rejected"])
            for r in E.queries()["phase_report"](spark, sf).collect()}
     assert got == brute(sf)
 

@@ -36,7 +36,7 @@ def phase_report(spark: SparkSession, sf: str, tokenizer: str | None = None, acc
     # Tokenise before any shuffle, so no text crosses the network, and only once:
     # the narrow result feeds the join, the index (two branches) and the drop report.
     m = materialize(m)
-    paired, _missing = pair_clips(m, S.clips(spark, sf).select("audio_path", "n_samples"))
+    paired, missing = pair_clips(m, S.clips(spark, sf).select("audio_path", "n_samples"))
     ex = paired.select("line_no", "phase", F.col("n_samples").alias("wav_len"), "text_len")
     limits = phase_limits(spark)
     kept, dropped = filter_by_length(ex, limits)
@@ -46,8 +46,11 @@ def phase_report(spark: SparkSession, sf: str, tokenizer: str | None = None, acc
         F.count(F.lit(1)).alias("n_examples"), F.sum("text_len").alias("n_tokens"),
         F.sum("wav_len").alias("n_samples"), (F.max("batch_id") + 1).alias("n_batches"),
         F.first("batch").alias("batch"))
+    # every manifest line is accounted for: kept + dropped + missing clip + rejected
     drops = dropped.groupBy("phase").agg(F.count(F.lit(1)).alias("n_dropped"))
-    out = per_phase.join(drops, "phase", "full_outer")
+    miss = missing.groupBy("phase").agg(F.count(F.lit(1)).alias("n_missing"))
+    rej = _rejects.groupBy("phase").agg(F.count(F.lit(1)).alias("n_rejected"))
+    out = per_phase.join(drops, "phase", "full_outer").join(miss, "phase", "full_outer").join(rej, "phase", "full_outer")
     eff = F.col("batch") * accumulate
     return out.select(
         "phase", F.coalesce("n_examples", F.lit(0)).cast("long").alias("n_examples"),
@@ -55,4 +58,6 @@ def phase_report(spark: SparkSession, sf: str, tokenizer: str | None = None, acc
         F.coalesce("n_samples", F.lit(0)).cast("long").alias("n_samples"),
         F.coalesce("n_batches", F.lit(0)).cast("long").alias("n_batches"),
         F.coalesce(idiv(F.col("n_examples") + eff - 1, eff), F.lit(0)).cast("long").alias("n_steps"),
-        F.coalesce("n_dropped", F.lit(0)).cast("long").alias("n_dropped"))
+        F.coalesce("n_dropped", F.lit(0)).cast("long").alias("n_dropped"),
+        F.coalesce("n_missing", F.lit(0)).cast("long").alias("n_missing"),
+        F.coalesce("n_rejected", F.lit(0)).cast("long").alias("n_rejected"))
