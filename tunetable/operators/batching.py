@@ -97,9 +97,9 @@ def step_plan(df: DataFrame, limits: DataFrame, phase: str = "phase", accumulate
         (F.lit(max_steps) * eff / F.col("n_examples")).alias("epochs_covered"))
 
 
-def select_text_field(df: DataFrame, field: str = "prompt", out: str = "text") -> DataFrame:
-    """The trainer consumes one named text column."""
-    return df.select(F.col(field).alias(out))
+def select_text_field(df: DataFrame, field: str = "prompt", out: str = "text", keep=()) -> DataFrame:
+    """The trainer consumes one named text column (P4); ``keep`` carries id columns along."""
+    return df.select(*keep, F.col(field).alias(out))
 
 
 def collate_causal(df: DataFrame, batch_col: str, tokens: str, pad: int = 0,

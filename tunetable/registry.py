@@ -766,6 +766,33 @@ def q_collate_causal(spark, sf):
                     long_(F.aggregate("labels", F.lit(0).cast("long"), lambda a, x: a + x)).alias("label_sum"))
 
 
+@query("sft_examples", """
+WITH p AS (SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS prompt
+           FROM conversations WHERE role IN ('user', 'assistant') GROUP BY conv_id),
+t AS (SELECT conv_id, len(list_filter(string_split(prompt, ''), lambda c: c <> '')) AS n,
+             (row_number() OVER (ORDER BY conv_id) - 1) // 2 AS batch_id FROM p)
+SELECT conv_id, CAST(batch_id AS BIGINT) AS batch_id, CAST(n AS BIGINT) AS n_tokens,
+       CAST(max(n) OVER (PARTITION BY batch_id) AS BIGINT) AS padded_len,
+       CAST(max(n) OVER (PARTITION BY batch_id) - n AS BIGINT) AS n_masked
+FROM t""")
+def q_sft_examples(spark, sf):
+    """Supervised fine-tuning examples: a conversation's user and assistant turns
+    in turn order form the ``prompt`` field (one example, bounded by the
+    conversation), the trainer takes that field (P4), batches of 2 are padded
+    to their longest example with pad positions masked out of the labels."""
+    c = S.table(spark, sf, "conversations").filter(F.col("role").isin("user", "assistant"))
+    prompts = c.groupBy("conv_id").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]),
+                     "\n").alias("prompt"))
+    ex = batching.select_text_field(prompts, "prompt", "text", keep=("conv_id",))
+    ex = ex.select("conv_id", A.char_codes(F.col("text")).alias("tokens"))
+    b = batching.plan_batches(ex, "conv_id", 2, micro=1, bucket=int_bucket("conv_id", 256))
+    c = batching.collate_causal(b, "batch_id", "tokens", pad=0)
+    return c.select(long_("conv_id").alias("conv_id"), long_("batch_id").alias("batch_id"),
+                    long_(F.size("tokens")).alias("n_tokens"), long_("padded_len").alias("padded_len"),
+                    long_(F.size(F.filter("labels", lambda x: x == -100))).alias("n_masked"))
+
+
 @query("adapter_params", S.with_sql(S.SQL_BASE) + """
 SELECT tensor, CAST(max(len("values")) AS BIGINT) AS in_dim, count(*) AS out_dim,
        16 * (max(len("values")) + count(*)) AS params, CAST(32 AS DOUBLE) / 16 AS scale
