@@ -399,6 +399,19 @@ def q_weighted_loss(spark, sf):
     return w.select(long_("run_id").alias("run_id"), long_("step").alias("step"), r6("loss_total").alias("loss_total"))
 
 
+@query("metrics_sink", S.with_sql(S.SQL_STEPS) + """
+SELECT run_id, step, round(0.01 * loss_text_ce + 1.0 * loss_mel_ce, 6) AS loss_total FROM steps""")
+def q_metrics_sink(spark, sf):
+    """Per-step losses appended to a metrics table partitioned by run (S9), read back."""
+    from .session import scratch_path
+    from .sources.corpus import write_metrics
+    path = scratch_path(spark, "metrics")
+    w = ME.weighted_loss(S.step_losses(spark, sf)).select("run_id", "step", "loss_total")
+    write_metrics(w, path, partition="run_id")
+    back = spark.read.parquet(path)
+    return back.select(long_("run_id").alias("run_id"), long_("step").alias("step"), r6("loss_total").alias("loss_total"))
+
+
 @query("corpus_budget", """
 SELECT CAST(sum(n_chars) AS BIGINT) AS total_tokens, 1024 AS block,
        CAST((sum(n_chars) + 1023) // 1024 AS BIGINT) AS n_blocks, 8 AS batch_train, 16 AS batch_eval
