@@ -232,3 +232,14 @@ def test_assign_codes_keeps_bad_vectors_with_null_code(spark):
     got = {r["vec_id"]: (r["code"], r["dist"]) for r in CO.assign_codes(v, book).collect()}
     assert got[2] == (None, None) and got[3] == (None, None)
     assert got[1] == (2, 1.0) and got[4] == (5, 1.0)
+
+
+def test_metrics_groups_and_pruning(spark, tmp_path):
+    from tunetable.sources.corpus import read_metrics, write_metrics
+    m = spark.range(1000).select((F.col("id") % 250).alias("run_id"), F.col("id").alias("step"))
+    write_metrics(m, str(tmp_path / "g"), width=100)
+    import os
+    assert sorted(os.listdir(tmp_path / "g"))[-3:] == ["run_id_group=0", "run_id_group=1", "run_id_group=2"]
+    one = read_metrics(spark, str(tmp_path / "g"), width=100, run=137)
+    assert one.count() == 4 and set(one.columns) == {"step", "run_id"}
+    assert "run_id_group" in one._jdf.queryExecution().executedPlan().toString()

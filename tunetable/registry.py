@@ -404,11 +404,11 @@ SELECT run_id, step, round(0.01 * loss_text_ce + 1.0 * loss_mel_ce, 6) AS loss_t
 def q_metrics_sink(spark, sf):
     """Per-step losses appended to a metrics table partitioned by run (S9), read back."""
     from .session import scratch_path
-    from .sources.corpus import write_metrics
+    from .sources.corpus import read_metrics, write_metrics
     path = scratch_path(spark, "metrics")
     w = ME.weighted_loss(S.step_losses(spark, sf)).select("run_id", "step", "loss_total")
-    write_metrics(w, path, partition="run_id")
-    back = spark.read.parquet(path)
+    write_metrics(w, path, partition="run_id", width=100)
+    back = read_metrics(spark, path, width=100)
     return back.select(long_("run_id").alias("run_id"), long_("step").alias("step"), r6("loss_total").alias("loss_total"))
 
 

@@ -40,6 +40,28 @@ def requests_from(spark: SparkSession, texts: Sequence[str], preset: str | None
     return spark.createDataFrame(rows, "request_id long, text string, preset string")
 
 
-def write_metrics(df: DataFrame, path: str, partition: str = "run_id") -> None:
-    """Append metric rows as Parquet, partitioned by run."""
-    df.write.mode("append").partitionBy(partition).parquet(path)
+def write_metrics(df: DataFrame, path: str, partition: str = "run_id", width: int | None = None) -> None:
+    """Append metric rows as Parquet, partitioned by run.
+
+    With ``width``, directories hold groups of runs (``<partition>_group =
+    run div width``) instead of one run each, so many small runs do not turn
+    into many tiny directories. ``rebalance`` on the directory column gathers
+    each directory's rows into few tasks (few files); AQE splits one that is
+    too large for a task and merges small ones.
+    """
+    col = partition
+    if width:
+        col = f"{partition}_group"
+        df = df.withColumn(col, F.call_function("div", F.col(partition).cast("long"), F.lit(width).cast("long")))
+    df.hint("rebalance", col).write.mode("append").partitionBy(col).parquet(path)
+
+
+def read_metrics(spark: SparkSession, path: str, partition: str = "run_id", width: int | None = None,
+                 run=None) -> DataFrame:
+    """Read a metrics table; a given run prunes to its directory."""
+    df = spark.read.parquet(path)
+    if run is not None:
+        if width:
+            df = df.filter(F.col(f"{partition}_group") == run // width)
+        df = df.filter(F.col(partition) == run)
+    return df.drop(f"{partition}_group") if width else df

@@ -18,7 +18,7 @@ TENSOR_SCHEMA = ("tensor string, kind string, row int, ndim int, shape array<int
 
 def write_tensors(df: DataFrame, path: str, run_id: int, step: int) -> None:
     (df.withColumn("run_id", F.lit(run_id).cast("long")).withColumn("step", F.lit(step).cast("int"))
-       .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+       .hint("rebalance").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
        .partitionBy("run_id", "step").parquet(path))
 
 
