@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -121,7 +122,41 @@ class BpeModel:
             out.extend(self._encode_segment(part))
         return out
 
+    def encode_bytes(self, text: str, cache: dict, cache_cap: int = 200_000) -> bytes:
+        """``encode`` as packed native int32 bytes; segments cached as bytes, so a
+        document is one ``join`` (used by the UDF to build Arrow arrays directly)."""
+        space = self.specials.get(SPACE_TOKEN)
+        if space is None or any(t in text for t in self.specials if t != SPACE_TOKEN):
+            return array("i", self.encode(text)).tobytes()
+        sp = cache.get(None)
+        if sp is None:
+            sp = cache[None] = array("i", [space]).tobytes()
+        get, parts = cache.get, []
+        append = parts.append
+        for seg in text.split(" "):
+            if seg:
+                b = get(seg)
+                if b is None:
+                    b = array("i", self._encode_segment(seg)).tobytes()
+                    if len(cache) >= cache_cap:
+                        cache.clear()
+                        cache[None] = sp
+                    cache[seg] = b
+                append(b)
+            append(sp)
+        parts.pop()
+        return b"".join(parts)
+
     # -- decoding ---------------------------------------------------------
+    def piece_table(self) -> np.ndarray:
+        """Decoded text of every id (blank for ``[SPACE]``, nothing for other
+        specials and unknown ids), as an object array indexed by id."""
+        n = max(self.id_to_token) + 2
+        table = np.array([""] * n, dtype=object)
+        for i, t in self.id_to_token.items():
+            table[i] = " " if t == SPACE_TOKEN else ("" if t in self.specials else t)
+        return table
+
     def decode(self, ids) -> str | None:
         if ids is None:
             return None
@@ -181,19 +216,22 @@ def bpe_encode(text, tokenizer) -> Column:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = bc.value
         cache: dict = {}
+        assert array("i").itemsize == 4
         for arr in batches:
             texts = arr.to_pylist()
-            offsets = np.zeros(len(texts) + 1, dtype=np.int32)
-            flat: list[int] = []
+            offsets = np.zeros(len(texts) + 1, dtype=np.int64)
+            chunks: list[bytes] = []
             valid = np.ones(len(texts), dtype=bool)
             for i, t in enumerate(texts):
-                ids = model.encode(t, cache)
-                if ids is None:
+                if t is None:
                     valid[i] = False
-                else:
-                    flat.extend(ids)
-                offsets[i + 1] = len(flat)
-            yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, type=pa.int32()),
+                    offsets[i + 1] = offsets[i]
+                    continue
+                b = model.encode_bytes(t, cache)
+                chunks.append(b)
+                offsets[i + 1] = offsets[i] + len(b) // 4
+            flat = np.frombuffer(b"".join(chunks), dtype=np.int32)
+            yield pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat),
                                            mask=pa.array(~valid))
 
     udf = F.arrow_udf(run, "array<int>")
@@ -206,8 +244,17 @@ def bpe_decode(ids, tokenizer) -> Column:
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = bc.value
+        table = model.piece_table()
         for arr in batches:
-            yield pa.array([model.decode(x) for x in arr.to_pylist()], type=pa.string())
+            if isinstance(arr, pa.ChunkedArray):
+                arr = arr.combine_chunks()
+            offsets = arr.offsets.to_numpy()
+            ids = arr.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            ids = np.where((ids >= 0) & (ids < len(table)), ids, len(table) - 1)
+            pieces = table[ids]
+            nulls = arr.is_null().to_numpy(zero_copy_only=False)
+            out = [None if nulls[i] else "".join(pieces[offsets[i]:offsets[i + 1]]) for i in range(len(arr))]
+            yield pa.array(out, type=pa.string())
 
     udf = F.arrow_udf(run, "string")
     return udf(col_of(ids))
