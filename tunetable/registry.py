@@ -989,6 +989,25 @@ def q_latency_tumbling(spark, sf):
                     r6("mean_seconds").alias("mean_seconds"))
 
 
+_TUMBLING_SQL = SQL["latency_tumbling"]
+
+
+@query("latency_stream_sink", _TUMBLING_SQL)
+def q_latency_stream_sink(spark, sf):
+    """ST2 as a stream: events read as a Parquet stream, tumbling windows under a
+    watermark, complete result table kept in the shared folder, read back."""
+    from .session import scratch_path
+    from .streaming.latency import run_latency_stream
+    out, ckpt = scratch_path(spark, "latency-out"), scratch_path(spark, "latency-ckpt")
+    run_latency_stream(spark, sf, out, ckpt, window="1 day", lateness="1 hour")
+    t = spark.read.parquet(out)
+    fmt = "yyyy-MM-dd HH:mm:ss"
+    return t.select(F.date_format("window_start", fmt).alias("window_start"),
+                    F.date_format("window_end", fmt).alias("window_end"),
+                    long_("n_requests").alias("n_requests"), r6("total_seconds").alias("total_seconds"),
+                    r6("mean_seconds").alias("mean_seconds"))
+
+
 # =================================================================== flagship
 
 @query("phase_report")

@@ -24,3 +24,27 @@ def latency_stream(df: DataFrame, ts: str = "ts", seconds: str = "seconds", wind
     """Streaming form: watermark on event time, results appended once a window closes."""
     d = df.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, lateness)
     return _agg(d, ts, seconds, window)
+
+
+def run_latency_stream(spark, source_dir: str, out_path: str, checkpoint: str, glob: str = "events.parquet",
+                       ts: str = "ts", seconds: str = "value", window: str = "1 day",
+                       lateness: str = "1 hour") -> None:
+    """Run the windowed latency metric over a Parquet stream until it has read
+    everything available, keeping the complete result table in ``out_path``.
+
+    Complete mode: every micro-batch rewrites the full table of windows (the
+    state is one row per window, small), written by the executors through
+    ``foreachBatch``; the checkpoint makes the run restartable.
+    """
+    schema = spark.read.option("pathGlobFilter", glob).parquet(source_dir).schema
+    src = (spark.readStream.schema(schema).option("pathGlobFilter", glob).option("maxFilesPerTrigger", 1)
+           .parquet(source_dir)
+           .select(F.col(ts), F.col(seconds).cast("decimal(18,2)").alias("seconds")))
+    agg = latency_stream(src, ts, "seconds", window, lateness)
+
+    def write(batch_df, _epoch):
+        batch_df.write.mode("overwrite").parquet(out_path)
+
+    q = (agg.writeStream.outputMode("complete").foreachBatch(write)
+         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    q.awaitTermination()
