@@ -21,6 +21,18 @@ def val_of(x) -> Column:
     return F.lit(x)
 
 
+def let(values: dict, body) -> Column:
+    """Evaluate ``values`` once per row and pass them to ``body`` as fields of one struct.
+
+    Spark re-evaluates an expression at every place it is referenced, and
+    inside a lambda (``transform``) once per element; binding through a
+    one-element array keeps row-invariant work (an array, its length, a
+    search) to one evaluation per row.
+    """
+    env = F.struct(*[v.alias(k) for k, v in values.items()])
+    return F.transform(F.array(env), body)[0]
+
+
 def idiv(a, b) -> Column:
     """Integer division truncating toward zero (SQL ``div``)."""
     return F.call_function("div", lit_of(a) if not isinstance(a, str) else F.col(a), lit_of(b))

@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import col_of, idiv, lit_of
+from . import col_of, idiv, let, lit_of
 
 # Fixed values of the code space (must equal the reference's for right results):
 # content codes 0..8191, start code 8192, stop code 8193, calm code 83,
@@ -55,7 +55,8 @@ def align_inputs_targets(arr, start, stop) -> tuple[Column, Column]:
 def mask_past_end(codes, wav_len, compression: int = 1024, stop: int = STOP_CODE) -> Column:
     """Positions at or after ``wav_len div compression + 1`` become ``stop``."""
     end = idiv(col_of(wav_len), F.lit(compression)) + 1
-    return F.transform(col_of(codes), lambda x, i: F.when(i >= end, F.lit(stop)).otherwise(x))
+    return let({"a": col_of(codes), "end": end},
+               lambda e: F.transform(e["a"], lambda x, i: F.when(i >= e["end"], F.lit(stop)).otherwise(x)))
 
 
 def first_stop(codes, stop: int = STOP_CODE) -> Column:
@@ -72,20 +73,24 @@ def fix_codes(codes, stop: int = STOP_CODE, calm: int = CALM_CODE,
     written, even over content when the stop is among them). A sequence with a
     stop but shorter than the tail cannot be repaired and gives null.
     """
-    a = col_of(codes)
-    s = first_stop(a, stop)
-    n = F.size(a)
     t = len(tail)
 
-    def repl(x, i):
-        e = F.when(i >= s, F.lit(calm)).otherwise(x)
-        for j in range(t - 1, -1, -1):
-            e = F.when(i == n - (t - j), F.lit(tail[j])).otherwise(e)
-        return e
+    def body(e):
+        a, s, n = e["a"], e["s"], e["n"]
 
-    return (F.when(s.isNull(), a)
-            .when(n < t, F.lit(None))
-            .otherwise(F.transform(a, repl)))
+        def repl(x, i):
+            r = F.when(i >= s, F.lit(calm)).otherwise(x)
+            for j in range(t - 1, -1, -1):
+                r = F.when(i == n - (t - j), F.lit(tail[j])).otherwise(r)
+            return r
+
+        return (F.when(s.isNull(), a)
+                .when(n < t, F.lit(None))
+                .otherwise(F.transform(a, repl)))
+
+    # the array (once), then its stop position and length (once per row, not per element)
+    return let({"a": col_of(codes)}, lambda e0: let(
+        {"a": e0["a"], "s": first_stop(e0["a"], stop), "n": F.size(e0["a"])}, body))
 
 
 def calm_cut(codes, calm: int = CALM_CODE, run: int = 8) -> Column:
@@ -102,17 +107,17 @@ def calm_cut(codes, calm: int = CALM_CODE, run: int = 8) -> Column:
 
 def trim_calm_run(codes, calm: int = CALM_CODE, run: int = 8) -> Column:
     """Cut the sequence where a run of ``calm`` codes first exceeds ``run``: ``run`` calm codes remain."""
-    a = col_of(codes)
-    k = calm_cut(a, calm, run)
-    return F.when(k < 0, a).otherwise(F.slice(a, F.lit(1), k))
+    def body(e):
+        return F.when(e["k"] < 0, e["a"]).otherwise(F.slice(e["a"], F.lit(1), e["k"]))
+
+    return let({"a": col_of(codes)}, lambda e0: let({"a": e0["a"], "k": calm_cut(e0["a"], calm, run)}, body))
 
 
 def crop_or_pad(arr, n, start=0) -> Column:
     """Shorter than ``n``: zero-pad right. Longer: take ``n`` from 0-based ``start``."""
-    a = col_of(arr)
     n = lit_of(n)
-    return F.when(F.size(a) <= n, pad_or_truncate(a, n, 0)).otherwise(
-        F.slice(a, lit_of(start) + 1, n))
+    return let({"a": col_of(arr)}, lambda e: F.when(F.size(e["a"]) <= n, pad_or_truncate(e["a"], n, 0)).otherwise(
+        F.slice(e["a"], lit_of(start) + 1, n)))
 
 
 def seeded_crop_start(arr, n, key, seed: int) -> Column:

@@ -1008,6 +1008,33 @@ def q_latency_stream_sink(spark, sf):
                     r6("mean_seconds").alias("mean_seconds"))
 
 
+def _row_local_chain(df):
+    return df.select(
+        "doc_id", TX.rewrite_prefix(S.old_path(), S.OLD_ROOT, S.NEW_ROOT).alias("audio_path"),
+        TX.normalise_text("text").alias("text"), aj(A.fix_codes(S.codes_col())).alias("codes"),
+        long_(A.first_stop(S.codes_col())).alias("first_stop"))
+
+
+@query("rowlocal_stream_sink", S.with_sql(S.SQL_CODES) + """,
+f AS (SELECT doc_id, codes, list_position(codes, 8193) - 1 AS st, len(codes) AS n FROM codes)
+SELECT d.doc_id, '/data/clips/' || d.source || '/' || CAST(d.doc_id AS VARCHAR) || '.wav' AS audio_path,
+       trim(regexp_replace(lower(d.text), '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g')) AS text,
+       array_to_string(CASE WHEN f.st IS NULL THEN f.codes ELSE list_transform(f.codes, lambda x, i: CASE
+         WHEN i - 1 = f.n - 1 THEN 248 WHEN i - 1 = f.n - 2 THEN 45 WHEN i - 1 = f.n - 3 THEN 45
+         WHEN i - 1 >= f.st THEN 83 ELSE x END) END, ',') AS codes,
+       CAST(f.st AS BIGINT) AS first_stop
+FROM documents d JOIN f USING (doc_id)""")
+def q_rowlocal_stream_sink(spark, sf):
+    """ST1 as a stream: the documents table read as a Parquet stream, row-local
+    operators applied unchanged, appended by the executors to a Parquet sink
+    (checkpointed), read back."""
+    from .session import scratch_path
+    from .streaming.rowlocal import run_available, stream_parquet
+    out, ckpt = scratch_path(spark, "rowlocal-out"), scratch_path(spark, "rowlocal-ckpt")
+    run_available(stream_parquet(spark, f"{sf}/documents.parquet"), _row_local_chain, out, ckpt)
+    return spark.read.parquet(out)
+
+
 # =================================================================== flagship
 
 @query("phase_report")
