@@ -131,3 +131,15 @@ def test_merge_columns(spark):
                                "q string, tags array<string>")
     out = [r[0] for r in df.select(TX.merge_columns("q", "tags")).collect()]
     assert out == ["q ->: ['a', 'b']", "q ->: []", None, "q ->: ['it\\'s']"]
+
+
+def test_arrow_helpers_on_sliced_arrays():
+    import numpy as np
+    import pyarrow as pa
+    from tunetable.functions.arrays import _position_ids_arrow
+    full = pa.array([[1, 1], [0, 1, 1], [1, 0], None, [1]], type=pa.list_(pa.int64()))
+    got = _position_ids_arrow(full.slice(1, 4)).to_pylist()
+    assert got == [[1, 0, 1], [0, 1], None, [0]]
+    from tunetable.operators.adapters import _blocks
+    off, vals, lengths, *_ = _blocks(pa.array([[1.0], [2.0, 3.0], [4.0]]).slice(1, 2), 16)
+    assert off.tolist() == [0, 2, 3] and vals.tolist() == [2.0, 3.0, 4.0] and np.array_equal(lengths, [2, 1])

@@ -127,7 +127,8 @@ def seeded_crop_start(arr, n, key, seed: int) -> Column:
 
 
 def array_join_safe(arr, sep: str = ",") -> Column:
-    """Array as text, nulls kept as null (for comparisons and sinks that take no arrays)."""
+    """Array as ``sep``-joined text for sinks and comparisons that take no arrays
+    (a null array gives null; null elements are skipped)."""
     return F.array_join(col_of(arr), sep)
 
 
@@ -148,7 +149,8 @@ def char_codes(text) -> Column:
 def _position_ids_arrow(mask: "pa.Array") -> "pa.Array":
     if isinstance(mask, pa.ChunkedArray):
         mask = mask.combine_chunks()
-    offsets = mask.offsets.to_numpy()
+    offsets = mask.offsets.to_numpy().astype(np.int64)
+    offsets = offsets - offsets[0]  # a sliced array's values start at its first offset
     vals = mask.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
     cs = np.cumsum(vals)
     before = np.concatenate([[0], cs])[offsets[:-1]]

@@ -248,7 +248,8 @@ def bpe_decode(ids, tokenizer) -> Column:
         for arr in batches:
             if isinstance(arr, pa.ChunkedArray):
                 arr = arr.combine_chunks()
-            offsets = arr.offsets.to_numpy()
+            offsets = arr.offsets.to_numpy().astype(np.int64)
+            offsets = offsets - offsets[0]
             ids = arr.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
             ids = np.where((ids >= 0) & (ids < len(table)), ids, len(table) - 1)
             pieces = table[ids]

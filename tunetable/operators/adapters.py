@@ -189,6 +189,7 @@ def _blocks(list_arr, block):
     if isinstance(list_arr, pa.ChunkedArray):
         list_arr = list_arr.combine_chunks()
     off = list_arr.offsets.to_numpy().astype(np.int64)
+    off = off - off[0]  # a sliced array's values start at its first offset
     vals = list_arr.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     lengths = np.diff(off)
     nblk = (lengths + block - 1) // block
