@@ -131,8 +131,13 @@ def fit_adapter(spark: SparkSession, data: DataFrame, base: DataFrame, r: int =
     A = rng.normal(0.0, 0.01, size=(r, d))
     B = np.zeros((k, r))
     scale = float(alpha) / float(r)
-    src = data.select(F.col(vec_col).alias("x"), F.col(label_col).cast("int").alias("y")).persist()
+    # an example needs a vector of the base width and a label the head knows
+    usable = (F.size("x") == d) & F.col("y").between(0, k - 1)
+    src = (data.select(F.col(vec_col).alias("x"), F.col(label_col).cast("int").alias("y"))
+           .filter(F.coalesce(usable, F.lit(False))).persist())
     n_total = src.count()
+    if n_total == 0:
+        raise ValueError("no usable training examples")
     size = r * d + k * r
     losses = []
     sc = spark.sparkContext
