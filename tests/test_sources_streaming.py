@@ -154,3 +154,17 @@ def test_stream_parity_wide(spark):
     got = sorted(map(tuple, spark.sql("select * from tt_wide").collect()))
     assert len(got) == len(batch) > 0
     assert got == batch
+
+
+def test_latency_windows_do_not_depend_on_session_zone(spark):
+    import __spark_entry__ as E
+    base = {n: sorted(map(tuple, E.queries()[n](spark, SF).collect())) for n in ("latency_tumbling", "latency_stream_sink")}
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    try:
+        for n, rows in base.items():
+            assert sorted(map(tuple, E.queries()[n](spark, SF).collect())) == rows, n
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert base["latency_tumbling"] == base["latency_stream_sink"]
+    assert base["latency_tumbling"][0][0] == "2024-01-01 00:00:00"

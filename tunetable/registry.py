@@ -982,9 +982,8 @@ def q_latency_tumbling(spark, sf):
     from .streaming.latency import latency_tumbling
     ev = S.events(spark, sf).select("ts", cents("value").alias("seconds"))
     t = latency_tumbling(ev, "ts", "seconds", "1 day")
-    fmt = "yyyy-MM-dd HH:mm:ss"
-    return t.select(F.date_format("window_start", fmt).alias("window_start"),
-                    F.date_format("window_end", fmt).alias("window_end"),
+    from .streaming.latency import utc_text
+    return t.select(utc_text("window_start").alias("window_start"), utc_text("window_end").alias("window_end"),
                     long_("n_requests").alias("n_requests"), r6("total_seconds").alias("total_seconds"),
                     r6("mean_seconds").alias("mean_seconds"))
 
@@ -1001,9 +1000,8 @@ def q_latency_stream_sink(spark, sf):
     out, ckpt = scratch_path(spark, "latency-out"), scratch_path(spark, "latency-ckpt")
     run_latency_stream(spark, sf, out, ckpt, window="1 day", lateness="1 hour")
     t = spark.read.parquet(out)
-    fmt = "yyyy-MM-dd HH:mm:ss"
-    return t.select(F.date_format("window_start", fmt).alias("window_start"),
-                    F.date_format("window_end", fmt).alias("window_end"),
+    from .streaming.latency import utc_text
+    return t.select(utc_text("window_start").alias("window_start"), utc_text("window_end").alias("window_end"),
                     long_("n_requests").alias("n_requests"), r6("total_seconds").alias("total_seconds"),
                     r6("mean_seconds").alias("mean_seconds"))
 

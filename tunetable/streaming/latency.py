@@ -6,6 +6,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def event_time_utc(ts) -> "F.Column":
+    """Event time as an instant, independent of the session time zone.
+
+    A TIMESTAMP_NTZ wall-clock value is read as UTC (through its text plus
+    ``Z``), never through the session zone; a TIMESTAMP is kept as is.
+    Watermarks need this type, and windows then align to UTC days.
+    """
+    c = F.col(ts) if isinstance(ts, str) else ts
+    return F.concat(c.cast("string"), F.lit("Z")).cast("timestamp")
+
+
+def utc_text(ts) -> "F.Column":
+    """``yyyy-MM-dd HH:mm:ss`` of an instant in UTC, whatever the session zone."""
+    c = F.col(ts) if isinstance(ts, str) else ts
+    secs = F.unix_seconds(c)
+    day = F.date_from_unix_date(F.floor(secs / 86400).cast("int"))
+    tod = F.pmod(secs, F.lit(86400))
+    two = lambda x: F.lpad(x.cast("string"), 2, "0")
+    return F.concat(day.cast("string"), F.lit(" "), two(F.floor(tod / 3600)), F.lit(":"),
+                    two(F.floor(F.pmod(tod, F.lit(3600)) / 60)), F.lit(":"), two(F.pmod(tod, F.lit(60))))
+
+
 def _agg(df: DataFrame, ts: str, seconds: str, window: str) -> DataFrame:
     return (df.groupBy(F.window(F.col(ts), window).alias("w"))
             .agg(F.count(F.lit(1)).alias("n_requests"), F.sum(seconds).alias("total_seconds"))
@@ -14,16 +36,21 @@ def _agg(df: DataFrame, ts: str, seconds: str, window: str) -> DataFrame:
                     "n_requests", "total_seconds", "mean_seconds"))
 
 
+def _is_ntz(df: DataFrame, ts: str) -> bool:
+    return df.schema[ts].dataType.simpleString() == "timestamp_ntz"
+
+
 def latency_tumbling(df: DataFrame, ts: str = "ts", seconds: str = "seconds", window: str = "1 day") -> DataFrame:
-    """Batch twin: count, total and mean seconds per tumbling window."""
-    return _agg(df.withColumn(ts, F.col(ts).cast("timestamp")), ts, seconds, window)
+    """Batch twin: count, total and mean seconds per tumbling window (window bounds are instants)."""
+    d = df.withColumn(ts, event_time_utc(ts)) if _is_ntz(df, ts) else df
+    return _agg(d, ts, seconds, window)
 
 
 def latency_stream(df: DataFrame, ts: str = "ts", seconds: str = "seconds", window: str = "1 day",
                    lateness: str = "1 hour") -> DataFrame:
     """Streaming form: watermark on event time, results appended once a window closes."""
-    d = df.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, lateness)
-    return _agg(d, ts, seconds, window)
+    d = df.withColumn(ts, event_time_utc(ts)) if _is_ntz(df, ts) else df
+    return _agg(d.withWatermark(ts, lateness), ts, seconds, window)
 
 
 def run_latency_stream(spark, source_dir: str, out_path: str, checkpoint: str, glob: str = "events.parquet",
