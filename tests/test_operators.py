@@ -243,3 +243,22 @@ def test_metrics_groups_and_pruning(spark, tmp_path):
     one = read_metrics(spark, str(tmp_path / "g"), width=100, run=137)
     assert one.count() == 4 and set(one.columns) == {"step", "run_id"}
     assert "run_id_group" in one._jdf.queryExecution().executedPlan().toString()
+
+
+def test_injector_chain_validates_before_running(spark):
+    from tunetable.plans.injectors import run_injectors, validate
+    df = spark.createDataFrame([(1, "Hello  World", [1, 8193, 5, 5, 5])], "doc_id long, text string, codes array<int>")
+    steps = [{"type": "normalise_text", "in": "text", "out": "norm"},
+             {"type": "align_inputs_targets", "in": "codes", "out": ["inp", "tgt"]},
+             {"type": "fix_codes", "in": "codes", "out": "fixed"}]
+    r = run_injectors(df, steps).collect()[0]
+    assert r["norm"] == "hello world" and r["inp"][0] == 8192 and r["tgt"][-2:] == [8193, 8193]
+    assert r["fixed"] == [1, 83, 45, 45, 248]
+    with pytest.raises(ValueError, match="missing input"):
+        validate(df.columns, [{"type": "normalise_text", "in": "nope", "out": "x"}])
+    with pytest.raises(ValueError, match="already exists"):
+        validate(df.columns, [{"type": "normalise_text", "in": "text", "out": "doc_id"}])
+    with pytest.raises(ValueError, match="unknown injector"):
+        validate(df.columns, [{"type": "diffuse", "in": "text", "out": "x"}])
+    with pytest.raises(ValueError, match="already exists"):
+        validate(df.columns, steps + [{"type": "normalise_text", "in": "text", "out": "norm"}])
