@@ -32,6 +32,8 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     one row group; a large table already arrives in many splits and is left
     alone, so no shuffle is added at scale.
     """
+    if df.isStreaming:
+        return df  # micro-batches are planned per trigger
     want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
     have = df.rdd.getNumPartitions()
     return df.repartition(want) if have < want else df
