@@ -131,21 +131,21 @@ class BpeModel:
         sp = cache.get(None)
         if sp is None:
             sp = cache[None] = array("i", [space]).tobytes()
-        get, parts = cache.get, []
-        append = parts.append
-        for seg in text.split(" "):
-            if seg:
-                b = get(seg)
+        # blank-separated segments -> cached id bytes, joined by the [SPACE] id;
+        # an empty segment (two blanks in a row) is empty, giving two [SPACE]s
+        segs = text.split(" ")
+        parts = list(map(cache.get, segs))
+        if None in parts:
+            if len(cache) >= cache_cap:
+                cache.clear()
+                cache[None] = sp
+            for i, b in enumerate(parts):
                 if b is None:
-                    b = array("i", self._encode_segment(seg)).tobytes()
-                    if len(cache) >= cache_cap:
-                        cache.clear()
-                        cache[None] = sp
+                    seg = segs[i]
+                    b = array("i", self._encode_segment(seg)).tobytes() if seg else b""
                     cache[seg] = b
-                append(b)
-            append(sp)
-        parts.pop()
-        return b"".join(parts)
+                    parts[i] = b
+        return sp.join(parts)
 
     # -- decoding ---------------------------------------------------------
     def piece_table(self) -> np.ndarray:
