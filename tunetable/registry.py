@@ -569,6 +569,37 @@ def q_position_ids(spark, sf):
     return c.select("doc_id", aj(A.position_ids(mask)).alias("position_ids"))
 
 
+def _long_codes(spark, sf):
+    c = S.codes(spark, sf)
+    return c.select("doc_id", F.posexplode("codes").alias("pos", "code"))
+
+
+@query("trim_calm_run_table", S.with_sql(S.SQL_CODES) + """,
+u AS (SELECT doc_id, unnest(codes) AS x, generate_subscripts(codes, 1) - 1 AS i FROM codes),
+g AS (SELECT doc_id, i, x, i - row_number() OVER (PARTITION BY doc_id, x = 83 ORDER BY i) AS grp FROM u),
+r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY doc_id, grp ORDER BY i) AS run_pos FROM g WHERE x = 83),
+k AS (SELECT doc_id, min(i) AS k FROM r WHERE run_pos = 9 GROUP BY doc_id)
+SELECT u.doc_id, CAST(count(*) AS BIGINT) AS n_kept, CAST(sum(u.x) AS BIGINT) AS code_sum
+FROM u LEFT JOIN k USING (doc_id) WHERE k.k IS NULL OR u.i < k.k GROUP BY u.doc_id""")
+def q_trim_calm_run_table(spark, sf):
+    from .operators.sequences import trim_calm_run_table
+    t = trim_calm_run_table(_long_codes(spark, sf), "doc_id", "pos", "code")
+    return t.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_kept"), long_(F.sum("code")).alias("code_sum"))
+
+
+@query("position_ids_table", S.with_sql(S.SQL_CODES) + """,
+u AS (SELECT doc_id, CASE WHEN unnest(codes) = 83 THEN 0 ELSE 1 END AS m, generate_subscripts(codes, 1) - 1 AS pos FROM codes)
+SELECT doc_id, CAST(pos AS INTEGER) AS pos,
+       CAST(CASE WHEN m = 0 THEN 1 ELSE sum(m) OVER (PARTITION BY doc_id ORDER BY pos
+            ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1 END AS BIGINT) AS position_id
+FROM u""")
+def q_position_ids_table(spark, sf):
+    from .operators.sequences import position_ids_table
+    m = _long_codes(spark, sf).withColumn("mask", F.when(F.col("code") == 83, 0).otherwise(1))
+    p = position_ids_table(m, "doc_id", "pos", "mask")
+    return p.select("doc_id", F.col("pos").cast("int").alias("pos"), long_("position_id").alias("position_id"))
+
+
 def _softmax_sql(temp: float) -> str:
     return f""",
 z AS (SELECT request_id, token, score / {temp} AS z FROM scores),
