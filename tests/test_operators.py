@@ -262,3 +262,18 @@ def test_injector_chain_validates_before_running(spark):
         validate(df.columns, [{"type": "diffuse", "in": "text", "out": "x"}])
     with pytest.raises(ValueError, match="already exists"):
         validate(df.columns, steps + [{"type": "normalise_text", "in": "text", "out": "norm"}])
+
+
+@pytest.mark.parametrize("chunk", [3, 4, 5])
+def test_conditioning_candidates_chunk_boundaries(spark, chunk):
+    rows = [(i * 100 + j, f"g{i}", (i + j) % 3 + 1) for i in range(1, 21) for j in range(i)]  # group gi has i members
+    df = spark.createDataFrame(rows, "id long, g string, k int")
+    got = {}
+    for r in MA.conditioning_candidates(df, "g", "id", F.col("k"), width=4, max_k=3, chunk=chunk).collect():
+        got.setdefault(r["id"], []).append((r["cond_rank"], r["cond_id"]))
+    for i in range(1, 21):
+        members = sorted(x for x, g, _ in rows if g == f"g{i}")
+        for pos, m in enumerate(members):
+            k = next(kk for x, _, kk in rows if x == m)
+            expect = [(j, members[(pos + j) % len(members)]) for j in range(1, min(k, len(members) - 1) + 1)]
+            assert sorted(got.get(m, [])) == expect, (i, m)

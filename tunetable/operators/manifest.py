@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import col_of
+from ..functions import col_of, idiv
 from ..plans.joins import bounded_broadcast
-from ..plans.lineage import materialize
 from ..plans.prefix import int_bucket, row_index
 
 # Fixed per-phase values (must equal the reference configuration):
@@ -54,30 +53,53 @@ def pair_clips(manifest: DataFrame, clips: DataFrame, key: str = "audio_path"
 
 
 def conditioning_candidates(df: DataFrame, group, id_col: str, k, width: int = 1024,
-                            out: str = "cond_id") -> DataFrame:
+                            out: str = "cond_id", max_k: int | None = None, chunk: int = 1024) -> DataFrame:
     """K *other* members of the same group per row, no self-join.
 
     Members are numbered 0..cnt-1 by ``id_col`` inside the group (two-level
     index, so a hot group is never one task); row r takes members
     ``(r + j) mod cnt`` for j = 1..min(k, cnt - 1): the next K cyclically, no
-    repeats, fewer when the group is small. The lookup is an equi join on
-    (group, member number), whose keys are unique.
-    ``k`` may be a column (per-row count). Output: group columns, ``id_col``,
-    ``cond_rank`` (1..k) and ``out``.
+    repeats, fewer when the group is small.
+
+    The numbering is cut into chunks of ``chunk`` members. Each chunk's window
+    also holds a halo: the first ``max_k`` members of the next chunk, and, for
+    the last two chunks, the group's first ``max_k`` members numbered after
+    the end (the cyclic wrap). ``lead(id, j)`` inside a chunk then gives the
+    j-th next member. Every window holds at most ``chunk + 2 * max_k`` rows,
+    and the plan is lazy (no self-join, no materialisation).
+
+    ``k`` may be a column (per-row count, at most ``max_k``). Output: group
+    columns, ``id_col``, ``cond_rank`` (1..k) and ``out``.
     """
     group = [group] if isinstance(group, str) else list(group)
-    # the narrow member index is read twice below (the rows and the member lookup):
-    # build it once
-    kcol = k if not isinstance(k, int) else F.lit(k)
-    narrow = df.select(*group, id_col, kcol.alias("__k"))
-    idx = materialize(row_index(narrow, [id_col], int_bucket(id_col, width), group, out="__rn"))
-    counts = idx.groupBy(*group).agg(F.count(F.lit(1)).alias("__cnt"))
+    kmax = max_k if max_k is not None else (k if isinstance(k, int) else None)
+    if kmax is None:
+        raise ValueError("max_k is required when k is a column")
+    if kmax > chunk:
+        raise ValueError("chunk must be at least max_k")
+    kcol = F.lit(k) if isinstance(k, int) else k
+    narrow = df.select(*group, id_col, kcol.cast("int").alias("__k"))
+    idx = row_index(narrow, [id_col], int_bucket(id_col, width), group, out="__rn")
+    counts = df.groupBy(*group).agg(F.count(F.lit(1)).alias("__cnt"))
     d = idx.join(counts, group)
-    kk = F.least(F.col("__k"), F.col("__cnt") - 1)
-    d = d.withColumn("cond_rank", F.explode(F.sequence(F.lit(1), F.greatest(kk, F.lit(0)).cast("int"))))
-    d = d.filter((F.col("cond_rank") >= 1) & (F.col("cond_rank") <= kk))
-    d = d.withColumn("__target", F.pmod(F.col("__rn") + F.col("cond_rank"), F.col("__cnt")))
-    members = idx.select(*[F.col(g).alias("__g_" + g) for g in group], F.col("__rn").alias("__target_rn"),
-                         F.col(id_col).alias(out))
-    cond = [d[g].eqNullSafe(members["__g_" + g]) for g in group] + [d["__target"] == members["__target_rn"]]
-    return d.join(members, cond, "inner").select(*[d[c] for c in group + [id_col]], "cond_rank", out)
+    c = idiv(F.col("__rn"), F.lit(chunk))
+    last = idiv(F.col("__cnt") - 1, F.lit(chunk))
+    copy = lambda home, pos, native, valid: F.struct(
+        home.alias("home"), pos.alias("pos"), F.lit(native).alias("native"), valid.alias("valid"))
+    head = F.col("__rn") < kmax
+    copies = F.array(
+        copy(c, F.col("__rn"), True, F.lit(True)),
+        copy(c - 1, F.col("__rn"), False, (c >= 1) & (F.pmod(F.col("__rn"), F.lit(chunk)) < kmax)),
+        copy(last, F.col("__rn") + F.col("__cnt"), False, head),
+        copy(last - 1, F.col("__rn") + F.col("__cnt"), False, head & (last >= 1)))
+    d = d.select(*group, id_col, "__k", "__cnt",
+                 F.explode(F.filter(copies, lambda x: x["valid"])).alias("__c")).select(
+        *group, id_col, "__k", "__cnt", F.col("__c.home").alias("__home"), F.col("__c.pos").alias("__pos"),
+        F.col("__c.native").alias("__native"))
+    w = Window.partitionBy(*group, "__home").orderBy("__pos")
+    nexts = F.array(*[F.lead(id_col, j).over(w) for j in range(1, kmax + 1)])
+    d = d.withColumn("__next", nexts).filter("__native")
+    take = F.least(F.col("__k"), F.col("__cnt") - 1)
+    return (d.select(*group, id_col, take.alias("__take"), F.posexplode("__next").alias("__j", out))
+            .filter(F.col("__j") < F.col("__take"))
+            .select(*group, id_col, (F.col("__j") + 1).cast("int").alias("cond_rank"), out))

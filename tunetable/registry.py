@@ -317,7 +317,7 @@ def q_conditioning_candidates(spark, sf):
                                                 F.col("source").alias("speaker"))
     lim = F.broadcast(MA.phase_limits(spark).select("phase", "n_cond"))  # constant two-row table
     d = d.join(lim, "phase")
-    c = MA.conditioning_candidates(d, ["phase", "speaker"], "doc_id", F.col("n_cond"))
+    c = MA.conditioning_candidates(d, ["phase", "speaker"], "doc_id", F.col("n_cond"), max_k=3)
     return c.select(long_("doc_id").alias("doc_id"), F.col("cond_rank").cast("int").alias("cond_rank"),
                     long_("cond_id").alias("cond_id"))
 
