@@ -75,3 +75,25 @@ def test_hot_key_conditioning_and_top_k(spark):
     assert c.filter("id = cond_id").count() == 0
     t = DE.top_k(d, "k", "v", "id", k=2)
     assert t.filter("k = 0").count() == 2
+
+
+def test_hot_key_is_split_across_tasks():
+    """The plain per-key window gives one task the whole hot key (a third of
+    the rows); the two-level index keeps every task near rows / partitions."""
+    import os
+    import subprocess
+    import sys
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
+    def most(mode):
+        out = subprocess.run([sys.executable, os.path.join(repo, "tests", "skew_probe.py"), repo, mode],
+                             capture_output=True, text=True, timeout=600, env={**os.environ, "PYTHONPATH": repo})
+        assert out.returncode == 0, out.stderr[-2000:]
+        line = [ln for ln in out.stdout.splitlines() if ln.startswith("max_task_shuffle_records")][0]
+        _, m, n = line.split()
+        return int(m), int(n)
+
+    plain, n = most("plain")
+    split, _ = most("two_level")
+    assert plain >= n // 3
+    assert split < n // 10
