@@ -96,6 +96,9 @@ def conditioning_candidates(df: DataFrame, group, id_col: str, k, width: int = 1
                  F.explode(F.filter(copies, lambda x: x["valid"])).alias("__c")).select(
         *group, id_col, "__k", "__cnt", F.col("__c.home").alias("__home"), F.col("__c.pos").alias("__pos"),
         F.col("__c.native").alias("__native"))
+    # shuffle by (group, chunk) explicitly: the group-keyed join above would
+    # otherwise satisfy this window and keep a hot group in one task
+    d = d.repartition(*group, "__home")
     w = Window.partitionBy(*group, "__home").orderBy("__pos")
     nexts = F.array(*[F.lead(id_col, j).over(w) for j in range(1, kmax + 1)])
     d = d.withColumn("__next", nexts).filter("__native")

@@ -84,7 +84,7 @@ def rolling_mean(df: DataFrame, group, order: str, value: str, n: int = 500,
     else:
         d = row_index(df, [order], int_bucket(order, width), g, out="__i")
     chunk = idiv(F.col("__i"), F.lit(n))
-    d = d.withColumn("__home", F.explode(F.array(chunk, chunk + 1)))
+    d = d.withColumn("__home", F.explode(F.array(chunk, chunk + 1))).repartition(*g, "__home")
     # Inside one (group, home) partition the rows are the previous chunk and the
     # home chunk, in position order. The window sum is a running sum minus the
     # running sum n rows earlier (lag): O(1) per row, where a sliding frame of

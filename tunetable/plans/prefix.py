@@ -103,7 +103,10 @@ def running_sum(df: DataFrame, value: str | Column, order: Sequence, bucket: Col
         d = d.withColumn(f"__tt_p{i}", F.coalesce(c, default)).withColumn(f"__tt_n{i}", c.isNull())
         keys += [f"__tt_p{i}", f"__tt_n{i}"]
     cell = Window.partitionBy(*keys, _B).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn(_L, F.sum("__tt_v").over(cell))
+    # Cells are the unit of work: shuffle by (keys, bucket) explicitly, so an input
+    # already hash-partitioned by the keys alone (which would satisfy the window)
+    # cannot leave a hot group in one task.
+    d = d.repartition(*keys, _B).withColumn(_L, F.sum("__tt_v").over(cell))
     totals = d.groupBy(*keys, _B).agg(F.sum("__tt_v").alias("__tt_tot"))
     ow = Window.partitionBy(*keys).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*keys, _B, F.coalesce(F.sum("__tt_tot").over(ow), F.lit(0)).alias(_O))
