@@ -1,6 +1,8 @@
 """Per-task shuffle input for a hot key: a plain per-key window versus the
-two-level index. Runs in its own process with Spark's event log written to a
-scratch folder; prints the largest number of shuffle records any one task read."""
+two-level index (also on an input stored hash-partitioned by the hot key) and
+the candidate lookup. Runs in its own process with Spark's event log written
+to a scratch folder; prints the largest number of shuffle records any one task
+of the measured jobs read."""
 
 import glob
 import json
@@ -58,4 +60,4 @@ for path in glob.glob(logdir + "/**/*", recursive=True):
                 sid = ev.get("Stage ID")
                 per_stage[sid] = max(per_stage.get(sid, 0), r)
 stages = [per_stage[k] for k in sorted(per_stage) if k in ours and per_stage[k] > 0]
-print("max_task_shuffle_records", max(stages) if stages else 0, N, "stages", stages)
+print("max_task_records", max(stages) if stages else 0, N, "stages", stages)
