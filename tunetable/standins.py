@@ -6,6 +6,11 @@ table it needs from ``documents``, ``embeddings``, ``events`` or
 as a Spark builder and as a SQL CTE for the DuckDB twin. Everything here is
 per-row arithmetic or a scalable operator from the library, so its work
 grows with the tables.
+
+The modulo rules on ids (``doc_id % 10`` is the validation phase, ``% 17``
+has no clip, ``vec_id % 50`` is missing from the tuned checkpoint, ...)
+decide *what the stand-in data says*, as set out in FIXTURES.md. None of them
+reduces the work: every query reads and processes all rows of its tables.
 """
 
 from __future__ import annotations
