@@ -37,12 +37,6 @@ def test_top_k_ties_and_first_candidate(spark):
     assert first == {(1, "a", 0.2), (2, "z", 0.1)}
 
 
-def test_top_k_plans_a_partial_group_limit(spark):
-    ev = S.table(spark, SF, "events")
-    plan = DE.top_k(ev, "user_id", "value", "event_id", k=2)._jdf.queryExecution().executedPlan().toString()
-    assert "WindowGroupLimit" in plan or "AdaptiveSparkPlan" in plan
-
-
 def test_repetition_penalty(spark):
     s = spark.createDataFrame([(1, 7, 4.0), (1, 8, -4.0), (1, 9, 4.0)], "g int, tok int, score double")
     h = spark.createDataFrame([(1, 7), (1, 8), (1, 8)], "g int, tok int")
