@@ -271,3 +271,15 @@ def test_conditioning_candidates_chunk_boundaries(spark, chunk):
             k = next(kk for x, _, kk in rows if x == m)
             expect = [(j, members[(pos + j) % len(members)]) for j in range(1, min(k, len(members) - 1) + 1)]
             assert sorted(got.get(m, [])) == expect, (i, m)
+
+
+def test_assign_codes_large_codebook_in_chunks(spark):
+    import numpy as np
+    rng = np.random.default_rng(5)
+    book = rng.normal(size=(6000, 4))
+    X = rng.normal(size=(3000, 4)).astype(np.float32)
+    v = spark.createDataFrame([(i, X[i].tolist()) for i in range(3000)], "vec_id long, embedding array<float>")
+    b = spark.createDataFrame([(j, book[j].tolist()) for j in range(6000)], "code long, embedding array<double>")
+    got = {r["vec_id"]: r["code"] for r in CO.assign_codes(v, b).collect()}
+    D = ((X.astype(np.float64)[:, None, :] - book[None, :, :]) ** 2).sum(axis=2)
+    assert all(got[i] == int(np.argmin(D[i])) for i in range(3000))

@@ -64,17 +64,25 @@ def assign_codes(vectors: DataFrame, codebook: DataFrame, id_col: str = "vec_id"
                 yield pa.RecordBatch.from_arrays([ids, pa.array(code_all, mask=~mask), pa.array(dist_all, mask=~mask)],
                                                  names=[id_col, code_col, "dist"])
                 continue
-            approx = (x * x).sum(axis=1)[:, None] - 2.0 * (x @ book_.T) + bsq[None, :]
-            best = approx.min(axis=1)
-            tol = 1e-9 * np.maximum(1.0, np.abs(best))
-            # exact re-scoring of every (row, code) pair within rounding of the row's best
-            rows, cand = np.nonzero(approx <= (best + tol)[:, None])
-            diff = x[rows] - book_[cand]
-            exact = (diff * diff).sum(axis=1)
-            order = np.lexsort((codes_[cand], exact, rows))
-            first = order[np.unique(rows[order], return_index=True)[1]]
-            code_all[mask] = codes_[cand[first]]
-            dist_all[mask] = exact[first]
+            # rows in chunks, so the rows x codes distance matrix stays near 16M entries
+            step = max(1, 16_000_000 // max(len(codes_), 1))
+            got_code = np.empty(len(x), dtype=np.int64)
+            got_dist = np.empty(len(x))
+            for lo in range(0, len(x), step):
+                xs = x[lo:lo + step]
+                approx = (xs * xs).sum(axis=1)[:, None] - 2.0 * (xs @ book_.T) + bsq[None, :]
+                best = approx.min(axis=1)
+                tol = 1e-9 * np.maximum(1.0, np.abs(best))
+                # exact re-scoring of every (row, code) pair within rounding of the row's best
+                rows, cand = np.nonzero(approx <= (best + tol)[:, None])
+                diff = xs[rows] - book_[cand]
+                exact = (diff * diff).sum(axis=1)
+                order = np.lexsort((codes_[cand], exact, rows))
+                first = order[np.unique(rows[order], return_index=True)[1]]
+                got_code[lo:lo + len(xs)] = codes_[cand[first]]
+                got_dist[lo:lo + len(xs)] = exact[first]
+            code_all[mask] = got_code
+            dist_all[mask] = got_dist
             # a null or wrong-width vector keeps its row, with a null code
             yield pa.RecordBatch.from_arrays([ids, pa.array(code_all, mask=~mask), pa.array(dist_all, mask=~mask)],
                                              names=[id_col, code_col, "dist"])
