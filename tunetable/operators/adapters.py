@@ -188,6 +188,7 @@ NF4_LEVELS = np.array([
     0.07958029955625534, 0.16093020141124725, 0.24611230194568634, 0.33791524171829224,
     0.44070982933044434, 0.5626170039176941, 0.7229568362236023, 1.0])
 NF4_MAX_GAP = float(np.max(np.diff(NF4_LEVELS)))
+_NF4_MID = (NF4_LEVELS[1:] + NF4_LEVELS[:-1]) / 2
 
 
 def _blocks(list_arr, block):
@@ -219,7 +220,9 @@ def quantise_blocks(arr, block: int = 64):
             absmax = np.zeros(nb)
             np.maximum.at(absmax, blk, np.abs(vals))
             normed = vals / np.where(absmax[blk] > 0, absmax[blk], 1.0)
-            codes = np.abs(normed[:, None] - NF4_LEVELS[None, :]).argmin(axis=1).astype(np.int8)
+            # nearest level by binary search over the midpoints (O(n) memory; an
+            # exact midpoint goes to the lower level, as argmin would)
+            codes = np.searchsorted(_NF4_MID, normed, side="left").astype(np.int8)
             row_blk = np.repeat(np.arange(len(lengths)), nblk)
             smax = np.zeros(len(lengths))
             np.maximum.at(smax, row_blk, absmax) if nb else None
