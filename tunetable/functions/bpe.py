@@ -148,6 +148,15 @@ class BpeModel:
         return sp.join(parts)
 
     # -- decoding ---------------------------------------------------------
+    def fingerprint(self) -> str:
+        """Content hash of vocabulary, merges and special tokens."""
+        import hashlib
+        h = hashlib.sha256()
+        h.update(json.dumps(sorted(self.vocab.items())).encode())
+        h.update(json.dumps(sorted((r, a, b) for (a, b), r in self.ranks.items())).encode())
+        h.update(json.dumps(sorted(self.specials.items())).encode())
+        return h.hexdigest()
+
     def piece_table(self) -> np.ndarray:
         """Decoded text of every id (blank for ``[SPACE]``, nothing for other
         specials and unknown ids), as an object array indexed by id."""
@@ -200,13 +209,14 @@ _BROADCASTS: dict = {}
 
 
 def _broadcast_model(model: BpeModel):
-    """One broadcast per model and application: shipped once per executor, not per task."""
+    """One broadcast per tokenizer content and application: shipped once per
+    executor, not per task, and reused when the same tokenizer is loaded again."""
     from pyspark import SparkContext
     sc = SparkContext.getOrCreate()
-    key = (sc.applicationId, id(model))
+    key = (sc.applicationId, model.fingerprint())
     if key not in _BROADCASTS:
-        _BROADCASTS[key] = (model, sc.broadcast(model))
-    return _BROADCASTS[key][1]
+        _BROADCASTS[key] = sc.broadcast(model)
+    return _BROADCASTS[key]
 
 
 def bpe_encode(text, tokenizer) -> Column:
