@@ -56,3 +56,20 @@ def test_two_level_index_shuffles_cells_explicitly(spark):
     df = spark.range(1000).select("id", (F.col("id") % 7).alias("k")).repartition("k")
     p = plan(row_index(df, ["id"], int_bucket("id", 64), ["k"], out="i"))
     assert "hashpartitioning(__tt_p0, __tt_n0, __tt_bucket" in p
+
+
+def test_bucketed_checkpoints_join_without_shuffle(spark):
+    from tunetable.sources.tensors import open_tensor_table, write_tensor_table
+    d = tempfile.mkdtemp(prefix="tt-bucket-")
+    cols = ["tensor", "kind", "row", "ndim", "shape", "dtype", "values"]
+    write_tensor_table(S.base_tensors(spark, SF).select(*cols), d + "/b", buckets=8)
+    write_tensor_table(S.tuned_tensors(spark, SF).select(*cols), d + "/t", buckets=8)
+    b, t = open_tensor_table(spark, d + "/b", buckets=8), open_tensor_table(spark, d + "/t", buckets=8)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        p = plan(b.join(t, ["tensor", "row"]).select("tensor", "row"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "SortMergeJoin" in p and "Exchange" not in p
+    assert b.join(t, ["tensor", "row"]).count() == t.count()

@@ -331,6 +331,21 @@ def q_changed_tensors(spark, sf):
     return c.select("tensor", long_("n_rows").alias("n_rows"), long_("n_changed").alias("n_changed"), "changed")
 
 
+@query("changed_tensors_stored", S.with_sql(S.SQL_BASE, S.SQL_TUNED) + """
+SELECT b.tensor, count(*) AS n_rows, count(*) FILTER (WHERE b."values" <> t."values") AS n_changed,
+       bool_or(b."values" <> t."values") AS changed
+FROM base b JOIN tuned t ON b.tensor = t.tensor AND b."row" = t."row" GROUP BY b.tensor""")
+def q_changed_tensors_stored(spark, sf):
+    """J3 over two stored checkpoints bucketed by (tensor, row): the join needs no shuffle."""
+    from .session import scratch_path
+    from .sources.tensors import write_tensor_table
+    cols = ["tensor", "kind", "row", "ndim", "shape", "dtype", "values"]
+    b = write_tensor_table(S.base_tensors(spark, sf).select(*cols), scratch_path(spark, "base-bucketed"), buckets=16)
+    t = write_tensor_table(S.tuned_tensors(spark, sf).select(*cols), scratch_path(spark, "tuned-bucketed"), buckets=16)
+    c = TE.changed_tensors(b, t)
+    return c.select("tensor", long_("n_rows").alias("n_rows"), long_("n_changed").alias("n_changed"), "changed")
+
+
 @query("reconcile_state", S.with_sql(S.SQL_BASE, S.SQL_TUNED, S.SQL_GIVEN) + """
 SELECT coalesce(e.tensor, g.tensor) AS tensor, coalesce(e."row", g."row") AS "row",
        CASE WHEN e.tensor IS NULL THEN 'unexpected' WHEN g.tensor IS NULL THEN 'missing'

@@ -58,3 +58,25 @@ def read_adapter(spark: SparkSession, path: str, adapter_id: str) -> tuple[DataF
 ADAPTER_CONFIG_SCHEMA = ("peft_type string, r int, lora_alpha int, lora_dropout double, bias string, "
                          "fan_in_fan_out boolean, target_modules array<string>, modules_to_save array<string>, "
                          "rank_pattern map<string,int>, alpha_pattern map<string,int>, task_type string")
+
+
+def write_tensor_table(df: DataFrame, path: str, buckets: int = 64, name: str | None = None) -> DataFrame:
+    """Write a checkpoint as a table bucketed and sorted by ``(tensor, row)`` at a
+    shared ``path`` and return it. Two checkpoints bucketed the same way join
+    on ``(tensor, row)`` (J3, J4) without a shuffle."""
+    import uuid
+    name = name or f"tensors_{uuid.uuid4().hex[:12]}"
+    (df.write.mode("overwrite").bucketBy(buckets, "tensor", "row").sortBy("tensor", "row")
+       .option("path", path).saveAsTable(name))
+    return df.sparkSession.table(name)
+
+
+def open_tensor_table(spark: SparkSession, path: str, schema: str = TENSOR_SCHEMA, buckets: int = 64,
+                      name: str | None = None) -> DataFrame:
+    """Register a bucketed checkpoint written by ``write_tensor_table`` in this
+    session, restoring its bucket layout, and return it."""
+    import uuid
+    name = name or f"tensors_{uuid.uuid4().hex[:12]}"
+    spark.sql(f"CREATE TABLE {name} ({schema}) USING parquet CLUSTERED BY (tensor, row) "
+              f"SORTED BY (tensor, row) INTO {buckets} BUCKETS LOCATION '{path}'")
+    return spark.table(name)
