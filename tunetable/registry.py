@@ -355,6 +355,17 @@ def q_reconcile_state(spark, sf):
     return TE.reconcile(S.base_tensors(spark, sf), S.given_tensors(spark, sf)).select("tensor", "row", "status")
 
 
+@query("reconcile_state_stored", SQL["reconcile_state"])
+def q_reconcile_state_stored(spark, sf):
+    """J4 over two stored checkpoints bucketed by (tensor, row): the full outer join needs no shuffle."""
+    from .session import scratch_path
+    from .sources.tensors import write_tensor_table
+    cols = ["tensor", "kind", "row", "ndim", "shape", "dtype", "values"]
+    e = write_tensor_table(S.base_tensors(spark, sf).select(*cols), scratch_path(spark, "expected-bucketed"), buckets=16)
+    g = write_tensor_table(S.given_tensors(spark, sf).select(*cols), scratch_path(spark, "given-bucketed"), buckets=16)
+    return TE.reconcile(e, g).select("tensor", "row", "status")
+
+
 @query("attach_candidates", S.with_sql(S.SQL_REQUESTS) + """
 SELECT request_id, CAST(c.cand_id AS INTEGER) AS cand_id, CAST(length(text) AS BIGINT) AS n_text_chars
 FROM req CROSS JOIN range(0, 4) c(cand_id)""")
