@@ -73,3 +73,13 @@ def test_bucketed_checkpoints_join_without_shuffle(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
     assert "SortMergeJoin" in p and "Exchange" not in p
     assert b.join(t, ["tensor", "row"]).count() == t.count()
+
+
+def test_reconcile_over_bucketed_checkpoints_has_no_exchange(spark):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        p = plan(E.queries()["reconcile_state_stored"](spark, SF))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "SortMergeJoin" in p and "FullOuter" in p and "Exchange" not in p
