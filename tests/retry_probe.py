@@ -9,7 +9,6 @@ import tempfile
 sys.path.insert(0, sys.argv[1])
 
 from pyspark import TaskContext  # noqa: E402
-from pyspark.sql import functions as F  # noqa: E402
 
 from tunetable import standins as S  # noqa: E402
 from tunetable.operators import batching, decoding as DE, manifest as MA  # noqa: E402

@@ -2,7 +2,6 @@
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from tunetable.operators.adapters import (NF4_MAX_GAP, apply_adapter, dequantise_blocks, fit_adapter,
                                           merge_adapter, quantise_blocks)

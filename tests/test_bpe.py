@@ -4,7 +4,6 @@ own vocabulary, round trip on in-vocabulary text, and the Spark UDF."""
 import json
 
 import pytest
-from pyspark.sql import functions as F
 
 from tunetable.functions.bpe import bpe_decode, bpe_encode, load_tokenizer, parse_tokenizer
 from tunetable.resources import MERGES, build_tokenizer_spec, default_tokenizer_path

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from . import col_of, idiv, lit_of, val_of
+from . import col_of, idiv, val_of
 
 # Fixed values (must equal the reference's): sample rates 22,050 Hz in and
 # 24,000 Hz out, 4 output samples per input step, 1,024 samples per code.

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .functions import idiv
 from .functions.arrays import char_codes
-from .plans.prefix import int_bucket, row_index, time_bucket
+from .plans.prefix import row_index, time_bucket
 
 OLD_ROOT = "/old/root/"
 NEW_ROOT = "/data/clips/"
