@@ -38,7 +38,7 @@ def read_tensors(spark: SparkSession, path: str, run_id: int | None = None, step
 def write_adapter(tensors: DataFrame, config: dict, path: str, adapter_id: str) -> None:
     """Persist only adapter tensors plus a one-row configuration, under ``adapter_id``."""
     spark = tensors.sparkSession
-    (tensors.withColumn("adapter_id", F.lit(adapter_id))
+    (tensors.withColumn("adapter_id", F.lit(adapter_id)).hint("rebalance")
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy("adapter_id").parquet(path + "/tensors"))
     cfg = spark.createDataFrame([(adapter_id, json.dumps(config, sort_keys=True))], "adapter_id string, config string")
