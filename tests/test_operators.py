@@ -283,3 +283,19 @@ def test_assign_codes_large_codebook_in_chunks(spark):
     got = {r["vec_id"]: r["code"] for r in CO.assign_codes(v, b).collect()}
     D = ((X.astype(np.float64)[:, None, :] - book[None, :, :]) ** 2).sum(axis=2)
     assert all(got[i] == int(np.argmin(D[i])) for i in range(3000))
+
+
+def test_conditioning_candidates_seeded_order(spark):
+    rows = [(i, "g" + str(i % 2)) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, g string")
+    h = {r["id"]: r["h"] for r in df.select("id", F.xxhash64(F.lit(9), "id").alias("h")).collect()}
+    got = {}
+    for r in MA.conditioning_candidates(df, "g", "id", 2, seed=9, chunk=4).collect():
+        got.setdefault(r["id"], []).append((r["cond_rank"], r["cond_id"]))
+    for g in ("g0", "g1"):
+        members = sorted((x for x, gg in rows if gg == g), key=lambda x: (h[x], x))
+        for pos, m in enumerate(members):
+            assert sorted(got[m]) == [(j, members[(pos + j) % len(members)]) for j in (1, 2)]
+    again = {(r["id"], r["cond_rank"], r["cond_id"])
+             for r in MA.conditioning_candidates(df.repartition(3), "g", "id", 2, seed=9).collect()}
+    assert again == {(i, j, c) for i, v in got.items() for j, c in v}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import col_of, idiv
 from ..plans.joins import bounded_broadcast
-from ..plans.prefix import int_bucket, row_index
+from ..plans.prefix import hash_bucket, int_bucket, row_index
 
 # Fixed per-phase values (must equal the reference configuration):
 # phase, max text tokens, max wav samples, batch size, conditioning clips.
@@ -53,7 +53,8 @@ def pair_clips(manifest: DataFrame, clips: DataFrame, key: str = "audio_path"
 
 
 def conditioning_candidates(df: DataFrame, group, id_col: str, k, width: int = 1024,
-                            out: str = "cond_id", max_k: int | None = None, chunk: int = 1024) -> DataFrame:
+                            out: str = "cond_id", max_k: int | None = None, chunk: int = 1024,
+                            seed: int | None = None) -> DataFrame:
     """K *other* members of the same group per row, no self-join.
 
     Members are numbered 0..cnt-1 by ``id_col`` inside the group (two-level
@@ -68,8 +69,10 @@ def conditioning_candidates(df: DataFrame, group, id_col: str, k, width: int = 1
     j-th next member. Every window holds at most ``chunk + 2 * max_k`` rows,
     and the plan is lazy (no self-join, no materialisation).
 
-    ``k`` may be a column (per-row count, at most ``max_k``). Output: group
-    columns, ``id_col``, ``cond_rank`` (1..k) and ``out``.
+    ``k`` may be a column (per-row count, at most ``max_k``). With ``seed``,
+    members are numbered in seeded-hash order (``xxhash64(seed, id)``, ties by
+    id): a reproducible shuffle of who conditions whom; without it, in id
+    order. Output: group columns, ``id_col``, ``cond_rank`` (1..k) and ``out``.
     """
     group = [group] if isinstance(group, str) else list(group)
     kmax = max_k if max_k is not None else (k if isinstance(k, int) else None)
@@ -79,7 +82,11 @@ def conditioning_candidates(df: DataFrame, group, id_col: str, k, width: int = 1
         raise ValueError("chunk must be at least max_k")
     kcol = F.lit(k) if isinstance(k, int) else k
     narrow = df.select(*group, id_col, kcol.cast("int").alias("__k"))
-    idx = row_index(narrow, [id_col], int_bucket(id_col, width), group, out="__rn")
+    if seed is None:
+        idx = row_index(narrow, [id_col], int_bucket(id_col, width), group, out="__rn")
+    else:
+        narrow = narrow.withColumn("__h", F.xxhash64(F.lit(seed), F.col(id_col)))
+        idx = row_index(narrow, ["__h", id_col], hash_bucket("__h", 16), group, out="__rn").drop("__h")
     counts = df.groupBy(*group).agg(F.count(F.lit(1)).alias("__cnt"))
     d = idx.join(counts, group)
     c = idiv(F.col("__rn"), F.lit(chunk))
