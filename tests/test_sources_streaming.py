@@ -168,3 +168,33 @@ def test_latency_windows_do_not_depend_on_session_zone(spark):
         spark.conf.set("spark.sql.session.timeZone", old)
     assert base["latency_tumbling"] == base["latency_stream_sink"]
     assert base["latency_tumbling"][0][0] == "2024-01-01 00:00:00"
+
+
+def test_latency_stream_append_emits_only_closed_windows(spark):
+    from tunetable.streaming.latency import utc_text
+    ev = spark.read.parquet(SF + "/events.parquet").select("ts", F.col("value").cast("decimal(18,2)").alias("seconds"))
+    batch = {r["s"]: (r["n_requests"], r["total_seconds"])
+             for r in latency_tumbling(ev).select(utc_text("window_start").alias("s"), "n_requests", "total_seconds").collect()}
+    d = tempfile.mkdtemp(prefix="tt-append-")
+    import datetime as dt
+    start = dt.datetime(2024, 1, 1)
+    for i in range(6):  # six files written in time order, as a live source would deliver them
+        lo, hi = start + dt.timedelta(days=5 * i), start + dt.timedelta(days=5 * (i + 1))
+        part = ev.filter((F.col("ts") >= F.lit(lo)) & (F.col("ts") < F.lit(hi))) if i < 5 else ev.filter(F.col("ts") >= F.lit(lo))
+        part.coalesce(1).write.mode("append").parquet(d + "/ev")
+    stream = spark.readStream.schema(spark.read.parquet(d + "/ev").schema).option("maxFilesPerTrigger", 1).parquet(d + "/ev")
+    q = (latency_stream(stream, lateness="40 days").select(utc_text("window_start").alias("s"), "n_requests", "total_seconds")
+         .writeStream.outputMode("append").format("memory").queryName("tt_append").trigger(availableNow=True).start())
+    q.awaitTermination()
+    got = {r["s"]: (r["n_requests"], r["total_seconds"]) for r in spark.sql("select * from tt_append").collect()}
+    # with 40 days of allowed lateness nothing closes within the 30-day stream;
+    # every appended window (if any) must be final and equal to the batch result
+    assert all(batch[k] == v for k, v in got.items())
+    q2 = (latency_stream(spark.readStream.schema(spark.read.parquet(d + "/ev").schema).option("maxFilesPerTrigger", 1)
+                         .parquet(d + "/ev"), lateness="0 seconds")
+          .select(utc_text("window_start").alias("s"), "n_requests", "total_seconds")
+          .writeStream.outputMode("append").format("memory").queryName("tt_append0").trigger(availableNow=True).start())
+    q2.awaitTermination()
+    got0 = {r["s"]: (r["n_requests"], r["total_seconds"]) for r in spark.sql("select * from tt_append0").collect()}
+    assert got0 and set(got0) < set(batch)   # the last, still open window is not emitted
+    assert all(batch[k] == v for k, v in got0.items())
