@@ -299,3 +299,12 @@ def test_conditioning_candidates_seeded_order(spark):
     again = {(r["id"], r["cond_rank"], r["cond_id"])
              for r in MA.conditioning_candidates(df.repartition(3), "g", "id", 2, seed=9).collect()}
     assert again == {(i, j, c) for i, v in got.items() for j, c in v}
+
+
+def test_latency_summary_mean_over_recorded_seconds(spark):
+    rows = [(1, 0, 5.0), (1, 1, 5.0), (1, 2, 2.0), (1, 3, None), (1, 4, 4.0), (2, 0, 1.0), (2, 1, 1.0), (2, 2, None)]
+    df = spark.createDataFrame(rows, "g int, t int, seconds double")
+    out = {r["g"]: (r["n_requests"], r["total_seconds"], r["mean_seconds"])
+           for r in ME.latency_summary(df, "g", "t", "seconds").collect()}
+    assert out[1] == (3, 6.0, 3.0)
+    assert out[2] == (1, None, None)

@@ -27,14 +27,18 @@ def latency_summary(df: DataFrame, group, order, seconds: str = "seconds", warmu
     order = [order] if isinstance(order, str) else list(order)
     w = Window.partitionBy(*g).orderBy(*order)
     warm = (df.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") <= warmup)
-            .groupBy(*g).agg(F.count(F.lit(1)).alias("__wn"), F.sum(seconds).alias("__ws")))
-    allr = df.groupBy(*g).agg(F.count(F.lit(1)).alias("__n"), F.sum(seconds).alias("__s"))
+            .groupBy(*g).agg(F.count(F.lit(1)).alias("__wn"), F.count(seconds).alias("__wv"),
+                             F.sum(seconds).alias("__ws")))
+    allr = df.groupBy(*g).agg(F.count(F.lit(1)).alias("__n"), F.count(seconds).alias("__v"),
+                              F.sum(seconds).alias("__s"))
     j = allr.join(warm, g, "left")
     n = F.col("__n") - F.coalesce(F.col("__wn"), F.lit(0))
+    recorded = F.col("__v") - F.coalesce(F.col("__wv"), F.lit(0))
     tot = F.col("__s") - F.coalesce(F.col("__ws"), F.lit(0))
+    # requests counted whether or not they recorded seconds; the mean is over recorded seconds
     return j.select(*g, n.alias("n_requests"),
-                    F.when(n > 0, tot).alias("total_seconds"),
-                    F.when(n > 0, tot.cast("double") / n).alias("mean_seconds"))
+                    F.when(recorded > 0, tot).alias("total_seconds"),
+                    F.when(recorded > 0, tot.cast("double") / recorded).alias("mean_seconds"))
 
 
 def flag_warmup(df: DataFrame, group, order, warmup: int = 2, out: str = "is_warmup") -> DataFrame:

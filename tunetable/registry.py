@@ -409,7 +409,7 @@ WITH t AS (SELECT user_id, value AS seconds,
 SELECT user_id, count(*) FILTER (WHERE NOT is_warmup) AS n_requests,
        round(CAST(sum(CAST(seconds AS DECIMAL(18, 2))) FILTER (WHERE NOT is_warmup) AS DOUBLE), 6) AS total_seconds,
        round(CAST(sum(CAST(seconds AS DECIMAL(18, 2))) FILTER (WHERE NOT is_warmup) AS DOUBLE)
-             / count(*) FILTER (WHERE NOT is_warmup), 6) AS mean_seconds
+             / count(seconds) FILTER (WHERE NOT is_warmup), 6) AS mean_seconds
 FROM t GROUP BY user_id""")
 def q_latency_summary(spark, sf):
     ev = S.events(spark, sf).select("user_id", "ts", "event_id", cents("value").alias("seconds"))
