@@ -308,3 +308,10 @@ def test_latency_summary_mean_over_recorded_seconds(spark):
            for r in ME.latency_summary(df, "g", "t", "seconds").collect()}
     assert out[1] == (3, 6.0, 3.0)
     assert out[2] == (1, None, None)
+
+
+def test_assign_codes_rejects_empty_codebook(spark):
+    v = spark.createDataFrame([(1, [0.0, 0.0])], "vec_id long, embedding array<float>")
+    book = spark.createDataFrame([], "code long, embedding array<float>")
+    with pytest.raises(ValueError, match="empty"):
+        CO.assign_codes(v, book)

@@ -48,6 +48,8 @@ def assign_codes(vectors: DataFrame, codebook: DataFrame, id_col: str = "vec_id"
     """
     rows = collect_bounded(codebook.select(col_of(code_col).alias("c"), col_of(code_vec_col).alias("v"))
                            .orderBy("c"), max_codes, "codebook")
+    if not rows:
+        raise ValueError("the codebook is empty")
     codes = np.array([r["c"] for r in rows], dtype=np.int64)
     book = np.array([np.asarray(r["v"], dtype=np.float64) for r in rows])
     book_sq = (book * book).sum(axis=1)
