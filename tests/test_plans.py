@@ -83,3 +83,24 @@ def test_reconcile_over_bucketed_checkpoints_has_no_exchange(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
     assert "SortMergeJoin" in p and "FullOuter" in p and "Exchange" not in p
+
+
+def test_bucketed_run_step_checkpoints(spark):
+    d = tempfile.mkdtemp(prefix="tt-ckpt-") + "/ckpt"
+    cols = ["tensor", "kind", "row", "ndim", "shape", "dtype", "values"]
+    write_tensors(S.base_tensors(spark, SF).select(*cols), d, 1, 10, buckets=8)
+    write_tensors(S.tuned_tensors(spark, SF).select(*cols), d, 1, 20, buckets=8)
+    write_tensors(S.tuned_tensors(spark, SF).select(*cols), d, 1, 20, buckets=8)  # rewrite replaces the partition
+    a = read_tensors(spark, d, 1, 10, buckets=8)
+    b = read_tensors(spark, d, 1, 20, buckets=8)
+    assert a.count() == S.base_tensors(spark, SF).count() and b.count() == S.tuned_tensors(spark, SF).count()
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        p = plan(a.join(b, ["tensor", "row"]).select("tensor"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "SortMergeJoin" in p and "Exchange" not in p
+    got = {r["tensor"]: r["n_changed"] for r in TE.changed_tensors(a, b).collect()}
+    exp = {r["tensor"]: r["n_changed"] for r in E.queries()["changed_tensors"](spark, SF).collect()}
+    assert got == exp

@@ -16,16 +16,51 @@ TENSOR_SCHEMA = ("tensor string, kind string, row int, ndim int, shape array<int
                  "dtype string, values array<float>")
 
 
-def write_tensors(df: DataFrame, path: str, run_id: int, step: int) -> None:
+def checkpoint_table(spark: SparkSession, path: str, buckets: int) -> str:
+    """Register the bucketed run/step checkpoint table at ``path`` in this
+    session (creating it when new, recovering its partitions otherwise)."""
+    import uuid
+    name = f"ckpt_{uuid.uuid4().hex[:12]}"
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({TENSOR_SCHEMA}, run_id bigint, step int) USING parquet "
+              f"PARTITIONED BY (run_id, step) CLUSTERED BY (tensor, row) SORTED BY (tensor, row) "
+              f"INTO {buckets} BUCKETS LOCATION '{path}'")
+    if _exists(spark, path):
+        spark.sql(f"ALTER TABLE {name} RECOVER PARTITIONS")
+    return name
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    sc = spark.sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(p.getFileSystem(sc._jsc.hadoopConfiguration()).exists(p))
+
+
+def write_tensors(df: DataFrame, path: str, run_id: int, step: int, buckets: int | None = None) -> None:
+    """Write one (run, step) checkpoint, replacing only that partition.
+
+    With ``buckets``, the checkpoint table is also bucketed and sorted by
+    ``(tensor, row)``: two steps (or runs) of it then join on ``(tensor, row)``
+    without a shuffle.
+    """
+    if buckets:
+        spark = df.sparkSession
+        name = checkpoint_table(spark, path, buckets)
+        view = f"{name}_in"
+        df.select("tensor", "kind", "row", "ndim", "shape", "dtype", "values").createOrReplaceTempView(view)
+        spark.sql(f"INSERT OVERWRITE TABLE {name} PARTITION (run_id = {int(run_id)}, step = {int(step)}) "
+                  f"SELECT * FROM {view}")
+        spark.catalog.dropTempView(view)
+        return
     (df.withColumn("run_id", F.lit(run_id).cast("long")).withColumn("step", F.lit(step).cast("int"))
        .hint("rebalance").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
        .partitionBy("run_id", "step").parquet(path))
 
 
 def read_tensors(spark: SparkSession, path: str, run_id: int | None = None, step: int | None = None,
-                 tensor_prefix: str | None = None) -> DataFrame:
-    """Load a checkpoint; run, step and name filters prune partitions and row groups."""
-    df = spark.read.parquet(path)
+                 tensor_prefix: str | None = None, buckets: int | None = None) -> DataFrame:
+    """Load a checkpoint; run, step and name filters prune partitions and row groups.
+    ``buckets`` (as written) reads it as the bucketed table."""
+    df = spark.table(checkpoint_table(spark, path, buckets)) if buckets else spark.read.parquet(path)
     if run_id is not None:
         df = df.filter(F.col("run_id") == run_id)
     if step is not None:
