@@ -211,14 +211,15 @@ class Decoder:
         return self.state.decode(b"".join(self.get(i, b"") for i in ids), last)
 
 
-_TABLES: dict[int, Encoder] = {}
+_ENCODERS: dict[bytes, Encoder] = {}
 
 
 def _encoder(shared) -> Encoder:
-    if id(shared) not in _TABLES:
-        _TABLES.clear()
-        _TABLES[id(shared)] = Encoder(MergeTable(shared.value))
-    return _TABLES[id(shared)]
+    content = shared.value
+    if content not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[content] = Encoder(MergeTable(content))
+    return _ENCODERS[content]
 
 
 def _shared(df: DataFrame, path: str):
