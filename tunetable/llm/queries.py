@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_stream, exact_dedup, html_text, line_dedup, mixing, near_dup, passages, quality, toxicity
+from . import bpe_stream, exact_dedup, html_text, licenses, line_dedup, mixing, near_dup, passages, quality, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -92,6 +92,47 @@ def op8_bpe_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_stream.token_digests(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+@_query
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` as files ``source/lang/doc_id``."""
+    path = F.concat_ws("/", F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("-")), F.col("doc_id").cast("string"))
+    return licenses.scan(_table(spark, sf_dir, "documents"), path, keep=("doc_id",))
+
+
+def _license_sql() -> str:
+    """The same in SQL: vectors as rows, directories as path prefixes."""
+    templates = ", ".join(f"({k}, '{name}', '{t}')" for k, (name, ts) in enumerate(licenses.template_terms()) for t in ts)
+    return rf"""
+WITH t(k, name, term) AS (VALUES {templates}),
+v AS (SELECT DISTINCT term FROM t),
+f AS (SELECT doc_id, concat_ws('/', coalesce(source, '-'), coalesce(lang, '-'), CAST(doc_id AS VARCHAR)) AS path, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM f),
+w AS (SELECT doc_id, pos, list_distinct(regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{licenses.TERM}')) AS d FROM l),
+x AS (SELECT doc_id, pos, len(d) AS n, unnest(d) AS term FROM w),
+c AS (SELECT count(*) AS n FROM w WHERE len(d) > 0),
+i AS (SELECT v.term, power(ln((1 + any_value(c.n)) / (1 + count(x.term))) + 1, 2) AS s FROM v CROSS JOIN c LEFT JOIN x ON x.term = v.term GROUP BY v.term),
+y AS (SELECT doc_id, pos, any_value(x.n) AS n, sum(i.s) + (any_value(x.n) - count(*)) * (SELECT power(ln(1 + n) + 1, 2) FROM c) AS len2 FROM x JOIN i USING (term) GROUP BY doc_id, pos),
+z AS (SELECT k, any_value(name) AS name, sum(i.s) AS len2 FROM t JOIN i USING (term) GROUP BY k),
+s AS (SELECT x.doc_id, x.pos, t.k, sum(i.s) AS dot FROM x JOIN t USING (term) JOIN i USING (term) GROUP BY x.doc_id, x.pos, t.k),
+q AS (SELECT s.doc_id, s.pos, z.name, y.n, round(s.dot / (sqrt(y.len2) * sqrt(z.len2)), 6) AS score FROM s JOIN y USING (doc_id, pos) JOIN z USING (k)),
+b AS (SELECT doc_id, pos, any_value(n) AS n, max(score) AS score, arg_min(name, struct_pack(a := -score, b := name)) AS name FROM q GROUP BY doc_id, pos HAVING max(score) >= {licenses.COSINE}),
+o AS (SELECT doc_id, max(score) AS score, arg_min(name, struct_pack(a := -score, b := name)) AS name, count(*) AS n_notices, sum(n) AS terms FROM b GROUP BY doc_id),
+a AS (SELECT doc_id, sum(len(d)) AS terms FROM w GROUP BY doc_id),
+r AS (SELECT f.doc_id, f.path, regexp_replace(f.path, '/?[^/]*$', '') AS dir, o.name AS own_license, o.score, coalesce(o.n_notices, 0) AS n_notices,
+             coalesce(o.terms >= {licenses.FILE_SHARE} * a.terms OR (o.name IS NOT NULL AND regexp_matches(f.path, '(?i)(^|/)(licen[cs]e|copying|notice)(\.[^/]*)?$')), false) AS is_license_file
+      FROM f LEFT JOIN o USING (doc_id) LEFT JOIN a USING (doc_id)),
+g AS (SELECT dir, own_license, count(*) AS n FROM r WHERE is_license_file GROUP BY dir, own_license),
+h AS (SELECT dir, arg_min(own_license, struct_pack(a := -n, b := own_license)) AS license FROM g GROUP BY dir),
+u AS (SELECT e.dir, arg_max(h.license, length(h.dir)) AS inherited_license, arg_max(h.dir, length(h.dir)) AS inherited_from
+      FROM (SELECT DISTINCT dir FROM r) e JOIN h ON h.dir = '' OR e.dir = h.dir OR starts_with(e.dir, h.dir || '/') GROUP BY e.dir)
+SELECT r.doc_id, r.path, r.own_license, r.score, CAST(r.n_notices AS INTEGER) AS n_notices, r.is_license_file, u.inherited_license, u.inherited_from, coalesce(r.own_license, u.inherited_license) AS license
+FROM r LEFT JOIN u ON u.dir = r.dir
+"""
+
+
+SQL["op9_license_scan"] = _license_sql()
+
+
 @_query
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
