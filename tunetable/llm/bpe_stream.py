@@ -35,8 +35,8 @@ _SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 _PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
 #: Bytes that wait at most before the transducer works on them, beside its lookahead.
 _CHUNK = 2048
-#: Words whose ids a worker remembers, and the longest such word.
-_KNOWN, _LONGEST = 300_000, 64
+#: Words, and pieces, whose ids a worker remembers, and the longest such word.
+_KNOWN, _LONGEST = 400_000, 64
 _HOLD = 4096
 _ID, _NO = (1 << 20) - 1, 1 << 62
 
@@ -131,21 +131,15 @@ class Encoder:
         self.odd = regex.compile(rf" (?=[{_SPACE}]|\Z)")
         self.spans = regex.compile("|".join(map(regex.escape, sorted(table.special, key=len, reverse=True))) or r"(?!)")
         self.border = regex.compile(rf"(?r) (?=[^{_SPACE}])")
-        self.first, self.rest = _Known(self, ""), _Known(self, " ")
-
-    def piece(self, p: str) -> list[int]:
-        data = p.encode("utf-8", "surrogatepass")
-        if len(data) <= _CHUNK:
-            return self.table.merge(data)
-        t = Transducer(self.table)
-        return [*t.feed(data), *t.finish()]
+        self.known = _Pieces(table)
+        self.first, self.rest = _Words(self, ""), _Words(self, " ")
 
     def plain(self, text: str) -> list[int]:
         """Ids of a text without special tokens. A blank before a non-blank always starts a piece, so words stand alone."""
         if not text:
             return []
         if self.odd.search(text):
-            return list(chain.from_iterable(self.piece(m.group()) for m in self.pieces.finditer(text)))
+            return list(chain.from_iterable(map(self.known.__getitem__, (m.group() for m in self.pieces.finditer(text)))))
         head, *tail = text.split(" ")
         return [*self.first[head], *chain.from_iterable(map(self.rest.__getitem__, tail))]
 
@@ -185,14 +179,36 @@ class Encoder:
         yield from self.encode(held)
 
 
-class _Known(dict):
+class _Pieces(dict):
+    """Ids of pieces; long ones are worked out each time."""
+
+    def __init__(self, table: MergeTable) -> None:
+        super().__init__()
+        self.table = table
+
+    def __missing__(self, piece: str) -> list[int]:
+        data = piece.encode("utf-8", "surrogatepass")
+        if len(data) > _CHUNK:
+            t = Transducer(self.table)
+            return [*t.feed(data), *t.finish()]
+        ids = self.table.merge(data)
+        if len(data) <= _LONGEST:
+            if len(self) >= _KNOWN:
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
+class _Words(dict):
+    """Ids of what stands between two blanks, with the blank before it."""
+
     def __init__(self, encoder: Encoder, before: str) -> None:
         super().__init__()
         self.encoder, self.before = encoder, before
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        e = self.encoder
-        ids = tuple(chain.from_iterable(e.piece(m.group()) for m in e.pieces.finditer(self.before + word)))
+    def __missing__(self, word: str) -> list[int]:
+        e, text = self.encoder, self.before + word
+        ids = e.known[text] if word.isalpha() else [i for p in e.pieces.findall(text) for i in e.known[p]]
         if len(word) <= _LONGEST:
             if len(self) >= _KNOWN:
                 self.clear()
