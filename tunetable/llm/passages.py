@@ -43,8 +43,10 @@ LEAST, RUN = 50, 16
 SPREAD = LEAST - RUN + 1
 #: Other documents on either side in the sorted order with which a suffix is compared.
 NEAR = 6
+_CHUNK = 4096
 _DOC = ["late", "doc", "mark"]
-_HEAVY = "right binary, late boolean, doc long, mark long, pos int, before binary, n_right int, n_before int"
+_CONTEXT = ["right", *_DOC, "before", "n_right", "n_before", "positions"]
+_HEAVY = "right binary, late boolean, doc long, mark long, before binary, n_right int, n_before int, positions array<int>"
 
 
 def minimisers(g: np.ndarray) -> np.ndarray:
@@ -98,26 +100,57 @@ def _shared(batches):
 
 
 def _contexts(batches):
-    """For each kept position of a document its words to the right and, nearest first, to the left."""
+    """The words to the right and, nearest first, to the left of a document's kept positions; positions with equal words on both sides share a row."""
     hasher = WordHasher()
     for b in batches:
         for i in range(b.num_rows):
             w = hasher(words(b.column("text")[i].as_py())).astype(">u4")
             at = np.sort(b.column("positions")[i].values.to_numpy())
-            n_right, n_before = np.minimum(LEAST, len(w) - at), np.minimum(LEAST, at)
+            ends = np.stack([np.minimum(LEAST, len(w) - at), np.minimum(LEAST, at)], 1).astype(">u4")
             padded = np.r_[np.zeros(LEAST, dtype=">u4"), w, np.zeros(LEAST, dtype=">u4")]
-            right = padded[at[:, None] + np.arange(LEAST, 2 * LEAST)]
-            before = padded[at[:, None] + np.arange(LEAST - 1, -1, -1)]
-            for k in range(0, len(at), 4096):
-                s = slice(k, k + 4096)
-                binary = [pa.array(np.ascontiguousarray(x[s]).view(f"V{4 * LEAST}").ravel().tolist(), pa.binary()) for x in (right, before)]
-                n = len(at[s])
-                own = [pa.array([b.column(c)[i].as_py()] * n, b.column(c).type) for c in _DOC]
-                yield pa.RecordBatch.from_arrays([binary[0], *own, pa.array(at[s].astype(np.int32)), binary[1], pa.array(n_right[s].astype(np.int32)), pa.array(n_before[s].astype(np.int32))],
-                                                 names=["right", *_DOC, "pos", "before", "n_right", "n_before"])
+            for k in range(0, len(at), _CHUNK):
+                p = at[k:k + _CHUNK]
+                rows = np.hstack([padded[p[:, None] + np.arange(LEAST, 2 * LEAST)], padded[p[:, None] + np.arange(LEAST - 1, -1, -1)], ends[k:k + _CHUNK]])
+                same, of = np.unique(np.ascontiguousarray(rows, dtype=">u4").view(f"V{rows.shape[1] * 4}").ravel(), return_inverse=True)
+                raw, n = same.tolist(), len(same)
+                order = np.argsort(of, kind="stable")
+                at_of = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.bincount(of))].astype(np.int32)), pa.array(p[order].astype(np.int32)))
+                sizes = np.frombuffer(b"".join(x[-8:] for x in raw), dtype=">u4").reshape(-1, 2).astype(np.int32)
+                side = 4 * LEAST
+                yield pa.RecordBatch.from_arrays([pa.array([x[:side] for x in raw], pa.binary()), *(pa.array([b.column(c)[i].as_py()] * n, b.column(c).type) for c in _DOC),
+                                                  pa.array([x[side:-8] for x in raw], pa.binary()), pa.array(sizes[:, 0]), pa.array(sizes[:, 1]), at_of], names=_CONTEXT)
+
+
+_MATCH = "late boolean, doc long, mark long, before_words int, after_words int, other_late boolean, other long, at array<int>, " + _HEAVY.replace("late ", "e_late ").replace(" doc ", " e_doc ").replace(" mark ", " e_mark ")
+_MATCHED = ["late", "doc", "mark", "before_words", "after_words", "other_late", "other", "at"]
+
+
+def _matched(rows, right, before, late, doc, mark, n_right, n_before, block, first, after):
+    """Of the given rows: row, matching row, matched words before and after; of equal spans the one with the earliest other document."""
+    n, i, j, down, up = len(doc), [], [], rows, rows
+    for _ in range(NEAR):
+        down = np.where(down >= 0, first[block[down]] - 1, -1)
+        up = np.where(up < n, after[block[np.minimum(up, n - 1)]], n)
+        for x in (down, up):
+            inside = (x >= 0) & (x < n)
+            i.append(rows[inside])
+            j.append(x[inside])
+    i, j = np.concatenate(i), np.concatenate(j)
+    other = np.logical_or.reduce([x[i] != x[j] for x in (late, doc, mark)])
+    i, j = i[other], j[other]
 
+    def length(x, have):
+        same = np.logical_and.accumulate(x[i] == x[j], axis=1).sum(axis=1)
+        return np.minimum(same, np.minimum(have[i], have[j]))
 
-_MATCH = "late boolean, doc long, mark long, start int, stop int, other_late boolean, other long, " + _HEAVY.replace("late ", "e_late ").replace(" doc ", " e_doc ").replace(" mark ", " e_mark ")
+    r, b = length(right, n_right), length(before, n_before)
+    enough = (r + b >= LEAST) & (r >= RUN)
+    i, j, r, b = i[enough], j[enough], r[enough], b[enough]
+    order = np.lexsort((doc[j], late[j], r, b, i))
+    i, j, r, b = i[order], j[order], r[order], b[order]
+    new = np.ones(len(i), dtype=bool)
+    new[1:] = (i[1:] != i[:-1]) | (b[1:] != b[:-1]) | (r[1:] != r[:-1])
+    return i[new], j[new], b[new], r[new]
 
 
 def _compared(batches):
@@ -127,38 +160,18 @@ def _compared(batches):
         return
     n = t.num_rows
     right, before = (np.frombuffer(b"".join(t[c].to_pylist()), dtype=">u4").reshape(n, LEAST) for c in ("right", "before"))
-    late, doc, mark, pos, n_right, n_before = (t[c].to_numpy() for c in (*_DOC, "pos", "n_right", "n_before"))
+    late, doc, mark, n_right, n_before = (t[c].to_numpy() for c in (*_DOC, "n_right", "n_before"))
     block = np.cumsum(_documents(t)) - 1
     first = np.flatnonzero(_documents(t))
     after = np.r_[first[1:], n]
-    i, j, down, up = [], [], np.arange(n), np.arange(n)
-    for _ in range(NEAR):
-        down = np.where(down >= 0, first[block[down]] - 1, -1)
-        up = np.where(up < n, after[block[np.minimum(up, n - 1)]], n)
-        for x in (down, up):
-            at = np.flatnonzero((x >= 0) & (x < n))
-            i.append(at)
-            j.append(x[at])
-    i, j = np.concatenate(i), np.concatenate(j)
-    other = np.logical_or.reduce([x[i] != x[j] for x in (late, doc, mark)])
-    i, j = i[other], j[other]
-
-    def matched(x, have):
-        same = np.logical_and.accumulate(x[i] == x[j], axis=1).sum(axis=1)
-        return np.minimum(same, np.minimum(have[i], have[j]))
-
-    r, b = matched(right, n_right), matched(before, n_before)
-    enough = (r + b >= LEAST) & (r >= RUN)
-    i, j, r, b = i[enough], j[enough], r[enough], b[enough]
-    own, far = np.r_[i, j], np.r_[j, i]
-    start, stop = pos[own] - np.r_[b, b], pos[own] + np.r_[r, r]
-    heavy = ["right", *_DOC, "pos", "before", "n_right", "n_before"]
-    names = ["late", "doc", "mark", "start", "stop", "other_late", "other", "right", "e_late", "e_doc", "e_mark", "pos", "before", "n_right", "n_before"]
-    yield pa.RecordBatch.from_arrays([pa.array(late[own]), pa.array(doc[own]), pa.array(mark[own]), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32)), pa.array(late[far]), pa.array(doc[far]),
-                                      *(pa.nulls(len(own), t.schema.field(c).type) for c in heavy)], names=names)
-    ends = t.select(heavy).filter(pa.array((block < NEAR) | (block > block[-1] - NEAR))).combine_chunks().to_batches()
-    for e in ends:
-        none = [pa.nulls(e.num_rows, k) for k in (pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64())]
+    best = [_matched(np.arange(at, min(at + _CHUNK, n)), right, before, late, doc, mark, n_right, n_before, block, first, after) for at in range(0, n, _CHUNK)]
+    own, far, b, r = (np.concatenate(x) for x in zip(*best, strict=True))
+    own_positions = t["positions"].take(pa.array(own)).combine_chunks()
+    nothing = [pa.nulls(len(own), t.schema.field(c).type) for c in _CONTEXT]
+    names = [*_MATCHED, "right", "e_late", "e_doc", "e_mark", "before", "n_right", "n_before", "positions"]
+    yield pa.RecordBatch.from_arrays([pa.array(late[own]), pa.array(doc[own]), pa.array(mark[own]), pa.array(b.astype(np.int32)), pa.array(r.astype(np.int32)), pa.array(late[far]), pa.array(doc[far]), own_positions, *nothing], names=names)
+    for e in t.select(_CONTEXT).filter(pa.array((block < NEAR) | (block > block[-1] - NEAR))).combine_chunks().to_batches():
+        none = [pa.nulls(e.num_rows, k) for k in (pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), t.schema.field("positions").type)]
         yield pa.RecordBatch.from_arrays([*none, *e.columns], names=names)
 
 
@@ -166,16 +179,17 @@ def matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """``(late, doc, mark, start, stop, other_late, other)``: words start to stop of a document that another one holds too."""
     rows = ready(docs).select(F.col(id_col).isNull().alias("late"), F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("doc"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
     order = ["h", *_DOC, "pos"]
-    found = rows.mapInArrow(_suffixes, "h long, late boolean, doc long, mark long, pos int").repartitionByRange(*order).sortWithinPartitions(*order)
+    found = stored(rows.mapInArrow(_suffixes, "h long, late boolean, doc long, mark long, pos int"), "passage-all")  # ranges are found by a pass of their own
+    found = found.repartitionByRange(*order).sortWithinPartitions(*order)
     kept = stored(found.mapInArrow(_shared, "late boolean, doc long, mark long, pos int"), "passage-suffixes")
     kept = kept.groupBy(*_DOC).agg(F.collect_set("pos").alias("positions"))  # bounded by the document's suffixes
-    order = ["right", *_DOC, "pos"]
+    order = ["right", *_DOC, "before"]
     heavy = rows.join(kept, _DOC).dropDuplicates(_DOC).mapInArrow(_contexts, _HEAVY)
     out = stored(heavy.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_compared, _MATCH), "passage-matches")
-    names = ["late", "doc", "mark", "start", "stop", "other_late", "other"]
-    ends = out.filter("e_doc IS NOT NULL").select("right", *(F.col(f"e_{c}").alias(c) for c in _DOC), "pos", "before", "n_right", "n_before")
-    more = ends.repartition(1).sortWithinPartitions(*order).mapInArrow(_compared, _MATCH)
-    return out.unionByName(more).filter("doc IS NOT NULL").select(*names)
+    ends = out.filter("e_doc IS NOT NULL").select("right", *(F.col(f"e_{c}").alias(c) for c in _DOC), *_CONTEXT[4:])
+    more = ends.repartition(1).sortWithinPartitions(*order).mapInArrow(_compared, _MATCH)  # a few documents of each range
+    found = out.select(*_MATCHED).unionByName(more.select(*_MATCHED)).filter("doc IS NOT NULL").withColumn("p", F.explode("at"))
+    return found.select(*_DOC, (F.col("p") - F.col("before_words")).alias("start"), (F.col("p") + F.col("after_words")).alias("stop"), "other_late", "other")
 
 
 def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
