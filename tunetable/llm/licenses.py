@@ -30,7 +30,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, stored
 
 # The usual one-line notices.
 TEMPLATES = {
@@ -116,7 +116,7 @@ def scan(files: DataFrame, path: Column, text_col: str = "text", keep: tuple[str
     share = F.aggregate("__notices", F.lit(0), lambda acc, s: acc + s["terms"]) >= F.lit(FILE_SHARE) * F.col("__n")
     rows = rows.select(*keep, "path", own.alias("own_license"), top.alias("score"), F.size("__notices").alias("n_notices"),
                        (own.isNotNull() & (share | F.coalesce(F.col("path").rlike(_FILE), F.lit(False)))).alias("is_license_file"))
-    rows = rows.withColumn("__dir", F.regexp_replace("path", r"/?[^/]*$", ""))
+    rows = stored(rows.withColumn("__dir", F.regexp_replace("path", r"/?[^/]*$", "")), "license-rows")  # without texts; read three times below
 
     stated = rows.filter("is_license_file AND path IS NOT NULL").groupBy("__dir", "own_license").agg(F.count("*").alias("n"))
     of_dir = stated.groupBy("__dir").agg(F.min(F.struct((-F.col("n")).alias("n"), "own_license"))["own_license"].alias("inherited_license"))
