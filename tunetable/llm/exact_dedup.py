@@ -83,7 +83,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     compared = texts.groupBy("address", "sha", "norm").agg(F.count("*").alias("n")).groupBy("address", F.unhex("sha").alias("sha")).agg(F.count("*").alias("texts"))
     checked = index.join(compared, ["address", "sha"], "left").withColumn(
         "group_size", F.when(F.coalesce("texts", F.lit(1)) == 1, F.col("group_size")).otherwise(F.raise_error(F.lit("texts of equal SHA-256 differ"))))
-    out = rows.join(checked, ["address", "sha"])
+    out = rows.join(stored(checked, "exact-checked"), ["address", "sha"])  # a plain join, of which Spark can split a hot group
     return out.select("doc_id", F.col("head.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("head.row")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"), "bucket")
 
 
