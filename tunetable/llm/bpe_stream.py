@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import codecs
 import json
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from hashlib import sha256
 from itertools import chain
 
@@ -35,8 +35,8 @@ _SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 _PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
 #: Bytes that wait at most before the transducer works on them, beside its lookahead.
 _CHUNK = 2048
-#: Words, and pieces, whose ids a worker remembers, and the longest such word.
-_KNOWN, _LONGEST = 400_000, 64
+#: Words, and pieces, whose ids a worker remembers for now, and the longest such word.
+_KNOWN, _LONGEST = 300_000, 64
 _HOLD = 4096
 _ID, _NO = (1 << 20) - 1, 1 << 62
 
@@ -63,6 +63,7 @@ class MergeTable:
         symbols = byte_symbols()
         back = {c: b for b, c in enumerate(symbols)}
         self.bytes_of: dict[int, bytes] = {i: bytes(back[c] for c in t) for t, i in vocab.items()}
+        self.ids = list(range(max(vocab.values()) + 1))
         self.start = [vocab.get(c) for c in symbols]
         self.pairs: dict[tuple[int, int], tuple[int, int]] = {}
         for rank, pair in enumerate(spec["model"]["merges"]):
@@ -95,7 +96,7 @@ class MergeTable:
                 steps[i - 1] = get(ids[i - 1] << 20 | new, _NO)
             if i < len(steps):
                 steps[i] = get(new << 20 | ids[i + 1], _NO)
-        return ids
+        return list(map(self.ids.__getitem__, ids))  # one object per id, however many words hold it
 
 
 class Transducer:
@@ -131,8 +132,21 @@ class Encoder:
         self.odd = regex.compile(rf" (?=[{_SPACE}]|\Z)")
         self.spans = regex.compile("|".join(map(regex.escape, sorted(table.special, key=len, reverse=True))) or r"(?!)")
         self.border = regex.compile(rf"(?r) (?=[^{_SPACE}])")
-        self.known = _Pieces(table)
-        self.first, self.rest = _Words(self, ""), _Words(self, " ")
+        self.known = _Remembered(self.piece)
+        self.first, self.rest = _Remembered(self.word), _Remembered(lambda w: self.word(" " + w))
+
+    def piece(self, piece: str) -> list[int]:
+        data = piece.encode("utf-8", "surrogatepass")
+        if len(data) <= _CHUNK:
+            return self.table.merge(data)
+        t = Transducer(self.table)
+        return [*t.feed(data), *t.finish()]
+
+    def word(self, word: str) -> list[int]:
+        """Ids of what stands between two blanks, with the blank before it."""
+        if word.lstrip(" ").isalpha():
+            return self.known[word]
+        return [i for p in self.pieces.findall(word) for i in self.known[p]]
 
     def plain(self, text: str) -> list[int]:
         """Ids of a text without special tokens. A blank before a non-blank always starts a piece, so words stand alone."""
@@ -153,6 +167,12 @@ class Encoder:
             at = m.end()
         return out + self.plain(text[at:] if at else text)
 
+    def forget(self) -> None:
+        """Give back what words take, so that a worker between tasks holds the tables only."""
+        for known in (self.known, self.first, self.rest):
+            known.clear()
+            known.older = {}
+
     def encode_parts(self, parts: Iterable[str]) -> Iterator[int]:
         """Ids of the text that the parts make together, as soon as they are final.
 
@@ -179,41 +199,24 @@ class Encoder:
         yield from self.encode(held)
 
 
-class _Pieces(dict):
-    """Ids of pieces; long ones are worked out each time."""
-
-    def __init__(self, table: MergeTable) -> None:
-        super().__init__()
-        self.table = table
-
-    def __missing__(self, piece: str) -> list[int]:
-        data = piece.encode("utf-8", "surrogatepass")
-        if len(data) > _CHUNK:
-            t = Transducer(self.table)
-            return [*t.feed(data), *t.finish()]
-        ids = self.table.merge(data)
-        if len(data) <= _LONGEST:
-            if len(self) >= _KNOWN:
-                self.clear()
-            self[piece] = ids
-        return ids
-
-
-class _Words(dict):
-    """Ids of what stands between two blanks, with the blank before it."""
+class _Remembered(dict):
+    """What ``make`` gives for a key. At ``_KNOWN`` keys the dictionary becomes the older one, from which keys that are still in use come back."""
 
-    def __init__(self, encoder: Encoder, before: str) -> None:
+    def __init__(self, make: Callable[[str], list[int]]) -> None:
         super().__init__()
-        self.encoder, self.before = encoder, before
+        self.make, self.older = make, {}
 
-    def __missing__(self, word: str) -> list[int]:
-        e, text = self.encoder, self.before + word
-        ids = e.known[text] if word.isalpha() else [i for p in e.pieces.findall(text) for i in e.known[p]]
-        if len(word) <= _LONGEST:
-            if len(self) >= _KNOWN:
-                self.clear()
-            self[word] = ids
-        return ids
+    def __missing__(self, key: str) -> list[int]:
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+            if len(key) > _LONGEST:
+                return value
+        if len(self) >= _KNOWN:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+        return value
 
 
 class Decoder:
@@ -253,6 +256,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
         for b in batches:
             ids = [e.encode(t.as_py()) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], names=[id_col, "ids"])
+        e.forget()
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
@@ -289,6 +293,7 @@ def token_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
                 rows.append((len(ids), sha256(",".join(map(decimal.__getitem__, ids)).encode()).hexdigest(), back.hexdigest()))
             n, i, t = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(i, pa.string()), pa.array(t, pa.string())], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+        e.forget()
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
