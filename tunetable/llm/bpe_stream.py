@@ -36,7 +36,7 @@ _PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p
 #: Bytes that wait at most before the transducer works on them, beside its lookahead.
 _CHUNK = 2048
 #: Words, and pieces, whose ids a worker remembers for now, and the longest such word.
-_KNOWN, _LONGEST = 300_000, 64
+_KNOWN, _LONGEST = 200_000, 64
 _HOLD = 4096
 _ID, _NO = (1 << 20) - 1, 1 << 62
 
