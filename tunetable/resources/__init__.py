@@ -13,11 +13,18 @@ TOKENIZER_FILE = os.path.join(_HERE, "bpe_lower_basic.json")
 SPECIALS = ("[STOP]", "[UNK]", "[SPACE]")
 # Character set of a lowercase speech vocabulary: a-z and these marks.
 MARKS = "!'(),-./:;?"
-# Our own merge list (common English pairs), lowest rank first.
-MERGES = ("t h", "th e", "i n", "e r", "a n", "o n", "r e", "e n", "a t", "o u",
-          "e s", "in g", "an d", "o r", "i s", "t o", "e d", "a r", "i t", "a l",
-          "s t", "l e", "o f", "h e", "h a", "n d", "s e", "m e", "w h", "l y",
-          "c h", "i on", "t ion", "e a", "v e", "c e", "d e", "r o", "l l", "en t")
+_VOWELS, _CLOSERS = "aeiou", "nrst"
+
+
+def syllable_merges() -> tuple[str, ...]:
+    """The merge list, by rule: every consonant with every vowel in alphabetical
+    order, then each of these open syllables with each closing consonant."""
+    consonants = [c for c in "abcdefghijklmnopqrstuvwxyz" if c not in _VOWELS]
+    opened = [(c, v) for c in consonants for v in _VOWELS]
+    return tuple(f"{c} {v}" for c, v in opened) + tuple(f"{c}{v} {z}" for c, v in opened for z in _CLOSERS)
+
+
+MERGES = syllable_merges()
 
 
 def build_tokenizer_spec(alphabet: str, merges, specials=SPECIALS) -> dict:

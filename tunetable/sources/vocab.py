@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,8 +15,12 @@ _SCHEMA = ("added_tokens array<struct<id:int,content:string,special:boolean>>, "
 
 def read_vocab(spark: SparkSession, path: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Explode a tokenizer JSON into (vocab, merges); the packaged one when no path is given."""
-    path = path or default_tokenizer_path()
-    raw = spark.read.schema(_SCHEMA).option("multiLine", "true").json(path)
+    if path is None:  # a file of fixed size beside the code, which executors need not see
+        with open(default_tokenizer_path(), encoding="utf-8") as f:
+            spec = json.load(f)
+        raw = spark.createDataFrame([(spec["added_tokens"], spec["model"])], _SCHEMA)
+    else:
+        raw = spark.read.schema(_SCHEMA).option("multiLine", "true").json(path)
     vocab = raw.select(F.explode("model.vocab").alias("token", "id"))
     specials = raw.select(F.explode("added_tokens").alias("t")).select(
         F.col("t.content").alias("token"), F.col("t.id").alias("id"))
