@@ -60,10 +60,15 @@ def pack_blocks(df: DataFrame, tokens: str, order, block: int = 1024, id_col: st
     d = d.filter(F.col("__n") > 0)
     first = idiv(F.col("__off"), F.lit(block))
     last = idiv(F.col("__off") + F.col("__n") - 1, F.lit(block))
-    d = d.withColumn("block_id", F.explode(F.sequence(first, last)))
-    start = F.greatest(F.col("block_id") * block - F.col("__off"), F.lit(0))
-    end = F.least((F.col("block_id") + 1) * block - F.col("__off"), F.col("__n"))
-    d = d.withColumn("__piece", F.slice("__tok", (start + 1).cast("int"), (end - start).cast("int")))
+
+    def piece(k):
+        start = F.greatest(k * block - F.col("__off"), F.lit(0))
+        end = F.least((k + 1) * block - F.col("__off"), F.col("__n"))
+        return F.struct(k.alias("block_id"), F.slice("__tok", (start + 1).cast("int"), (end - start).cast("int")).alias("p"))
+
+    # cut inside the row, so each block's row carries its own slice only
+    d = d.select(id_col, "__off", F.explode(F.transform(F.sequence(first, last), piece)).alias("__x"))
+    d = d.select(id_col, "__off", F.col("__x.block_id").alias("block_id"), F.col("__x.p").alias("__piece"))
     g = d.groupBy("block_id").agg(
         F.sort_array(F.collect_list(F.struct(F.col("__off"), F.col(id_col).alias("doc"),
                                              F.col("__piece").alias("p")))).alias("__parts"))

@@ -20,7 +20,8 @@ def trim_calm_run_table(df: DataFrame, seq: str, pos: str, code: str, calm: int
     ``pos - row_number`` is constant)."""
     is_calm = F.col(code) == calm
     by_kind = Window.partitionBy(seq, is_calm).orderBy(pos)
-    d = df.withColumn("__island", F.col(pos) - F.row_number().over(by_kind))
+    # one shuffle by sequence serves all three windows
+    d = df.repartition(seq).withColumn("__island", F.col(pos) - F.row_number().over(by_kind))
     in_run = Window.partitionBy(seq, is_calm, "__island").orderBy(pos)
     d = d.withColumn("__run_pos", F.when(is_calm, F.row_number().over(in_run)))
     cut = F.min(F.when(F.col("__run_pos") == run + 1, F.col(pos))).over(Window.partitionBy(seq))
