@@ -60,12 +60,14 @@ def apply_adapter(vectors: DataFrame, base: DataFrame, adapters: DataFrame, alph
 
     ``base``: ``(row, values)`` rows of W (out x in). ``adapters``:
     ``(adapter_id, lora_A, lora_B)``. Many adapters share one pass: each Arrow
-    batch is grouped by adapter id and multiplied with NumPy.
+    batch is grouped by adapter id and multiplied with NumPy. Ids may be of any
+    type; a row whose id is null or names no adapter gets a null output, never
+    the base output.
     """
     brows = collect_bounded(base.select("row", "values").orderBy("row"), max_rows, "base matrix")
     W = np.array([np.asarray(x["values"], dtype=np.float64) for x in brows])
     arows = collect_bounded(adapters.select(adapter_col, "lora_A", "lora_B"), 100_000, "adapters")
-    ad = {int(x[adapter_col]): (np.asarray(x["lora_A"], dtype=np.float64), np.asarray(x["lora_B"], dtype=np.float64))
+    ad = {x[adapter_col]: (np.asarray(x["lora_A"], dtype=np.float64), np.asarray(x["lora_B"], dtype=np.float64))
           for x in arows}
     scale = float(alpha) / float(r)
     bc = vectors.sparkSession.sparkContext.broadcast((W, ad))
@@ -76,14 +78,13 @@ def apply_adapter(vectors: DataFrame, base: DataFrame, adapters: DataFrame, alph
             ids = b.column(0)
             from .codes import valid_matrix
             valid, X = valid_matrix(b.column(1), W_.shape[1])
-            aid_col = b.column(2).fill_null(-1)
-            aid = aid_col.to_numpy(zero_copy_only=False)[valid]
+            known = np.array([a in ad_ for a in b.column(2).to_pylist()], dtype=bool)
+            X, valid = X[known[valid]], valid & known
+            aid = np.array([a for a, v in zip(b.column(2).to_pylist(), valid) if v], dtype=object)
             Y = X @ W_.T
-            for a in np.unique(aid):
-                if int(a) not in ad_:
-                    continue
+            for a in set(aid):
                 m = aid == a
-                A, B = ad_[int(a)]
+                A, B = ad_[a]
                 Y[m] += scale * ((X[m] @ A.T) @ B.T)
             k = W_.shape[0]
             full = np.zeros((len(b), k))
@@ -131,9 +132,10 @@ def fit_adapter(spark: SparkSession, data: DataFrame, base: DataFrame, r: int =
     A = rng.normal(0.0, 0.01, size=(r, d))
     B = np.zeros((k, r))
     scale = float(alpha) / float(r)
-    # an example needs a vector of the base width and a label the head knows
-    usable = (F.size("x") == d) & F.col("y").between(0, k - 1)
-    src = (data.select(F.col(vec_col).alias("x"), F.col(label_col).cast("int").alias("y"))
+    # an example needs a vector of the base width and a label that a base row has
+    place = F.array_position(F.array(*(F.lit(int(x["row"])) for x in brows)), F.col(label_col).cast("int")) - 1
+    usable = (F.size("x") == d) & (F.col("y") >= 0)
+    src = (data.select(F.col(vec_col).alias("x"), place.cast("int").alias("y"))
            .filter(F.coalesce(usable, F.lit(False))).persist())
     n_total = src.count()
     if n_total == 0:
@@ -209,7 +211,7 @@ def _blocks(list_arr, block):
 def quantise_blocks(arr, block: int = 64):
     """Column of ``struct<codes array<tinyint>, scale_codes array<smallint>, scale_max double>``.
 
-    Each block of ``block`` values keeps its absmax as scale and one 4-bit
+    A null array stays null. Each block of ``block`` values keeps its absmax as scale and one 4-bit
     NF4 level per value; the scales are themselves quantised to 8 bits
     against the row's largest scale (double quantisation).
     """
@@ -227,10 +229,11 @@ def quantise_blocks(arr, block: int = 64):
             smax = np.zeros(len(lengths))
             np.maximum.at(smax, row_blk, absmax) if nb else None
             sq = np.rint(255.0 * absmax / np.where(smax[row_blk] > 0, smax[row_blk], 1.0)).astype(np.int16)
+            gone = a.is_null() if not isinstance(a, pa.ChunkedArray) else a.combine_chunks().is_null()
             codes_arr = pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(codes, pa.int8()))
             sc_arr = pa.ListArray.from_arrays(pa.array(blk_off.astype(np.int32)), pa.array(sq, pa.int16()))
             yield pa.StructArray.from_arrays([codes_arr, sc_arr, pa.array(smax)],
-                                             names=["codes", "scale_codes", "scale_max"])
+                                             names=["codes", "scale_codes", "scale_max"], mask=gone)
 
     udf = F.arrow_udf(run, "struct<codes:array<tinyint>,scale_codes:array<smallint>,scale_max:double>")
     return udf(F.col(arr) if isinstance(arr, str) else arr)
@@ -250,7 +253,7 @@ def dequantise_blocks(q, block: int = 64):
             row_blk = np.repeat(np.arange(len(lengths)), nblk)
             scale = svals / 255.0 * smax[row_blk]
             out = NF4_LEVELS[cvals.astype(np.int64)] * scale[blk]
-            yield pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(out))
+            yield pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(out), mask=s.is_null())
 
     udf = F.arrow_udf(run, "array<double>")
     return udf(F.col(q) if isinstance(q, str) else q)

@@ -74,7 +74,8 @@ def assign_codes(vectors: DataFrame, codebook: DataFrame, id_col: str = "vec_id"
                 xs = x[lo:lo + step]
                 approx = (xs * xs).sum(axis=1)[:, None] - 2.0 * (xs @ book_.T) + bsq[None, :]
                 best = approx.min(axis=1)
-                tol = 1e-9 * np.maximum(1.0, np.abs(best))
+                # rounding grows with the norms that cancel, not with the distance that is left
+                tol = 1e-9 * np.maximum(1.0, np.abs(best)) + 1e-12 * ((xs * xs).sum(axis=1) + bsq.max())
                 # exact re-scoring of every (row, code) pair within rounding of the row's best
                 rows, cand = np.nonzero(approx <= (best + tol)[:, None])
                 diff = xs[rows] - book_[cand]

@@ -76,10 +76,14 @@ def softmax(df: DataFrame, group, score: str, temperature: float = 1.0, out: str
     """Numerically stable softmax of ``score / temperature`` inside each group.
 
     ``log_out`` also keeps the log-probability, computed as a log-softmax
-    (finite even where the probability underflows to 0).
+    (finite even where the probability underflows to 0). A score that is not
+    a finite number counts as missing: its probability is null and it takes
+    no part in the group's sum.
     """
     w = Window.partitionBy(*_groups(group))
-    z = col_of(score).cast("double") / F.lit(float(temperature))
+    raw = col_of(score).cast("double")
+    usable = ~F.isnan(raw) & (F.abs(raw) < F.lit(float("inf")))
+    z = F.when(usable, raw) / F.lit(float(temperature))
     d = (df.withColumn("__z", z)
          .withColumn("__zs", F.col("__z") - F.max("__z").over(w))
          .withColumn("__e", F.exp("__zs"))
@@ -94,8 +98,9 @@ def nucleus_filter(df: DataFrame, group, score: str, token: str, p: float = 0.8,
                    temperature: float = 0.8) -> DataFrame:
     """Top-p: keep the smallest most-probable prefix whose mass reaches ``p``.
 
-    The crossing token is kept, so a group never empties. Ties on probability
-    go to the lower token id.
+    The crossing token is kept, so a group with a finite score never empties;
+    tokens without one are left out. Ties on probability go to the lower
+    token id.
     """
     g = _groups(group)
     d = softmax(df, g, score, temperature)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -88,7 +91,9 @@ def conditioning_candidates(df: DataFrame, group, id_col: str, k, width: int = 1
         narrow = narrow.withColumn("__h", F.xxhash64(F.lit(seed), F.col(id_col)))
         idx = row_index(narrow, ["__h", id_col], hash_bucket("__h", 16), group, out="__rn").drop("__h")
     counts = df.groupBy(*group).agg(F.count(F.lit(1)).alias("__cnt"))
-    d = idx.join(counts, group)
+    counts = counts.withColumnsRenamed({g: f"__g_{g}" for g in group})
+    same = reduce(and_, (idx[g].eqNullSafe(counts[f"__g_{g}"]) for g in group))
+    d = idx.join(counts, same).drop(*(f"__g_{g}" for g in group))
     c = idiv(F.col("__rn"), F.lit(chunk))
     last = idiv(F.col("__cnt") - 1, F.lit(chunk))
     copy = lambda home, pos, native, valid: F.struct(

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import col_of, idiv
 from ..functions.lengths import cadence_flag
@@ -18,25 +22,35 @@ CADENCE = {"save_checkpoint": 100, "validate": 100, "visuals": 100, "log": 500}
 def latency_summary(df: DataFrame, group, order, seconds: str = "seconds", warmup: int = 2) -> DataFrame:
     """Per group: drop the first ``warmup`` requests in ``order``, then count, total and mean seconds.
 
-    The warm-up rows come from a per-group top-``warmup`` (a map-side
+    The last warm-up row comes from a per-group top-``warmup`` (a map-side
     ``WindowGroupLimit``: at most ``warmup`` rows per group leave each map
-    task); totals are partially aggregated; the two per-group results are
-    joined. No window ever holds a whole group.
+    task). Rows after it are summed themselves, never a total minus the
+    warm-up, so large or infinite warm-up values leave no trace. Rows with
+    equal order are taken by their seconds; of rows equal in both, as many as
+    belong to the warm-up are left out. No window ever holds a whole group.
     """
     g = [group] if isinstance(group, str) else list(group)
     order = [order] if isinstance(order, str) else list(order)
-    w = Window.partitionBy(*g).orderBy(*order)
-    warm = (df.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") <= warmup)
-            .groupBy(*g).agg(F.count(F.lit(1)).alias("__wn"), F.count(seconds).alias("__wv"),
-                             F.sum(seconds).alias("__ws")))
-    allr = df.groupBy(*g).agg(F.count(F.lit(1)).alias("__n"), F.count(seconds).alias("__v"),
-                              F.sum(seconds).alias("__s"))
-    j = allr.join(warm, g, "left")
-    n = F.col("__n") - F.coalesce(F.col("__wn"), F.lit(0))
-    recorded = F.col("__v") - F.coalesce(F.col("__wv"), F.lit(0))
-    tot = F.col("__s") - F.coalesce(F.col("__ws"), F.lit(0))
+    keyed = df.select(*g, F.struct(*(col_of(o).alias(f"o{i}") for i, o in enumerate(order)), col_of(seconds).alias("s")).alias("__k"))
+    w = Window.partitionBy(*g).orderBy("__k")
+    warm = keyed.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") <= warmup)
+    warm = warm.groupBy(*g).agg(F.max("__k").alias("__last"), F.collect_list("__k").alias("__warm"))  # at most ``warmup`` values
+    warm = warm.withColumn("__at_last", F.size(F.filter("__warm", lambda k: k.eqNullSafe(F.col("__last"))))).drop("__warm")
+    warm = warm.withColumnsRenamed({c: f"__g_{c}" for c in g})
+    j = keyed.join(warm, reduce(and_, (keyed[c].eqNullSafe(warm[f"__g_{c}"]) for c in g)), "left")
+    after = F.coalesce(F.col("__k") > F.col("__last"), F.lit(True))
+    equal = F.coalesce(F.col("__k").eqNullSafe(F.col("__last")), F.lit(False))
+    sec = F.col("__k.s")
+    a = j.groupBy(*g).agg(
+        F.count(F.when(after, 1)).alias("__n"), F.count(F.when(after, sec)).alias("__v"), F.sum(F.when(after, sec)).alias("__s"),
+        (F.count(F.when(equal, 1)) - F.coalesce(F.max("__at_last"), F.lit(0))).alias("__left"), F.max(F.when(equal, sec)).alias("__tie"))
+    kind = a.schema["__s"].dataType
+    left = F.when(F.col("__tie").isNull(), F.lit(0)).otherwise(F.col("__left"))
+    recorded = F.col("__v") + left
+    tie = F.when(left > 0, F.col("__tie") * left).otherwise(F.lit(0)).cast(kind)
+    tot = (F.coalesce("__s", F.lit(0).cast(kind)) + tie).cast(kind)
     # requests counted whether or not they recorded seconds; the mean is over recorded seconds
-    return j.select(*g, n.alias("n_requests"),
+    return a.select(*g, (F.col("__n") + F.col("__left")).alias("n_requests"),
                     F.when(recorded > 0, tot).alias("total_seconds"),
                     F.when(recorded > 0, tot.cast("double") / recorded).alias("mean_seconds"))
 
@@ -90,17 +104,21 @@ def rolling_mean(df: DataFrame, group, order: str, value: str, n: int = 500,
     chunk = idiv(F.col("__i"), F.lit(n))
     d = d.withColumn("__home", F.explode(F.array(chunk, chunk + 1))).repartition(*g, "__home")
     # Inside one (group, home) partition the rows are the previous chunk and the
-    # home chunk, in position order. The window sum is a running sum minus the
-    # running sum n rows earlier (lag): O(1) per row, where a sliding frame of
-    # n rows would re-aggregate n values per row. Differences stay within 2n
-    # values (exact for decimals).
+    # home chunk, in position order. For exact types the window sum is a running
+    # sum minus the running sum n rows earlier (lag), O(1) per row; floating-point
+    # input would lose small values next to large ones that way, so its frame of
+    # n rows is summed itself.
     run = Window.partitionBy(*g, "__home").orderBy("__i").rowsBetween(Window.unboundedPreceding, 0)
     order = Window.partitionBy(*g, "__home").orderBy("__i")
     d = (d.withColumn("__s", F.sum(col_of(value)).over(run))
          .withColumn("__c", F.count(col_of(value)).over(run)))
     zero = F.lit(0).cast(d.schema["__s"].dataType)
-    res = (d.withColumn(out + "_sum", F.col("__s") - F.coalesce(F.lag("__s", n).over(order), zero))
+    if isinstance(d.select(col_of(value)).schema[0].dataType, (T.DoubleType, T.FloatType)):
+        total = F.sum(col_of(value)).over(order.rowsBetween(-(n - 1), 0))
+    else:
+        total = F.col("__s") - F.coalesce(F.lag("__s", n).over(order), zero)
+    res = (d.withColumn(out + "_sum", total)
            .withColumn(out + "_count", F.col("__c") - F.coalesce(F.lag("__c", n).over(order), F.lit(0)))
-           .withColumn(out, F.col(out + "_sum").cast("double") / F.col(out + "_count"))
+           .withColumn(out, F.when(F.col(out + "_count") > 0, F.col(out + "_sum").cast("double") / F.col(out + "_count")))
            .filter(F.col("__home") == idiv(F.col("__i"), F.lit(n))))
     return res.drop("__i", "__home", "__s", "__c")

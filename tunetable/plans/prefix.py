@@ -91,7 +91,8 @@ def running_sum(df: DataFrame, value: str | Column, order: Sequence, bucket: Col
     part = _cols(partition)
     order = _cols(order)
     v = col_of(value)
-    d = df.withColumn(_B, bucket).withColumn("__tt_v", v)
+    # a null order key sorts first, so its rows form the first bucket
+    d = df.withColumn(_B, F.coalesce(bucket.cast("long"), F.lit(-(1 << 63)))).withColumn("__tt_v", v)
     keys = []
     for i, p in enumerate(part):
         name = p if isinstance(p, str) else None

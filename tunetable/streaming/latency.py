@@ -64,7 +64,7 @@ def run_latency_stream(spark, source_dir: str, out_path: str, checkpoint: str, g
     ``foreachBatch``; the checkpoint makes the run restartable.
     """
     schema = spark.read.option("pathGlobFilter", glob).parquet(source_dir).schema
-    src = (spark.readStream.schema(schema).option("pathGlobFilter", glob).option("maxFilesPerTrigger", 1)
+    src = (spark.readStream.schema(schema).option("pathGlobFilter", glob)
            .parquet(source_dir)
            .select(F.col(ts), F.col(seconds).cast("decimal(18,2)").alias("seconds")))
     agg = latency_stream(src, ts, "seconds", window, lateness)

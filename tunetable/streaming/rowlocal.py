@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 
-def stream_parquet(spark: SparkSession, path: str, max_files: int = 1) -> DataFrame:
+def stream_parquet(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
     """Stream a Parquet directory, or one file (its directory filtered to that name)."""
     import os
     schema = spark.read.parquet(path).schema
-    r = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
+    r = spark.readStream.schema(schema)
+    if max_files:
+        r = r.option("maxFilesPerTrigger", max_files)
     if path.endswith(".parquet"):
         return r.option("pathGlobFilter", os.path.basename(path)).parquet(os.path.dirname(path))
     return r.parquet(path)
