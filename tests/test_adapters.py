@@ -89,3 +89,39 @@ def test_quantise_roundtrip_error_bound(spark):
             continue
         assert len(r["q"]["codes"]) == len(v) and len(r["q"]["scale_codes"]) == -(-len(v) // 16)
         assert np.max(np.abs(v - dq)) <= np.max(np.abs(v)) * (NF4_MAX_GAP / 2 + 1 / 255) + 1e-12
+
+
+def test_apply_adapter_takes_text_ids_a_hot_adapter_and_nulls(spark):
+    d, k, r = 4, 3, 2
+    W = rng.normal(size=(k, d))
+    ads = {a: (rng.normal(size=(r, d)), rng.normal(size=(k, r))) for a in ("hot", "cold", "unused")}
+    names = ["hot" if i % 3 else ("cold" if i % 2 else None) for i in range(200)] + ["unknown"]
+    X = rng.normal(size=(201, d)).astype(np.float32)
+    vec = spark.createDataFrame([(i, None if i == 5 else X[i].tolist(), names[i]) for i in range(201)],
+                                "vec_id long, embedding array<float>, adapter_id string")
+    base = spark.createDataFrame([(i, W[i].tolist()) for i in range(k)], "row int, values array<double>")
+    adf = spark.createDataFrame([(a, A.tolist(), B.tolist()) for a, (A, B) in ads.items()],
+                                "adapter_id string, lora_A array<array<double>>, lora_B array<array<double>>")
+    out = {x["vec_id"]: x["output"] for x in apply_adapter(vec, base, adf, 4.0, r, salts=5).collect()}
+    assert len(out) == 201
+    for i, a in enumerate(names):
+        if a not in ads or i == 5:
+            assert out[i] is None, i
+        else:
+            A, B = ads[a]
+            x = X[i].astype(np.float64)
+            assert np.allclose(out[i], W @ x + 2.0 * (B @ (A @ x)))
+
+
+def test_fit_adapter_mini_batches_cover_every_row_once_an_epoch(spark):
+    X = rng.normal(size=(90, 4)).astype(np.float32)
+    y = rng.integers(0, 3, size=90)
+    W = rng.normal(size=(3, 4))
+    data = spark.createDataFrame([(X[i].tolist(), int(y[i])) for i in range(90)] + [([1.0] * 4, 77), ([1.0], 0), (None, 1)],
+                                 "embedding array<float>, label int").repartition(3)
+    base = spark.createDataFrame([(i, W[i].tolist()) for i in range(3)], "row int, values array<double>")
+    _a, losses = fit_adapter(spark, data, base, r=2, steps=6, batch=30, seed=1)
+    n = [x["n_rows"] for x in losses.orderBy("step").collect()]
+    assert sum(n[:3]) == sum(n[3:]) == 90 and max(n) < 90  # rows that can't train are in no batch
+    again = fit_adapter(spark, data.repartition(5), base, r=2, steps=6, batch=30, seed=1)[1]
+    assert np.allclose([x["loss"] for x in again.orderBy("step").collect()], [x["loss"] for x in losses.orderBy("step").collect()])

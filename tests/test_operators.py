@@ -315,3 +315,27 @@ def test_assign_codes_rejects_empty_codebook(spark):
     book = spark.createDataFrame([], "code long, embedding array<float>")
     with pytest.raises(ValueError, match="empty"):
         CO.assign_codes(v, book)
+
+
+def test_nested_injectors_need_a_known_subtype(spark):
+    from tunetable.plans.injectors import run_injectors, validate
+    with pytest.raises(ValueError, match="subtype"):
+        validate(["a"], [{"type": "for_each", "subtype": "nothing", "in": "a", "out": "b"}])
+    df = spark.createDataFrame([(1, [[1, 2], [3]]), (2, []), (3, None)], "id int, a array<array<int>>")
+    out = {r["id"]: r["b"] for r in run_injectors(df, [
+        {"type": "for_each", "subtype": "crop_or_pad", "in": "a", "out": "b", "n": 2}]).collect()}
+    assert out == {1: [[1, 2], [3, 0]], 2: [], 3: None}
+
+
+def test_score_batches_bounds_what_the_model_sees(spark):
+    from tunetable.plans.scoring import score_batches
+    df = spark.range(25).repartition(2)
+    out = score_batches(df, lambda: 0, lambda m, p: p.assign(n=len(p)), "id long, n long", batch=4).collect()
+    assert sorted(r["id"] for r in out) == list(range(25)) and max(r["n"] for r in out) <= 4
+
+
+def test_collate_keeps_partitions_apart(spark):
+    df = spark.createDataFrame([("a", 0, [1]), ("b", 0, [1, 2, 3])], "phase string, batch_id int, tokens array<int>")
+    from tunetable.operators.batching import collate_causal
+    got = {r["phase"]: r["padded_len"] for r in collate_causal(df, "batch_id", "tokens", partition=["phase"]).collect()}
+    assert got == {"a": 1, "b": 3}

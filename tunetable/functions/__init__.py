@@ -33,6 +33,15 @@ def let(values: dict, body) -> Column:
     return F.transform(F.array(env), body)[0]
 
 
+def keyed_hash(seed: int, *cols) -> Column:
+    """60 uniform bits as a long: the first 15 hex digits of the md5 of
+    ``seed|col|col|...``, which other SQL engines can compute too. A null
+    column reads as a NUL character."""
+    parts = [F.coalesce(col_of(c).cast("string"), F.lit("\0")) for c in cols]
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *parts).cast("binary"))
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
+
+
 def idiv(a, b) -> Column:
     """Integer division truncating toward zero (SQL ``div``)."""
     return F.call_function("div", lit_of(a) if not isinstance(a, str) else F.col(a), lit_of(b))

@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import col_of, idiv, let, lit_of
+from . import col_of, idiv, keyed_hash, let, lit_of
 
 # Fixed values of the code space (must equal the reference's for right results):
 # content codes 0..8191, start code 8192, stop code 8193, calm code 83,
@@ -123,7 +123,7 @@ def crop_or_pad(arr, n, start=0) -> Column:
 def seeded_crop_start(arr, n, key, seed: int) -> Column:
     """Deterministic 'random' start in [0, size-n]: a pure function of key and seed."""
     gap = F.greatest(F.size(col_of(arr)) - lit_of(n), F.lit(0))
-    return F.pmod(F.xxhash64(F.lit(seed), col_of(key)), gap.cast("long") + 1).cast("int")
+    return F.pmod(keyed_hash(seed, key), gap.cast("long") + 1).cast("int")
 
 
 def array_join_safe(arr, sep: str = ",") -> Column:

@@ -28,7 +28,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import col_of
@@ -269,3 +269,17 @@ def bpe_decode(ids, tokenizer) -> Column:
 
     udf = F.arrow_udf(run, "string")
     return udf(col_of(ids))
+
+
+def token_usage(df: DataFrame, text_col: str, tokenizer) -> DataFrame:
+    """``(id, n)``: how often each token occurs in a column of texts without runs of blanks.
+
+    Blank-separated words are counted in the JVM first, each with the blank
+    before it; every distinct one is then tokenised once and its count goes
+    to its tokens. So Python sees the vocabulary rather than the text, and a
+    word that makes up a third of all text is one row after the partial count.
+    """
+    word = F.transform(F.split(F.col(text_col), " "), lambda w, i: F.when(i == 0, w).otherwise(F.concat(F.lit(" "), w)))
+    words = df.select(F.explode(word).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    ids = words.select("n", F.explode(bpe_encode("w", tokenizer)).alias("id"))
+    return ids.groupBy("id").agg(F.sum("n").alias("n"))

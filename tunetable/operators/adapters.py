@@ -1,8 +1,8 @@
 """Low-rank adapters as tables: merge (J6), apply (J8), fit (X3), 4-bit blocks.
 
-Adapter matrices are model parameters whose size is fixed by the
-configuration (r x (in + out) per targeted matrix), never by the data; they
-are shipped to tasks only after that bound is checked.
+One adapter's matrices have a size fixed by the configuration (r x (in + out)
+per targeted matrix), never by the data. Many adapters are a table like any
+other and meet their rows by joins and shuffles.
 """
 
 from __future__ import annotations
@@ -14,13 +14,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.joins import bounded_broadcast, collect_bounded
+from ..functions import keyed_hash
+from ..plans.joins import collect_bounded
 
 # ---------------------------------------------------------------- merge
 
 
 def merge_adapter(base: DataFrame, adapters: DataFrame, alpha: float, r: int,
-                  fan_in_fan_out: bool = False, max_adapters: int = 100_000) -> DataFrame:
+                  fan_in_fan_out: bool = False) -> DataFrame:
     """W' = W + (alpha / r) * B A on targeted tensors; other tensors unchanged.
 
     ``base``: one row per matrix row ``(tensor, row, values)``.
@@ -28,26 +29,30 @@ def merge_adapter(base: DataFrame, adapters: DataFrame, alpha: float, r: int,
     with A as r rows of ``in`` and B as ``out`` rows of r. With
     ``fan_in_fan_out`` the base is stored transposed (rows are inputs) and
     the delta is transposed to match.
+
+    A stored row needs r numbers of its own (its row of B, or its column of A)
+    and the r vectors along the row. The first are cut out per row and joined
+    on ``(tensor, row)``; the second are joined as r rows per tensor, one
+    ``zip_with`` for each of the r terms. A row without its r numbers (a null
+    or out-of-range ``row``) keeps its values.
     """
     scale = float(alpha) / float(r)
-    ad = bounded_broadcast(adapters.select("tensor", "lora_A", "lora_B"), max_adapters)
-    j = base.join(ad, "tensor", "left")
-    js = F.sequence(F.lit(0), F.lit(r - 1))
-
-    if not fan_in_fan_out:
-        def upd(w, k):
-            brow = F.get(F.col("lora_B"), F.col("row"))
-            s = F.aggregate(js, F.lit(0.0), lambda acc, jj: acc + F.get(brow, jj) * F.get(F.get(F.col("lora_A"), jj), k))
-            return w.cast("double") + F.lit(scale) * s
+    ranks = range(r)
+    if fan_in_fan_out:  # row i of the store is column i of A; along the row run B's columns
+        own = F.transform(F.sequence(F.lit(0), F.size(F.col("lora_A")[0]) - 1),
+                          lambda i: F.array(*(F.get(F.col("lora_A")[j], i) for j in ranks)))
+        along = F.transform(F.sequence(F.lit(0), F.lit(r - 1)), lambda j: F.transform("lora_B", lambda row: F.get(row, j)))
     else:
-        def upd(w, k):
-            s = F.aggregate(js, F.lit(0.0), lambda acc, jj: acc + F.get(F.get(F.col("lora_A"), jj), F.col("row"))
-                            * F.get(F.get(F.col("lora_B"), k), jj))
-            return w.cast("double") + F.lit(scale) * s
-
-    merged = F.when(F.col("lora_A").isNull(), F.transform("values", lambda w: w.cast("double"))).otherwise(
-        F.transform("values", upd))
-    return j.withColumn("values", merged).drop("lora_A", "lora_B")
+        own, along = F.col("lora_B"), F.col("lora_A")
+    per_row = adapters.select("tensor", F.posexplode(own).alias("row", "__own"))
+    per_tensor = adapters.select("tensor", along.alias("__along"))
+    d = base.withColumn("values", F.transform("values", lambda w: w.cast("double")))
+    d = d.join(per_row, ["tensor", "row"], "left").join(per_tensor, "tensor", "left")
+    delta = F.transform("__along", lambda v, j: F.transform(v, lambda x: x.cast("double") * F.get(F.col("__own"), j)))
+    total = F.aggregate(F.slice(delta, 2, r), F.get(delta, F.lit(0)), lambda acc, v: F.zip_with(acc, v, lambda x, y: x + y))
+    merged = F.zip_with("values", total, lambda w, x: w + F.lit(scale) * x)
+    d = d.withColumn("values", F.when(F.col("__own").isNull(), F.col("values")).otherwise(merged))
+    return d.select(*base.columns)
 
 
 # ---------------------------------------------------------------- apply
@@ -55,46 +60,70 @@ def merge_adapter(base: DataFrame, adapters: DataFrame, alpha: float, r: int,
 
 def apply_adapter(vectors: DataFrame, base: DataFrame, adapters: DataFrame, alpha: float, r: int,
                   id_col: str = "vec_id", vec_col: str = "embedding", adapter_col: str = "adapter_id",
-                  max_rows: int = 1_000_000) -> DataFrame:
+                  max_rows: int = 1_000_000, salts: int = 32) -> DataFrame:
     """y = W x + (alpha / r) * B (A x), with the adapter chosen per row.
 
-    ``base``: ``(row, values)`` rows of W (out x in). ``adapters``:
-    ``(adapter_id, lora_A, lora_B)``. Many adapters share one pass: each Arrow
-    batch is grouped by adapter id and multiplied with NumPy. Ids may be of any
-    type; a row whose id is null or names no adapter gets a null output, never
-    the base output.
+    ``base``: ``(row, values)`` rows of W (out x in), one model matrix of
+    checked size. ``adapters``: ``(adapter_id, lora_A, lora_B)``, any number of
+    them: vectors and adapters meet by a shuffle on (adapter, salt), each
+    adapter once per salt, so an adapter that a third of the rows uses is
+    split over ``salts`` tasks. Inside a task the adapter sorts before its
+    vectors, so a task holds one adapter and one Arrow batch at a time. Ids are
+    compared as text; a row whose id is null or names no adapter gets a null
+    output, never the base output.
     """
     brows = collect_bounded(base.select("row", "values").orderBy("row"), max_rows, "base matrix")
-    W = np.array([np.asarray(x["values"], dtype=np.float64) for x in brows])
-    arows = collect_bounded(adapters.select(adapter_col, "lora_A", "lora_B"), 100_000, "adapters")
-    ad = {x[adapter_col]: (np.asarray(x["lora_A"], dtype=np.float64), np.asarray(x["lora_B"], dtype=np.float64))
-          for x in arows}
     scale = float(alpha) / float(r)
-    bc = vectors.sparkSession.sparkContext.broadcast((W, ad))
+    bc = vectors.sparkSession.sparkContext.broadcast(np.array([np.asarray(x["values"], dtype=np.float64) for x in brows]))
+    id_type, vec_type = (vectors.schema[c].dataType for c in (id_col, vec_col))
+    matrix = "array<array<double>>"
+    key = F.col(adapter_col).cast("string").alias("key")
+    models = adapters.select(
+        key, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(0).alias("kind"), F.lit(None).cast(id_type).alias("id"),
+        F.lit(None).cast(vec_type).alias("x"), F.col("lora_A").cast(matrix).alias("a"), F.col("lora_B").cast(matrix).alias("b"))
+    rows = vectors.select(
+        key, F.pmod(F.xxhash64(id_col, vec_col), F.lit(salts)).cast("int").alias("salt"), F.lit(1).alias("kind"), F.col(id_col).alias("id"),
+        F.col(vec_col).alias("x"), F.lit(None).cast(matrix).alias("a"), F.lit(None).cast(matrix).alias("b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        W_, ad_ = bc.value
-        for b in batches:
-            ids = b.column(0)
-            from .codes import valid_matrix
-            valid, X = valid_matrix(b.column(1), W_.shape[1])
-            known = np.array([a in ad_ for a in b.column(2).to_pylist()], dtype=bool)
-            X, valid = X[known[valid]], valid & known
-            aid = np.array([a for a, v in zip(b.column(2).to_pylist(), valid) if v], dtype=object)
-            Y = X @ W_.T
-            for a in set(aid):
-                m = aid == a
-                A, B = ad_[a]
-                Y[m] += scale * ((X[m] @ A.T) @ B.T)
-            k = W_.shape[0]
-            full = np.zeros((len(b), k))
-            full[valid] = Y
-            off = (np.arange(len(b) + 1) * k).astype(np.int32)
-            out = pa.ListArray.from_arrays(pa.array(off), pa.array(full.ravel()), mask=pa.array(~valid))
-            yield pa.RecordBatch.from_arrays([ids, out], names=[id_col, "output"])
-
-    id_type = vectors.schema[id_col].dataType.simpleString()
-    return vectors.select(id_col, vec_col, adapter_col).mapInArrow(run, f"{id_col} {id_type}, output array<double>")
+        from .codes import valid_matrix
+        W = bc.value
+        k = W.shape[0]
+        now, A, B = None, None, None
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            kinds = batch.column("kind").to_numpy()
+            keys = batch.column("key").to_pylist()
+            # runs of one kind and one adapter
+            cuts = [0] + [i for i in range(1, len(keys)) if kinds[i] == 0 or kinds[i - 1] == 0 or keys[i] != keys[i - 1]] + [len(keys)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if kinds[lo] == 0:
+                    now = keys[lo]
+                    A, B = (np.array(batch.column(c)[lo].as_py(), dtype=np.float64) for c in "ab")
+                    continue
+                part = batch.slice(lo, hi - lo)
+                known, X = valid_matrix(part.column("x"), W.shape[1])
+                if now is None or keys[lo] != now:
+                    known = np.zeros(hi - lo, dtype=bool)
+                out = np.zeros((hi - lo, k))
+                if known.any():
+                    out[known] = X @ W.T + scale * ((X @ A.T) @ B.T)
+                off = (np.arange(hi - lo + 1) * k).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("id"), pa.ListArray.from_arrays(pa.array(off), pa.array(out.ravel()), mask=pa.array(~known))],
+                    names=[id_col, "output"])
+
+    met = models.filter("key IS NOT NULL").unionByName(rows).repartition("key", "salt").sortWithinPartitions("key", "salt", "kind")
+    return met.mapInArrow(run, f"{id_col} {id_type.simpleString()}, output array<double>")
+
+
+def stack_adapter(tensors: DataFrame, matrix_col: str = "tensor", by=("adapter_id",)) -> DataFrame:
+    """Adapter tables ``(matrix 'A' / 'B', row, values)`` as ``lora_A`` and ``lora_B``, one row per adapter:
+    what ``fit_adapter`` returns and ``read_adapter`` loads, in the form that ``apply_adapter`` takes."""
+    one = lambda m: F.transform(F.sort_array(F.collect_list(  # noqa: E731  (at most r + k rows an adapter)
+        F.when(F.col(matrix_col) == m, F.struct("row", "values")))), lambda s: s["values"])
+    return tensors.groupBy(*by).agg(one("A").alias("lora_A"), one("B").alias("lora_B"))
 
 
 # ---------------------------------------------------------------- fit
@@ -116,14 +145,20 @@ def _softmax_grads(X, y, W, A, B, scale, k):
 
 def fit_adapter(spark: SparkSession, data: DataFrame, base: DataFrame, r: int = 4, alpha: float = 8.0,
                 lr: float = 0.5, steps: int = 20, seed: int = 0, vec_col: str = "embedding",
-                label_col: str = "label") -> tuple[DataFrame, DataFrame]:
+                label_col: str = "label", batch: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Train A (r x d) and B (k x r, zero start) over a frozen base W (k x d) with
-    softmax cross-entropy, full batch gradient descent.
+    softmax cross-entropy and gradient descent, on all rows or on mini-batches.
+
+    With ``batch``, the n usable rows are split anew in every epoch into
+    ceil(n / batch) mini-batches by a hash of the row and the epoch (their sizes
+    vary around ``batch``), and each step takes the next one; a retry sees the
+    same rows. Rows of unknown label or another width can't train; the loss
+    table counts the rows of each step.
 
     Each step is one distributed job: A, B and W go to the tasks, every
-    partition returns its partial loss and gradients (r * (d + k) numbers),
-    the sums are formed on the executors, and only the summed gradient
-    reaches the driver for the update. Returns (adapter table, loss per step).
+    partition makes one array of its partial loss and gradients (r * (d + k)
+    numbers), square-root-many tasks add these, and the driver adds their
+    sums for the update. Returns (adapter table, loss per step).
     """
     brows = collect_bounded(base.select("row", "values").orderBy("row"), 100_000, "base matrix")
     W = np.array([np.asarray(x["values"], dtype=np.float64) for x in brows])
@@ -141,15 +176,18 @@ def fit_adapter(spark: SparkSession, data: DataFrame, base: DataFrame, r: int =
     if n_total == 0:
         raise ValueError("no usable training examples")
     size = r * d + k * r
+    turns = -(-n_total // batch) if batch else 1
+    row_key = F.xxhash64("x", "y")
     losses = []
     sc = spark.sparkContext
     try:
         for step in range(steps):
             bc = sc.broadcast((W, A, B))
+            epoch, turn = divmod(step, turns)
 
             def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 W_, A_, B_ = bc.value
-                acc = np.zeros(size + 1)
+                acc = np.zeros(size + 2)
                 for b in batches:
                     if len(b) == 0:
                         continue
@@ -158,29 +196,43 @@ def fit_adapter(spark: SparkSession, data: DataFrame, base: DataFrame, r: int =
                     loss, gA, gB = _softmax_grads(X, yv, W_, A_, B_, scale, k)
                     acc[:r * d] += gA.ravel()
                     acc[r * d:size] += gB.ravel()
-                    acc[size] += loss
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(size + 1)), pa.array(acc)], names=["pos", "g"])
+                    acc[size:] += loss, len(b)
+                yield _one_array(acc)
 
-            sums = (src.mapInArrow(part, "pos long, g double").groupBy("pos").agg(F.sum("g").alias("g"))
-                    .collect())
+            rows = src if turns == 1 else src.filter(F.pmod(keyed_hash(seed, F.lit(epoch), row_key), F.lit(turns)) == turn)
+            parts = rows.mapInArrow(part, "g array<double>")
+            merging = max(1, int(rows.rdd.getNumPartitions() ** 0.5))
+            g = sum(np.asarray(x["g"]) for x in parts.repartition(merging).mapInArrow(_added, "g array<double>").collect())
             bc.unpersist()
-            g = np.zeros(size + 1)
-            for row in sums:
-                g[row["pos"]] = row["g"]
-            gA = g[:r * d].reshape(r, d) / n_total
-            gB = g[r * d:size].reshape(k, r) / n_total
-            losses.append((step, float(g[size] / n_total)))
-            A = A - lr * gA
-            B = B - lr * gB
+            n = g[size + 1]
+            losses.append((step, float(g[size] / n) if n else None, int(n)))
+            if n:
+                A = A - lr * g[:r * d].reshape(r, d) / n
+                B = B - lr * g[r * d:size].reshape(k, r) / n
     finally:
         src.unpersist()
     adapter = spark.createDataFrame(
         [("A", i, A[i].tolist()) for i in range(r)] + [("B", i, B[i].tolist()) for i in range(k)],
         "matrix string, row int, values array<double>")
-    loss_df = spark.createDataFrame(losses, "step int, loss double")
+    loss_df = spark.createDataFrame(losses, "step int, loss double, n_rows long")
     return adapter, loss_df
 
 
+def _one_array(x: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x))], names=["g"])
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sum of all arrays of a partition; no row for an empty one."""
+    total = None
+    for b in batches:
+        for x in b.column(0):
+            v = x.values.to_numpy(zero_copy_only=False)
+            total = v.copy() if total is None else total + v
+    if total is not None:
+        yield _one_array(total)
+
+
 # ---------------------------------------------------------------- 4-bit blocks
 
 # The 16 NormalFloat-4 levels published with QLoRA.

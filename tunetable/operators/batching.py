@@ -9,10 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import col_of, idiv, lit_of
+from ..functions import col_of, idiv, keyed_hash, lit_of
 from ..functions.arrays import pad_or_truncate
-from ..plans.joins import bounded_broadcast
-from ..plans.prefix import hash_bucket, int_bucket, row_index, running_sum
+from ..plans.prefix import int_bucket, row_index, running_sum
 
 
 def plan_batches(df: DataFrame, order, batch, micro: int = 1, partition=None,
@@ -93,7 +92,7 @@ def step_plan(df: DataFrame, limits: DataFrame, phase: str = "phase", accumulate
               max_steps: int = 500) -> DataFrame:
     """Per phase: examples, batch, accumulation, effective batch, steps per epoch, epochs covered."""
     counts = df.groupBy(F.col(phase).alias("phase")).agg(F.count(F.lit(1)).alias("n_examples"))
-    j = counts.join(bounded_broadcast(limits.select("phase", "batch"), 10_000), "phase")
+    j = counts.join(limits.select("phase", "batch"), "phase")
     eff = F.col("batch") * accumulate
     return j.select(
         "phase", "n_examples", "batch", F.lit(accumulate).alias("accumulate"),
@@ -108,14 +107,15 @@ def select_text_field(df: DataFrame, field: str = "prompt", out: str = "text", k
 
 
 def collate_causal(df: DataFrame, batch_col: str, tokens: str, pad: int = 0,
-                   ignore: int = -100) -> DataFrame:
+                   ignore: int = -100, partition=()) -> DataFrame:
     """Pad each batch to its longest sequence; labels are the inputs with pad positions ``ignore``.
 
-    The batch window is bounded by the batch size.
+    Batches are told apart by ``partition`` (the columns ``plan_batches`` counted
+    them in) and ``batch_col``; a window is bounded by the batch size.
     """
     n = F.size(col_of(tokens))
     d = df.withColumn("__len", n).withColumn(
-        "padded_len", F.max("__len").over(Window.partitionBy(batch_col)))
+        "padded_len", F.max("__len").over(Window.partitionBy(*partition, batch_col)))
     ids = pad_or_truncate(tokens, F.col("padded_len"), pad)
     d = d.withColumn("input_ids", ids)
     d = d.withColumn("attention_mask", F.transform("input_ids", lambda x, i: F.when(i < F.col("__len"), 1).otherwise(0)))
@@ -124,12 +124,11 @@ def collate_causal(df: DataFrame, batch_col: str, tokens: str, pad: int = 0,
 
 
 def seeded_shuffle(df: DataFrame, key: str, seed: int, bits: int = 16, out: str = "shuffle_pos") -> DataFrame:
-    """Reproducible permutation: position of each row in ``(xxhash64(seed, key), key)`` order.
+    """Reproducible permutation: position of each row in ``(keyed_hash(seed, key), key)`` order.
 
-    The hash is uniform, so its top ``bits`` bits split the rows into 2**bits
-    equal cells: each cell is one bounded window, and the cell table (2**bits
-    rows) is the only global step.
+    The hash is uniform over 60 bits, so its top ``bits`` split the rows into
+    2**bits equal cells: each cell is one bounded window, and the cell table
+    (2**bits rows) is the only global step.
     """
-    h = F.xxhash64(F.lit(seed), F.col(key))
-    d = df.withColumn("__h", h)
-    return row_index(d, ["__h", key], hash_bucket("__h", bits), None, out=out).drop("__h")
+    d = df.withColumn("__h", keyed_hash(seed, key))
+    return row_index(d, ["__h", key], F.shiftright("__h", 60 - bits), None, out=out).drop("__h")

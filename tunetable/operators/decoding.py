@@ -9,11 +9,13 @@ k rows per map task.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import col_of
-from ..plans.joins import bounded_broadcast
+from ..functions import col_of, keyed_hash
+from ..plans.joins import constant_table
 
 # Fixed values (must equal the reference's): default generation settings and presets.
 DEFAULT_SETTINGS = {"temperature": "0.8", "length_penalty": "1.0", "repetition_penalty": "2.0",
@@ -25,8 +27,8 @@ PRESETS = {
 
 
 def presets_table(spark: SparkSession, presets: dict = PRESETS) -> DataFrame:
-    rows = [(k, v) for k, v in presets.items()]
-    return spark.createDataFrame(rows, "preset string, settings map<string,string>")
+    rows = constant_table(spark, [(k, json.dumps(v)) for k, v in presets.items()], "preset string, settings string")
+    return rows.select("preset", F.from_json("settings", "map<string,string>").alias("settings"))
 
 
 def _map_lit(d: dict) -> Column:
@@ -42,10 +44,9 @@ def resolve_settings(requests: DataFrame, presets: DataFrame, defaults: dict = D
                      preset_col: str = "preset", overrides_col: str | None = "overrides") -> DataFrame:
     """Per key: defaults < preset < request override, into ``settings map<string,string>``.
 
-    An unknown preset name fails the job. ``presets`` is a configuration table,
-    broadcast once its row count is checked.
+    An unknown preset name fails the job. ``presets`` is a configuration table.
     """
-    p = bounded_broadcast(presets.select(F.col("preset").alias("__pname"), F.col("settings").alias("__pset")), 10_000)
+    p = presets.select(F.col("preset").alias("__pname"), F.col("settings").alias("__pset"))
     j = requests.join(p, col_of(preset_col) == F.col("__pname"), "left")
     unknown = col_of(preset_col).isNotNull() & F.col("__pname").isNull()
     d = _map_lit(defaults)
@@ -125,8 +126,8 @@ def typical_filter(df: DataFrame, group, score: str, token: str, mass: float = 0
 
 def seeded_uniform(seed: int, *cols) -> Column:
     """Uniform in (0, 1) as a pure function of the key columns and seed (retry-safe)."""
-    h = F.xxhash64(F.lit(seed), *[col_of(c) for c in cols])
-    return (F.pmod(h, F.lit(1 << 53)).cast("double") + 0.5) / float(1 << 53)
+    top = F.shiftright(keyed_hash(seed, *cols), 8)
+    return (top.cast("double") + 0.5) / float(1 << 52)
 
 
 def sample_per_group(df: DataFrame, group, token: str, prob: str = "prob", n: int = 1,

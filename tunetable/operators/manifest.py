@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import and_
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import col_of, idiv
-from ..plans.joins import bounded_broadcast
+from ..plans.joins import constant_table
 from ..plans.prefix import hash_bucket, int_bucket, row_index
 
 # Fixed per-phase values (must equal the reference configuration):
@@ -21,25 +18,30 @@ PHASE_LIMITS = (
 
 
 def phase_limits(spark: SparkSession, rows=PHASE_LIMITS) -> DataFrame:
-    return spark.createDataFrame(list(rows), "phase string, max_text int, max_wav long, batch int, n_cond int")
+    return constant_table(spark, rows, "phase string, max_text int, max_wav long, batch int, n_cond int")
 
 
-def filter_by_length(df: DataFrame, limits: DataFrame, text_len: str = "text_len",
-                     wav_len: str = "wav_len", phase: str = "phase") -> tuple[DataFrame, DataFrame]:
-    """(kept, dropped): keep rows with text_len <= max_text and wav_len <= max_wav.
+def label_by_length(df: DataFrame, limits: DataFrame, text_len: str = "text_len",
+                    wav_len: str = "wav_len", phase: str = "phase") -> DataFrame:
+    """Every row with a ``reason``: null where text_len <= max_text and wav_len <= max_wav, else
+    the first of: unknown phase, null length, text too long, wav too long.
 
-    ``dropped`` carries one ``reason``, tested in the order: unknown phase,
-    null length, text too long, wav too long. kept + dropped = input.
-    ``limits`` is a per-phase configuration table: broadcast once its row
-    count is checked.
+    ``limits`` is a per-phase configuration table; the planner broadcasts it
+    when its known size is small.
     """
-    lim = bounded_broadcast(limits.select(F.col("phase").alias("__lphase"), "max_text", "max_wav"), 10_000)
+    lim = limits.select(F.col("phase").alias("__lphase"), "max_text", "max_wav")
     j = df.join(lim, col_of(phase) == F.col("__lphase"), "left")
     reason = (F.when(F.col("__lphase").isNull(), F.lit("unknown_phase"))
               .when(col_of(text_len).isNull() | col_of(wav_len).isNull(), F.lit("null_length"))
               .when(col_of(text_len) > F.col("max_text"), F.lit("text_too_long"))
               .when(col_of(wav_len) > F.col("max_wav"), F.lit("wav_too_long")))
-    j = j.withColumn("reason", reason).drop("__lphase", "max_text", "max_wav")
+    return j.withColumn("reason", reason).drop("__lphase", "max_text", "max_wav")
+
+
+def filter_by_length(df: DataFrame, limits: DataFrame, text_len: str = "text_len",
+                     wav_len: str = "wav_len", phase: str = "phase") -> tuple[DataFrame, DataFrame]:
+    """(kept, dropped) by ``label_by_length``; ``dropped`` carries the ``reason``. kept + dropped = input."""
+    j = label_by_length(df, limits, text_len, wav_len, phase)
     return j.filter(F.col("reason").isNull()).drop("reason"), j.filter(F.col("reason").isNotNull())
 
 
@@ -86,14 +88,10 @@ def conditioning_candidates(df: DataFrame, group, id_col: str, k, width: int = 1
     kcol = F.lit(k) if isinstance(k, int) else k
     narrow = df.select(*group, id_col, kcol.cast("int").alias("__k"))
     if seed is None:
-        idx = row_index(narrow, [id_col], int_bucket(id_col, width), group, out="__rn")
+        d = row_index(narrow, [id_col], int_bucket(id_col, width), group, out="__rn", total="__cnt")
     else:
         narrow = narrow.withColumn("__h", F.xxhash64(F.lit(seed), F.col(id_col)))
-        idx = row_index(narrow, ["__h", id_col], hash_bucket("__h", 16), group, out="__rn").drop("__h")
-    counts = df.groupBy(*group).agg(F.count(F.lit(1)).alias("__cnt"))
-    counts = counts.withColumnsRenamed({g: f"__g_{g}" for g in group})
-    same = reduce(and_, (idx[g].eqNullSafe(counts[f"__g_{g}"]) for g in group))
-    d = idx.join(counts, same).drop(*(f"__g_{g}" for g in group))
+        d = row_index(narrow, ["__h", id_col], hash_bucket("__h", 16), group, out="__rn", total="__cnt").drop("__h")
     c = idiv(F.col("__rn"), F.lit(chunk))
     last = idiv(F.col("__cnt") - 1, F.lit(chunk))
     copy = lambda home, pos, native, valid: F.struct(
@@ -108,8 +106,8 @@ def conditioning_candidates(df: DataFrame, group, id_col: str, k, width: int = 1
                  F.explode(F.filter(copies, lambda x: x["valid"])).alias("__c")).select(
         *group, id_col, "__k", "__cnt", F.col("__c.home").alias("__home"), F.col("__c.pos").alias("__pos"),
         F.col("__c.native").alias("__native"))
-    # shuffle by (group, chunk) explicitly: the group-keyed join above would
-    # otherwise satisfy this window and keep a hot group in one task
+    # shuffle by (group, chunk) explicitly, so that no partitioning by the group
+    # alone can satisfy this window and keep a hot group in one task
     d = d.repartition(*group, "__home")
     w = Window.partitionBy(*group, "__home").orderBy("__pos")
     nexts = F.array(*[F.lead(id_col, j).over(w) for j in range(1, kmax + 1)])

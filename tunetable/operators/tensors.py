@@ -68,8 +68,10 @@ def mark_trainable(df: DataFrame, modules_to_save: Sequence[str] = (), adapter_m
 
 
 def trainable_summary(df: DataFrame) -> DataFrame:
-    """Trainable numbers, all numbers and the trainable percentage (one row)."""
-    numel = F.size("values").cast("long")
+    """Trainable numbers, all numbers and the trainable percentage (one row).
+
+    Numbers are counted from ``shape`` (of the stored row), so the values are not read."""
+    numel = F.aggregate("shape", F.lit(1).cast("long"), lambda n, x: n * x)
     return df.agg(F.sum(F.when(F.col("trainable"), numel).otherwise(0)).alias("trainable_params"),
                   F.sum(numel).alias("all_params")).select(
         "trainable_params", "all_params",

@@ -1,39 +1,26 @@
-"""Join helpers: broadcast only behind a checked size bound."""
+"""Small tables: constants with a size the planner knows, and model parameters of checked size.
+
+Nothing is broadcast by a row count. A constant table is part of the plan, so
+Catalyst knows its bytes; derived tables are left to AQE, which measures them.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A side is broadcast only when it has at most this many rows, counted first.
-DEFAULT_MAX_BROADCAST_ROWS = 1_000_000
-
 
-def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
-    """Mark ``df`` for broadcast when a count proves it small; else leave the
-    join to a shuffle (AQE may still broadcast it once it has measured it)."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+def constant_table(spark: SparkSession, rows, schema: str) -> DataFrame:
+    """A literal configuration table: its rows are literals of the plan, so the
+    planner knows at once that it is small."""
+    target = spark.createDataFrame([], schema).schema
+    literal = F.array(*(F.struct(*(F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(r, target.fields))) for r in rows))
+    return spark.range(1).select(F.explode(literal).alias("r")).select("r.*")
 
 
 def collect_bounded(df: DataFrame, max_rows: int, what: str) -> list:
-    """Collect a small parameter table (codebook, adapter) after proving its size."""
+    """Collect a small parameter table (codebook, base matrix) after proving its size."""
     rows = df.limit(max_rows + 1).collect()
     if len(rows) > max_rows:
         raise ValueError(f"{what} has more than {max_rows} rows; refusing to ship it to tasks")
     return rows
-
-
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin the rows over at least ``min_partitions`` tasks (default: the
-    cluster's parallelism) before expensive per-row Python work.
-
-    Only when the input has fewer partitions than that, e.g. a file written as
-    one row group; a large table already arrives in many splits and is left
-    alone, so no shuffle is added at scale.
-    """
-    if df.isStreaming:
-        return df  # micro-batches are planned per trigger
-    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    have = df.rdd.getNumPartitions()
-    return df.repartition(want) if have < want else df

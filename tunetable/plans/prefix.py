@@ -74,13 +74,15 @@ def _key_default(dt):
 
 def running_sum(df: DataFrame, value: str | Column, order: Sequence, bucket: Column,
                 partition: Sequence | None = None, out: str = "running_sum",
-                inclusive: bool = True) -> DataFrame:
+                inclusive: bool = True, total: str | None = None) -> DataFrame:
     """Add ``out`` = running sum of ``value`` in ``order`` within ``partition``.
 
     Exact and deterministic; equal to
     ``sum(value) over (partition by .. order by .. rows unbounded preceding)``
     (minus the current row when ``inclusive`` is false), provided ``order``
-    is a total order inside each partition.
+    is a total order inside each partition. ``total`` names a column for the
+    partition's whole sum; it comes with the cell offsets, so no join on the
+    partition keys alone is needed for it.
 
     The partition keys are materialised once as non-null key columns (value
     or a typed default, plus a null flag), and the cell window, the cell
@@ -110,7 +112,8 @@ def running_sum(df: DataFrame, value: str | Column, order: Sequence, bucket: Col
     d = d.repartition(*keys, _B).withColumn(_L, F.sum("__tt_v").over(cell))
     totals = d.groupBy(*keys, _B).agg(F.sum("__tt_v").alias("__tt_tot"))
     ow = Window.partitionBy(*keys).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*keys, _B, F.coalesce(F.sum("__tt_tot").over(ow), F.lit(0)).alias(_O))
+    whole = [F.sum("__tt_tot").over(Window.partitionBy(*keys)).alias(total)] if total else []
+    offsets = totals.select(*keys, _B, F.coalesce(F.sum("__tt_tot").over(ow), F.lit(0)).alias(_O), *whole)
     j = d.join(offsets, keys + [_B], "inner")
     res = F.col(_O) + F.col(_L)
     if not inclusive:
@@ -119,7 +122,8 @@ def running_sum(df: DataFrame, value: str | Column, order: Sequence, bucket: Col
 
 
 def row_index(df: DataFrame, order: Sequence, bucket: Column,
-              partition: Sequence | None = None, out: str = "idx") -> DataFrame:
-    """0-based position of each row in ``order`` within ``partition`` (exact, scalable)."""
+              partition: Sequence | None = None, out: str = "idx", total: str | None = None) -> DataFrame:
+    """0-based position of each row in ``order`` within ``partition`` (exact, scalable);
+    ``total`` names a column for the partition's row count."""
     return running_sum(df, F.lit(1).cast("long"), order, bucket, partition, out=out,
-                       inclusive=False)
+                       inclusive=False, total=total)

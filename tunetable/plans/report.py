@@ -4,7 +4,7 @@
 batches and optimiser steps does each phase give?"
 
 manifest -> rewrite prefix -> normalise text -> BPE -> pair with clips ->
-length filter -> plan batches -> aggregate by phase. The only Python is the
+length filter -> aggregate by phase. The only Python is the
 tokenising UDF; it runs once per line, before any shuffle, and its narrow
 output is checkpointed so that no later branch repeats it.
 """
@@ -18,39 +18,36 @@ from .. import standins as S
 from ..functions import idiv
 from ..functions.bpe import bpe_encode, load_tokenizer
 from ..functions.text import normalise_text, rewrite_prefix
-from ..operators.batching import plan_batches
-from ..plans.joins import spread
+from ..operators.manifest import label_by_length, phase_limits
 from ..plans.lineage import materialize
-from ..operators.manifest import filter_by_length, pair_clips, phase_limits
 from ..resources import default_tokenizer_path
 from ..sources.manifest import parse_manifest
 
 
-def phase_report(spark: SparkSession, sf: str, tokenizer: str | None = None, accumulate: int = 4,
-                 micro: int = 4) -> DataFrame:
+def phase_report(spark: SparkSession, sf: str, tokenizer: str | None = None, accumulate: int = 4) -> DataFrame:
     tok = load_tokenizer(tokenizer or default_tokenizer_path())
     parsed, _rejects = parse_manifest(S.manifest_lines(spark, sf), keep=("line_no", "phase"))
-    m = spread(parsed).select(
+    m = parsed.select(
         "line_no", "phase", rewrite_prefix("audio_path", S.OLD_ROOT, S.NEW_ROOT).alias("audio_path"),
         F.size(bpe_encode(normalise_text("text"), tok)).alias("text_len"))
     # Tokenise before any shuffle, so no text crosses the network, and only once:
-    # the narrow result feeds the join, the index (two branches) and the drop report.
+    # the narrow result is read once more only if a later stage has to run again.
     m = materialize(m)
-    paired, missing = pair_clips(m, S.clips(spark, sf).select("audio_path", "n_samples"))
-    ex = paired.select("line_no", "phase", F.col("n_samples").alias("wav_len"), "text_len")
+    # one join gives every line its state, one aggregate counts the states of a phase
+    j = m.join(S.clips(spark, sf).select("audio_path", "n_samples", F.lit(True).alias("found")), "audio_path", "left")
     limits = phase_limits(spark)
-    kept, dropped = filter_by_length(ex, limits)
-    kept = kept.join(F.broadcast(limits.select("phase", "batch")), "phase")  # constant two-row table
-    planned = plan_batches(kept, "line_no", F.col("batch"), micro=micro, partition=["phase"])
-    per_phase = planned.groupBy("phase").agg(
-        F.count(F.lit(1)).alias("n_examples"), F.sum("text_len").alias("n_tokens"),
-        F.sum("wav_len").alias("n_samples"), (F.max("batch_id") + 1).alias("n_batches"),
-        F.first("batch").alias("batch"))
+    state = label_by_length(j.withColumn("wav_len", F.col("n_samples")), limits)
+    state = state.withColumn("state", F.when(F.col("found").isNull(), F.lit("missing"))
+                             .otherwise(F.when(F.col("reason").isNull(), F.lit("kept")).otherwise(F.lit("dropped"))))
+    of = lambda s, v: F.sum(F.when(F.col("state") == s, v))
+    counts = state.groupBy("phase").agg(
+        F.count_if(F.col("state") == "kept").alias("n_examples"), of("kept", F.col("text_len")).alias("n_tokens"),
+        of("kept", F.col("wav_len")).alias("n_samples"), F.count_if(F.col("state") == "dropped").alias("n_dropped"),
+        F.count_if(F.col("state") == "missing").alias("n_missing"))
     # every manifest line is accounted for: kept + dropped + missing clip + rejected
-    drops = dropped.groupBy("phase").agg(F.count(F.lit(1)).alias("n_dropped"))
-    miss = missing.groupBy("phase").agg(F.count(F.lit(1)).alias("n_missing"))
     rej = _rejects.groupBy("phase").agg(F.count(F.lit(1)).alias("n_rejected"))
-    out = per_phase.join(drops, "phase", "full_outer").join(miss, "phase", "full_outer").join(rej, "phase", "full_outer")
+    out = counts.join(rej, "phase", "full_outer").join(limits.select("phase", "batch"), "phase", "left")
+    out = out.withColumn("n_batches", idiv(F.col("n_examples") + F.col("batch") - 1, F.col("batch")))
     eff = F.col("batch") * accumulate
     return out.select(
         "phase", F.coalesce("n_examples", F.lit(0)).cast("long").alias("n_examples"),

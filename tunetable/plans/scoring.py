@@ -15,11 +15,15 @@ from pyspark.sql import DataFrame
 
 
 def score_batches(df: DataFrame, loader: Callable[[], object],
-                  fn: Callable[[object, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+                  fn: Callable[[object, pd.DataFrame], pd.DataFrame], schema: str,
+                  batch: int | None = None) -> DataFrame:
+    """Score ``df`` batch by batch; ``fn`` sees at most ``batch`` rows at once (default: a whole Arrow batch)."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = loader()
         for pdf in batches:
-            yield fn(model, pdf)
+            step = batch or max(len(pdf), 1)
+            for lo in range(0, max(len(pdf), 1), step):
+                yield fn(model, pdf.iloc[lo:lo + step])
 
     return df.mapInPandas(run, schema)
 

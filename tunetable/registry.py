@@ -18,7 +18,6 @@ from .functions import idiv
 from .functions import lengths as LN
 from .functions import text as TX
 from .operators import batching, codes as CO, decoding as DE, manifest as MA, metrics as ME, tensors as TE
-from .plans.joins import bounded_broadcast, spread
 from .plans.prefix import int_bucket
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,6 +61,15 @@ def long_(c):
     return (F.col(c) if isinstance(c, str) else c).cast("long")
 
 
+_PLACED_SQL = """CAST(list_sum(list_transform("values", lambda x, i: CAST(round(CAST(x AS DOUBLE) * 1e6) AS BIGINT) * i)) AS BIGINT)"""
+
+
+def placed(c):
+    """Every value of an array, in millionths, times its place: an exact sum that a changed or moved value changes."""
+    return F.aggregate(F.transform(c, lambda x, i: F.round(x.cast("double") * F.lit(1e6), 0).cast("long") * (i + 1)),
+                       F.lit(0).cast("long"), lambda a, x: a + x)
+
+
 # =================================================================== sources
 
 @query("manifest_parse", S.with_sql(S.SQL_MANIFEST) + """
@@ -100,18 +108,17 @@ def q_object_catalog(spark, sf):
 
 @query("vocab_usage")
 def q_vocab_usage(spark, sf):
-    from .functions.bpe import bpe_encode
+    from .functions.bpe import token_usage
     from .resources import default_tokenizer_path
     from .sources.vocab import read_vocab
     vocab, _merges = read_vocab(spark)
-    docs = spread(S.table(spark, sf, "documents").select("text"))
-    ids = docs.select(F.explode(bpe_encode(TX.normalise_text("text"), default_tokenizer_path())).alias("id"))
-    counts = ids.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
-    return counts.join(bounded_broadcast(vocab, 1_000_000), "id", "left").select("id", "token", "n")
+    docs = S.table(spark, sf, "documents").select(TX.normalise_text("text").alias("text"))
+    return token_usage(docs, "text", default_tokenizer_path()).join(vocab, "id", "left").select("id", "token", "n")
 
 
 @query("tensor_scan", S.with_sql(S.SQL_BASE, S.SQL_TUNED) + """
-SELECT tensor, "row", CAST(len("values") AS BIGINT) AS n_values, round(CAST("values"[1] AS DOUBLE), 6) AS first_value
+SELECT tensor, "row", CAST(len("values") AS BIGINT) AS n_values, round(CAST("values"[1] AS DOUBLE), 6) AS first_value,
+       """ + _PLACED_SQL + """ AS value_check
 FROM tuned WHERE starts_with(tensor, 'gpt.h.3.')""")
 def q_tensor_scan(spark, sf):
     from .session import scratch_path
@@ -122,11 +129,12 @@ def q_tensor_scan(spark, sf):
     write_tensors(S.tuned_tensors(spark, sf).select(*cols), path, run_id=1, step=20)
     t = read_tensors(spark, path, run_id=1, step=20, tensor_prefix="gpt.h.3.")
     return t.select("tensor", "row", long_(F.size("values")).alias("n_values"),
-                    r6(F.col("values")[0]).alias("first_value"))
+                    r6(F.col("values")[0]).alias("first_value"), placed("values").alias("value_check"))
 
 
 @query("adapter_roundtrip", S.with_sql(S.SQL_BASE) + """
-SELECT tensor, "row", CAST(len("values") AS BIGINT) AS n_values, 16 AS r, 32 AS lora_alpha, true AS fan_in_fan_out
+SELECT tensor, "row", CAST(len("values") AS BIGINT) AS n_values, """ + _PLACED_SQL + """ AS value_check,
+       16 AS r, 32 AS lora_alpha, true AS fan_in_fan_out
 FROM base WHERE string_split(tensor, '.')[-1] = 'c_fc'""")
 def q_adapter_roundtrip(spark, sf):
     from .session import scratch_path
@@ -139,7 +147,8 @@ def q_adapter_roundtrip(spark, sf):
     write_adapter(t, cfg, path, "a1")
     tens, conf = read_adapter(spark, path, "a1")
     return tens.join(F.broadcast(conf.select("adapter_id", "r", "lora_alpha", "fan_in_fan_out")), "adapter_id").select(
-        "tensor", "row", long_(F.size("values")).alias("n_values"), "r", "lora_alpha", "fan_in_fan_out")
+        "tensor", "row", long_(F.size("values")).alias("n_values"), placed("values").alias("value_check"), "r", "lora_alpha",
+        "fan_in_fan_out")
 
 
 # =================================================================== projections / filters
@@ -197,8 +206,7 @@ SELECT doc_id, phase, text_len, wav_len,
             WHEN wav_len > (CASE phase WHEN 'train' THEN 551250 ELSE 286715 END) THEN 'wav_too_long' END AS reason
 FROM lens""")
 def q_length_filter(spark, sf):
-    kept, dropped = MA.filter_by_length(_lengths(spark, sf), MA.phase_limits(spark))
-    out = kept.withColumn("reason", F.lit(None).cast("string")).unionByName(dropped)
+    out = MA.label_by_length(_lengths(spark, sf), MA.phase_limits(spark))
     return out.select(long_("doc_id").alias("doc_id"), "phase", long_("text_len").alias("text_len"),
                       long_("wav_len").alias("wav_len"), "reason")
 
@@ -245,11 +253,12 @@ def q_mark_trainable(spark, sf):
 
 
 @query("cadence_flags", S.with_sql(S.SQL_STEPS) + """
-SELECT run_id, step, step % 100 = 0 AS is_save_checkpoint, step % 100 = 0 AS is_validate,
-       step % 100 = 0 AS is_visuals, step % 500 = 0 AS is_log
+SELECT run_id, step, step % 20 = 0 AS is_save_checkpoint, step % 15 = 0 AS is_validate,
+       step % 10 = 0 AS is_visuals, step % 5 = 0 AS is_log
 FROM steps""")
 def q_cadence_flags(spark, sf):
-    s = ME.cadence_flags(S.step_losses(spark, sf), "step")
+    every = {"save_checkpoint": 20, "validate": 15, "visuals": 10, "log": 5}  # within reach of the shortest runs
+    s = ME.cadence_flags(S.step_losses(spark, sf), "step", every)
     return s.select(long_("run_id").alias("run_id"), long_("step").alias("step"), "is_save_checkpoint",
                     "is_validate", "is_visuals", "is_log")
 
@@ -317,7 +326,7 @@ def q_conditioning_candidates(spark, sf):
                                                 F.col("source").alias("speaker"))
     lim = F.broadcast(MA.phase_limits(spark).select("phase", "n_cond"))  # constant two-row table
     d = d.join(lim, "phase")
-    c = MA.conditioning_candidates(d, ["phase", "speaker"], "doc_id", F.col("n_cond"), max_k=3)
+    c = MA.conditioning_candidates(d, ["phase", "speaker"], "doc_id", F.col("n_cond"), max_k=3, width=64, chunk=8)
     return c.select(long_("doc_id").alias("doc_id"), F.col("cond_rank").cast("int").alias("cond_rank"),
                     long_("cond_id").alias("cond_id"))
 
@@ -377,14 +386,15 @@ def q_attach_candidates(spark, sf):
 
 @query("assign_codes", """
 WITH v AS (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
-cb AS (SELECT vec_id AS code, unnest(embedding) AS y, generate_subscripts(embedding, 1) AS i FROM embeddings WHERE vec_id < 16),
-d AS (SELECT v.vec_id, cb.code, sum((CAST(x AS DOUBLE) - CAST(y AS DOUBLE)) * (CAST(x AS DOUBLE) - CAST(y AS DOUBLE))) AS dist
+lv AS (SELECT label, CAST(unnest(embedding) AS DOUBLE) AS y, generate_subscripts(embedding, 1) AS i FROM embeddings),
+cb AS (SELECT label AS code, i, avg(y) AS y FROM lv GROUP BY label, i),
+d AS (SELECT v.vec_id, cb.code, sum((CAST(x AS DOUBLE) - y) * (CAST(x AS DOUBLE) - y)) AS dist
       FROM v JOIN cb ON v.i = cb.i GROUP BY v.vec_id, cb.code),
 r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY dist, code) AS rn FROM d)
-SELECT vec_id, code, round(dist, 6) AS dist FROM r WHERE rn = 1""")
+SELECT vec_id, CAST(code AS BIGINT) AS code, round(dist, 6) AS dist FROM r WHERE rn = 1""")
 def q_assign_codes(spark, sf):
     e = S.table(spark, sf, "embeddings")
-    book = e.filter(F.col("vec_id") < 16).select(F.col("vec_id").alias("code"), "embedding")
+    book = CO.pool_mean(e, "label", "embedding", out="embedding").withColumnRenamed("label", "code")
     a = CO.assign_codes(e, book)
     return a.select(long_("vec_id").alias("vec_id"), long_("code").alias("code"), r6("dist").alias("dist"))
 
@@ -526,7 +536,7 @@ FROM i""")
 def q_plan_batches(spark, sf):
     d = S.table(spark, sf, "documents").select("doc_id", S.phase_col().alias("phase"))
     d = d.join(F.broadcast(MA.phase_limits(spark).select("phase", "batch")), "phase")  # constant two-row table
-    b = batching.plan_batches(d, "doc_id", F.col("batch"), micro=4, partition=["phase"])
+    b = batching.plan_batches(d, "doc_id", F.col("batch"), micro=4, partition=["phase"], width=64)
     return b.select(long_("doc_id").alias("doc_id"), "phase", long_("batch_id").alias("batch_id"),
                     long_("position").alias("position"), long_("micro_id").alias("micro_id"))
 
@@ -537,15 +547,15 @@ WITH d AS (SELECT doc_id, list_transform(list_filter(string_split(text, ''), lam
 o AS (SELECT doc_id, tok, sum(len(tok)) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - len(tok) AS off FROM d),
 u AS (SELECT doc_id, off, unnest(tok) AS t, generate_subscripts(tok, 1) AS p FROM o)
 SELECT CAST((off + p - 1) // 1024 AS BIGINT) AS block_id, count(*) AS n_tokens, count(DISTINCT doc_id) AS n_docs,
-       min(doc_id) AS first_doc, CAST(sum(t) AS BIGINT) AS token_sum
+       min(doc_id) AS first_doc, md5(string_agg(CAST(t AS VARCHAR), ',' ORDER BY off + p)) AS tokens_md5
 FROM u GROUP BY 1""")
 def q_pack_blocks(spark, sf):
-    d = spread(S.table(spark, sf, "documents").select("doc_id", "text"))
+    d = S.table(spark, sf, "documents").select("doc_id", "text")
     d = d.select("doc_id", A.char_codes(F.col("text")).alias("tokens"), F.length("text").alias("n_chars"))
-    b = batching.pack_blocks(d, "tokens", "doc_id", block=1024, n_col="n_chars")
+    b = batching.pack_blocks(d, "tokens", "doc_id", block=1024, n_col="n_chars", width=64)
     return b.select(long_("block_id").alias("block_id"), long_("n_tokens").alias("n_tokens"),
                     long_("n_docs").alias("n_docs"), long_("first_doc").alias("first_doc"),
-                    long_(F.aggregate("tokens", F.lit(0).cast("long"), lambda a, x: a + x)).alias("token_sum"))
+                    F.md5(aj("tokens").cast("binary")).alias("tokens_md5"))
 
 
 def _rolling_sql(n: int) -> str:
@@ -656,7 +666,12 @@ def q_typical_filter(spark, sf):
     return n.select(long_("request_id").alias("request_id"), "token", r6("prob").alias("prob"))
 
 
-@query("sample_per_group")
+@query("sample_per_group", S.with_sql(S.SQL_SCORES) + _softmax_sql(0.8) + """,
+g AS (SELECT request_id, token, draw, ln(prob) - ln(-ln(
+          ((CAST('0x' || substr(md5('7|' || request_id || '|' || token || '|' || draw), 1, 15) AS BIGINT) >> 8) + 0.5::DOUBLE) / 4503599627370496.0)) AS k
+      FROM p CROSS JOIN range(0, 3) d(draw) WHERE prob > 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY request_id, draw ORDER BY k DESC, token) AS rn FROM g)
+SELECT request_id, CAST(draw AS INTEGER) AS draw, token FROM r WHERE rn = 1""")
 def q_sample_per_group(spark, sf):
     p = DE.softmax(S.scores(spark, sf), "request_id", "score", 0.8)
     s = DE.sample_per_group(p, "request_id", "token", "prob", n=3, seed=7)
@@ -696,7 +711,8 @@ def q_first_candidate(spark, sf):
     return DE.first_candidate(c, "request_id", "cand_id").select("request_id", "cand_id", "score")
 
 
-@query("seeded_shuffle")
+@query("seeded_shuffle", """
+SELECT doc_id, row_number() OVER (ORDER BY substr(md5('42|' || doc_id), 1, 15), doc_id) - 1 AS shuffle_pos FROM documents""")
 def q_seeded_shuffle(spark, sf):
     d = S.table(spark, sf, "documents").select("doc_id")
     return batching.seeded_shuffle(d, "doc_id", seed=42).select("doc_id", long_("shuffle_pos").alias("shuffle_pos"))
@@ -728,9 +744,13 @@ def q_normalise_text(spark, sf):
 
 
 @query("redact_bracketed", """
-SELECT doc_id, regexp_replace(text, '\\[[^\\]]*\\]', '', 'g') AS text FROM documents""")
+WITH b AS (SELECT doc_id, '[' || lang || ']' || replace(text, ' s', ' [' || source || '] s') || '[' AS text FROM documents)
+SELECT doc_id, regexp_replace(text, '\\[[^\\]]*\\]', '', 'g') AS text FROM b""")
 def q_redact_bracketed(spark, sf):
-    return S.table(spark, sf, "documents").select("doc_id", TX.redact_bracketed("text").alias("text"))
+    d = S.table(spark, sf, "documents")
+    span = F.concat(F.lit(" ["), F.col("source"), F.lit("] s"))
+    text = F.concat(F.lit("["), F.col("lang"), F.lit("]"), F.replace("text", F.lit(" s"), span), F.lit("["))
+    return d.select("doc_id", TX.redact_bracketed(text).alias("text"))
 
 
 @query("pad_or_truncate", S.with_sql(S.SQL_CODES) + """
@@ -763,11 +783,11 @@ def q_align_inputs_targets(spark, sf):
 
 @query("mask_past_end", S.with_sql(S.SQL_CODES) + """
 SELECT doc_id, array_to_string(list_transform(codes, lambda x, i:
-         CASE WHEN i - 1 >= ((doc_id % 300) * 1024 + 500) // 1024 + 1 THEN 8193 ELSE x END), ',') AS codes
+         CASE WHEN i - 1 >= (n_chars // 16 * 1024 + 500) // 1024 + 1 THEN 8193 ELSE x END), ',') AS codes
 FROM codes""")
 def q_mask_past_end(spark, sf):
     c = S.codes(spark, sf)
-    wav = (F.col("doc_id") % 300) * 1024 + 500
+    wav = idiv(F.col("n_chars"), F.lit(16)) * 1024 + 500
     return c.select("doc_id", aj(A.mask_past_end("codes", wav)).alias("codes"))
 
 
@@ -820,11 +840,14 @@ def q_multistep_lr(spark, sf):
 
 @query("collate_causal", """
 WITH c AS (SELECT conv_id, turn, len(list_filter(string_split(text, ''), lambda c: c <> '')) AS n,
+                  list_transform(list_filter(string_split(text, ''), lambda c: c <> ''), lambda c: unicode(c)) AS tok,
                   list_sum(list_transform(list_filter(string_split(text, ''), lambda c: c <> ''), lambda c: unicode(c))) AS s,
                   (row_number() OVER (ORDER BY conv_id, turn) - 1) // 4 AS batch_id FROM conversations),
 p AS (SELECT *, max(n) OVER (PARTITION BY batch_id) AS padded_len FROM c)
 SELECT conv_id, turn, CAST(batch_id AS BIGINT) AS batch_id, CAST(padded_len AS BIGINT) AS padded_len,
-       CAST(padded_len - n AS BIGINT) AS n_masked, CAST(coalesce(s, 0) - 100 * (padded_len - n) AS BIGINT) AS label_sum
+       CAST(padded_len - n AS BIGINT) AS n_masked, CAST(coalesce(s, 0) - 100 * (padded_len - n) AS BIGINT) AS label_sum,
+       md5(array_to_string(list_concat(tok, list_transform(range(padded_len - n), lambda x: 0)), ',')) AS input_md5,
+       md5(array_to_string(list_concat(list_transform(tok, lambda x: 1), list_transform(range(padded_len - n), lambda x: 0)), ',')) AS mask_md5
 FROM p""")
 def q_collate_causal(spark, sf):
     ex = S.conversation_examples(spark, sf)
@@ -833,7 +856,9 @@ def q_collate_causal(spark, sf):
     return c.select(long_("conv_id").alias("conv_id"), long_("turn").alias("turn"), long_("batch_id").alias("batch_id"),
                     long_("padded_len").alias("padded_len"),
                     long_(F.size(F.filter("labels", lambda x: x == -100))).alias("n_masked"),
-                    long_(F.aggregate("labels", F.lit(0).cast("long"), lambda a, x: a + x)).alias("label_sum"))
+                    long_(F.aggregate("labels", F.lit(0).cast("long"), lambda a, x: a + x)).alias("label_sum"),
+                    F.md5(aj("input_ids").cast("binary")).alias("input_md5"),
+                    F.md5(aj("attention_mask").cast("binary")).alias("mask_md5"))
 
 
 @query("sft_examples", """
@@ -864,12 +889,12 @@ def q_sft_examples(spark, sf):
 
 
 @query("adapter_params", S.with_sql(S.SQL_BASE) + """
-SELECT tensor, CAST(max(len("values")) AS BIGINT) AS in_dim, count(*) AS out_dim,
-       16 * (max(len("values")) + count(*)) AS params, CAST(32 AS DOUBLE) / 16 AS scale
+SELECT tensor, CAST(max(shape[1]) AS BIGINT) AS in_dim, count(*) AS out_dim,
+       CAST(16 * (max(shape[1]) + count(*)) AS BIGINT) AS params, CAST(32 AS DOUBLE) / 16 AS scale
 FROM base WHERE ndim = 2 GROUP BY tensor""")
 def q_adapter_params(spark, sf):
     b = S.base_tensors(spark, sf).filter(F.col("ndim") == 2)
-    g = b.groupBy("tensor").agg(F.max(F.size("values")).alias("in_dim"), F.count(F.lit(1)).alias("out_dim"))
+    g = b.groupBy("tensor").agg(F.max(F.col("shape")[0]).alias("in_dim"), F.count(F.lit(1)).alias("out_dim"))
     return g.select("tensor", long_("in_dim").alias("in_dim"), long_("out_dim").alias("out_dim"),
                     LN.adapter_params("in_dim", "out_dim", 16).alias("params"),
                     LN.adapter_scale(32, 16).alias("scale"))
@@ -879,7 +904,7 @@ def q_adapter_params(spark, sf):
 def q_bpe_token_counts(spark, sf):
     from .functions.bpe import bpe_encode
     from .resources import default_tokenizer_path
-    d = spread(S.table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", bpe_encode(TX.normalise_text("text"),
+    d = S.table(spark, sf, "documents").select("doc_id", "text").select("doc_id", bpe_encode(TX.normalise_text("text"),
                                                                       default_tokenizer_path()).alias("ids"))
     return d.select("doc_id", long_(F.size("ids")).alias("n_tokens"),
                     long_(F.size(F.filter("ids", lambda x: x == 1))).alias("n_unk"))
@@ -893,11 +918,25 @@ def q_bpe_roundtrip(spark, sf):
     from .functions.bpe import bpe_decode, bpe_encode, load_tokenizer
     from .resources import default_tokenizer_path
     tok = load_tokenizer(default_tokenizer_path())
-    d = spread(S.table(spark, sf, "documents").select("doc_id", "text"))
+    d = S.table(spark, sf, "documents").select("doc_id", "text")
     return d.select("doc_id", bpe_decode(bpe_encode(TX.normalise_text("text"), tok), tok).alias("text"))
 
 
-@query("quantise_error")
+def _nf4_sql() -> str:
+    from .operators.adapters import _NF4_MID, NF4_LEVELS, NF4_MAX_GAP
+    listed = lambda xs: "[" + ", ".join(f"CAST('{float(x)!r}' AS DOUBLE)" for x in xs) + "]"
+    return f"""
+WITH u AS (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings),
+b AS (SELECT vec_id, x, max(abs(x)) OVER (PARTITION BY vec_id, i // 16) AS am FROM u),
+s AS (SELECT vec_id, x, am, max(am) OVER (PARTITION BY vec_id) AS sm FROM b),
+q AS (SELECT vec_id, x, sm, round_even(255.0::DOUBLE * am / CASE WHEN sm > 0 THEN sm ELSE 1 END, 0) / 255.0::DOUBLE * sm AS scale,
+             x / CASE WHEN am > 0 THEN am ELSE 1 END AS v FROM s),
+d AS (SELECT vec_id, sm, abs(x - ({listed(NF4_LEVELS)})[1 + len(list_filter({listed(_NF4_MID)}, lambda m: m < v))] * scale) AS err FROM q)
+SELECT vec_id, round(max(err) * 1e6) / 1e6 AS max_abs_err, max(err) <= max(sm) * ({NF4_MAX_GAP / 2 + 1.0 / 255!r}) + 1e-12 AS within_bound
+FROM d GROUP BY vec_id"""
+
+
+@query("quantise_error", _nf4_sql())
 def q_quantise_error(spark, sf):
     from .operators.adapters import NF4_MAX_GAP, dequantise_blocks, quantise_blocks
     e = S.table(spark, sf, "embeddings").select("vec_id", "embedding")
@@ -905,7 +944,77 @@ def q_quantise_error(spark, sf):
     err = F.array_max(F.zip_with("embedding", "deq", lambda a, b: F.abs(a.cast("double") - b)))
     amax = F.array_max(F.transform("embedding", lambda a: F.abs(a.cast("double"))))
     bound = amax * (NF4_MAX_GAP / 2 + 1.0 / 255)
-    return q.select(long_("vec_id").alias("vec_id"), err.alias("max_abs_err"), (err <= bound + 1e-12).alias("within_bound"))
+    return q.select(long_("vec_id").alias("vec_id"), r6(err).alias("max_abs_err"), (err <= bound + 1e-12).alias("within_bound"))
+
+
+# =================================================================== further forms
+
+@query("rewrite_prefix_anywhere", """
+SELECT doc_id, replace(text, ' the ', ' THE ') AS text FROM documents""")
+def q_rewrite_prefix_anywhere(spark, sf):
+    """P1 in its global form: every occurrence in the line, not only at its start."""
+    d = S.table(spark, sf, "documents")
+    return d.select("doc_id", TX.rewrite_prefix("text", " the ", " THE ", anywhere=True).alias("text"))
+
+
+@query("align_text_pair", """
+WITH t AS (SELECT doc_id, list_transform(list_filter(string_split(text, ''), lambda c: c <> ''), lambda c: unicode(c)) AS tok FROM documents)
+SELECT doc_id, md5(array_to_string(list_concat([255], tok, [0]), ',')) AS inputs_md5,
+       md5(array_to_string(list_concat(tok, [0, 0]), ',')) AS targets_md5
+FROM t""")
+def q_align_text_pair(spark, sf):
+    """F5 on the text side (start 255, stop 0)."""
+    tok = A.char_codes(F.col("text"))
+    i, t = A.align_inputs_targets(A.append_stop(tok, A.TEXT_STOP), A.TEXT_START, A.TEXT_STOP)
+    return S.table(spark, sf, "documents").select("doc_id", F.md5(aj(i).cast("binary")).alias("inputs_md5"),
+                                                  F.md5(aj(t).cast("binary")).alias("targets_md5"))
+
+
+@query("seeded_crop", S.with_sql(S.SQL_CODES) + """,
+s AS (SELECT doc_id, codes, CAST('0x' || substr(md5('3|' || doc_id), 1, 15) AS BIGINT) % (greatest(len(codes) - 150, 0) + 1) AS st FROM codes)
+SELECT doc_id, array_to_string(CASE WHEN len(codes) <= 150
+         THEN list_slice(list_concat(codes, list_transform(range(150), lambda x: 0)), 1, 150)
+         ELSE list_slice(codes, st + 1, st + 150) END, ',') AS codes
+FROM s""")
+def q_seeded_crop(spark, sf):
+    """F8 with a start drawn from the row's key."""
+    c = S.codes(spark, sf)
+    return c.select("doc_id", aj(A.crop_or_pad("codes", 150, A.seeded_crop_start("codes", 150, "doc_id", 3))).alias("codes"))
+
+
+@query("strict_load", S.with_sql(S.SQL_BASE, S.SQL_TUNED) + """
+SELECT tensor, "row", """ + _PLACED_SQL + """ AS value_check FROM tuned""")
+def q_strict_load(spark, sf):
+    """J4's strict load: the tuned checkpoint against its own keys; any gap would raise."""
+    t = S.tuned_tensors(spark, sf)
+    return TE.load_checked(t.select("tensor", "row", "shape"), t, strict=True).select(
+        "tensor", "row", placed("values").alias("value_check"))
+
+
+@query("lenient_load", S.with_sql(S.SQL_BASE, S.SQL_TUNED, S.SQL_GIVEN) + """
+SELECT g.tensor, g."row", """ + _PLACED_SQL.replace('"values"', 'g."values"') + """ AS value_check
+FROM given0 g JOIN base b ON b.tensor = g.tensor AND b."row" = g."row" WHERE len(g."values") = b.shape[1]""")
+def q_lenient_load(spark, sf):
+    """J4's other mode: only matched keys load, mismatched shapes are left out."""
+    got = TE.load_checked(S.base_tensors(spark, sf), S.given_tensors(spark, sf), strict=False, ignore_mismatched=True)
+    return got.select("tensor", "row", placed("values").alias("value_check"))
+
+
+@query("manifest_file", S.with_sql(S.SQL_MANIFEST) + """
+SELECT sum(CASE WHEN doc_id % 13 <> 0 THEN 1 ELSE 0 END) :: BIGINT AS n_parsed, sum(CASE WHEN doc_id % 13 = 0 THEN 1 ELSE 0 END) :: BIGINT AS n_rejected,
+       sum(CASE WHEN doc_id % 13 <> 0 THEN length(text) ELSE 0 END) :: BIGINT AS n_text_chars
+FROM parsed""")
+def q_manifest_file(spark, sf):
+    """S1 from text files: manifest lines are written, some without a delimiter, and read back with their rejects."""
+    from .session import scratch_path
+    from .sources.manifest import read_manifest
+    path = scratch_path(spark, "manifest")
+    lines = S.manifest_lines(spark, sf)
+    bare = F.replace("value", F.lit("|"), F.lit(" "))
+    lines.select(F.when(F.col("line_no") % 13 == 0, bare).otherwise(F.col("value")).alias("value")).write.text(path)
+    parsed, rejects = read_manifest(spark, path)
+    counts = parsed.agg(F.count(F.lit(1)).alias("n_parsed"), long_(F.sum(F.length("text"))).alias("n_text_chars"), F.lit(0).alias("k"))
+    return counts.join(rejects.agg(F.count(F.lit(1)).alias("n_rejected"), F.lit(0).alias("k")), "k").select("n_parsed", "n_rejected", "n_text_chars")
 
 
 # =================================================================== pipeline surface
@@ -926,10 +1035,32 @@ SELECT doc_id, CAST(len(tok) AS BIGINT) AS n_tok,
 FROM t""")
 def q_injector_chain(spark, sf):
     from .plans.injectors import run_injectors
-    d = run_injectors(spread(S.table(spark, sf, "documents").select("doc_id", "text")), _CHAIN)
+    d = run_injectors(S.table(spark, sf, "documents").select("doc_id", "text"), _CHAIN)
     return d.select("doc_id", long_("n_tok").alias("n_tok"), aj("padded").alias("padded"))
 
 
+@query("injector_nested", """
+WITH lv AS (SELECT label, CAST(unnest(embedding) AS DOUBLE) AS y, generate_subscripts(embedding, 1) AS i FROM embeddings),
+cb AS (SELECT label AS code, i, avg(y) AS y FROM lv GROUP BY label, i),
+x AS (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+d AS (SELECT vec_id, code, sum((x - y) * (x - y)) AS dist FROM x JOIN cb USING (i) GROUP BY vec_id, code),
+r AS (SELECT vec_id, code, row_number() OVER (PARTITION BY vec_id ORDER BY dist, code) AS rn FROM d)
+SELECT vec_id, CAST(code AS BIGINT) AS token, CAST(code AS VARCHAR) || ',' || CAST(code AS VARCHAR) AS tokens, '63,63' AS sizes
+FROM r WHERE rn = 1""")
+def q_injector_nested(spark, sf):
+    """X1 with nested steps: codes for a vector, codes for each of a list of vectors, and a transform per element."""
+    from .plans.injectors import run_injectors
+    e = S.table(spark, sf, "embeddings")
+    book = CO.pool_mean(e, "label", "embedding", out="embedding").withColumnRenamed("label", "code")
+    d = e.select("vec_id", "embedding", F.array("embedding", "embedding").alias("pair"))
+    out = run_injectors(d, [
+        {"type": "discrete_token", "in": "embedding", "out": "token", "codebook": book, "id_col": "vec_id"},
+        {"type": "discrete_token", "in": "pair", "out": "tokens", "codebook": book, "id_col": "vec_id"},
+        {"type": "for_each", "subtype": "crop_or_pad", "in": "pair", "out": "short", "n": 63},
+        {"type": "for_each", "subtype": "size", "in": "short", "out": "sizes"}])
+    return out.select("vec_id", "token", aj("tokens").alias("tokens"), aj("sizes").alias("sizes"))
+
+
 @query("score_batches", """
 WITH u AS (SELECT vec_id, label, CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
 c AS (SELECT label, i, avg(x) AS m FROM u GROUP BY label, i),
@@ -955,10 +1086,36 @@ def q_score_batches(spark, sf):
                              "score": logits.max(axis=1) if len(pdf) else np.zeros(0)})
 
     out = score_batches(e.select("vec_id", "embedding"), parquet_matrix_loader(path, "label", "w"), fn,
-                        "vec_id long, pred long, score double")
+                        "vec_id long, pred long, score double", batch=64)
     return out.select("vec_id", "pred", r6("score").alias("score"))
 
 
+def _merge_adapter(spark, sf, transposed):
+    """Per targeted tensor: one factor of r = 4 vectors along the rows, taken from the tensor's own
+    first rows, and one with r numbers per row, a fixed pattern of the row number. The first is A in
+    the plain layout and B's columns in the transposed one, so both layouts give the same rows."""
+    from .operators.adapters import merge_adapter
+    r = 4
+    base = TE.target_modules(S.base_tensors(spark, sf), ["c_fc", "c_proj"]).select("tensor", "row", "values")
+    first_rows = DE.top_k(base.withColumn("__neg", -F.col("row")), "tensor", "__neg", "row", k=r)
+    along = (first_rows.groupBy("tensor").agg(F.sort_array(F.collect_list(F.struct("row", "values"))).alias("a"))
+             .select("tensor", F.transform("a", lambda s: F.transform(s["values"], lambda x: x.cast("double") / 100)).alias("along")))
+    rows = F.sequence(F.lit(0), F.col("mx"))
+    ranks = F.sequence(F.lit(0), F.lit(r - 1))
+    at = lambda i, j: ((i * 7 + j) % 5 - 2).cast("double") / 10
+    own = F.transform(ranks, lambda j: F.transform(rows, lambda i: at(i, j))) if transposed else \
+        F.transform(rows, lambda i: F.transform(ranks, lambda j: at(i, j)))
+    per_row = base.groupBy("tensor").agg(F.max("row").alias("mx")).select("tensor", own.alias("own"))
+    if transposed:  # B: a row of r numbers for each place along the stored rows
+        places = F.sequence(F.lit(0), F.size(F.col("along")[0]) - 1)
+        b = F.transform(places, lambda k: F.transform("along", lambda v: F.get(v, k)))
+        ad = along.select("tensor", b.alias("lora_B")).join(per_row.withColumnRenamed("own", "lora_A"), "tensor")
+    else:
+        ad = along.withColumnRenamed("along", "lora_A").join(per_row.withColumnRenamed("own", "lora_B"), "tensor")
+    m = merge_adapter(base, ad, alpha=8, r=r, fan_in_fan_out=transposed)
+    return m.select("tensor", "row", r6(F.aggregate("values", F.lit(0.0), lambda a, x: a + x)).alias("row_sum"))
+
+
 @query("merge_adapter", S.with_sql(S.SQL_BASE) + """,
 t AS (SELECT tensor, "row", "values" FROM base WHERE string_split(tensor, '.')[-1] IN ('c_fc', 'c_proj')),
 ar AS (SELECT tensor, "values", row_number() OVER (PARTITION BY tensor ORDER BY "row") - 1 AS j FROM t),
@@ -974,47 +1131,38 @@ m AS (SELECT tensor, rw, list_transform(vs, lambda w, i: CAST(w AS DOUBLE) + 2.0
       FROM ta)
 SELECT tensor, rw AS "row", round(list_reduce(v, lambda acc, x: acc + x, 0.0), 6) AS row_sum FROM m""")
 def q_merge_adapter(spark, sf):
-    from .operators.adapters import merge_adapter
-    r = 4
-    base = TE.target_modules(S.base_tensors(spark, sf), ["c_fc", "c_proj"]).select("tensor", "row", "values")
-    # Per targeted tensor: A = r rows taken from the tensor's own first rows (as in-dim vectors),
-    # B = out x r with a fixed pattern of the row number.
-    first_rows = DE.top_k(base.withColumn("__neg", -F.col("row")), "tensor", "__neg", "row", k=r)
-    A_ = (first_rows.groupBy("tensor").agg(F.sort_array(F.collect_list(F.struct("row", "values"))).alias("a"))
-          .select("tensor", F.transform("a", lambda s: F.transform(s["values"], lambda x: x.cast("double") / 100)).alias("lora_A")))
-    B_ = (base.select("tensor", "row").groupBy("tensor").agg(F.max("row").alias("mx"))
-          .select("tensor", F.transform(F.sequence(F.lit(0), F.col("mx")),
-                                        lambda i: F.transform(F.sequence(F.lit(0), F.lit(r - 1)),
-                                                              lambda j: ((i * 7 + j) % 5 - 2).cast("double") / 10)).alias("lora_B")))
-    ad = A_.join(B_, "tensor")
-    m = merge_adapter(base, ad, alpha=8, r=r, fan_in_fan_out=False)
-    return m.select("tensor", "row", r6(F.aggregate("values", F.lit(0.0), lambda a, x: a + x)).alias("row_sum"))
+    return _merge_adapter(spark, sf, transposed=False)
+
+
+@query("merge_adapter_transposed", SQL["merge_adapter"])
+def q_merge_adapter_transposed(spark, sf):
+    """J6 with ``fan_in_fan_out``: the base is stored transposed."""
+    return _merge_adapter(spark, sf, transposed=True)
 
 
 @query("apply_adapter", """
 WITH x AS (SELECT vec_id, label % 2 AS aid, CAST(unnest(embedding) AS DOUBLE) AS xv, generate_subscripts(embedding, 1) - 1 AS k
            FROM embeddings),
-w AS (SELECT vec_id AS o, CAST(unnest(embedding) AS DOUBLE) AS wv, generate_subscripts(embedding, 1) - 1 AS k
-      FROM embeddings WHERE vec_id < 16),
+lv AS (SELECT label AS o, CAST(unnest(embedding) AS DOUBLE) AS wv, generate_subscripts(embedding, 1) - 1 AS k FROM embeddings),
+w AS (SELECT o, k, avg(wv) AS wv FROM lv GROUP BY o, k),
 y0 AS (SELECT x.vec_id, w.o, sum(w.wv * x.xv) AS y0 FROM x JOIN w ON x.k = w.k GROUP BY x.vec_id, w.o),
 ax AS (SELECT x.vec_id, r.j, sum(CASE WHEN x.aid = 0 THEN ((r.j + 3 * x.k) % 7 - 3) / 50.0
                                       ELSE ((2 * r.j + x.k) % 5 - 2) / 40.0 END * x.xv) AS h
        FROM x CROSS JOIN range(0, 2) r(j) GROUP BY x.vec_id, r.j),
 dy AS (SELECT ax.vec_id, q.o, sum(((5 * q.o + ax.j) % 3 - 1) / 10.0 * ax.h) AS dy
-       FROM ax CROSS JOIN range(0, 16) q(o) GROUP BY ax.vec_id, q.o)
+       FROM ax CROSS JOIN (SELECT DISTINCT o FROM w) q GROUP BY ax.vec_id, q.o)
 SELECT y0.vec_id, CAST(y0.o AS INTEGER) AS pos, round(y0.y0 + 2.0 * dy.dy, 6) AS y
 FROM y0 JOIN dy ON y0.vec_id = dy.vec_id AND y0.o = dy.o""")
 def q_apply_adapter(spark, sf):
     from .operators.adapters import apply_adapter
     e = S.table(spark, sf, "embeddings")
-    base = e.filter(F.col("vec_id") < 16).select(F.col("vec_id").cast("int").alias("row"),
-                                                   F.transform("embedding", lambda x: x.cast("double")).alias("values"))
-    r = 2
+    base = CO.pool_mean(e, "label", "embedding", out="values").withColumnRenamed("label", "row")
+    r, n_rows = 2, base.count()
     A0 = [[((i + 3 * j) % 7 - 3) / 50.0 for j in range(64)] for i in range(r)]
-    B0 = [[((i * 5 + j) % 3 - 1) / 10.0 for j in range(r)] for i in range(16)]
+    B0 = [[((i * 5 + j) % 3 - 1) / 10.0 for j in range(r)] for i in range(n_rows)]
     A1 = [[((2 * i + j) % 5 - 2) / 40.0 for j in range(64)] for i in range(r)]
-    ad = spark.createDataFrame([(0, A0, B0), (1, A1, B0)],
-                               "adapter_id int, lora_A array<array<double>>, lora_B array<array<double>>")
+    ad = spark.createDataFrame([("0", A0, B0), ("1", A1, B0)],
+                               "adapter_id string, lora_A array<array<double>>, lora_B array<array<double>>")
     v = e.select("vec_id", "embedding", (F.col("label") % 2).alias("adapter_id"))
     out = apply_adapter(v, base, ad, alpha=4, r=r)
     return out.select("vec_id", F.posexplode("output").alias("pos", "y")).select("vec_id", "pos", r6("y").alias("y"))
@@ -1029,6 +1177,47 @@ def q_fit_adapter(spark, sf):
     return losses
 
 
+@query("fit_adapter_start", """
+WITH u AS (SELECT vec_id, label, CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+w AS (SELECT label AS o, i, avg(x) AS m FROM u GROUP BY label, i),
+z AS (SELECT u.vec_id, u.label, w.o, sum(u.x * w.m) AS z FROM u JOIN w USING (i) GROUP BY u.vec_id, u.label, w.o),
+p AS (SELECT *, z - max(z) OVER (PARTITION BY vec_id) AS zs FROM z),
+l AS (SELECT vec_id, -(max(zs) FILTER (WHERE o = label) - ln(sum(exp(zs)))) AS loss FROM p GROUP BY vec_id)
+SELECT 0 AS step, round(avg(loss), 6) AS loss, count(*) AS n_rows FROM l""")
+def q_fit_adapter_start(spark, sf):
+    """The loss before any update: B starts at zero, so it is the frozen base's."""
+    from .operators.adapters import fit_adapter
+    e = S.table(spark, sf, "embeddings")
+    base = CO.pool_mean(e, "label", "embedding", out="values").select(F.col("label").alias("row"), "values")
+    _adapter, losses = fit_adapter(spark, e, base, steps=1)
+    return losses.select("step", r6("loss").alias("loss"), "n_rows")
+
+
+@query("adapter_cycle")
+def q_adapter_cycle(spark, sf):
+    """Fit on mini-batches, save, load and apply: per vector the label that the adapted base
+    gives the highest score, beside the frozen base's."""
+    from .operators.adapters import apply_adapter, fit_adapter, stack_adapter
+    from .session import scratch_path
+    from .sources.tensors import read_adapter, write_adapter
+    e = S.table(spark, sf, "embeddings")
+    base = CO.pool_mean(e, "label", "embedding", out="values").select(F.col("label").alias("row"), "values")
+    fitted, _losses = fit_adapter(spark, e, base, r=4, alpha=8.0, lr=0.5, steps=8, batch=200)
+    path = scratch_path(spark, "fitted")
+    cfg = {"peft_type": "LORA", "r": 4, "lora_alpha": 8, "fan_in_fan_out": False}
+    write_adapter(fitted.withColumnRenamed("matrix", "tensor"), cfg, path, "labels-v1")
+    loaded, conf = read_adapter(spark, path, "labels-v1")
+    c = conf.select("r", "lora_alpha").first()
+    frozen = stack_adapter(loaded.withColumn("values", F.transform("values", lambda x: x * 0.0))).withColumn("adapter_id", F.lit("none"))
+    models = stack_adapter(loaded).unionByName(frozen)
+    v = e.select("vec_id", "embedding", F.explode(F.array(F.lit("labels-v1"), F.lit("none"))).alias("adapter_id"))
+    out = apply_adapter(v.withColumn("vec_id", F.struct("vec_id", "adapter_id")), base, models, alpha=c["lora_alpha"], r=c["r"])
+    best = F.array_position("output", F.array_max("output")) - 1
+    return out.groupBy(F.col("vec_id.vec_id").alias("vec_id")).agg(
+        F.max(F.when(F.col("vec_id.adapter_id") == "labels-v1", best)).alias("adapted"),
+        F.max(F.when(F.col("vec_id.adapter_id") == "none", best)).alias("frozen"))
+
+
 @query("latency_tumbling", """
 SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS window_start,
        strftime(date_trunc('day', ts) + INTERVAL 1 DAY, '%Y-%m-%d %H:%M:%S') AS window_end,
@@ -1048,10 +1237,12 @@ def q_latency_tumbling(spark, sf):
 _TUMBLING_SQL = SQL["latency_tumbling"]
 
 
-@query("latency_stream_sink", _TUMBLING_SQL)
+@query("latency_stream_sink", f"""
+SELECT * FROM ({_TUMBLING_SQL}) w
+WHERE CAST(w.window_end AS TIMESTAMP) <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")
 def q_latency_stream_sink(spark, sf):
     """ST2 as a stream: events read as a Parquet stream, tumbling windows under a
-    watermark, complete result table kept in the shared folder, read back."""
+    watermark, each window appended to the shared folder once it is closed, read back."""
     from .session import scratch_path
     from .streaming.latency import run_latency_stream
     out, ckpt = scratch_path(spark, "latency-out"), scratch_path(spark, "latency-ckpt")

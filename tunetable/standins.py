@@ -60,7 +60,7 @@ def clips(spark, sf) -> DataFrame:
 
 
 def codes_col():
-    n = F.col("n_chars") % 300 + 3
+    n = idiv(F.col("n_chars"), F.lit(8)) + 3  # a code for every 8 characters of the whole text
     did = F.col("doc_id")
 
     def at(i):
@@ -72,9 +72,7 @@ def codes_col():
 
 
 def codes(spark, sf) -> DataFrame:
-    from .plans.joins import spread
-    d = spread(table(spark, sf, "documents").select("doc_id", "n_chars"))
-    return d.select("doc_id", "n_chars", codes_col().alias("codes"))
+    return table(spark, sf, "documents").select("doc_id", "n_chars", codes_col().alias("codes"))
 
 
 # ------------------------------------------------------------------ embeddings
@@ -165,8 +163,8 @@ SQL_CLIPS = """clips AS (
 
 SQL_CODES = """codes AS (
   SELECT doc_id, n_chars,
-         list_transform(range(n_chars % 300 + 3), lambda i: CAST(CASE
-             WHEN doc_id % 3 = 0 AND i = (n_chars % 300 + 3) // 2 THEN 8193
+         list_transform(range(n_chars // 8 + 3), lambda i: CAST(CASE
+             WHEN doc_id % 3 = 0 AND i = (n_chars // 8 + 3) // 2 THEN 8193
              WHEN (i + doc_id) % 40 < doc_id % 13 THEN 83
              ELSE (i * 31 + doc_id * 7) % 8192 END AS INTEGER)) AS codes
   FROM documents)"""
