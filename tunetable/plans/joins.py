@@ -24,3 +24,10 @@ def collect_bounded(df: DataFrame, max_rows: int, what: str) -> list:
     if len(rows) > max_rows:
         raise ValueError(f"{what} has more than {max_rows} rows; refusing to ship it to tasks")
     return rows
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows over the cluster's cores where the input has fewer splits than that (a file
+    of one row group); the rows are the same, and larger tables are left as they are."""
+    want = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.isStreaming or df.rdd.getNumPartitions() >= want else df.repartition(want)

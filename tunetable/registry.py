@@ -18,6 +18,7 @@ from .functions import idiv
 from .functions import lengths as LN
 from .functions import text as TX
 from .operators import batching, codes as CO, decoding as DE, manifest as MA, metrics as ME, tensors as TE
+from .plans.joins import spread
 from .plans.prefix import int_bucket
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -112,7 +113,7 @@ def q_vocab_usage(spark, sf):
     from .resources import default_tokenizer_path
     from .sources.vocab import read_vocab
     vocab, _merges = read_vocab(spark)
-    docs = S.table(spark, sf, "documents").select(TX.normalise_text("text").alias("text"))
+    docs = spread(S.table(spark, sf, "documents")).select(TX.normalise_text("text").alias("text"))
     return token_usage(docs, "text", default_tokenizer_path()).join(vocab, "id", "left").select("id", "token", "n")
 
 
@@ -550,7 +551,7 @@ SELECT CAST((off + p - 1) // 1024 AS BIGINT) AS block_id, count(*) AS n_tokens,
        min(doc_id) AS first_doc, md5(string_agg(CAST(t AS VARCHAR), ',' ORDER BY off + p)) AS tokens_md5
 FROM u GROUP BY 1""")
 def q_pack_blocks(spark, sf):
-    d = S.table(spark, sf, "documents").select("doc_id", "text")
+    d = spread(S.table(spark, sf, "documents")).select("doc_id", "text")
     d = d.select("doc_id", A.char_codes(F.col("text")).alias("tokens"), F.length("text").alias("n_chars"))
     b = batching.pack_blocks(d, "tokens", "doc_id", block=1024, n_col="n_chars", width=64)
     return b.select(long_("block_id").alias("block_id"), long_("n_tokens").alias("n_tokens"),
@@ -904,7 +905,7 @@ def q_adapter_params(spark, sf):
 def q_bpe_token_counts(spark, sf):
     from .functions.bpe import bpe_encode
     from .resources import default_tokenizer_path
-    d = S.table(spark, sf, "documents").select("doc_id", "text").select("doc_id", bpe_encode(TX.normalise_text("text"),
+    d = spread(S.table(spark, sf, "documents")).select("doc_id", "text").select("doc_id", bpe_encode(TX.normalise_text("text"),
                                                                       default_tokenizer_path()).alias("ids"))
     return d.select("doc_id", long_(F.size("ids")).alias("n_tokens"),
                     long_(F.size(F.filter("ids", lambda x: x == 1))).alias("n_unk"))
@@ -918,7 +919,7 @@ def q_bpe_roundtrip(spark, sf):
     from .functions.bpe import bpe_decode, bpe_encode, load_tokenizer
     from .resources import default_tokenizer_path
     tok = load_tokenizer(default_tokenizer_path())
-    d = S.table(spark, sf, "documents").select("doc_id", "text")
+    d = spread(S.table(spark, sf, "documents")).select("doc_id", "text")
     return d.select("doc_id", bpe_decode(bpe_encode(TX.normalise_text("text"), tok), tok).alias("text"))
 
 
@@ -1035,7 +1036,7 @@ SELECT doc_id, CAST(len(tok) AS BIGINT) AS n_tok,
 FROM t""")
 def q_injector_chain(spark, sf):
     from .plans.injectors import run_injectors
-    d = run_injectors(S.table(spark, sf, "documents").select("doc_id", "text"), _CHAIN)
+    d = run_injectors(spread(S.table(spark, sf, "documents")).select("doc_id", "text"), _CHAIN)
     return d.select("doc_id", long_("n_tok").alias("n_tok"), aj("padded").alias("padded"))
 
 

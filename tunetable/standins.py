@@ -72,7 +72,8 @@ def codes_col():
 
 
 def codes(spark, sf) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", "n_chars", codes_col().alias("codes"))
+    from .plans.joins import spread
+    return spread(table(spark, sf, "documents").select("doc_id", "n_chars")).select("doc_id", "n_chars", codes_col().alias("codes"))
 
 
 # ------------------------------------------------------------------ embeddings
