@@ -210,6 +210,17 @@ def test_near_dup_against_brute_force(docs):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in out} == {i: (len(s), root(i), root(i) == i) for i, s in sets.items()}
 
 
+def test_near_dup_in_a_crowd_of_one_template(spark):
+    """1,200 documents of one template, below the threshold but for 150 pairs (0.758) among them."""
+    def text(i):
+        if i >= 300:
+            return " ".join([f"t{k}" for k in range(164)] + [f"own{i}x{k}" for k in range(36)])
+        return " ".join([f"t{k}" for k in range(164)] + [f"pair{i // 2}x{k}" for k in range(9)] + [f"own{i}x{k}" for k in range(27)])
+
+    out = near_dup.near_groups(spark.createDataFrame([(i, text(i)) for i in range(1200)], "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in out} == {i: i - i % 2 if i < 300 else i for i in range(1200)}
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(1, 40)] + [(100, 200), (200, 300), (7, 7)] + [(500, k) for k in range(501, 560)]
     out = {r.node: r.component for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}

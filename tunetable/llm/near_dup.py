@@ -15,8 +15,15 @@ standard errors below) or whose sizes exclude it are put aside. The others are
 confirmed on the full sets, in three turns: each document's best, the best
 between any two components, and at last every one between different
 components. A pair inside one component can't change the result and isn't
-looked at again. Of pairs at the threshold, all trees miss 4 in a million
-(1 - 0.75^2 to the power of 16).
+looked at again.
+
+In a crowded run (more than BEFORE + 1 rows equal to depth LEAST, or a run at
+the end of a range) neighbours are not all pairs. The documents of such runs
+are joined once more, exactly, by the first of their shingles, those that few
+components hold before the others, which leaves out pairs inside a component.
+So every pair that is equal to depth LEAST in some tree is compared or ruled
+out by its sizes and signatures; of pairs at the threshold, 2 in a million
+share no such run (1 - 0.75^2 to the power of 16).
 
 Defined cases: documents without words are linked with nothing and stay; null
 ids come after all others and are told apart by row; rows that share an id are
@@ -92,7 +99,8 @@ _NEAR = "a long, b long, tree int, key binary"
 
 
 def _neighbours(batches):
-    """Candidate pairs (a < b) of a sorted range, and the rows at its ends with the heads of their runs (b null)."""
+    """Candidate pairs (a < b) of a sorted range; the rows at its ends with the heads of their runs (b null); the
+    rows of runs whose pairs aren't all among the candidates, or that may go on outside (b and key null)."""
     bs = [b for b in batches if b.num_rows]
     if not bs:
         return
@@ -119,10 +127,14 @@ def _neighbours(batches):
         pairs.append(np.stack([rep[head], rep], 1)[np.repeat(size, size) > 1])
         if d == LEAST:
             ends |= {int(head[0]), int(head[-1])}
+            open_ = np.repeat(size, size) > BEFORE + 1
+            open_[:size[0]] = open_[-size[-1]:] = True
     p = np.sort(np.concatenate(pairs), axis=1)
     p = np.unique(p[p[:, 0] != p[:, 1]], axis=0)
     none = np.zeros(len(p), dtype=np.int32)
     yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1]), pa.array(none), pa.nulls(len(p), pa.binary())], names=["a", "b", "tree", "key"])
+    crowd = np.unique(rep[open_])
+    yield pa.RecordBatch.from_arrays([pa.array(crowd), pa.nulls(len(crowd), pa.int64()), pa.nulls(len(crowd), pa.int32()), pa.nulls(len(crowd), pa.binary())], names=["a", "b", "tree", "key"])
     e = sorted(ends)
     yield pa.RecordBatch.from_arrays([pa.array(rep[e]), pa.nulls(len(e), pa.int64()), pa.array(tree[e]), pa.array([raw[i] for i in e], pa.binary())], names=["a", "b", "tree", "key"])
 
@@ -153,14 +165,15 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return stored(out.withColumn("node", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID) + F.monotonically_increasing_id())), "near-sketches")
 
 
-def candidates(classes: DataFrame) -> DataFrame:
-    """``(a, b)``, a < b, from the forest over ``classes(rep, sig)``."""
+def candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(a, b)``, a < b, from the forest over ``classes(rep, sig)``, and ``(node)`` whose runs hold other pairs too."""
     forest = classes.select("rep", "sig").mapInArrow(_planted, "tree int, key binary, rep long")
     order = ("tree", "key", "rep")
     found = stored(forest.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_neighbours, _NEAR), "near-found")
-    ends = found.filter("b IS NULL").select("tree", "key", F.col("a").alias("rep")).distinct()  # a few rows of each range
+    ends = found.filter("b IS NULL AND key IS NOT NULL").select("tree", "key", F.col("a").alias("rep")).distinct()  # a few rows of each range
     more = ends.repartition(1).sortWithinPartitions(*order).mapInArrow(_neighbours, _NEAR)
-    return found.unionByName(more).filter("b IS NOT NULL").groupBy("a", "b").agg(F.count("*").alias("n")).select("a", "b")
+    crowd = found.filter("b IS NULL AND key IS NULL").select(F.col("a").alias("node")).distinct()
+    return found.unionByName(more).filter("b IS NOT NULL").groupBy("a", "b").agg(F.count("*").alias("n")).select("a", "b"), crowd
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -177,6 +190,33 @@ def _across(pairs: DataFrame, groups: DataFrame) -> DataFrame:
     return out.filter("ca <> cb").select("a", "b", "agree", F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb"))
 
 
+def _overlapping(sets: DataFrame, groups: DataFrame) -> DataFrame:
+    """``(a, b)``, a < b: every pair of different components that can be similar enough, by an exact prefix join.
+
+    Each set is ordered by the number of components that hold a shingle. Two
+    sets of sizes x and y need an overlap of o = 75 (x + y) / 175, so they share
+    one of the first x - o + 1 of the one and y - o + 1 of the other. What one
+    component holds alone comes first and joins nothing.
+    """
+    own = sets.join(groups, "node", "left").select("node", F.coalesce("component", "node").alias("c"), F.size("s").alias("n"), F.explode("s").alias("s"))
+    held = own.groupBy("s", "c").agg(F.count("*").alias("k")).groupBy("s").agg(F.count("*").alias("w")).filter("w > 1")
+    several = own.join(stored(held, "near-several"), "s").groupBy("node", "c", "n").agg(F.sort_array(F.collect_list(F.struct("w", "s"))).alias("l"))  # bounded by the document's set
+    part = round(100 * SIMILAR)
+    first = several.select("node", "c", "n", (F.col("n") - F.size("l")).alias("alone"), F.posexplode("l").alias("p", "x"))
+    first = first.select("node", "c", "n", (F.col("alone") + F.col("p")).alias("p"), F.col("x.s").alias("s")).filter((F.col("n") - F.col("p")) * 100 >= F.col("n") * part)
+    first = stored(first, "near-first")
+    at = first.groupBy("s", "c").agg(F.max(F.col("n") - F.col("p")).alias("r"), F.min("n").alias("n"), F.max("n").alias("m"))
+    a, b = (at.select("s", *(F.col(x).alias(f"{x}{k}") for x in ("c", "r", "n", "m"))) for k in "ab")
+    two = a.join(b, (a["s"] == b["s"]) & (F.col("ca") < F.col("cb")) & (F.col("ma") * 100 >= F.col("nb") * part) & (F.col("mb") * 100 >= F.col("na") * part)
+                 & (F.least("ra", "rb") * (100 + part) >= (F.col("na") + F.col("nb")) * part)).select(a["s"], "ca", "cb")
+    a, b = (first.select("s", *(F.col(x).alias(f"{x}{k}") for x in ("node", "c", "n", "p"))) for k in "ab")
+    found = stored(two, "near-two").join(a, ["s", "ca"]).join(b, ["s", "cb"])
+    need = (F.col("na") + F.col("nb")) * part
+    left = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) * (100 + part)
+    found = found.filter((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * part) & (left >= need))
+    return found.groupBy(F.least("nodea", "nodeb").alias("a"), F.greatest("nodea", "nodeb").alias("b")).agg(F.count("*").alias("n")).select("a", "b")
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: ``doc_id, n_shingles, component_id, kept, mark`` (a hash of the text)."""
     rows = sketches(docs, id_col, text_col)
@@ -185,10 +225,15 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     traits = classes.select("rep", "n", _low_bytes("sig").alias("bytes"))
     a, b = (traits.select(F.col("rep").alias(k), F.col("n").alias(f"n{k}"), F.col("bytes").alias(f"s{k}")) for k in "ab")
     enough = SIMILAR - _ERRORS * (SIMILAR * (1 - SIMILAR) / (TREES * DEPTH)) ** 0.5
-    close = candidates(classes).join(a, "a").join(b, "b").filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * round(100 * SIMILAR))
-    close = stored(close.withColumn("agree", _agree("sa", "sb")).filter(F.col("agree") >= int(enough * TREES * DEPTH)).select("a", "b", "agree"), "near-close")
 
-    nodes = close.select(F.col("a").alias("node")).unionByName(close.select(F.col("b").alias("node"))).distinct()
+    def likely(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.join(a, "a").join(b, "b").filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * round(100 * SIMILAR))
+        return pairs.withColumn("agree", _agree("sa", "sb")).filter(F.col("agree") >= int(enough * TREES * DEPTH)).select("a", "b", "agree")
+
+    met, crowd = candidates(classes)
+    close, crowd = stored(likely(met), "near-close"), stored(crowd, "near-crowd")
+
+    nodes = close.select(F.col("a").alias("node")).unionByName(close.select(F.col("b").alias("node"))).unionByName(crowd).distinct()
     owners = rows.filter("sig IS NOT NULL").join(nodes, "node", "left_semi").groupBy("node", "doc_id").agg(F.min("mark").alias("mark"))
     texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), F.xxhash64(text_col).alias("__mark"))
     texts = owners.join(texts, owners["doc_id"].eqNullSafe(texts["__id"]) & (owners["mark"] == texts["__mark"]))
@@ -205,7 +250,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         groups = components(links)
         left = stored(_across(left.join(between, ["a", "b"], "left_anti").select("a", "b", "agree"), groups), "near-left")
         if left.take(1):
-            groups = components(links.unionByName(_confirmed(left, sets)))
+            links = stored(links.unionByName(_confirmed(left, sets)), "near-links")
+            groups = components(links)
+    missed = stored(_confirmed(likely(_overlapping(sets.join(crowd, "node", "left_semi"), groups)), sets), "near-missed")
+    if missed.take(1):
+        groups = components(links.unionByName(missed))
 
     of = classes.select("set_key", "rep").join(groups.withColumnRenamed("node", "rep"), "rep", "left")
     of = of.select("set_key", F.coalesce("component", "rep").alias("component"))
