@@ -235,6 +235,13 @@ def test_mixing(odd, empty):
     assert mixing.mixture(empty).count() == 0 and mixing.mixed(empty).count() == 0
 
 
+def test_mixing_of_equal_sizes(spark):
+    """One source, target 1.5 times its size: the half is met exactly, also where it ends with a cell."""
+    for n in (2, 20, 400):
+        out = mixing.mixture(spark.createDataFrame([(i, f"a b c d e{i}", "a") for i in range(n)], "doc_id long, text string, source string")).collect()
+        assert sum(r.taken for r in out) == 7.5 * n and sorted(r.epochs for r in out) == [1] * (n // 2) + [2] * (n // 2)
+
+
 def test_mixing_against_brute_force(docs):
     out = mixing.mixture(docs).collect()
     size, words = defaultdict(int), {r.doc_id: len(_words(r.text)) for r in docs.collect()}

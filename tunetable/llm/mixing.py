@@ -73,7 +73,7 @@ def plan(rows: DataFrame) -> DataFrame:
     wanted = stored(wanted.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")), "mix-targets")
     up_to = Window.partitionBy("__source").orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
     placed = cells.withColumn("before", F.coalesce(F.sum("cell_size").over(up_to), F.lit(0)))
-    border = placed.join(wanted, placed["__source"].eqNullSafe(wanted["source"])).filter((F.col("before") < F.col("rest")) & (F.col("before") + F.col("cell_size") > F.col("rest")))
+    border = placed.join(wanted, placed["__source"].eqNullSafe(wanted["source"])).filter((F.col("before") < F.col("rest")) & (F.col("before") + F.col("cell_size") >= F.col("rest")))
     border = border.select("source", F.col("__cell").alias("cell"), "before", "rest")
     near = rows.join(border, rows["__source"].eqNullSafe(border["source"]) & (rows["__cell"] == border["cell"]))
     order = Window.partitionBy("source").orderBy("__key", "__mark").rowsBetween(Window.unboundedPreceding, -1)
