@@ -142,6 +142,18 @@ def test_passages_against_brute_force(docs):
     assert found == expected
 
 
+def test_passages_around_common_wording(spark):
+    """45 common words in 600 documents; 60 pairs of these share the 20 words before them too."""
+    common = " ".join(f"c{k}" for k in range(45))
+
+    def text(i):
+        before = f"pair{i % 60}x" if i < 120 else f"own{i}x"
+        return " ".join([f"start{i}", *(f"{before}{k}" for k in range(20)), common, *(f"end{i}x{k}" for k in range(40))])
+
+    out = passages.passages(spark.createDataFrame([(i, text(i)) for i in range(600)], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.start_word, r.end_word, r.other_doc_id, r.later) for r in out) == [(i, 1, 66, (i + 60) % 120, i >= 60) for i in range(120)]
+
+
 def test_quality_counts():
     c = quality.count("a b c d e f\na b c d e g\n\na b c d e g")
     assert (c.n_words, c.word_chars, c.n_symbols, c.n_dup_lines, c.n_repeat_words) == (18, 18, 0, 1, 17)

@@ -16,10 +16,11 @@ a minimiser at the same place in both. Two sorts follow:
    minimisers find. Rows at the ends of the ranges are compared once more.
 
 Order by the words to the right puts the longest match to the right next to a
-suffix, not the longest one overall. Where parts of a document agree with
-different near copies left and right, a match of middling length on both sides
-can lie further away; against brute force at sf0.1, one neighbour a side finds
-99.87 % of the words in shared passages, NEAR = 6 all but a few.
+suffix, not the longest one overall, and the NEAR nearest are all others only
+for a run that at most NEAR + 1 documents hold, once each. Around runs that are
+held more often every window of LEAST words is numbered, and windows with equal
+numbers in several documents are matches: an exact way for those, in rows as
+many as the words around such runs at most.
 
 Words are ``[^\\x20\\x09-\\x0D]+``, A-Z lower-cased. A passage that repeats only
 within one document is none.
@@ -87,16 +88,33 @@ def _documents(t: pa.Table) -> np.ndarray:
 
 
 def _shared(batches):
-    """Rows whose run occurs in several documents; runs at the ends of the range stay, as they may go on outside."""
+    """Rows whose run occurs in several documents; runs at the ends of the range stay, as they may go on outside.
+    ``many``: the NEAR nearest of the second sort need not be all others (or the run may go on outside)."""
     t = _whole(batches)
     if t is None:
         return
     h = t["h"].to_numpy()
     new = np.r_[True, h[1:] != h[:-1]]
     run = np.cumsum(new) - 1
-    several = np.bincount(run, weights=_documents(t) & ~new) > 0
-    several[[0, -1]] = True
-    yield from t.select([*_DOC, "pos"]).filter(pa.array(several[run])).to_batches()
+    held = np.bincount(run, weights=_documents(t) | new)
+    several, many = held > 1, (held > NEAR + 1) | (np.bincount(run) > held)
+    several[[0, -1]] = many[[0, -1]] = True
+    yield from t.select([*_DOC, "pos"]).append_column("many", pa.array(many[run])).filter(pa.array(several[run])).to_batches()
+
+
+def _windows(batches):
+    """Every LEAST words of a document that hold the run of a position in ``crowd``: their number and where they start."""
+    hasher = WordHasher()
+    for b in batches:
+        for i in range(b.num_rows):
+            g = grams(hasher(words(b.column("text")[i].as_py())), LEAST)
+            held = np.zeros(len(g), dtype=bool)
+            for p in b.column("crowd")[i].values.to_numpy():
+                held[max(0, p - LEAST + RUN):p + 1] = True
+            at = np.flatnonzero(held)
+            for k in range(0, len(at), _CHUNK):
+                start = at[k:k + _CHUNK]
+                yield pa.RecordBatch.from_arrays([pa.array(g[start].view(np.int64)), *(pa.array([b.column(c)[i].as_py()] * len(start), b.column(c).type) for c in _DOC), pa.array(start.astype(np.int32))], names=["g", *_DOC, "start"])
 
 
 def _contexts(batches):
@@ -181,7 +199,9 @@ def matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     order = ["h", *_DOC, "pos"]
     found = stored(rows.mapInArrow(_suffixes, "h long, late boolean, doc long, mark long, pos int"), "passage-all")  # ranges are found by a pass of their own
     found = found.repartitionByRange(*order).sortWithinPartitions(*order)
-    kept = stored(found.mapInArrow(_shared, "late boolean, doc long, mark long, pos int"), "passage-suffixes")
+    kept = stored(found.mapInArrow(_shared, "late boolean, doc long, mark long, pos int, many boolean"), "passage-suffixes")
+    crowd = kept.filter("many").groupBy(*_DOC).agg(F.collect_set("pos").alias("crowd"))  # bounded likewise
+    crowded = stored(rows.join(crowd, _DOC).dropDuplicates(_DOC).mapInArrow(_windows, "g long, late boolean, doc long, mark long, start int"), "passage-windows")
     kept = kept.groupBy(*_DOC).agg(F.collect_set("pos").alias("positions"))  # bounded by the document's suffixes
     order = ["right", *_DOC, "before"]
     heavy = rows.join(kept, _DOC).dropDuplicates(_DOC).mapInArrow(_contexts, _HEAVY)
@@ -189,7 +209,17 @@ def matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     ends = out.filter("e_doc IS NOT NULL").select("right", *(F.col(f"e_{c}").alias(c) for c in _DOC), *_CONTEXT[4:])
     more = ends.repartition(1).sortWithinPartitions(*order).mapInArrow(_compared, _MATCH)  # a few documents of each range
     found = out.select(*_MATCHED).unionByName(more.select(*_MATCHED)).filter("doc IS NOT NULL").withColumn("p", F.explode("at"))
-    return found.select(*_DOC, (F.col("p") - F.col("before_words")).alias("start"), (F.col("p") + F.col("after_words")).alias("stop"), "other_late", "other")
+    found = found.select(*_DOC, (F.col("p") - F.col("before_words")).alias("start"), (F.col("p") + F.col("after_words")).alias("stop"), "other_late", "other")
+    return found.unionByName(_equal_windows(crowded))
+
+
+def _equal_windows(windows: DataFrame) -> DataFrame:
+    """Matches of windows that several documents hold; the other one is the first of these, or the last for the first."""
+    doc = F.struct(*_DOC)
+    held = windows.groupBy("g").agg(F.min(doc).alias("first"), F.max(doc).alias("last")).filter("first <> last")
+    both = windows.join(stored(held, "passage-equal"), "g")
+    other = F.when(doc == F.col("first"), F.col("last")).otherwise(F.col("first"))
+    return both.select(*_DOC, "start", (F.col("start") + LEAST).alias("stop"), other["late"].alias("other_late"), other["doc"].alias("other"))
 
 
 def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
