@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_stream, exact_dedup, html_text, licenses, line_dedup, mixing, near_dup, passages, quality, simhash, toxicity
+from . import alignment, bpe_stream, exact_dedup, html_text, licenses, line_dedup, mixing, near_dup, passages, prefix_trie, quality, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -141,6 +141,45 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+@_query
+def op11_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
+SQL["op11_conversation_prefix_trie"] = r"""
+WITH t AS (SELECT CAST(conv_id AS BIGINT) AS conv, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+           FROM conversations WHERE conv_id IS NOT NULL),
+i AS (SELECT DISTINCT conv FROM t),
+c AS (SELECT conv, conv - conv % 5 AS p,
+             xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(conv AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT))),
+                 lambda crc, b: list_reduce(list_prepend(xor(crc, b), range(8)), lambda v, k: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END)), 4294967295) % 9 AS h
+      FROM i),
+r AS (SELECT c.conv, 0 AS own, t.pos, t.role, t.text FROM c JOIN t ON t.conv = c.p AND t.pos <= c.h
+      UNION ALL SELECT c.conv, 1, t.pos, t.role, t.text FROM c JOIN t ON t.conv = c.conv AND t.pos > c.h),
+s AS (SELECT i.conv, coalesce(list(struct_pack(role := role, text := text) ORDER BY own, pos) FILTER (WHERE pos IS NOT NULL), []) AS seq FROM i LEFT JOIN r USING (conv) GROUP BY i.conv),
+x AS (SELECT conv, seq, unnest(range(len(seq) + 1)) AS d FROM s),
+p AS (SELECT conv, d, list_slice(seq, 1, d) AS pre, len(seq) = d AS over FROM x),
+n AS (SELECT d, pre, min(conv) AS k, count(*) AS n, (count(*) - 1) * coalesce(strlen(any_value(pre)[d].text), 0) AS gain,
+             sha256(coalesce(string_agg(CAST(conv AS VARCHAR), ',' ORDER BY conv) FILTER (WHERE over), '')) AS sha
+      FROM p GROUP BY d, pre),
+q AS (SELECT p.conv, p.d, n.k FROM p JOIN n ON p.d = n.d AND p.pre = n.pre),
+u AS (SELECT n.*, q.k AS up FROM n LEFT JOIN q ON q.conv = n.k AND q.d = n.d - 1),
+kids AS (SELECT up, d - 1 AS d, count(*) AS kids FROM u WHERE up IS NOT NULL GROUP BY up, d - 1),
+a AS (SELECT u.*, coalesce(kids.kids, 0) AS kids FROM u LEFT JOIN kids ON kids.up = u.k AND kids.d = u.d),
+z AS (SELECT q.k, q.d, sum(CAST(a.kids = 0 AS INTEGER)) AS leaves, sum(a.gain) AS saved FROM a JOIN q ON q.conv = a.k AND q.d <= a.d GROUP BY q.k, q.d)
+SELECT a.k AS conv_id, a.d AS depth, a.up AS parent_conv_id, a.n AS n_convs, a.kids AS n_children, CAST(z.leaves AS BIGINT) AS n_leaves, CAST(z.saved AS BIGINT) AS saved_tokens, a.sha AS ends_sha256
+FROM a JOIN z ON z.k = a.k AND z.d = a.d
+"""
+
+
+@_query
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return alignment.alignment_summary(_table(spark, sf_dir, "documents"), tokenizer_path(), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 @_query
 def op13_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.sim_groups(_table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")

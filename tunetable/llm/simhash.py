@@ -90,13 +90,14 @@ def _nodes(prints: DataFrame, depth: int, stride: int) -> DataFrame:
 
 def close_prints(prints: DataFrame, budget: int = BUDGET) -> DataFrame:
     """``(a, b)``: all pairs of different fingerprints of the distinct ``prints(print)`` that differ in at most ``budget`` bits."""
-    spark = prints.sparkSession
-    pairs = spark.range(1).select(F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("y"), F.lit(0).alias("bits"))
-    found, depth = [], 0
+    pairs, found, depth = None, [], 0
     for stride in STRIDES:
         nodes = _nodes(prints, depth, stride)
         left, right = (nodes.select(F.col("node").alias(n), F.col("kids").alias(f"{n}s")) for n in "xy")
-        met = pairs.join(left, "x").join(right, "y")
+        if pairs is None:  # the root with itself
+            met = left.select("x", F.col("x").alias("y"), F.lit(0).alias("bits"), "xs", F.col("xs").alias("ys"))
+        else:
+            met = pairs.join(left, "x").join(right, "y")
         met = met.select("x", "y", "bits", F.explode("xs").alias("p"), "ys").select("x", "y", "bits", "p", F.explode("ys").alias("q"))
         met = met.filter((F.col("x") < F.col("y")) | (F.col("p.kid") < F.col("q.kid")) | ((F.col("p.kid") == F.col("q.kid")) & F.col("p.alone").isNull()))
         step = F.bit_count(F.col("p.kid").bitwiseXOR(F.col("q.kid")).bitwiseAND((1 << stride) - 1))
