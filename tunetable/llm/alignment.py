@@ -11,8 +11,9 @@ end there are linked.
 
 Tokenising a word between two anchors does not depend on its neighbours (a
 blank before a non-blank starts a piece for A, and no piece of B holds a blank
-behind another character, which ``Sides`` checks), so the ids of words are
-remembered too; those that a batch brings anew are tokenised together.
+behind another character, which ``Sides`` checks), so a word's window is
+remembered too; words that a batch brings anew are tokenised together, as one
+text, and their windows are aligned together.
 
 How often an id pair is linked is counted over all documents. Documents are
 handled in blocks of some ``LINKS`` links. A block is one stored row: its
@@ -31,6 +32,7 @@ document that exceeds a block makes a block of its own.
 
 from __future__ import annotations
 
+import gc
 import json
 from collections.abc import Iterator
 from hashlib import sha256
@@ -49,7 +51,7 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 #: Links from which on a block ends, words that a worker remembers in each of two generations, and the longest such word.
 LINKS, KNOWN, LONGEST = 1 << 19, 100_000, 48
 #: Texts that are split into words, and new words that are tokenised, at a time.
-_TEXTS, _NEW = 100, 1000
+_TEXTS, _NEW = 300, 2000
 _MARK = "▁"
 _ID = 1 << 20
 
@@ -69,18 +71,27 @@ class Sides:
         self.a_bytes = {i: t for t, i in ranks.items()}
         self.model = sentencepiece.SentencePieceProcessor(model_proto=pieces)
         names = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
-        self.b_bytes = [bytes([int(p[1:-1], 16)]) if self.model.is_byte(i) else p.replace(_MARK, " ").encode() for i, p in enumerate(names)]
+        self.b_bytes = {i: bytes([int(p[1:-1], 16)]) if self.model.is_byte(i) else p.replace(_MARK, " ").encode() for i, p in enumerate(names)}
         if any(_MARK in p.lstrip(_MARK) for p in names):
             raise ValueError("a piece with a blank behind another character: words can't be tokenised apart")
-        self.a_marked = {i for i, t in self.a_bytes.items() if t[:1] == b" "}
-        self.b_marked = {i for i, p in enumerate(names) if p[0] == _MARK}
+        #: Of each id: its bytes' length, and whether it is space-marked.
+        self.lengths, self.marked = [], []
+        for table in (self.a_bytes, self.b_bytes):
+            n, mark = np.zeros(max(table) + 1, dtype=np.int64), np.zeros(max(table) + 1, dtype=bool)
+            for i, t in table.items():
+                n[i], mark[i] = len(t), t[:1] == b" "
+            self.lengths.append(n)
+            self.marked.append(mark)
 
     def b(self, text: str) -> list[int]:
         return self.model.encode(text, num_threads=1)
 
-    def same(self, text: str, a: list[int], b: list[int]) -> bool:
-        data = text.encode("utf-8", "surrogatepass")
-        return data == b"".join(map(self.a_bytes.__getitem__, a)) and data == b"".join(map(self.b_bytes.__getitem__, b))
+    def both(self, text: str) -> tuple[list[int], list[int]] | None:
+        """Ids of a blank and the text on both sides, None if either side's bytes differ from it."""
+        a, b, data = self.a(" " + text), self.b(text), b" " + text.encode("utf-8", "surrogatepass")
+        if data == b"".join(map(self.a_bytes.__getitem__, a)) and data == b"".join(map(self.b_bytes.__getitem__, b)):
+            return a, b
+        return None
 
 
 class _Two(dict):
@@ -109,12 +120,10 @@ class Aligner:
         import regex
 
         self.sides = sides
-        self.a_len = {i: len(t) for i, t in sides.a_bytes.items()}
-        self.b_len = list(map(len, sides.b_bytes))
+        self.decimal = list(map(str, range(max(map(len, sides.lengths)))))
         self.odd = regex.compile(r" (?=\s|\Z)")
         self.border = regex.compile(r"(?<! ) (?=\S)")
         self.words, self.windows = _Two(), _Two()
-        self.ints = list(range(max(max(self.a_len) + 1, len(self.b_len))))  # one object per id, however many tuples hold it
 
     def split(self, text: str) -> list[str]:
         """The words of a blank and the text, without the blank that starts each; a word may hold white space that is no anchor."""
@@ -124,43 +133,56 @@ class Aligner:
         return [head[1:], *tail] if head else tail
 
     def _learn(self, new: list[str], into: dict) -> None:
-        """Id tuples of words without white space, or of one word: tokenised as one text, taken apart before space-marked tokens; a word of which that can't be verified, alone."""
-        sides = self.sides
-        text = " ".join(new)
-        a, b = sides.a(" " + text), sides.b(text)
-        if sides.same(" " + text, a, b):
-            at = [[i for i, t in enumerate(ids) if t in marked] + [len(ids)] for ids, marked in ((a, sides.a_marked), (b, sides.b_marked))]
-            if len(at[0]) == len(at[1]) == len(new) + 1:
-                for w, i, j, k, m in zip(new, at[0], at[0][1:], at[1], at[1][1:], strict=False):
-                    into[w] = self._ids(a[i:j]), self._ids(b[k:m])
+        """The windows of words without a blank and with no white space in front, or of one word: tokenised as one text
+        and taken apart before space-marked tokens; a word whose ends can't be verified is tried alone, and has no window if that fails too."""
+        both = self.sides.both(" ".join(new))
+        if both:
+            ids = [np.array(x, dtype=np.int32) for x in both]
+            at = [np.flatnonzero(mark[x]) for x, mark in zip(ids, self.sides.marked, strict=True)] if len(new) > 1 else [np.zeros(1, dtype=np.int64)] * 2
+            if len(at[0]) == len(at[1]) == len(new):
+                into.update(zip(new, self._known([self._packed(x, i) for x, i in zip(ids, at, strict=True)]), strict=True))
                 return
         if len(new) > 1:
             half = len(new) // 2
             self._learn(new[:half], into)
             self._learn(new[half:], into)
             return
-        into[new[0]] = (self._ids(a), self._ids(b)) if sides.same(" " + text, a, b) else ()
-
-    def _ids(self, ids: list[int]) -> tuple[int, ...]:
-        return tuple(map(self.ints.__getitem__, ids))
-
-    def align(self, window: tuple[tuple[int, ...], tuple[int, ...]]) -> tuple[int, int, int, str, bytes]:
-        """``(n_a, n_b, n_groups, groups, links)`` of a window whose sides have the same bytes; links as A id * 2^20 + B id."""
-        a, b = window
-        groups, links = [], []
-        i = j = end_a = end_b = from_a = from_b = 0
-        while i < len(a) or j < len(b):
-            if end_a <= end_b:
-                end_a += self.a_len[a[i]]
-                i += 1
-            else:
-                end_b += self.b_len[b[j]]
-                j += 1
-            if end_a == end_b:
-                groups.append(f"{','.join(map(str, a[from_a:i]))}|{','.join(map(str, b[from_b:j]))}")
-                links.append(a[i - 1] * _ID + b[j - 1])
-                from_a, from_b = i, j
-        return len(a), len(b), len(groups), ";".join(groups), np.array(links, dtype=np.int64).tobytes()
+        into[new[0]] = ()
+
+    @staticmethod
+    def _packed(ids: np.ndarray, at: np.ndarray) -> list[bytes]:
+        """The id tuples that start at the places ``at``, packed."""
+        data, ends = ids.tobytes(), (4 * at).tolist()
+        return [data[i:j] for i, j in zip(ends, [*ends[1:], len(data)], strict=True)]
+
+    def _known(self, sides: list[list[bytes]]) -> list[tuple]:
+        """Alignments of windows, given as packed id tuples of both sides; those not remembered are aligned together."""
+        windows = list(zip(*sides, strict=True))
+        new = [w for w in set(windows).difference(self.windows) if self.windows.find(w) is None]
+        made = dict(zip(new, self.align(new), strict=True))
+        self.windows.update((w, x) for w, x in made.items() if len(w[0]) <= 4 * LONGEST)
+        return [made[w] if w in made else self.windows[w] for w in windows]
+
+    def align(self, windows: list[tuple[bytes, bytes]]) -> list[tuple[int, int, int, str, bytes]]:
+        """``(n_a, n_b, n_groups, groups, links)`` of windows whose sides have the same bytes; links as A id * 2^20 + B id.
+
+        Equal bytes in every window make equal offsets at its end, so the
+        windows are aligned as one stream.
+        """
+        a, b = (np.frombuffer(b"".join(x), dtype=np.int32) for x in zip(*windows, strict=True)) if windows else (np.zeros(0, np.int32),) * 2
+        ends = [np.cumsum(n[x]) for x, n in zip((a, b), self.sides.lengths, strict=True)]
+        _, i, j = np.intersect1d(*ends, assume_unique=True, return_indices=True)
+        links = (a[i].astype(np.int64) * _ID + b[j]).tobytes()
+        texts = [list(map(self.decimal.__getitem__, x.tolist())) for x in (a, b)]
+        p = r = 0
+        x, y = texts
+        groups = []
+        for q, s in zip((i + 1).tolist(), (j + 1).tolist(), strict=True):
+            groups.append(f"{x[p]}|{y[r]}" if q - p == s - r == 1 else f"{','.join(x[p:q])}|{','.join(y[r:s])}")
+            p, r = q, s
+        n = [[len(x) // 4 for x in side] for side in zip(*windows, strict=True)] or [[], []]
+        last = np.searchsorted(i, np.cumsum(n[0]) - 1, side="right").tolist()
+        return [(p, q, y - x, ";".join(groups[x:y]), links[8 * x:8 * y]) for p, q, x, y in zip(*n, [0, *last], last, strict=False)]
 
     def aligned(self, texts: list[str | None]) -> Iterator[list[tuple] | None]:
         """Of each text the alignments of its windows, None for a text without tokens."""
@@ -171,29 +193,22 @@ class Aligner:
         self.words.turn()
         self.windows.turn()
         words = [self.split(t) if t else [] for t in texts]
-        new = [w for w in set(chain.from_iterable(words)) if self.words.find(w) is None]
+        new = [w for w in set(chain.from_iterable(words)).difference(self.words) if self.words.find(w) is None]
         rare: dict = {}  # of these texts only
-        plain = [w for w in new if w.split() == [w]]
+        plain = [w for w in new if " " not in w and not w[:1].isspace()]
         for k in range(0, len(plain), _NEW):
             self._learn(plain[k:k + _NEW], rare)
         for w in new:
             if w not in rare:
                 self._learn([w], rare)
         self.words.update((w, x) for w, x in rare.items() if len(w) <= LONGEST)
+        rare = {w: x for w, x in rare.items() if len(w) > LONGEST}
         for text, ws in zip(texts, words, strict=True):
-            windows = [self.words.get(w) or rare.get(w) for w in ws]
+            windows = [rare[w] if w in rare else self.words[w] for w in ws] if rare else list(map(self.words.__getitem__, ws))
             if not all(windows):  # no anchors between some of its words: the text is one window, if its bytes agree
-                a, b = self.sides.a(" " + text), self.sides.b(text)
-                windows = [(tuple(a), tuple(b))] if self.sides.same(" " + text, a, b) else []
-            yield [self._remembered(w) for w in windows] or None
-
-    def _remembered(self, window: tuple) -> tuple:
-        got = self.windows.find(window)
-        if got is None:
-            got = self.align(window)
-            if len(window[0]) <= LONGEST:
-                self.windows[window] = got
-        return got
+                both = self.sides.both(text)
+                windows = self._known([[np.array(x, dtype=np.int32).tobytes()] for x in both]) if both else []
+            yield windows or None
 
 
 _ALIGNERS: dict[tuple[bytes, bytes], Aligner] = {}
@@ -253,6 +268,7 @@ def _blocks(docs: DataFrame, a_path: str, b_path: str, id_col: str, text_col: st
             return pa.RecordBatch.from_arrays([pa.array([task << 32 | number]), *lists, pa.array([places.astype("<i4").tobytes()], pa.binary()), pa.array([pairs], pa.list_(pa.int64())), pa.array([ns], pa.list_(pa.int64()))],
                                               names=["block", "ids", "n_a", "n_b", "n_groups", "shas", "n_links", "places", "pairs", "ns"])
 
+        gc.disable()  # nothing here refers to itself, and remembered words are many to look through
         for b in batches:
             id_type = b.schema.field(0).type
             for key, found in zip(b.column(0).to_pylist(), aligner.aligned(b.column(1).to_pylist()), strict=True):
@@ -269,6 +285,7 @@ def _blocks(docs: DataFrame, a_path: str, b_path: str, id_col: str, text_col: st
                     number, rows, links, held = number + 1, [], [], 0
         if rows:
             yield block()
+        gc.enable()
 
     schema = f"block long, ids array<{kind}>, n_a array<long>, n_b array<long>, n_groups array<long>, shas array<string>, n_links array<long>, places binary, pairs array<long>, ns array<long>"
     return stored(docs.select(id_col, text_col).mapInArrow(run, schema), "align-blocks")
