@@ -36,8 +36,9 @@ _PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p
 #: Bytes that wait at most before the transducer works on them, beside its lookahead.
 _CHUNK = 2048
 #: Words, and pieces, whose ids a worker remembers for now, and the longest such word.
-_KNOWN, _LONGEST = 200_000, 64
-_HOLD = 4096
+_KNOWN, _LONGEST = 150_000, 64
+#: Characters that ``encode_parts`` holds before it works on them, and of a part of ``spell``.
+_HOLD, _PART = 4096, 1 << 16
 _ID, _NO = (1 << 20) - 1, 1 << 62
 
 
@@ -134,13 +135,13 @@ class Encoder:
         self.border = regex.compile(rf"(?r) (?=[^{_SPACE}])")
         self.known = _Remembered(self.piece)
         self.first, self.rest = _Remembered(self.word), _Remembered(lambda w: self.word(" " + w))
+        self.ahead = regex.compile(rf" (?=[^{_SPACE}])")
+        self.spelled_piece = _Remembered(lambda p: self._spelled(self.piece(p)))
+        self.spelled_word = _Remembered(lambda w: self._spelled(self.word(" " + w)))
 
     def piece(self, piece: str) -> list[int]:
-        data = piece.encode("utf-8", "surrogatepass")
-        if len(data) <= _CHUNK:
-            return self.table.merge(data)
         t = Transducer(self.table)
-        return [*t.feed(data), *t.finish()]
+        return [*t.feed(piece.encode("utf-8", "surrogatepass")), *t.finish()]
 
     def word(self, word: str) -> list[int]:
         """Ids of what stands between two blanks, with the blank before it."""
@@ -169,10 +170,45 @@ class Encoder:
 
     def forget(self) -> None:
         """Give back what words take, so that a worker between tasks holds the tables only."""
-        for known in (self.known, self.first, self.rest):
+        for known in (self.known, self.first, self.rest, self.spelled_piece, self.spelled_word):
             known.clear()
             known.older = {}
 
+    def _spelled(self, ids: list[int]) -> tuple[int, str, bytes]:
+        return len(ids), ",".join(map(str, ids)), b"".join(map(self.table.bytes_of.__getitem__, ids))
+
+    def spell(self, text: str) -> Iterator[tuple[int, str, bytes]]:
+        """The text's ids in parts of some ``_PART`` characters: their number, the decimal ids, and their bytes.
+
+        Parts end before a blank that starts a piece, so the ids of a part are
+        final when it ends. A stretch without such a blank is one part, of which
+        long pieces go through the transducer bit by bit.
+        """
+        at = 0
+        for m in chain(self.spans.finditer(text), (None,)):
+            end = m.start() if m else len(text)
+            while at < end:
+                cut = end
+                if end - at > _PART:
+                    border = self.border.search(text, at + 1, at + _PART) or self.ahead.search(text, at + _PART, end)
+                    cut = border.start() if border else end
+                yield self._part(text[at:cut])
+                at = cut
+            if m:
+                yield self._spelled([self.table.special[m.group()]])
+                at = m.end()
+
+    def _part(self, part: str) -> tuple[int, str, bytes]:
+        if self.odd.search(part):
+            spelled = [self.spelled_piece[m.group()] for m in self.pieces.finditer(part)]
+        else:
+            head, *tail = part.split(" ")
+            spelled = list(map(self.spelled_word.__getitem__, tail))
+            if head:
+                spelled.insert(0, self._spelled(self.word(head)))
+        n, ids, data = zip(*spelled, strict=True)
+        return sum(n), ",".join(ids), b"".join(data)
+
     def encode_parts(self, parts: Iterable[str]) -> Iterator[int]:
         """Ids of the text that the parts make together, as soon as they are final.
 
@@ -227,7 +263,11 @@ class Decoder:
         self.state = codecs.getincrementaldecoder("utf-8")("replace")
 
     def feed(self, ids: list[int], last: bool = False) -> str:
-        return self.state.decode(b"".join(self.get(i, b"") for i in ids), last)
+        return self.feed_bytes(b"".join(self.get(i, b"") for i in ids), last)
+
+    def feed_bytes(self, data: bytes, last: bool = False) -> str:
+        """The text that the bytes of further ids complete."""
+        return self.state.decode(data, last)
 
 
 _ENCODERS: dict[bytes, Encoder] = {}
@@ -277,20 +317,25 @@ def decode_documents(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_
 
 
 def token_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encode and decode every row in one pass: ``(id, n_tokens, ids_sha256, decoded_sha256)``, without keeping ids or text."""
+    """Encode and decode every row in one pass: ``(id, n_tokens, ids_sha256, decoded_sha256)``.
+
+    Ids are hashed and decoded part by part as they become final; neither the
+    ids of a text nor its decoded form are ever held whole.
+    """
     shared = _shared(docs, path)
 
     def run(batches):
         e = _encoder(shared)
-        decimal = {i: str(i) for i in e.table.bytes_of}
         for b in batches:
             rows = []
             for t in b.column(1):
-                ids, d, back = e.encode(t.as_py()), Decoder(e.table), sha256()
-                for k in range(0, len(ids), _HOLD):
-                    back.update(d.feed(ids[k:k + _HOLD]).encode())
-                back.update(d.feed([], True).encode())
-                rows.append((len(ids), sha256(",".join(map(decimal.__getitem__, ids)).encode()).hexdigest(), back.hexdigest()))
+                d, ids, back, total = Decoder(e.table), sha256(), sha256(), 0
+                for n, decimal, data in e.spell(t.as_py() or ""):
+                    ids.update((f",{decimal}" if total else decimal).encode())
+                    back.update(d.feed_bytes(data).encode())
+                    total += n
+                back.update(d.feed_bytes(b"", True).encode())
+                rows.append((total, ids.hexdigest(), back.hexdigest()))
             n, i, t = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(i, pa.string()), pa.array(t, pa.string())], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
         e.forget()
