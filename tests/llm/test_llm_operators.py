@@ -109,6 +109,26 @@ def test_html():
     assert html_text.main_text("no tags  at all") == "no tags at all"
 
 
+@pytest.mark.parametrize("start, end", [
+    ('<div class="page has-sidebar">', "</div>"), ('<div class="layout with-comments">', "</div>"), ("<form action=x method=post>", "</form>"),
+    ('<div class="sidebar">', "</div>"), ("<a name=top>", ""), ("<p><a href=x>open link</p>", ""), ("<div id=no-js>", "</div>")])
+def test_html_wrapped_pages(start, end):
+    body = "The fox of the wood was in a house that is for the king and the queen of all the land."
+    rest = '<div class="comments"><p>The first of the comments is not what we are here for, and it is on the page.</p></div><footer>no</footer>'
+    page = f"<html><body>{start}<nav><a href=a>Home</a></nav>{{}}{rest}{end}</body></html>"
+    assert html_text.main_text(page.format(f"<article><h1>Title</h1><p>{body}</p></article>")).endswith(f"Title {body}")
+    assert body in html_text.main_text(page.format(f"<p>{body}</p><p>{body} Again.</p>"))
+    assert "comments" not in html_text.main_text(page.format(f"<article><h1>Title</h1><p>{body}</p></article>"))
+
+
+def test_html_parts_stay_out():
+    body = "The fox of the wood was in a house that is for the king and the queen of all the land."
+    page = f'<article><h2>Rights</h2><section id="copyright"><p>{body}</p></section><div class="copyright">(c) no</div></article><div class="comments"><p>{body * 9}</p></div>'
+    assert html_text.main_text(page) == f"Rights {body}"  # a long part named for comments isn't the page while there is an article
+    cards = "<ul><li><a href=x><div>One card of links</div></a></li><li><a href=y><div>Another card</div></a></li></ul>"
+    assert html_text.main_text(f"{cards}<p>{body}</p>") == body  # closed links around blocks are links
+
+
 def test_html_rows(spark):
     df = spark.createDataFrame([(1, "u", "<p>x</p>", "t"), (None, None, None, "t")], "page_id long, url string, html string, text string")
     assert {(r.page_id, r.text, r.n_chars) for r in html_text.extract(df).collect()} == {(1, "x", 1), (None, "", 0)}
@@ -201,6 +221,17 @@ def test_near_dup(odd, empty):
     assert near_dup.near_groups(empty).count() == 0
 
 
+def test_near_dup_keeps_one_of_repeated_rows_without_id(spark):
+    a, b = " ".join(f"w{i}" for i in range(40)), "quite other words in here that no one else has"
+    rows = [(None, a), (None, a), (None, b), (None, None), (None, None), (None, " "), (None, a + " end"), (3, b), (3, b), (4, b + " .")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").select("*", F.lit("x").alias("any"), F.lit("y").alias("mark"), F.lit(1).alias("n")).repartition(3)
+    got = near_dup.drop_near_copies(df)
+    assert got.columns == df.columns
+    texts = Counter((r.doc_id, r.text) for r in got.collect())
+    assert sum(n for (_, t), n in texts.items() if t and t.startswith("w0")) == 1
+    assert texts[3, b] == 2 and texts[None, b] == 0 and texts[None, None] == 2 and texts[None, " "] == 1
+
+
 def test_near_dup_against_brute_force(docs):
     sets = {}
     for r in docs.select("doc_id", "text").collect():

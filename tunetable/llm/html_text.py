@@ -10,6 +10,13 @@ that are short or in between stay undecided. In pass two the undecided take
 the label of the nearest decided block, content if two at the same distance
 differ.
 
+Wrappers. A class or id names a part of the page by its words, but not by those
+after "has", "with" and the like (``has-sidebar``), and inside an article an id
+such as ``copyright`` is taken for the subject of a section. A form, or a
+wrapper named for a part, that holds most of a page without any article or
+main part elsewhere is the page itself: what it holds is decided as if it
+weren't there. A link that is never closed ends at the next block.
+
 The stop words are those of English, German, French and Spanish.
 
 Defined cases: null or empty html gives the empty text; unclosed or stray tags
@@ -40,6 +47,9 @@ _AROUND = frozenset(
     "ad ads advert advertisement adverts sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer masthead cookie cookies consent "
     "notice notices alert popup modal newsletter subscribe signup share sharing social related recommended comment comments disqus replies reply respond widget pagination pager toolbar "
     "login search copyright legal".split())
+#: Words before which a part is only said to be there, and parts that a section of an article may be about (fixed values).
+_WITH = frozenset("has have with without no not is show hide".split())
+_SUBJECTS = frozenset("copyright legal notice notices search alert consent social sharing promotion".split())
 _MAIN = frozenset("article main content post entry story body text".split())
 _HOLDERS = frozenset("div section article main nav header footer aside form ul ol dl table head menu dialog fieldset details figure".split())
 _BAD = frozenset("nav footer aside form menu dialog head fieldset".split())
@@ -50,7 +60,8 @@ _TAG = re.compile(
     r"|<(script|style|noscript|template|svg|iframe|textarea|select|button|title|object)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
     r"|<[!?][^>]*>", re.S | re.I)
-_NAMED = re.compile(r"""(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
+_NAMED = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
+_NEXT_LINK = re.compile(r"<(/?)a(?=[\s/>])", re.I)
 _BLANKS = re.compile(r"[\x20\x09-\x0D]+")
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -59,25 +70,32 @@ LINKS, LONG, STOPS = 0.5, 15, 0.2
 _GOOD, _NONE, _OUT = 1, 0, -1
 
 
+#: Share of a page's text from which on a form or a wrapper named for a part is the page itself.
+WHOLE = 0.5
+
+
 @dataclass
 class Block:
     text: str
     linked: float
     role: int
+    inside: int  # the role if the outermost wrapper weren't there
+    wrapper: int  # that wrapper's number, -1 if there is none
 
 
 def blocks(page: str) -> list[Block]:
     """The page's blocks in order, each with its share of linked characters and the role of what holds it."""
     found: list[Block] = []
-    stack: list[tuple[str, int]] = []
+    stack: list[tuple[str, int, int, int]] = []
     parts: list[str] = []
-    in_link = linked = at = 0
+    in_link = loose = linked = at = wrappers = 0
+    ground = (_NONE, _NONE, -1)
 
     def close() -> None:
         nonlocal linked
         text = _BLANKS.sub(" ", "".join(parts)).strip(" ")
         if text:
-            found.append(Block(text, min(1.0, linked / len(text)), stack[-1][1] if stack else _NONE))
+            found.append(Block(text, min(1.0, linked / len(text)), *(stack[-1][1:] if stack else ground)))
         parts.clear()
         linked = 0
 
@@ -91,27 +109,59 @@ def blocks(page: str) -> list[Block]:
             continue
         if name == "a":
             in_link = not end
+            following = _NEXT_LINK.search(page, at) if in_link else None
+            loose = in_link and not (following and following.group(1))
         if name in _INLINE:
             continue
         close()
+        if loose:
+            in_link = loose = False
         if name not in _HOLDERS:
             continue
         if not end:
             if not m.group(4).endswith("/"):
-                stack.append((name, _role(name, m.group(4), stack[-1][1] if stack else _NONE)))
-        elif any(t == name for t, _ in stack):
+                role, inside, wrapper = stack[-1][1:] if stack else ground
+                own = _role(name, m.group(4), role)
+                if wrapper >= 0:
+                    inside = _role(name, m.group(4), inside)
+                elif own == _OUT and role != _OUT and (name == "form" or name not in _BAD and name != "header"):
+                    inside, wrapper, wrappers = role, wrappers, wrappers + 1
+                else:
+                    inside = own
+                stack.append((name, own, inside, wrapper))
+        elif any(t[0] == name for t in stack):
             while stack.pop()[0] != name:
                 pass
     parts.append(html.unescape(page[at:]))
     close()
+    return _unwrapped(found)
+
+
+def _unwrapped(found: list[Block]) -> list[Block]:
+    """Blocks of a wrapper that is the page itself get the roles that they have without it."""
+    if any(b.role == _GOOD for b in found):
+        return found
+    held: dict[int, int] = {}
+    for b in found:
+        held[b.wrapper] = held.get(b.wrapper, 0) + len(b.text)
+    total = sum(held.values())
+    for b in found:
+        if b.wrapper >= 0 and held[b.wrapper] > WHOLE * total:
+            b.role = b.inside
     return found
 
 
 def _role(name: str, attributes: str, outer: int) -> int:
     if outer == _OUT or name in _BAD or (name == "header" and outer != _GOOD):
         return _OUT
-    named = {w for v in _NAMED.findall(attributes) for w in re.split(r"[^a-z]+", v.lower())}
-    around, main = named & _AROUND, named & _MAIN
+    around = main = False
+    for kind, value in _NAMED.findall(attributes):
+        for whole in value.lower().strip("\"'").split():
+            said = [w for w in re.split(r"[^a-z]+", whole) if w]
+            said = said[:next((i for i, w in enumerate(said) if w in _WITH), len(said))]
+            subject = outer == _GOOD and kind.lower() == "id"
+            around |= any(w in _AROUND and not (subject and w in _SUBJECTS) for w in said)
+            main |= any(w in _MAIN for w in said)
     if around and not main:
         return _OUT
     return _GOOD if name in ("article", "main") or (main and not around) else outer

@@ -36,11 +36,11 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordHasher, grams, mix, ready, stored, words
+from .common import SPACES, WordHasher, grams, mix, ready, stored, words
 from .components import components
 
 TREES, DEPTH, LEAST, BEFORE = 16, 8, 2, 3
@@ -264,7 +264,16 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay (one document of each component), with all their columns."""
-    gone = near_groups(docs, id_col, text_col).filter(~F.col("kept")).select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")).distinct()
-    stay = docs.withColumn("__key", F.xxhash64(text_col))
-    return stay.join(gone, stay[id_col].eqNullSafe(gone["__id"]) & (stay["__key"] == gone["__mark"]), "left_anti").select(*(docs[c] for c in docs.columns))
+    """The rows of ``docs`` that stay (one document of each component), with all their columns.
+
+    Rows are found again by id and text. Of rows without an id that have one
+    text with words, one stays if their text does; such rows without words all
+    stay, and so do repeated rows of a document that stays.
+    """
+    kept = near_groups(docs, id_col, text_col).groupBy("doc_id", "mark").agg(F.max("kept").alias("any"))
+    gone = kept.filter("NOT any").select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"))
+    rows = docs.withColumn("__key", F.xxhash64(text_col))
+    rows = rows.join(gone, rows[id_col].eqNullSafe(gone["__id"]) & (rows["__key"] == gone["__mark"]), "left_anti")
+    lone = F.col(id_col).isNull() & (F.btrim(F.coalesce(text_col, F.lit("")), F.lit(SPACES)) != "")
+    first = rows.filter(lone).withColumn("__n", F.row_number().over(Window.partitionBy("__key").orderBy("__key"))).filter("__n = 1")
+    return rows.filter(~lone).unionByName(first.drop("__n")).select(*docs.columns)
