@@ -198,6 +198,28 @@ def test_key_difference_and_intersection(spark):
     assert sorted(map(tuple, TE.key_intersection(a, b).collect())) == [("b", 0), ("c", 1)]
 
 
+def test_key_multisets_with_nulls_many_copies_and_buckets(spark, tmp_path, monkeypatch):
+    from collections import Counter
+
+    from tunetable.sources.tensors import write_tensor_table
+    monkeypatch.setattr(TE, "_COPIES", 7)
+    left = [("a", 1)] * 50 + [("a", None)] * 3 + [(None, None)] * 2 + [("b", 2)] * 4 + [("c", 3)]
+    right = [("a", 1)] * 8 + [("a", None)] + [("b", 2)] * 6 + [(None, None)] * 2 + [("d", 4)] * 3
+    a, b = (spark.createDataFrame(x, "tensor string, row int") for x in (left, right))
+    assert Counter(map(tuple, TE.key_difference(a, b).collect())) == Counter(left) - Counter(right)
+    assert set(map(tuple, TE.key_intersection(a, b).collect())) == set(left) & set(right)
+    assert TE.key_difference(a.limit(0), b).collect() == [] == TE.key_intersection(a, b.limit(0)).collect()
+    x, y = (write_tensor_table(df, str(tmp_path / n), buckets=4) for df, n in ((a, "a"), (b, "b")))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = TE.key_difference(x, y)
+        assert Counter(map(tuple, out.collect())) == Counter(left) - Counter(right)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert plan.split("Union")[1].split("isnull")[0].count("Exchange hashpartitioning") == 0  # the branch of whole keys
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_select_text_field_and_metrics_sink(spark, tmp_path):
     from tunetable.operators.batching import select_text_field
     from tunetable.sources.corpus import requests_from, write_metrics

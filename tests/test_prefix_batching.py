@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tunetable import standins as S
 from tunetable.functions.arrays import char_codes
 from tunetable.operators import batching, metrics
-from tunetable.plans.prefix import int_bucket, row_index, running_sum, time_bucket
+from tunetable.plans import prefix
+from tunetable.plans.prefix import int_bucket, ranged_index, ranged_sum, row_index, running_sum, time_bucket
 
 SF = "/root/testdata/sf0.01"
 
@@ -32,7 +33,7 @@ def test_row_index_time_bucket_matches_row_number(spark):
 
 def test_plan_batches_every_row_once(spark):
     d = S.table(spark, SF, "documents").select("doc_id", S.phase_col().alias("phase"))
-    b = batching.plan_batches(d, "doc_id", 13, micro=4, partition=["phase"], width=50)
+    b = batching.plan_batches(d, "doc_id", 13, micro=4, partition=["phase"])
     rows = b.collect()
     assert len(rows) == d.count() == len({r["doc_id"] for r in rows})
     for ph in ("train", "val"):
@@ -44,7 +45,7 @@ def test_plan_batches_every_row_once(spark):
 
 def test_pack_blocks_properties(spark):
     d = S.table(spark, SF, "documents").select("doc_id", char_codes(F.col("text")).alias("tokens"))
-    blocks = batching.pack_blocks(d, "tokens", "doc_id", block=1024, width=100).orderBy("block_id").collect()
+    blocks = batching.pack_blocks(d, "tokens", "doc_id", block=1024).orderBy("block_id").collect()
     total = d.select(F.sum(F.size("tokens"))).collect()[0][0]
     assert sum(b["n_tokens"] for b in blocks) == total
     assert all(b["n_tokens"] == 1024 for b in blocks[:-1]) and 0 < blocks[-1]["n_tokens"] <= 1024
@@ -89,3 +90,36 @@ def test_rolling_mean_halo_equals_window(spark, n):
     w = Window.partitionBy("run_id").orderBy("step").rowsBetween(-(n - 1), 0)
     exp = s.select("run_id", "step", F.sum("v").over(w).alias("a"), F.count("v").over(w).alias("b"))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, exp.collect()))
+
+
+@pytest.mark.parametrize("fan", [2, 1024])
+@pytest.mark.parametrize("parts", [1, 5])
+def test_ranged_sums_equal_windows(spark, monkeypatch, fan, parts):
+    monkeypatch.setattr(prefix, "FAN", fan)  # with 2, eight ranges need all three levels
+    d = S.table(spark, SF, "documents").select(
+        F.xxhash64("doc_id").alias("h"), F.when(F.col("doc_id") % 7 > 0, F.col("source")).alias("source"),
+        F.when(F.col("doc_id") % 11 > 0, F.col("n_chars")).alias("n"), (F.col("doc_id") * 10**12).alias("far"), "doc_id").repartition(parts)
+    w = Window.partitionBy("source").orderBy("h").rowsBetween(Window.unboundedPreceding, 0)
+    exp = d.select("doc_id", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("s"), (F.row_number().over(w) - 1).alias("i"))
+    sums = ranged_sum(d, "n", ["h"], ["source"], out="s")
+    assert set(sums.columns) == {*d.columns, "s"}
+    got = sums.select("doc_id", "s").join(ranged_index(d, ["h"], ["source"], out="i").select("doc_id", "i"), "doc_id")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, exp.collect()))
+    far = ranged_sum(d, "n", ["far"], out="s", inclusive=False).orderBy("far").collect()
+    assert [r.s for r in far] == [sum(x.n or 0 for x in far[:i]) for i in range(len(far))]
+    assert ranged_index(d.limit(0), ["far"]).count() == 0
+
+
+def test_ranges_are_as_many_as_partitions_whatever_the_keys(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # these rows would fit into one partition
+    for key in (F.col("id") * 10**13, F.xxhash64("id"), F.col("id").cast("string")):
+        cells = prefix._dealt(spark.range(8000).select(key.alias("k")), ["k"], []).groupBy("__cell").count().collect()
+        assert len(cells) >= 4 and max(r["count"] for r in cells) < 4000
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_null_keys_and_equal_keys_have_places(spark):
+    df = spark.createDataFrame([(None,), (None,), (3,), (3,), (1,)], "k int")
+    assert sorted((r.idx, r.k or 0) for r in ranged_index(df, ["k"]).collect()) == [(0, 0), (1, 0), (2, 1), (3, 3), (4, 3)]
+    b = batching.plan_batches(df, "k", 2).collect()
+    assert sorted((r.batch_id, r.position) for r in b) == [(0, 0), (0, 1), (1, 0), (1, 1), (2, 0)]

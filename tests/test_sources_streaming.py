@@ -199,3 +199,31 @@ def test_latency_stream_append_emits_only_closed_windows(spark):
     got0 = {r["s"]: (r["n_requests"], r["total_seconds"]) for r in spark.sql("select * from tt_append0").collect()}
     assert got0 and set(got0) < set(batch)   # the last, still open window is not emitted
     assert all(batch[k] == v for k, v in got0.items())
+
+
+def test_a_batch_that_runs_again_replaces_what_it_wrote(spark, tmp_path):
+    from tunetable.streaming.batches import pair_stream, read_batches, run_batches
+    lines = spark.createDataFrame([(i, f"/c/{i}.wav", "t") for i in range(6)], "line_no long, audio_path string, text string")
+    clips = spark.createDataFrame([(f"/c/{i}.wav", 10 * i) for i in (0, 2, 4)], "audio_path string, n_samples long")
+    src, out, ckpt = (str(tmp_path / x) for x in ("in", "out", "ckpt"))
+    lines.write.parquet(src)
+    stream = lambda: spark.readStream.schema(lines.schema).parquet(src)
+    pair_stream(stream(), clips, out, ckpt)
+    pair_stream(stream(), clips, out, str(tmp_path / "lost-ckpt"))  # the checkpoint was lost: batch 0 comes again
+    assert sorted(r.line_no for r in read_batches(spark, out, "paired").collect()) == [0, 2, 4]
+    assert sorted(r.line_no for r in read_batches(spark, out, "missing").collect()) == [1, 3, 5]
+    assert read_batches(spark, out, "none") is None
+    run_batches(stream(), lambda b, i: {}, out, str(tmp_path / "c3"))
+
+
+def test_late_rows_are_kept_aside(spark, tmp_path):
+    from tunetable.streaming.batches import latency_windows, latency_with_rejects, read_batches
+    src, out, ckpt = (str(tmp_path / x) for x in ("in", "out", "ckpt"))
+    schema = "ts timestamp_ntz, seconds double, id int"
+    for rows in ([("2024-01-01 10:00:00", 1.0, 1), ("2024-01-02 12:00:00", 2.0, 2), (None, 9.0, 3)],
+                 [("2024-01-02 11:00:00", 4.0, 4), ("2024-01-02 10:59:59", 8.0, 5), ("2024-01-03 00:00:00", 16.0, 6)], []):
+        df = spark.createDataFrame(rows, "ts string, seconds double, id int").selectExpr("cast(ts as timestamp_ntz) ts", "seconds", "id")
+        df.write.mode("append").parquet(src)
+        latency_with_rejects(spark.readStream.schema(schema).parquet(src), out, ckpt)
+    assert sorted(r.id for r in read_batches(spark, out, "late").collect()) == [3, 5]
+    assert sorted((r.n_requests, r.total_seconds) for r in latency_windows(spark, out).collect()) == [(1, 1.0), (1, 16.0), (2, 6.0)]

@@ -1,25 +1,31 @@
 """Byte-pair encoding of text columns (F2) and its inverse.
 
-BPE is not expressible in SQL, so this is the one tokenising UDF: an Arrow
-iterator UDF, so the model and a per-task word cache are built once per task
-and every batch is returned as one Arrow list array (no per-row pandas
-objects). The model is a fixed-size parameter (vocabulary + merges); it is
-broadcast once per application, and the data never passes the driver.
+Whole documents are tokenised by an Arrow iterator UDF: the model and a
+per-task word cache are built once per task and every batch is returned as one
+Arrow list array (no per-row pandas objects). The model is a fixed-size
+parameter (vocabulary + merges); it is broadcast once per application, and the
+data never passes the driver. ``functions.bpe_tables`` does the same for
+distinct words with joins alone.
 
 Rules (tokenizer JSON layout: ``added_tokens``, ``model.vocab``,
 ``model.merges``, ``model.unk_token``):
 
-* a blank is carried as the ``[SPACE]`` token;
 * special (added) tokens are matched first;
-* the rest is split on ``\\w+|[^\\w\\s]+`` (Unicode ``\\w``) and other whitespace
-  is dropped;
-* each piece starts as single characters and is merged lowest merge rank
-  first, leftmost first; a character missing from the vocabulary becomes the
-  unknown token, one per character.
+* the rest is split into pieces by the pattern that the file names, or by
+  ``\\w+|[^\\w\\s]+`` (Unicode ``\\w``); what no piece holds, whitespace above
+  all, is dropped;
+* each piece starts as single characters (the stand-ins of its UTF-8 bytes in a
+  byte-level file), the last with the file's end-of-word mark if it has one, and
+  is merged lowest merge rank first, leftmost first; a character missing from
+  the vocabulary becomes the unknown token, one per character, or nothing in a
+  file without such a token;
+* a blank is carried as the ``[SPACE]`` token where the file has it. Decoding
+  puts a blank there, or after each end-of-word mark but the last.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
 import re
 from array import array
@@ -33,56 +39,72 @@ from pyspark.sql import functions as F
 
 from . import col_of
 
-_PIECE = re.compile(r"\w+|[^\w\s]+")
+_PIECE = r"\w+|[^\w\s]+"
 SPACE_TOKEN = "[SPACE]"
 STOP_TOKEN = "[STOP]"
 
 
+def byte_symbols() -> list[str]:
+    """The character that stands for each byte in a byte-level file: printable ones for themselves, the others from U+0100 on."""
+    plain = [b for b in range(256) if chr(b).isprintable() and b not in (0x20, 0xAD)]
+    rest = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
+
+
 @dataclass
 class BpeModel:
     vocab: dict
     ranks: dict
     specials: dict
-    unk_id: int
+    unk_id: int | None
+    pattern: str = _PIECE
+    suffix: str = ""
+    byte_level: bool = False
     id_to_token: dict = field(default_factory=dict)
     _special_re: object = None
 
     def __post_init__(self):
+        import regex
         self.id_to_token = {i: t for t, i in self.vocab.items()}
         for t, i in self.specials.items():
             self.id_to_token.setdefault(i, t)
+        self._pieces = regex.compile(self.pattern)
+        self._apart = self._pieces.findall("a b") == ["a", "b"]  # no piece holds a blank
+        self.byte_symbols = byte_symbols() if self.byte_level else None
         if self.specials:
             alts = sorted(self.specials, key=len, reverse=True)
             self._special_re = re.compile("(" + "|".join(re.escape(s) for s in alts) + ")")
 
     # -- encoding ---------------------------------------------------------
     def _merge_word(self, word: str) -> list[int]:
-        syms = list(word)
-        ranks = self.ranks
-        while len(syms) > 1:
-            best, best_rank = None, None
-            for i in range(len(syms) - 1):
-                r = ranks.get((syms[i], syms[i + 1]))
-                if r is not None and (best_rank is None or r < best_rank):
-                    best, best_rank = i, r
-            if best is None:
-                break
-            a, b = syms[best], syms[best + 1]
-            merged, i = [], 0
-            while i < len(syms):
-                if i < len(syms) - 1 and syms[i] == a and syms[i + 1] == b:
-                    merged.append(a + b)
-                    i += 2
-                else:
-                    merged.append(syms[i])
-                    i += 1
-            syms = merged
+        """Pairs wait in a heap by (rank, place); a pair that no longer stands when its turn comes is passed over."""
+        syms: list = [self.byte_symbols[b] for b in word.encode("utf-8", "surrogatepass")] if self.byte_level else list(word)
+        syms[-1] += self.suffix
+        n = len(syms)
+        get = self.ranks.get
+        right, left = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r, i, a, b) for i, (a, b) in enumerate(zip(syms, syms[1:])) if (r := get((a, b))) is not None]
+        heapq.heapify(heap)
+        while heap:
+            _, i, a, b = heapq.heappop(heap)
+            j = right[i]
+            if syms[i] != a or j >= n or syms[j] != b:
+                continue
+            syms[i], syms[j] = a + b, None
+            right[i] = k = right[j]
+            if k < n:
+                left[k] = i
+                if (r := get((syms[i], syms[k]))) is not None:
+                    heapq.heappush(heap, (r, i, syms[i], syms[k]))
+            if (h := left[i]) >= 0 and (r := get((syms[h], syms[i]))) is not None:
+                heapq.heappush(heap, (r, h, syms[h], syms[i]))
         v = self.vocab
-        return [v.get(s, self.unk_id) for s in syms]
+        ids = [v.get(s, self.unk_id) for s in syms if s is not None]
+        return [i for i in ids if i is not None] if self.unk_id is None else ids
 
     def _encode_segment(self, seg: str) -> list[int]:
         out: list[int] = []
-        for piece in _PIECE.findall(seg):
+        for piece in self._pieces.findall(seg):
             out.extend(self._merge_word(piece))
         return out
 
@@ -126,13 +148,13 @@ class BpeModel:
         """``encode`` as packed native int32 bytes; segments cached as bytes, so a
         document is one ``join`` (used by the UDF to build Arrow arrays directly)."""
         space = self.specials.get(SPACE_TOKEN)
-        if space is None or any(t in text for t in self.specials if t != SPACE_TOKEN):
+        if not self._apart or any(t in text for t in self.specials if t != SPACE_TOKEN):
             return array("i", self.encode(text)).tobytes()
         sp = cache.get(None)
         if sp is None:
-            sp = cache[None] = array("i", [space]).tobytes()
-        # blank-separated segments -> cached id bytes, joined by the [SPACE] id;
-        # an empty segment (two blanks in a row) is empty, giving two [SPACE]s
+            sp = cache[None] = array("i", [space]).tobytes() if space is not None else b""
+        # blank-separated segments -> cached id bytes, joined by the [SPACE] id (if the file has
+        # one); an empty segment (two blanks in a row) is empty, giving two [SPACE]s
         segs = text.split(" ")
         parts = list(map(cache.get, segs))
         if None in parts:
@@ -158,27 +180,33 @@ class BpeModel:
         return h.hexdigest()
 
     def piece_table(self) -> np.ndarray:
-        """Decoded text of every id (blank for ``[SPACE]``, nothing for other
-        specials and unknown ids), as an object array indexed by id."""
-        n = max(self.id_to_token) + 2
-        table = np.array([""] * n, dtype=object)
+        """Decoded bytes of every id (a blank for ``[SPACE]`` and the end-of-word mark, nothing for
+        other specials and unknown ids), as an object array indexed by id."""
+        back = {c: b for b, c in enumerate(self.byte_symbols)} if self.byte_level else None
+        table = np.array([b""] * (max(self.id_to_token) + 2), dtype=object)
         for i, t in self.id_to_token.items():
-            table[i] = " " if t == SPACE_TOKEN else ("" if t in self.specials else t)
+            end = b" " if self.suffix and t.endswith(self.suffix) else b""
+            t = t.removesuffix(self.suffix) if end else t
+            if t == SPACE_TOKEN:
+                table[i] = b" "
+            elif t not in self.specials:
+                table[i] = (bytes(back[c] for c in t) if back else t.encode("utf-8", "surrogatepass")) + end
         return table
 
+    def text_of(self, pieces) -> str:
+        text = b"".join(pieces).decode("utf-8", "replace")
+        return text.removesuffix(" ") if self.suffix else text
+
     def decode(self, ids) -> str | None:
         if ids is None:
             return None
-        parts = []
-        for i in ids:
-            t = self.id_to_token.get(int(i), "")
-            if t == SPACE_TOKEN:
-                parts.append(" ")
-            elif t in self.specials:
-                continue  # stop / unknown / other specials decode to nothing
-            else:
-                parts.append(t)
-        return "".join(parts)
+        table = self.piece_table()
+        return self.text_of(table[i] if 0 <= i < len(table) else b"" for i in ids)
+
+
+def _parts_of(spec: dict | None) -> list[dict]:
+    """The steps of a pre-tokenizer, one or a sequence."""
+    return (spec.get("pretokenizers") or [spec]) if spec else []
 
 
 def parse_tokenizer(spec: dict) -> BpeModel:
@@ -190,8 +218,11 @@ def parse_tokenizer(spec: dict) -> BpeModel:
         ranks[(a, b)] = r
     specials = {t["content"]: int(t["id"]) for t in spec.get("added_tokens", [])}
     unk = model.get("unk_token") or "[UNK]"
-    unk_id = vocab.get(unk, specials.get(unk, 1))
-    return BpeModel(vocab=vocab, ranks=ranks, specials=specials, unk_id=unk_id)
+    unk_id = vocab.get(unk, specials.get(unk))
+    steps = _parts_of(spec.get("pre_tokenizer"))
+    patterns = [p["pattern"]["Regex"] for p in steps if p["type"] == "Split" and p.get("invert") and "Regex" in p["pattern"]]
+    return BpeModel(vocab=vocab, ranks=ranks, specials=specials, unk_id=unk_id, pattern=patterns[0] if patterns else _PIECE,
+                    suffix=model.get("end_of_word_suffix") or "", byte_level=any(p["type"] == "ByteLevel" for p in steps))
 
 
 def load_tokenizer(path: str) -> BpeModel:
@@ -264,22 +295,8 @@ def bpe_decode(ids, tokenizer) -> Column:
             ids = np.where((ids >= 0) & (ids < len(table)), ids, len(table) - 1)
             pieces = table[ids]
             nulls = arr.is_null().to_numpy(zero_copy_only=False)
-            out = [None if nulls[i] else "".join(pieces[offsets[i]:offsets[i + 1]]) for i in range(len(arr))]
+            out = [None if nulls[i] else model.text_of(pieces[offsets[i]:offsets[i + 1]]) for i in range(len(arr))]
             yield pa.array(out, type=pa.string())
 
     udf = F.arrow_udf(run, "string")
     return udf(col_of(ids))
-
-
-def token_usage(df: DataFrame, text_col: str, tokenizer) -> DataFrame:
-    """``(id, n)``: how often each token occurs in a column of texts without runs of blanks.
-
-    Blank-separated words are counted in the JVM first, each with the blank
-    before it; every distinct one is then tokenised once and its count goes
-    to its tokens. So Python sees the vocabulary rather than the text, and a
-    word that makes up a third of all text is one row after the partial count.
-    """
-    word = F.transform(F.split(F.col(text_col), " "), lambda w, i: F.when(i == 0, w).otherwise(F.concat(F.lit(" "), w)))
-    words = df.select(F.explode(word).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    ids = words.select("n", F.explode(bpe_encode("w", tokenizer)).alias("id"))
-    return ids.groupBy("id").agg(F.sum("n").alias("n"))

@@ -7,6 +7,8 @@ other and meet their rows by joins and shuffles.
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +17,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import keyed_hash
-from ..plans.joins import collect_bounded
+from ..plans.files import listed, present, removed, whole
+from ..plans.joins import matrix_of
+from ..plans.meeting import ROWS_PER_TASK, per_model
+from ..session import scratch_path
 
 # ---------------------------------------------------------------- merge
 
@@ -60,62 +65,45 @@ def merge_adapter(base: DataFrame, adapters: DataFrame, alpha: float, r: int,
 
 def apply_adapter(vectors: DataFrame, base: DataFrame, adapters: DataFrame, alpha: float, r: int,
                   id_col: str = "vec_id", vec_col: str = "embedding", adapter_col: str = "adapter_id",
-                  max_rows: int = 1_000_000, salts: int = 32) -> DataFrame:
+                  max_bytes: int = 1 << 30, rows_per_task: int = ROWS_PER_TASK, salts: int = 4096) -> DataFrame:
     """y = W x + (alpha / r) * B (A x), with the adapter chosen per row.
 
     ``base``: ``(row, values)`` rows of W (out x in), one model matrix of
     checked size. ``adapters``: ``(adapter_id, lora_A, lora_B)``, any number of
-    them: vectors and adapters meet by a shuffle on (adapter, salt), each
-    adapter once per salt, so an adapter that a third of the rows uses is
-    split over ``salts`` tasks. Inside a task the adapter sorts before its
-    vectors, so a task holds one adapter and one Arrow batch at a time. Ids are
-    compared as text; a row whose id is null or names no adapter gets a null
-    output, never the base output.
+    them: vectors and adapters meet by a shuffle on the adapter (``plans.meeting``).
+    An adapter travels once, and more often (at most ``salts`` times) only if it
+    has more than ``rows_per_task`` vectors; a task holds one adapter and one
+    Arrow batch at a time. Ids are compared as text; a row whose id is null or names no adapter
+    gets a null output, never the base output.
     """
-    brows = collect_bounded(base.select("row", "values").orderBy("row"), max_rows, "base matrix")
+    _rows, W = matrix_of(base, max_bytes)
     scale = float(alpha) / float(r)
-    bc = vectors.sparkSession.sparkContext.broadcast(np.array([np.asarray(x["values"], dtype=np.float64) for x in brows]))
-    id_type, vec_type = (vectors.schema[c].dataType for c in (id_col, vec_col))
+    bc = vectors.sparkSession.sparkContext.broadcast(W)
+    id_type = vectors.schema[id_col].dataType.simpleString()
     matrix = "array<array<double>>"
-    key = F.col(adapter_col).cast("string").alias("key")
-    models = adapters.select(
-        key, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(0).alias("kind"), F.lit(None).cast(id_type).alias("id"),
-        F.lit(None).cast(vec_type).alias("x"), F.col("lora_A").cast(matrix).alias("a"), F.col("lora_B").cast(matrix).alias("b"))
-    rows = vectors.select(
-        key, F.pmod(F.xxhash64(id_col, vec_col), F.lit(salts)).cast("int").alias("salt"), F.lit(1).alias("kind"), F.col(id_col).alias("id"),
-        F.col(vec_col).alias("x"), F.lit(None).cast(matrix).alias("a"), F.lit(None).cast(matrix).alias("b"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    models = adapters.select(adapter_col, F.col("lora_A").cast(matrix).alias("a"), F.col("lora_B").cast(matrix).alias("b"))
+    rows = vectors.select(adapter_col, F.col(id_col).alias("id"), F.col(vec_col).alias("x"))
+
+    def load(_shared, m):
+        return tuple(np.array(m[c].as_py(), dtype=np.float64) for c in "ab")
+
+    def score(_shared, model, part: pa.RecordBatch) -> pa.RecordBatch:
         from .codes import valid_matrix
         W = bc.value
-        k = W.shape[0]
-        now, A, B = None, None, None
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            kinds = batch.column("kind").to_numpy()
-            keys = batch.column("key").to_pylist()
-            # runs of one kind and one adapter
-            cuts = [0] + [i for i in range(1, len(keys)) if kinds[i] == 0 or kinds[i - 1] == 0 or keys[i] != keys[i - 1]] + [len(keys)]
-            for lo, hi in zip(cuts, cuts[1:]):
-                if kinds[lo] == 0:
-                    now = keys[lo]
-                    A, B = (np.array(batch.column(c)[lo].as_py(), dtype=np.float64) for c in "ab")
-                    continue
-                part = batch.slice(lo, hi - lo)
-                known, X = valid_matrix(part.column("x"), W.shape[1])
-                if now is None or keys[lo] != now:
-                    known = np.zeros(hi - lo, dtype=bool)
-                out = np.zeros((hi - lo, k))
-                if known.any():
-                    out[known] = X @ W.T + scale * ((X @ A.T) @ B.T)
-                off = (np.arange(hi - lo + 1) * k).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), pa.ListArray.from_arrays(pa.array(off), pa.array(out.ravel()), mask=pa.array(~known))],
-                    names=[id_col, "output"])
-
-    met = models.filter("key IS NOT NULL").unionByName(rows).repartition("key", "salt").sortWithinPartitions("key", "salt", "kind")
-    return met.mapInArrow(run, f"{id_col} {id_type.simpleString()}, output array<double>")
+        n, k = part.num_rows, W.shape[0]
+        known, X = valid_matrix(part.column("x"), W.shape[1])
+        out = np.zeros((n, k))
+        if model is None:
+            known = np.zeros(n, dtype=bool)
+        elif known.any():
+            A, B = model
+            out[known] = X @ W.T + scale * ((X @ A.T) @ B.T)
+        off = (np.arange(n + 1) * k).astype(np.int32)
+        return pa.RecordBatch.from_arrays(
+            [part.column("id"), pa.ListArray.from_arrays(pa.array(off), pa.array(out.ravel()), mask=pa.array(~known))],
+            names=[id_col, "output"])
+
+    return per_model(models, rows, adapter_col, load, score, f"{id_col} {id_type}, output array<double>", rows_per_task, salts=salts)
 
 
 def stack_adapter(tensors: DataFrame, matrix_col: str = "tensor", by=("adapter_id",)) -> DataFrame:
@@ -145,77 +133,139 @@ def _softmax_grads(X, y, W, A, B, scale, k):
 
 def fit_adapter(spark: SparkSession, data: DataFrame, base: DataFrame, r: int = 4, alpha: float = 8.0,
                 lr: float = 0.5, steps: int = 20, seed: int = 0, vec_col: str = "embedding",
-                label_col: str = "label", batch: int | None = None) -> tuple[DataFrame, DataFrame]:
+                label_col: str = "label", batch: int | None = None, path: str | None = None, every: int = 1,
+                keep: int = 2, init: np.ndarray | None = None, max_bytes: int = 1 << 30) -> tuple[DataFrame, DataFrame]:
     """Train A (r x d) and B (k x r, zero start) over a frozen base W (k x d) with
     softmax cross-entropy and gradient descent, on all rows or on mini-batches.
 
-    With ``batch``, the n usable rows are split anew in every epoch into
-    ceil(n / batch) mini-batches by a hash of the row and the epoch (their sizes
-    vary around ``batch``), and each step takes the next one; a retry sees the
-    same rows. Rows of unknown label or another width can't train; the loss
-    table counts the rows of each step.
+    The usable examples are stored once in shared storage. With ``batch``, every
+    epoch deals them anew into ceil(n / batch) mini-batches by a hash of row and
+    epoch (their sizes vary around ``batch``; equal rows stay together), written
+    as shards: a step reads the files of its own shard and no others. Rows of
+    unknown label or another width can't train; the loss table counts the rows
+    of each step.
 
     Each step is one distributed job: A, B and W go to the tasks, every
     partition makes one array of its partial loss and gradients (r * (d + k)
     numbers), square-root-many tasks add these, and the driver adds their
-    sums for the update. Returns (adapter table, loss per step).
+    sums for the update.
+
+    With ``path`` the fit can be resumed: examples, shards and, after each
+    ``every`` steps, the state (step, A, B, losses) are kept there, of the states
+    the last ``keep``. A call with the same path and settings goes on after the
+    last whole state and gives what an unbroken run gives; other settings raise.
+    Returns (adapter table, loss per step).
     """
-    brows = collect_bounded(base.select("row", "values").orderBy("row"), 100_000, "base matrix")
-    W = np.array([np.asarray(x["values"], dtype=np.float64) for x in brows])
+    names, W = matrix_of(base, max_bytes)
     k, d = W.shape
-    rng = np.random.default_rng(seed)
-    A = rng.normal(0.0, 0.01, size=(r, d))
+    A = np.random.default_rng(seed).normal(0.0, 0.01, size=(r, d)) if init is None else np.array(init, dtype=np.float64)
     B = np.zeros((k, r))
     scale = float(alpha) / float(r)
-    # an example needs a vector of the base width and a label that a base row has
-    place = F.array_position(F.array(*(F.lit(int(x["row"])) for x in brows)), F.col(label_col).cast("int")) - 1
-    usable = (F.size("x") == d) & (F.col("y") >= 0)
-    src = (data.select(F.col(vec_col).alias("x"), place.cast("int").alias("y"))
-           .filter(F.coalesce(usable, F.lit(False))).persist())
+    home = path or scratch_path(spark, "fit")
+    settings = json.dumps({"r": r, "alpha": alpha, "lr": lr, "seed": seed, "batch": batch, "base": hashlib.sha256(W.tobytes()).hexdigest(), "start": hashlib.sha256(A.tobytes()).hexdigest()}, sort_keys=True)
+    first, losses = 0, []
+    state = fit_state(spark, path) if path else None
+    if state:
+        if state["settings"] != settings:
+            raise ValueError(f"{path} holds a fit with other settings: {state['settings']}")
+        first, losses = state["step"] + 1, [tuple(x) for x in state["losses"]]
+        A, B = (np.array(state[m], dtype=np.float64).reshape(shape) for m, shape in (("a", (r, d)), ("b", (k, r))))
+
+    examples = f"{home}/examples"
+    if not whole(spark, examples):
+        # an example needs a vector of the base width and a label that a base row has
+        place = spark.createDataFrame([(int(x), i) for i, x in enumerate(names)], "__label int, y int")  # as many rows as the checked base
+        known = data.select(F.col(vec_col).alias("x"), F.col(label_col).cast("int").alias("__label")).filter(F.size("x") == d)
+        known.join(F.broadcast(place), "__label").select("x", "y", F.monotonically_increasing_id().alias("n")).write.mode("overwrite").parquet(examples)
+    src = spark.read.parquet(examples)
     n_total = src.count()
     if n_total == 0:
         raise ValueError("no usable training examples")
-    size = r * d + k * r
     turns = -(-n_total // batch) if batch else 1
-    row_key = F.xxhash64("x", "y")
-    losses = []
+    size = r * d + k * r
     sc = spark.sparkContext
-    try:
-        for step in range(steps):
-            bc = sc.broadcast((W, A, B))
-            epoch, turn = divmod(step, turns)
-
-            def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                W_, A_, B_ = bc.value
-                acc = np.zeros(size + 2)
-                for b in batches:
-                    if len(b) == 0:
-                        continue
-                    X = b.column(0).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(b), -1)
-                    yv = b.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-                    loss, gA, gB = _softmax_grads(X, yv, W_, A_, B_, scale, k)
-                    acc[:r * d] += gA.ravel()
-                    acc[r * d:size] += gB.ravel()
-                    acc[size:] += loss, len(b)
-                yield _one_array(acc)
-
-            rows = src if turns == 1 else src.filter(F.pmod(keyed_hash(seed, F.lit(epoch), row_key), F.lit(turns)) == turn)
-            parts = rows.mapInArrow(part, "g array<double>")
-            merging = max(1, int(rows.rdd.getNumPartitions() ** 0.5))
-            g = sum(np.asarray(x["g"]) for x in parts.repartition(merging).mapInArrow(_added, "g array<double>").collect())
-            bc.unpersist()
-            n = g[size + 1]
-            losses.append((step, float(g[size] / n) if n else None, int(n)))
-            if n:
-                A = A - lr * g[:r * d].reshape(r, d) / n
-                B = B - lr * g[r * d:size].reshape(k, r) / n
-    finally:
-        src.unpersist()
-    adapter = spark.createDataFrame(
-        [("A", i, A[i].tolist()) for i in range(r)] + [("B", i, B[i].tolist()) for i in range(k)],
-        "matrix string, row int, values array<double>")
-    loss_df = spark.createDataFrame(losses, "step int, loss double, n_rows long")
-    return adapter, loss_df
+    merging = max(1, int(sc.defaultParallelism ** 0.5))
+    for step in range(first, steps):
+        epoch, turn = divmod(step, turns)
+        rows = src if turns == 1 else _shard(src, home, seed, epoch, turn, turns, n_total)
+        bc = sc.broadcast((W, A, B))
+
+        def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            W_, A_, B_ = bc.value
+            acc = np.zeros(size + 2)
+            for b in batches:
+                if len(b) == 0:
+                    continue
+                X = b.column(0).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(b), -1)
+                yv = b.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+                loss, gA, gB = _softmax_grads(X, yv, W_, A_, B_, scale, k)
+                acc[:r * d] += gA.ravel()
+                acc[r * d:size] += gB.ravel()
+                acc[size:] += loss, len(b)
+            yield _one_array(acc)
+
+        parts = rows.select("x", "y").mapInArrow(part, "g array<double>")
+        g = sum((np.asarray(x["g"]) for x in parts.repartition(merging).mapInArrow(_added, "g array<double>").collect()), np.zeros(size + 2))
+        bc.unpersist()
+        n = g[size + 1]
+        losses.append((step, float(g[size] / n) if n else None, int(n)))
+        if n:
+            A = A - lr * g[:r * d].reshape(r, d) / n
+            B = B - lr * g[r * d:size].reshape(k, r) / n
+        if path and ((step + 1) % every == 0 or step + 1 == steps):
+            _save_state(spark, path, step, A, B, losses, settings, keep)
+    if not path:
+        removed(spark, home)
+    return adapter_tensors(spark, A, B), spark.createDataFrame(losses, "step int, loss double, n_rows long")
+
+
+def adapter_tensors(spark: SparkSession, A, B) -> DataFrame:
+    """``(matrix 'A' / 'B', row, values)``."""
+    return spark.createDataFrame([(m, i, [float(v) for v in row]) for m, x in (("A", A), ("B", B)) for i, row in enumerate(x)],
+                                 "matrix string, row int, values array<double>")
+
+
+#: Folders of an epoch's shards at most, and rows of one of their files.
+_FOLDERS, _FILE_ROWS = 1000, 1 << 20
+
+
+def _shard(src: DataFrame, home: str, seed: int, epoch: int, turn: int, turns: int, n_total: int) -> DataFrame:
+    """The examples of one mini-batch, from the epoch's shards (written when the epoch begins; the epoch before goes)."""
+    spark, path = src.sparkSession, f"{home}/epoch-{epoch}"
+    span = -(-turns // _FOLDERS)
+    if not whole(spark, path):
+        files = max(1, n_total * span // turns // _FILE_ROWS)
+        dealt = src.withColumn("turn", F.pmod(keyed_hash(seed, F.lit(epoch), F.xxhash64("x", "y")), F.lit(turns)).cast("int"))
+        dealt = dealt.withColumns({"folder": F.floor(F.col("turn") / span).cast("int"), "__file": F.pmod("n", F.lit(files))})
+        dealt = dealt.repartition("folder", "__file").sortWithinPartitions("folder", "turn").drop("__file")
+        dealt.write.mode("overwrite").partitionBy("folder").parquet(path)
+        removed(spark, f"{home}/epoch-{epoch - 1}")
+    return spark.read.schema("x " + src.schema["x"].dataType.simpleString() + ", y int, turn int").parquet(path + f"/folder={turn // span}").filter(F.col("turn") == turn) \
+        if present(spark, path + f"/folder={turn // span}") else src.limit(0)
+
+
+_STATE = "step int, a array<array<double>>, b array<array<double>>, losses array<struct<step:int,loss:double,n_rows:long>>, settings string"
+
+
+def _save_state(spark: SparkSession, path: str, step: int, A, B, losses: list, settings: str, keep: int) -> None:
+    row = [(step, A.tolist(), B.tolist(), losses, settings)]
+    spark.createDataFrame(row, _STATE).coalesce(1).write.mode("overwrite").parquet(f"{path}/state/step-{step}")
+    for old in saved_steps(spark, path)[:-keep]:
+        removed(spark, f"{path}/state/step-{old}")
+
+
+def saved_steps(spark: SparkSession, path: str) -> list[int]:
+    """The steps whose state is whole, in order."""
+    steps = (n.removeprefix("step-") for n in listed(spark, f"{path}/state"))
+    return sorted(int(n) for n in steps if n.isdigit() and whole(spark, f"{path}/state/step-{n}"))
+
+
+def fit_state(spark: SparkSession, path: str, step: int | None = None) -> dict | None:
+    """The state after ``step`` (default: the last whole one), None if there is none."""
+    steps = saved_steps(spark, path)
+    if not steps or (step is not None and step not in steps):
+        return None
+    return spark.read.schema(_STATE).parquet(f"{path}/state/step-{steps[-1] if step is None else step}").first().asDict()
 
 
 def _one_array(x: np.ndarray) -> pa.RecordBatch:

@@ -1,7 +1,7 @@
 """Batching and packing.
 
-Global order is never one task: positions come from the two-level index in
-``plans.prefix``.
+Global order is never one task: positions come from the ranged and the
+two-level index in ``plans.prefix``.
 """
 
 from __future__ import annotations
@@ -11,21 +11,19 @@ from pyspark.sql import functions as F
 
 from ..functions import col_of, idiv, keyed_hash, lit_of
 from ..functions.arrays import pad_or_truncate
-from ..plans.prefix import int_bucket, row_index, running_sum
+from ..plans.prefix import ranged_index, ranged_sum, row_index, running_sum
 
 
-def plan_batches(df: DataFrame, order, batch, micro: int = 1, partition=None,
-                 bucket=None, width: int = 4096) -> DataFrame:
+def plan_batches(df: DataFrame, order, batch, micro: int = 1, partition=None, bucket=None) -> DataFrame:
     """Assign ``batch_id``, ``micro_id`` and ``position`` in ``order`` per ``partition``.
 
     Batches hold ``batch`` rows (a column or an int; the last may be short);
     each batch is split into ``micro`` micro-batches of ``ceil(batch/micro)``
-    rows. ``bucket`` must be monotone in ``order`` (default: first order key
-    ``div width``).
+    rows. Positions come from ranges of ``order`` (any keys, sparse or hashed
+    too), or from ``bucket``, a column monotone in ``order``.
     """
     order = [order] if isinstance(order, str) else list(order)
-    bucket = bucket if bucket is not None else int_bucket(order[0], width)
-    d = row_index(df, order, bucket, partition, out="__idx")
+    d = row_index(df, order, bucket, partition, out="__idx") if bucket is not None else ranged_index(df, order, partition, out="__idx")
     b = lit_of(batch).cast("long")
     msize = idiv(b + (micro - 1), F.lit(micro))
     pos = F.col("__idx") % b
@@ -36,7 +34,7 @@ def plan_batches(df: DataFrame, order, batch, micro: int = 1, partition=None,
 
 
 def pack_blocks(df: DataFrame, tokens: str, order, block: int = 1024, id_col: str = "doc_id",
-                bucket=None, width: int = 4096, n_col=None) -> DataFrame:
+                bucket=None, n_col=None) -> DataFrame:
     """Treat the corpus as one token stream in ``order`` and cut it into blocks.
 
     No separator token between documents; the short last block is kept.
@@ -50,11 +48,11 @@ def pack_blocks(df: DataFrame, tokens: str, order, block: int = 1024, id_col: st
     than ``block`` tokens.
     """
     order = [order] if isinstance(order, str) else list(order)
-    bucket = bucket if bucket is not None else int_bucket(order[0], width)
     n = (F.col(n_col) if isinstance(n_col, str) else n_col) if n_col is not None else F.size(tokens)
     lens = df.select(id_col, *[o for o in order if o != id_col], n.cast("long").alias("__n"))
-    offs = running_sum(lens, "__n", order, bucket, None, out="__off", inclusive=False).select(
-        F.col(id_col).alias("__id"), "__off", "__n")
+    offs = running_sum(lens, "__n", order, bucket, None, out="__off", inclusive=False) if bucket is not None else \
+        ranged_sum(lens, "__n", order, out="__off", inclusive=False)
+    offs = offs.select(F.col(id_col).alias("__id"), "__off", "__n")
     d = df.select(id_col, F.col(tokens).alias("__tok")).join(offs, F.col(id_col) == F.col("__id")).drop("__id")
     d = d.filter(F.col("__n") > 0)
     first = idiv(F.col("__off"), F.lit(block))

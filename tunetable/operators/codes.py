@@ -8,9 +8,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import col_of
-from ..plans.joins import collect_bounded
+from ..plans.joins import bytes_of, matrix_of
+from ..plans.lineage import materialize
+from ..plans.meeting import ROWS_PER_TASK, per_model
 
 
 def _as_matrix(list_arr) -> np.ndarray:
@@ -34,78 +37,230 @@ def valid_matrix(list_arr, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return mask, sub.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
+def _nearest(x: np.ndarray, codes: np.ndarray, book: np.ndarray, book_sq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per row of ``x`` the least squared distance to ``book`` and its code, ties to the lowest code, both exact."""
+    got_code, got_dist = np.empty(len(x), dtype=np.int64), np.empty(len(x))
+    step = max(1, 16_000_000 // max(len(codes), 1))  # the rows x codes matrix stays near 16M entries
+    for lo in range(0, len(x), step):
+        xs = x[lo:lo + step]
+        own = (xs * xs).sum(axis=1)
+        approx = own[:, None] - 2.0 * (xs @ book.T) + book_sq[None, :]
+        best = approx.min(axis=1)
+        # rounding grows with the norms that cancel, not with the distance that is left
+        tol = 1e-9 * np.maximum(1.0, np.abs(best)) + 1e-12 * (own + book_sq.max())
+        # exact re-scoring of every (row, code) pair within rounding of the row's best
+        rows, cand = np.nonzero(approx <= (best + tol)[:, None])
+        diff = xs[rows] - book[cand]
+        exact = (diff * diff).sum(axis=1)
+        order = np.lexsort((codes[cand], exact, rows))
+        first = order[np.unique(rows[order], return_index=True)[1]]
+        got_code[lo:lo + len(xs)], got_dist[lo:lo + len(xs)] = codes[cand[first]], exact[first]
+    return got_code, got_dist
+
+
 def assign_codes(vectors: DataFrame, codebook: DataFrame, id_col: str = "vec_id",
                  vec_col: str = "embedding", code_col: str = "code",
-                 code_vec_col: str = "embedding", max_codes: int = 65536) -> DataFrame:
+                 code_vec_col: str = "embedding", max_bytes: int = 256 << 20, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Nearest codebook entry by squared L2 for every vector; ties to the lowest code.
 
-    The codebook is a model parameter of proven bounded size (``max_codes``
-    rows, checked): it is shipped to the tasks once and each Arrow batch is
-    scored with one matrix product. Candidates within rounding of the best
-    are re-scored exactly, so the distance and the tie rule are exact.
-    Output: ``id, code, dist`` (double); a null or wrong-width vector gets
-    null code and distance.
+    A codebook of at most ``max_bytes`` is one block that every task gets; the
+    vectors stay where they are. A larger one is cut into blocks of that size,
+    and each vector meets the blocks that may hold its nearest code
+    (``blocked_codes``). Either way a batch is scored with one matrix product,
+    and candidates within rounding of the best are re-scored, so distances and
+    ties are exact. Output: ``id, code, dist`` (double); a null or wrong-width
+    vector gets null code and distance.
     """
-    rows = collect_bounded(codebook.select(col_of(code_col).alias("c"), col_of(code_vec_col).alias("v"))
-                           .orderBy("c"), max_codes, "codebook")
-    if not rows:
-        raise ValueError("the codebook is empty")
-    codes = np.array([r["c"] for r in rows], dtype=np.int64)
-    book = np.array([np.asarray(r["v"], dtype=np.float64) for r in rows])
-    book_sq = (book * book).sum(axis=1)
-    bc = vectors.sparkSession.sparkContext.broadcast((codes, book, book_sq))
+    book = codebook.select(col_of(code_col).cast("long").alias("code"), col_of(code_vec_col).alias("v")).filter("v IS NOT NULL")
+    if bytes_of(book, "v") > max_bytes:
+        return blocked_codes(vectors, book, id_col, vec_col, code_col, max_bytes, rows_per_task)
+    codes, matrix = matrix_of(book, max_bytes, "code", "v")
+    bc = vectors.sparkSession.sparkContext.broadcast((codes, matrix, (matrix * matrix).sum(axis=1)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes_, book_, bsq = bc.value
         for b in batches:
-            ids = b.column(0)
             mask, x = valid_matrix(b.column(1), book_.shape[1])
-            code_all = np.zeros(len(b), dtype=np.int64)
-            dist_all = np.zeros(len(b))
-            if len(x) == 0:
-                yield pa.RecordBatch.from_arrays([ids, pa.array(code_all, mask=~mask), pa.array(dist_all, mask=~mask)],
-                                                 names=[id_col, code_col, "dist"])
-                continue
-            # rows in chunks, so the rows x codes distance matrix stays near 16M entries
-            step = max(1, 16_000_000 // max(len(codes_), 1))
-            got_code = np.empty(len(x), dtype=np.int64)
-            got_dist = np.empty(len(x))
-            for lo in range(0, len(x), step):
-                xs = x[lo:lo + step]
-                approx = (xs * xs).sum(axis=1)[:, None] - 2.0 * (xs @ book_.T) + bsq[None, :]
-                best = approx.min(axis=1)
-                # rounding grows with the norms that cancel, not with the distance that is left
-                tol = 1e-9 * np.maximum(1.0, np.abs(best)) + 1e-12 * ((xs * xs).sum(axis=1) + bsq.max())
-                # exact re-scoring of every (row, code) pair within rounding of the row's best
-                rows, cand = np.nonzero(approx <= (best + tol)[:, None])
-                diff = xs[rows] - book_[cand]
-                exact = (diff * diff).sum(axis=1)
-                order = np.lexsort((codes_[cand], exact, rows))
-                first = order[np.unique(rows[order], return_index=True)[1]]
-                got_code[lo:lo + len(xs)] = codes_[cand[first]]
-                got_dist[lo:lo + len(xs)] = exact[first]
-            code_all[mask] = got_code
-            dist_all[mask] = got_dist
+            code_all, dist_all = np.zeros(len(b), dtype=np.int64), np.zeros(len(b))
+            code_all[mask], dist_all[mask] = _nearest(x, codes_, book_, bsq)
             # a null or wrong-width vector keeps its row, with a null code
-            yield pa.RecordBatch.from_arrays([ids, pa.array(code_all, mask=~mask), pa.array(dist_all, mask=~mask)],
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(code_all, mask=~mask), pa.array(dist_all, mask=~mask)],
                                              names=[id_col, code_col, "dist"])
 
     id_type = vectors.schema[id_col].dataType.simpleString()
     return vectors.select(id_col, vec_col).mapInArrow(run, f"{id_col} {id_type}, {code_col} long, dist double")
 
 
-def pool_mean(df: DataFrame, group, vec_col: str, out: str = "pooled") -> DataFrame:
-    """Elementwise mean of a group's vectors (in double).
+def blocked_codes(vectors: DataFrame, book: DataFrame, id_col: str, vec_col: str, code_col: str, block_bytes: int,
+                  rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """``assign_codes`` for a codebook ``(code, v)`` of any size.
+
+    Codes are dealt by range of (norm, code) into blocks of some ``block_bytes``.
+    A vector first meets the block of its own norm, which gives a distance; by
+    the triangle inequality a code is farther away than the difference of the
+    norms, so only blocks whose norms come nearer than that distance can hold a
+    better code. The vector meets those in a second turn, and the least of all
+    (distance, code) is taken. A task holds one block and one Arrow batch; a
+    block that many vectors meet is copied as often as its count asks for.
+    """
+    spark = vectors.sparkSession
+    dim = book.select(F.size("v")).first()[0]
+    blocks = max(2, -(-bytes_of(book, "v") // block_bytes))
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    dealt = book.withColumn("norm", norm).repartitionByRange(blocks, "norm", "code").select(F.spark_partition_id().alias("block"), "code", "norm", "v")
+    dealt = materialize(dealt)
+    bounds = dealt.groupBy("block").agg(F.min("norm"), F.max("norm")).orderBy("block").collect()  # a row a block
+    bc = spark.sparkContext.broadcast([np.array(c) for c in zip(*bounds)])
+    models = dealt.groupBy("block").agg(F.collect_list(F.struct("code", "v")).alias("codes"))  # bounded by the block's bytes
+    id_type, vec_type = (vectors.schema[c].dataType.simpleString() for c in (id_col, vec_col))
+    row = f"n long, id {id_type}, x {vec_type}"
+    numbered = vectors.select(F.monotonically_increasing_id().alias("n"), F.col(id_col).alias("id"), F.col(vec_col).alias("x"))
+
+    def home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The block whose norms hold the vector's norm or come nearest; null for a vector of another width."""
+        ids, low, high = bc.value
+        for b in batches:
+            mask, x = valid_matrix(b.column("x"), dim)
+            gap = _gaps(np.sqrt((x * x).sum(axis=1)), low, high)
+            at = np.zeros(len(b), dtype=np.int64)
+            at[mask] = ids[gap.argmin(axis=1)] if len(x) else 0
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(at, mask=~mask)], names=["n", "id", "x", "block"])
+
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The other blocks that may hold a nearer code, or one as near and lower."""
+        ids, low, high = bc.value
+        for b in batches:
+            mask, x = valid_matrix(b.column("x"), dim)
+            norms = np.sqrt((x * x).sum(axis=1))
+            best = np.sqrt(b.column("dist").to_numpy(zero_copy_only=False)[mask])
+            seen = b.column("block").to_numpy(zero_copy_only=False)[mask]
+            gap = _gaps(norms, low, high)
+            rows, cols = np.nonzero((gap <= (best + 1e-9 * (1.0 + best + norms))[:, None]) & (ids[None, :] != seen[:, None]))
+            where = pa.array(np.flatnonzero(mask)[rows])
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(where) for c in ("n", "id", "x")), pa.array(ids[cols].astype(np.int64))], names=["n", "id", "x", "block"])
+
+    def load(_shared, m):
+        codes = m["codes"].values
+        v = codes.field("v").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(codes), -1)
+        return codes.field("code").to_numpy(), v, (v * v).sum(axis=1)
+
+    def score(_shared, model, part: pa.RecordBatch) -> pa.RecordBatch:
+        code, dist = np.zeros(part.num_rows, dtype=np.int64), np.zeros(part.num_rows)
+        mask, x = valid_matrix(part.column("x"), dim)
+        if model is not None and len(x):
+            code[mask], dist[mask] = _nearest(x, *model)
+        none = ~mask if model is not None else np.ones(part.num_rows, dtype=bool)
+        return pa.RecordBatch.from_arrays([*(part.column(c) for c in ("n", "id", "x", "block")), pa.array(code, mask=none), pa.array(dist, mask=none)],
+                                          names=["n", "id", "x", "block", "code", "dist"])
+
+    def turn(rows: DataFrame) -> DataFrame:
+        return per_model(models, rows, "block", load, score, f"{row}, block long, code long, dist double", rows_per_task)
+
+    first = materialize(turn(numbered.mapInArrow(home, f"{row}, block long")))
+    second = turn(first.filter("code IS NOT NULL").select("n", "id", "x", "block", "dist").mapInArrow(others, f"{row}, block long"))
+    both = first.select("n", "id", "code", "dist").unionByName(second.select("n", "id", "code", "dist"))
+    best = both.groupBy("n").agg(F.first("id").alias(id_col), F.min(F.when(F.col("code").isNotNull(), F.struct("dist", "code"))).alias("m"))
+    return best.select(id_col, F.col("m.code").alias(code_col), F.col("m.dist").alias("dist"))
+
+
+def _gaps(norms: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """How far each norm is from each range of norms."""
+    return np.maximum(np.maximum(low[None, :] - norms[:, None], norms[:, None] - high[None, :]), 0.0)
+
+
+#: Groups that a task adds up before it hands their sums on.
+GROUPS = 4096
 
-    Vectors are exploded to (group, position) cells and averaged with partial
-    (map-side) aggregation, so a hot group is combined before the shuffle;
-    the result rows are rebuilt from a bounded number of cells (the width).
+
+def vector_sums(df: DataFrame, group, vec_col: str) -> DataFrame:
+    """``(*group, sums array<double>, counts array<long>)``: elementwise sums of a group's vectors and of how many it has at each place.
+
+    A task adds vectors up as arrays, a batch at a time, and hands on one row a
+    group (or one for each time that ``GROUPS`` groups have gathered); rows of
+    one group then come together sorted and are added one by one. So a number is
+    never a row of its own, a hot group is combined before the shuffle, and no
+    group is held whole. Null vectors and null elements count for nothing.
     """
     g = [group] if isinstance(group, str) else list(group)
-    cells = (df.select(*g, F.posexplode(vec_col).alias("pos", "x"))
-             .groupBy(*g, "pos").agg(F.avg(F.col("x").cast("double")).alias("m")))
-    return cells.groupBy(*g).agg(F.sort_array(F.collect_list(F.struct("pos", "m"))).alias("__c")).select(
-        *g, F.transform("__c", lambda s: s["m"]).alias(out))
+    d = df.select(F.to_json(F.struct(*g), {"ignoreNullFields": "false"}).alias("__key"), F.struct(*g).alias("__g"), F.col(vec_col).cast("array<double>").alias("__x"))
+    schema = T.StructType([d.schema["__key"], d.schema["__g"], T.StructField("sums", T.ArrayType(T.DoubleType())), T.StructField("counts", T.ArrayType(T.LongType()))])
+    each = d.mapInArrow(_added_up, schema).repartition("__key").sortWithinPartitions("__key")
+    return each.mapInArrow(_added_on, schema).select("__g.*", "sums", "counts")
+
+
+def _matrix_and_mask(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A matrix as wide as the longest list, zero where there is no element; where there is one; the lists' lengths."""
+    import pyarrow.compute as pc
+    n = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = lists.flatten()
+    x, there = np.zeros((len(n), int(n.max(initial=0)))), np.zeros((len(n), int(n.max(initial=0))), dtype=np.int64)
+    at = np.repeat(np.arange(len(n)), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    known = flat.is_valid().to_numpy(zero_copy_only=False)
+    x[at] = np.where(known, flat.fill_null(0.0).to_numpy(zero_copy_only=False), 0.0)
+    there[at] = known
+    return x, there, n
+
+
+def _plus(a: np.ndarray | None, b: np.ndarray) -> np.ndarray:
+    if a is None or not len(a):
+        return b
+    if len(a) < len(b):
+        a, b = b, a
+    a = a.copy()
+    a[:len(b)] += b
+    return a
+
+
+def _sum_rows(groups: dict) -> pa.RecordBatch:
+    keys, structs, sums, counts = zip(*((k, *v) for k, v in groups.items()))
+    return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.concat_arrays(structs), pa.array(sums, pa.list_(pa.float64())), pa.array(counts, pa.list_(pa.int64()))],
+                                      names=["__key", "__g", "sums", "counts"])
+
+
+def _added_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    groups: dict = {}
+    for b in batches:
+        if not b.num_rows:
+            continue
+        codes = b.column("__key").dictionary_encode()
+        of, keys = codes.indices.to_numpy(), codes.dictionary.to_pylist()
+        x, there, width = _matrix_and_mask(b.column("__x"))
+        order = np.argsort(of, kind="stable")
+        starts = np.searchsorted(of[order], np.arange(len(keys)))
+        x, there = (np.add.reduceat(m[order], starts, axis=0) for m in (x, there))
+        width = np.maximum.reduceat(width[order], starts)
+        for i, k in enumerate(keys):
+            at = int(order[starts[i]])
+            one, sums, counts = groups.get(k) or (b.column("__g").slice(at, 1), None, None)
+            groups[k] = one, _plus(sums, x[i, :width[i]]), _plus(counts, there[i, :width[i]])
+        if len(groups) >= GROUPS:
+            yield _sum_rows(groups)
+            groups = {}
+    if groups:
+        yield _sum_rows(groups)
+
+
+def _added_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    now, last = {}, None
+    for b in batches:
+        done = {}
+        for i, k in enumerate(b.column("__key").to_pylist()):
+            if k != last:
+                done |= now
+                now, last = {k: (b.column("__g").slice(i, 1), None, None)}, k
+            one, sums, counts = now[k]
+            now[k] = one, _plus(sums, b.column("sums")[i].values.to_numpy()), _plus(counts, b.column("counts")[i].values.to_numpy())
+        if done:
+            yield _sum_rows(done)
+    if now:
+        yield _sum_rows(now)
+
+
+def pool_mean(df: DataFrame, group, vec_col: str, out: str = "pooled") -> DataFrame:
+    """Elementwise mean of a group's vectors (in double), from ``vector_sums``; null where no vector has an element."""
+    g = [group] if isinstance(group, str) else list(group)
+    mean = F.zip_with("sums", "counts", lambda s, n: F.when(n > 0, s / n))
+    return vector_sums(df, g, vec_col).filter(F.size("sums") > 0).select(*g, mean.alias(out))
 
 
 def pool_first(df: DataFrame, group, vec_col: str, order: str, out: str = "pooled") -> DataFrame:

@@ -7,6 +7,7 @@ A checkpoint is a table with one row per matrix row:
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -106,14 +107,42 @@ def reconcile(expected: DataFrame, given: DataFrame, keys=("tensor", "row"),
     return j.select(*keys, status.alias("status"))
 
 
+def _counted(left: DataFrame, right: DataFrame, keys: list) -> DataFrame:
+    """``(*keys, __l, __r)``: how often each key is on either side, nulls equal.
+
+    Both sides are counted before they meet. Sides bucketed by ``keys`` are
+    counted where they lie and merged bucket by bucket, without a shuffle; a
+    key with very many rows is one row after its count. Only rows with a null
+    key go another way, as null-safe keys don't fit the buckets.
+    """
+    null = reduce(lambda a, b: a | b, (F.col(k).isNull() for k in keys))
+
+    def met(rows, safe: bool) -> DataFrame:
+        n = [df.filter(rows).groupBy(*keys).agg(F.count(F.lit(1)).alias(side)).select(*(F.col(k).alias(f"{side}{k}") for k in keys), side) for df, side in ((left, "__l"), (right, "__r"))]
+        pairs = [(n[0][f"__l{k}"], n[1][f"__r{k}"]) for k in keys]
+        on = reduce(lambda a, b: a & b, (x.eqNullSafe(y) if safe else x == y for x, y in pairs))
+        return n[0].join(n[1], on, "full_outer").select(
+            *(F.when(F.col("__l").isNotNull(), F.col(f"__l{k}")).otherwise(F.col(f"__r{k}")).alias(k) for k in keys),
+            F.coalesce("__l", F.lit(0)).alias("__l"), F.coalesce("__r", F.lit(0)).alias("__r"))
+
+    return met(~null, False).unionByName(met(null, True))
+
+
+#: Copies of a key that one row of the plan makes.
+_COPIES = 4096
+
+
 def key_difference(left: DataFrame, right: DataFrame, keys=("tensor", "row")) -> DataFrame:
-    """Keys of ``left`` absent from ``right`` (multiset difference, EXCEPT ALL)."""
-    return left.select(*keys).exceptAll(right.select(*keys))
+    """Keys of ``left`` absent from ``right`` (multiset difference, EXCEPT ALL): each as often as it is more often in ``left``."""
+    more = _counted(left, right, list(keys)).withColumn("__m", F.col("__l") - F.col("__r")).filter("__m > 0")
+    blocks = more.select(*keys, "__m", F.explode(F.sequence(F.lit(0).cast("long"), F.call_function("div", F.col("__m") - 1, F.lit(_COPIES)))).alias("__b"))
+    left_over = F.least(F.lit(_COPIES), F.col("__m") - F.col("__b") * _COPIES)
+    return blocks.select(*keys, F.explode(F.sequence(F.lit(1).cast("long"), left_over)).alias("__c")).select(*keys)
 
 
 def key_intersection(left: DataFrame, right: DataFrame, keys=("tensor", "row")) -> DataFrame:
     """Keys present in both (INTERSECT, distinct)."""
-    return left.select(*keys).intersect(right.select(*keys))
+    return _counted(left, right, list(keys)).filter("__l > 0 AND __r > 0").select(*keys)
 
 
 def load_checked(expected: DataFrame, given: DataFrame, strict: bool = True,

@@ -6,6 +6,7 @@ Catalyst knows its bytes; derived tables are left to AQE, which measures them.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,12 +19,20 @@ def constant_table(spark: SparkSession, rows, schema: str) -> DataFrame:
     return spark.range(1).select(F.explode(literal).alias("r")).select("r.*")
 
 
-def collect_bounded(df: DataFrame, max_rows: int, what: str) -> list:
-    """Collect a small parameter table (codebook, base matrix) after proving its size."""
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        raise ValueError(f"{what} has more than {max_rows} rows; refusing to ship it to tasks")
-    return rows
+def bytes_of(df: DataFrame, vec_col: str) -> int:
+    """Bytes of a column of vectors as doubles, from the widths alone."""
+    return df.agg(F.sum(F.size(vec_col).cast("long") * 8)).first()[0] or 0
+
+
+def matrix_of(df: DataFrame, max_bytes: int, key: str = "row", values: str = "values") -> tuple[np.ndarray, np.ndarray]:
+    """A model's matrix ``(key, values)`` on the driver, rows in key order, after proving its bytes."""
+    size = bytes_of(df, values)
+    if size > max_bytes:
+        raise ValueError(f"the matrix has {size} bytes, more than the {max_bytes} that a task may hold")
+    rows = df.select(F.col(key).alias("k"), F.col(values).alias("v")).filter("v IS NOT NULL").orderBy("k").collect()
+    if not rows:
+        raise ValueError("the matrix is empty")
+    return np.array([x["k"] for x in rows]), np.array([x["v"] for x in rows], dtype=np.float64)
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -11,6 +11,12 @@ task. The two-level scheme keeps every window bounded:
    prefix-summed in a small table whose size is the number of cells;
 4. the offsets are joined back on (partition, bucket) and added.
 
+``ranged_sum`` and ``ranged_index`` need no bucket column: their cells are the
+ranges of a range shuffle, which samples the order keys, so sparse, dense,
+hashed or textual keys all give as many cells as partitions. The cells' totals
+are summed level by level, ``FAN`` cells to one of the next level, so no window
+and no task meets the whole table of cells either.
+
 The input is read by two branches (the cell window and the cell totals).
 The totals branch needs only the key, order and value columns, so a plain
 scan costs little; an input produced by expensive per-row work (a
@@ -22,11 +28,15 @@ side is shuffled once.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import materialize
+
 _B = "__tt_bucket"
 _L = "__tt_local"
 _O = "__tt_offset"
@@ -127,3 +137,94 @@ def row_index(df: DataFrame, order: Sequence, bucket: Column,
     ``total`` names a column for the partition's row count."""
     return running_sum(df, F.lit(1).cast("long"), order, bucket, partition, out=out,
                        inclusive=False, total=total)
+
+
+#: Cells that make one of the next level.
+FAN = 1024
+
+
+def _dealt(df: DataFrame, order: Sequence, part: list) -> DataFrame:
+    """``df`` by range of (part, order), sorted, with ``__cell`` (the range) and ``__at`` (its rows in order)."""
+    keys = [*part, *order]
+    d = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__at", F.monotonically_increasing_id())
+    return d.withColumn("__cell", F.shiftright("__at", 33))
+
+
+def level_offsets(totals: DataFrame, part: list, value: str = "__tot", cell: str = "__cell") -> DataFrame:
+    """``totals(*part, cell, value)`` with ``__off``, the sum of ``value`` over the earlier cells of its ``part``.
+
+    Three levels: a window holds at most ``FAN`` rows of the first two and, as a
+    cell is a partition number below 2^31, 2,048 of the third. Null ``part``
+    values are a part of their own.
+    """
+    levels = [totals.select(*part, F.col(cell).alias("__c0"), F.col(value).alias("__v0"))]
+    for k in (1, 2):
+        up = levels[-1].withColumn(f"__c{k}", F.call_function("div", f"__c{k - 1}", F.lit(FAN)))
+        levels.append(up.groupBy(*part, f"__c{k}").agg(F.sum(f"__v{k - 1}").alias(f"__v{k}")))
+    top = Window.partitionBy(*part).orderBy("__c2").rowsBetween(Window.unboundedPreceding, -1)
+    before = levels[2].withColumn("__off", F.coalesce(F.sum("__v2").over(top), F.lit(0))).drop("__v2")
+    for k in (1, 0):
+        inner = Window.partitionBy(*part, f"__c{k + 1}").orderBy(f"__c{k}").rowsBetween(Window.unboundedPreceding, -1)
+        now = levels[k].withColumn(f"__c{k + 1}", F.call_function("div", f"__c{k}", F.lit(FAN)))
+        now = now.withColumn("__in", F.coalesce(F.sum(f"__v{k}").over(inner), F.lit(0)))
+        before = _null_safe(now, before, [*part, f"__c{k + 1}"]).select(*part, f"__c{k}", (F.col("__off") + F.col("__in")).alias("__off"))
+    return before.withColumnRenamed("__c0", cell)
+
+
+def _null_safe(left: DataFrame, right: DataFrame, keys: list) -> DataFrame:
+    """An inner join on ``keys`` in which null equals null; the keys stay once."""
+    right = right.select(*(F.col(c).alias(f"__r_{c}") if c in keys else F.col(c) for c in right.columns))
+    on = [left[k].eqNullSafe(right[f"__r_{k}"]) for k in keys]
+    both = on[0]
+    for x in on[1:]:
+        both = both & x
+    return left.join(right, both).drop(*(f"__r_{k}" for k in keys))
+
+
+def ranged_index(df: DataFrame, order: Sequence, partition: Sequence | None = None, out: str = "idx") -> DataFrame:
+    """0-based position of each row in ``order`` within ``partition``.
+
+    Rows move once, by range; a row's place in its range is the difference of
+    two row numbers, so nothing is summed row by row.
+    """
+    part, order = _cols(partition), _cols(order)
+    d = materialize(_dealt(df, order, part))  # a range shuffle samples: its cells must not be dealt twice
+    cells = d.groupBy(*part, "__cell").agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__tot"))
+    starts = level_offsets(cells, part)
+    starts = _null_safe(starts, cells, [*part, "__cell"]).select(*part, "__cell", (F.col("__off") - F.col("__first")).alias("__shift"))
+    return _null_safe(d, starts, [*part, "__cell"]).select(*df.columns, (F.col("__at") + F.col("__shift")).alias(out))
+
+
+def ranged_sum(df: DataFrame, value: str, order: Sequence, partition: Sequence | None = None, out: str = "running_sum", inclusive: bool = True) -> DataFrame:
+    """``sum(value) over (partition by .. order by .. rows unbounded preceding)`` of a long column, minus the row's own
+    value unless ``inclusive``; null values count as 0.
+
+    The sums inside a range are running sums of Arrow batches, one pass over the
+    sorted range; ``df`` should be narrow (keys and the value).
+    """
+    part, order = _cols(partition), _cols(order)
+    d = _dealt(df.withColumn("__v", F.coalesce(F.col(value).cast("long"), F.lit(0))), order, part)
+    d = d.withColumn("__run", F.to_json(F.struct(*part), {"ignoreNullFields": "false"}) if part else F.lit("")).withColumn("__sum", F.lit(0).cast("long"))
+    names = d.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, carry = None, 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            v = b.column("__v").to_numpy()
+            keys = b.column("__run").dictionary_encode().indices.to_numpy()
+            new = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+            total = np.cumsum(v)
+            base = np.repeat(np.r_[0, total[new[1:] - 1]], np.diff(np.r_[new, len(v)]))
+            first = b.column("__run")[0].as_py()
+            sums = total - base
+            if first == last:
+                sums[:new[1] if len(new) > 1 else len(v)] += carry
+            last, carry = b.column("__run")[len(v) - 1].as_py(), int(sums[-1])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(sums)], names=names)
+
+    d = materialize(d.mapInArrow(run, d.schema))
+    starts = level_offsets(d.groupBy(*part, "__cell").agg(F.sum("__v").alias("__tot")), part).withColumnRenamed("__off", "__before")
+    own = F.lit(0) if inclusive else F.col("__v")
+    return _null_safe(d, starts, [*part, "__cell"]).select(*df.columns, (F.col("__before") + F.col("__sum") - own).alias(out))

@@ -19,7 +19,7 @@ from .functions import lengths as LN
 from .functions import text as TX
 from .operators import batching, codes as CO, decoding as DE, manifest as MA, metrics as ME, tensors as TE
 from .plans.joins import spread
-from .plans.prefix import int_bucket
+from .resources import default_tokenizer_path
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -107,14 +107,51 @@ def q_object_catalog(spark, sf):
     return catalog_objects(spark, sf, "*.parquet")
 
 
-@query("vocab_usage")
+#: ``normalise_text`` in SQL, as ``norm`` of each document.
+_NORM_SQL = """norm AS (SELECT doc_id, trim(regexp_replace(lower(text), '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g')) AS text FROM documents)"""
+
+
+def bpe_sql(path: str, texts: str, key: str) -> str:
+    """CTEs that tokenise ``texts(key, text)``: ``piece(key, word)`` of every occurrence and ``tok(word, token, id)``
+    of every distinct word, from a byte-level tokenizer file with an end-of-word mark."""
+    import json
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    pattern = next(x["pattern"]["Regex"] for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")
+    pattern = pattern.replace("[^\\s", "[^\\s\\x{85}\\p{Z}").replace("'", "''")  # white space of Unicode
+    end, o, c = spec["model"]["end_of_word_suffix"], chr(0xFDD0), chr(0xFDD1)
+    return f"""file AS (SELECT content FROM read_text('{path}')),
+rule AS (SELECT unnest(from_json(json_extract(content, '$.model.merges'), '[["VARCHAR"]]')) AS m,
+                generate_subscripts(from_json(json_extract(content, '$.model.merges'), '[["VARCHAR"]]'), 1) AS rank FROM file),
+merge AS (SELECT rank, m[1] || chr(2) || m[2] AS pair, m[1] || m[2] AS made FROM rule),
+vocab AS (SELECT unnest(json_keys(content, '$.model.vocab')) AS token, CAST(unnest(json_extract(content, '$.model.vocab.*')) AS INTEGER) AS id FROM file),
+piece AS (SELECT {key}, unnest(regexp_extract_all(text, '{pattern}')) AS word FROM {texts}),
+hexed AS (SELECT DISTINCT word, list_transform(regexp_extract_all(hex(word), '..'), lambda h: CAST('0x' || h AS INTEGER)) AS bs FROM piece),
+sym AS (SELECT word, list_transform(bs, lambda b: chr(CASE WHEN b <= 32 THEN 256 + b WHEN b BETWEEN 127 AND 160 THEN 162 + b WHEN b = 173 THEN 323 ELSE b END)) AS cs FROM hexed),
+part AS (SELECT DISTINCT word, array_to_string(list_slice(cs, i, j), '') || CASE WHEN j = len(cs) THEN '{end}' ELSE '' END AS made
+         FROM (SELECT word, cs, i, unnest(range(i + 1, least(len(cs), i + 31) + 1)) AS j FROM (SELECT word, cs, unnest(range(1, len(cs))) AS i FROM sym))),
+own AS (SELECT word, list(pair ORDER BY rank) AS ms FROM part JOIN merge USING (made) GROUP BY word),
+done AS (SELECT sym.word, list_reduce(list_prepend('{o}' || array_to_string(cs, '{c}{o}') || '{end}{c}', coalesce(ms, [])),
+                lambda s, m: replace(s, '{o}' || replace(m, chr(2), '{c}{o}') || '{c}', '{o}' || replace(m, chr(2), '') || '{c}')) AS s
+         FROM sym LEFT JOIN own USING (word)),
+tok AS (SELECT word, t.token, vocab.id FROM (SELECT word, unnest(string_split(s[2:-2], '{c}{o}')) AS token FROM done) t JOIN vocab USING (token))"""
+
+
+_BPE_SQL = bpe_sql(default_tokenizer_path(), "norm", "doc_id")
+
+
+@query("vocab_usage", f"""WITH {_NORM_SQL},
+{_BPE_SQL},
+n AS (SELECT word, count(*) AS n FROM piece GROUP BY word)
+SELECT CAST(id AS INTEGER) AS id, any_value(token) AS token, CAST(sum(n) AS BIGINT) AS n FROM tok JOIN n USING (word) GROUP BY id""")
 def q_vocab_usage(spark, sf):
-    from .functions.bpe import token_usage
-    from .resources import default_tokenizer_path
+    """S4 and F2 as relations: distinct pieces meet the merges in joins."""
+    from .functions.bpe import load_tokenizer
+    from .functions.bpe_tables import token_usage
     from .sources.vocab import read_vocab
-    vocab, _merges = read_vocab(spark)
-    docs = spread(S.table(spark, sf, "documents")).select(TX.normalise_text("text").alias("text"))
-    return token_usage(docs, "text", default_tokenizer_path()).join(vocab, "id", "left").select("id", "token", "n")
+    vocab, merges = read_vocab(spark)
+    docs = spread(S.table(spark, sf, "documents").select("text")).select(TX.normalise_text("text").alias("text"))
+    return token_usage(docs, "text", load_tokenizer(default_tokenizer_path()), vocab, merges).join(vocab, "id", "left").select("id", "token", "n")
 
 
 @query("tensor_scan", S.with_sql(S.SQL_BASE, S.SQL_TUNED) + """
@@ -376,6 +413,29 @@ def q_reconcile_state_stored(spark, sf):
     return TE.reconcile(e, g).select("tensor", "row", "status")
 
 
+def _key_sets(spark, sf):
+    """Two stored, bucketed multisets of keys: tuned rows under their layer, and the given ones."""
+    from .session import scratch_path
+    from .sources.tensors import write_tensor_table
+    left = S.base_tensors(spark, sf).select("tensor", (F.col("row") % 40).alias("row"))
+    right = S.given_tensors(spark, sf).select("tensor", (F.col("row") % 50).alias("row"))
+    return [write_tensor_table(d, scratch_path(spark, f"keys-{k}"), buckets=16) for k, d in enumerate((left, right))]
+
+
+@query("key_difference", S.with_sql(S.SQL_BASE, S.SQL_TUNED, S.SQL_GIVEN) + """,
+d AS (SELECT tensor, "row" % 40 AS "row" FROM base EXCEPT ALL SELECT tensor, "row" % 50 FROM given)
+SELECT tensor, "row", count(*) AS n FROM d GROUP BY tensor, "row\"""")
+def q_key_difference(spark, sf):
+    """U2 over stored checkpoints, repeated keys included; the merge needs no shuffle."""
+    return TE.key_difference(*_key_sets(spark, sf)).groupBy("tensor", "row").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("key_intersection", S.with_sql(S.SQL_BASE, S.SQL_TUNED, S.SQL_GIVEN) + """
+SELECT tensor, "row" % 40 AS "row" FROM base INTERSECT SELECT tensor, "row" % 50 FROM given""")
+def q_key_intersection(spark, sf):
+    return TE.key_intersection(*_key_sets(spark, sf))
+
+
 @query("attach_candidates", S.with_sql(S.SQL_REQUESTS) + """
 SELECT request_id, CAST(c.cand_id AS INTEGER) AS cand_id, CAST(length(text) AS BIGINT) AS n_text_chars
 FROM req CROSS JOIN range(0, 4) c(cand_id)""")
@@ -400,6 +460,24 @@ def q_assign_codes(spark, sf):
     return a.select(long_("vec_id").alias("vec_id"), long_("code").alias("code"), r6("dist").alias("dist"))
 
 
+_CELL_BOOK_SQL = """cell AS (SELECT vec_id // 4 AS code, CAST(unnest(embedding) AS DOUBLE) AS y, generate_subscripts(embedding, 1) AS i FROM embeddings),
+cb AS (SELECT code, i, avg(y) AS y FROM cell GROUP BY code, i)"""
+
+
+@query("assign_codes_blocked", "WITH " + _CELL_BOOK_SQL + """,
+v AS (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) + 0.1 AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+d AS (SELECT v.vec_id, cb.code, sum((x - y) * (x - y)) AS dist FROM v JOIN cb ON v.i = cb.i GROUP BY v.vec_id, cb.code),
+r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(dist, 9), code) AS rn FROM d)
+SELECT vec_id, CAST(code AS BIGINT) AS code, round(dist, 6) AS dist FROM r WHERE rn = 1""")
+def q_assign_codes_blocked(spark, sf):
+    """J7 with a codebook that grows with the table and is cut into blocks by norm."""
+    e = S.table(spark, sf, "embeddings")
+    book = CO.pool_mean(e.withColumn("code", idiv(F.col("vec_id"), F.lit(4))), "code", "embedding", out="embedding")
+    moved = e.select("vec_id", F.transform("embedding", lambda x: x.cast("double") + 0.1).alias("embedding"))
+    a = CO.assign_codes(moved, book, max_bytes=16 << 10)
+    return a.select(long_("vec_id").alias("vec_id"), long_("code").alias("code"), r6("dist").alias("dist"))
+
+
 # =================================================================== aggregations
 
 @query("trainable_summary", S.with_sql(S.SQL_BASE) + """,
@@ -449,6 +527,33 @@ def q_metrics_sink(spark, sf):
     return back.select(long_("run_id").alias("run_id"), long_("step").alias("step"), r6("loss_total").alias("loss_total"))
 
 
+@query("metrics_attempts", S.with_sql(S.SQL_STEPS) + """
+SELECT run_id, step, round(0.01 * loss_text_ce + 1.0 * loss_mel_ce, 6) AS loss_total FROM steps""")
+def q_metrics_attempts(spark, sf):
+    """S9 done twice: two jobs write their runs, one of them again, and each row is read once."""
+    from .session import scratch_path
+    from .sources.corpus import read_metrics, write_metrics
+    path = scratch_path(spark, "metrics-jobs")
+    w = ME.weighted_loss(S.step_losses(spark, sf)).select("run_id", "step", "loss_total")
+    for job in (0, 1, 0):
+        write_metrics(w.filter(F.col("run_id") % 2 == job), path, width=100, job=f"half{job}")
+    back = read_metrics(spark, path, width=100)
+    return back.select(long_("run_id").alias("run_id"), long_("step").alias("step"), r6("loss_total").alias("loss_total"))
+
+
+@query("requests_file", """
+SELECT CAST(row_number() OVER (ORDER BY conv_id, turn) - 1 AS BIGINT) AS request_id, trim(regexp_replace(lower(text), '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g')) AS text
+FROM conversations WHERE role = 'user' AND trim(regexp_replace(text, '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g')) <> ''""")
+def q_requests_file(spark, sf):
+    """S8 from text files: one sentence a line, ids in the order of files and lines."""
+    from .session import scratch_path
+    from .sources.corpus import read_requests
+    path = scratch_path(spark, "requests")
+    asked = S.table(spark, sf, "conversations").filter("role = 'user'").select("conv_id", "turn", TX.normalise_text("text").alias("text"))
+    asked.repartitionByRange(4, "conv_id", "turn").sortWithinPartitions("conv_id", "turn").select("text").write.text(path)
+    return read_requests(spark, path).select(long_("request_id").alias("request_id"), "text")
+
+
 @query("corpus_budget", """
 SELECT CAST(sum(n_chars) AS BIGINT) AS total_tokens, 1024 AS block,
        CAST((sum(n_chars) + 1023) // 1024 AS BIGINT) AS n_blocks, 8 AS batch_train, 16 AS batch_eval
@@ -537,7 +642,7 @@ FROM i""")
 def q_plan_batches(spark, sf):
     d = S.table(spark, sf, "documents").select("doc_id", S.phase_col().alias("phase"))
     d = d.join(F.broadcast(MA.phase_limits(spark).select("phase", "batch")), "phase")  # constant two-row table
-    b = batching.plan_batches(d, "doc_id", F.col("batch"), micro=4, partition=["phase"], width=64)
+    b = batching.plan_batches(d, "doc_id", F.col("batch"), micro=4, partition=["phase"])
     return b.select(long_("doc_id").alias("doc_id"), "phase", long_("batch_id").alias("batch_id"),
                     long_("position").alias("position"), long_("micro_id").alias("micro_id"))
 
@@ -553,7 +658,7 @@ FROM u GROUP BY 1""")
 def q_pack_blocks(spark, sf):
     d = spread(S.table(spark, sf, "documents")).select("doc_id", "text")
     d = d.select("doc_id", A.char_codes(F.col("text")).alias("tokens"), F.length("text").alias("n_chars"))
-    b = batching.pack_blocks(d, "tokens", "doc_id", block=1024, n_col="n_chars", width=64)
+    b = batching.pack_blocks(d, "tokens", "doc_id", block=1024, n_col="n_chars")
     return b.select(long_("block_id").alias("block_id"), long_("n_tokens").alias("n_tokens"),
                     long_("n_docs").alias("n_docs"), long_("first_doc").alias("first_doc"),
                     F.md5(aj("tokens").cast("binary")).alias("tokens_md5"))
@@ -852,7 +957,7 @@ SELECT conv_id, turn, CAST(batch_id AS BIGINT) AS batch_id, CAST(padded_len AS B
 FROM p""")
 def q_collate_causal(spark, sf):
     ex = S.conversation_examples(spark, sf)
-    b = batching.plan_batches(ex, ["conv_id", "turn"], 4, micro=1, bucket=int_bucket("conv_id", 256))
+    b = batching.plan_batches(ex, ["conv_id", "turn"], 4, micro=1)
     c = batching.collate_causal(b, "batch_id", "tokens", pad=0)
     return c.select(long_("conv_id").alias("conv_id"), long_("turn").alias("turn"), long_("batch_id").alias("batch_id"),
                     long_("padded_len").alias("padded_len"),
@@ -882,7 +987,7 @@ def q_sft_examples(spark, sf):
                      "\n").alias("prompt"))
     ex = batching.select_text_field(prompts, "prompt", "text", keep=("conv_id",))
     ex = ex.select("conv_id", A.char_codes(F.col("text")).alias("tokens"))
-    b = batching.plan_batches(ex, "conv_id", 2, micro=1, bucket=int_bucket("conv_id", 256))
+    b = batching.plan_batches(ex, "conv_id", 2, micro=1)
     c = batching.collate_causal(b, "batch_id", "tokens", pad=0)
     return c.select(long_("conv_id").alias("conv_id"), long_("batch_id").alias("batch_id"),
                     long_(F.size("tokens")).alias("n_tokens"), long_("padded_len").alias("padded_len"),
@@ -901,25 +1006,26 @@ def q_adapter_params(spark, sf):
                     LN.adapter_scale(32, 16).alias("scale"))
 
 
-@query("bpe_token_counts")
+@query("bpe_token_counts", f"""WITH {_NORM_SQL},
+{_BPE_SQL},
+n AS (SELECT word, count(*) AS n FROM tok GROUP BY word),
+d AS (SELECT doc_id, sum(n) AS n FROM piece JOIN n USING (word) GROUP BY doc_id)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_tokens, CAST(0 AS BIGINT) AS n_unk FROM documents LEFT JOIN d USING (doc_id)""")
 def q_bpe_token_counts(spark, sf):
-    from .functions.bpe import bpe_encode
-    from .resources import default_tokenizer_path
-    d = spread(S.table(spark, sf, "documents")).select("doc_id", "text").select("doc_id", bpe_encode(TX.normalise_text("text"),
-                                                                      default_tokenizer_path()).alias("ids"))
+    from .functions.bpe import bpe_encode, load_tokenizer
+    tok = load_tokenizer(default_tokenizer_path())
+    d = spread(S.table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", bpe_encode(TX.normalise_text("text"), tok).alias("ids"))
     return d.select("doc_id", long_(F.size("ids")).alias("n_tokens"),
-                    long_(F.size(F.filter("ids", lambda x: x == 1))).alias("n_unk"))
+                    long_(F.size(F.filter("ids", lambda x: x == tok.unk_id))).alias("n_unk"))
 
 
-@query("bpe_roundtrip", """
-SELECT doc_id, regexp_replace(trim(regexp_replace(lower(text), '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g')),
-                              '[^a-z!''(),\\-./:;? ]', '', 'g') AS text
-FROM documents""")
+@query("bpe_roundtrip", f"""WITH {_NORM_SQL}
+SELECT doc_id, coalesce(array_to_string(regexp_extract_all(text, {_BPE_SQL.split("regexp_extract_all(text, ")[1].split(")) AS word")[0]}), ' '), '') AS text FROM norm""")
 def q_bpe_roundtrip(spark, sf):
+    """Decoding gives the pieces back, each followed by the blank of its end-of-word mark."""
     from .functions.bpe import bpe_decode, bpe_encode, load_tokenizer
-    from .resources import default_tokenizer_path
     tok = load_tokenizer(default_tokenizer_path())
-    d = spread(S.table(spark, sf, "documents")).select("doc_id", "text")
+    d = spread(S.table(spark, sf, "documents").select("doc_id", "text"))
     return d.select("doc_id", bpe_decode(bpe_encode(TX.normalise_text("text"), tok), tok).alias("text"))
 
 
@@ -1091,6 +1197,50 @@ def q_score_batches(spark, sf):
     return out.select("vec_id", "pred", r6("score").alias("score"))
 
 
+@query("score_conditioned", """
+WITH e AS (SELECT label, CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+w AS (SELECT i, avg(x) AS w FROM e GROUP BY i),
+m AS (SELECT label, i, avg(x * w) AS m FROM e JOIN w USING (i) WHERE i <= 48 GROUP BY label, i),
+n AS (SELECT label, sqrt(sum(m * m)) AS norm FROM m GROUP BY label),
+l AS (SELECT label, max(m / norm) FILTER (WHERE i = 1) AS l1, max(m / norm) FILTER (WHERE i = 2) AS l2, max(m / norm) FILTER (WHERE i = 3) AS l3 FROM m JOIN n USING (label) GROUP BY label)
+SELECT conv_id, CAST(turn AS BIGINT) AS turn, round((l1 * length(text) + l2 * (turn + 1) + l3 * (conv_id % 17)) / 100, 6) AS score
+FROM conversations c LEFT JOIN l ON l.label = c.conv_id % 13""")
+def q_score_conditioned(spark, sf):
+    """X2 with conditioning: a request's voice is ``conv_id % 13``, its references the embeddings of that
+    label; odd turns are scored after the even ones and find their voices' conditioning computed."""
+    import numpy as np
+    import pyarrow as pa
+
+    from .plans.scoring import Conditioning, parquet_matrix_loader, score_conditioned
+    from .session import scratch_path
+    e = S.table(spark, sf, "embeddings")
+    path = scratch_path(spark, "weights")
+    CO.pool_mean(e.withColumn("k", F.lit(0)), "k", "embedding", out="w").write.parquet(path)
+    loader = parquet_matrix_loader(path, "k", "w")
+
+    def embed(model, x):
+        return x[:, :48] * model[1][0, :48]
+
+    def finish(model, keys, x):
+        return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+    def score(model, latent, part):
+        f = np.stack([part.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("n_chars", "place", "mark")], axis=1)
+        s = pa.array(f @ latent[:3] / 100) if latent is not None else pa.nulls(len(f), pa.float64())
+        return pa.RecordBatch.from_arrays([part.column("conv_id"), part.column("turn"), s], names=["conv_id", "turn", "score"])
+
+    voices = Conditioning(spark, embed, finish, loader, dim=64)
+    requests = S.table(spark, sf, "conversations").select(
+        "conv_id", long_("turn").alias("turn"), F.length("text").alias("n_chars"), (F.col("turn") + 1).alias("place"),
+        (F.col("conv_id") % 17).alias("mark"), (F.col("conv_id") % 13).alias("voice"))
+    references = e.withColumnRenamed("label", "voice")
+    out = []
+    for part in (requests.filter("turn % 2 = 0"), requests.filter("turn % 2 = 1")):
+        latents = voices.latents(part, references, "voice", "embedding")
+        out.append(score_conditioned(part, latents, "voice", loader, score, "conv_id long, turn long, score double"))
+    return out[0].unionByName(out[1]).select("conv_id", "turn", r6("score").alias("score"))
+
+
 def _merge_adapter(spark, sf, transposed):
     """Per targeted tensor: one factor of r = 4 vectors along the rows, taken from the tensor's own
     first rows, and one with r numbers per row, a fixed pattern of the row number. The first is A in
@@ -1114,7 +1264,7 @@ def _merge_adapter(spark, sf, transposed):
     else:
         ad = along.withColumnRenamed("along", "lora_A").join(per_row.withColumnRenamed("own", "lora_B"), "tensor")
     m = merge_adapter(base, ad, alpha=8, r=r, fan_in_fan_out=transposed)
-    return m.select("tensor", "row", r6(F.aggregate("values", F.lit(0.0), lambda a, x: a + x)).alias("row_sum"))
+    return m.select("tensor", "row", placed("values").alias("value_check"))
 
 
 @query("merge_adapter", S.with_sql(S.SQL_BASE) + """,
@@ -1130,7 +1280,7 @@ m AS (SELECT tensor, rw, list_transform(vs, lambda w, i: CAST(w AS DOUBLE) + 2.0
           + ((rw * 7 + 2) % 5 - 2) / 10.0 * (CAST(a2[i] AS DOUBLE) / 100))
           + ((rw * 7 + 3) % 5 - 2) / 10.0 * (CAST(a3[i] AS DOUBLE) / 100))) AS v
       FROM ta)
-SELECT tensor, rw AS "row", round(list_reduce(v, lambda acc, x: acc + x, 0.0), 6) AS row_sum FROM m""")
+SELECT tensor, rw AS "row", """ + _PLACED_SQL.replace('"values"', "v") + """ AS value_check FROM m""")
 def q_merge_adapter(spark, sf):
     return _merge_adapter(spark, sf, transposed=False)
 
@@ -1194,6 +1344,32 @@ def q_fit_adapter_start(spark, sf):
     return losses.select("step", r6("loss").alias("loss"), "n_rows")
 
 
+@query("fit_adapter_resume", """
+WITH u AS (SELECT vec_id, label, CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+w AS (SELECT label AS o, i, avg(x) AS m FROM u GROUP BY label, i),
+z0 AS (SELECT u.vec_id, u.label, w.o, sum(u.x * w.m) AS z FROM u JOIN w USING (i) GROUP BY u.vec_id, u.label, w.o),
+p0 AS (SELECT *, exp(z - max(z) OVER v) / sum(exp(z - mz)) OVER v AS p FROM (SELECT *, max(z) OVER (PARTITION BY vec_id) AS mz FROM z0) WINDOW v AS (PARTITION BY vec_id)),
+h AS (SELECT u.vec_id, j.j, sum(u.x * (((j.j + 3 * (u.i - 1)) % 7 - 3) / 2.0)) AS h FROM u CROSS JOIN range(0, 4) j(j) GROUP BY u.vec_id, j.j),
+b AS (SELECT p0.o, h.j, -0.5 * 2.0 * sum((p0.p - CASE WHEN p0.o = p0.label THEN 1 ELSE 0 END) * h.h) / (SELECT count(DISTINCT vec_id) FROM u) AS b
+      FROM p0 JOIN h USING (vec_id) GROUP BY p0.o, h.j),
+z1 AS (SELECT z0.vec_id, z0.label, z0.o, any_value(z0.z) + 2.0 * sum(h.h * b.b) AS z FROM z0 JOIN h USING (vec_id) JOIN b ON b.o = z0.o AND b.j = h.j GROUP BY z0.vec_id, z0.label, z0.o),
+a AS (SELECT 0 AS step, * FROM z0 UNION ALL SELECT 1, * FROM z1),
+s AS (SELECT *, z - max(z) OVER (PARTITION BY step, vec_id) AS zs FROM a),
+l AS (SELECT step, vec_id, ln(sum(exp(zs))) - max(zs) FILTER (WHERE o = label) AS loss FROM s GROUP BY step, vec_id)
+SELECT step, round(avg(loss), 6) AS loss, count(*) AS n_rows FROM l GROUP BY step""")
+def q_fit_adapter_resume(spark, sf):
+    """X3 stopped after its first step and resumed from shared storage: the loss before and after the first update."""
+    from .operators.adapters import fit_adapter
+    from .session import scratch_path
+    e = S.table(spark, sf, "embeddings")
+    base = CO.pool_mean(e, "label", "embedding", out="values").select(F.col("label").alias("row"), "values")
+    start = [[((i + 3 * j) % 7 - 3) / 2.0 for j in range(64)] for i in range(4)]
+    path = scratch_path(spark, "resumed")
+    fit_adapter(spark, e, base, r=4, alpha=8.0, lr=0.5, steps=1, init=start, path=path)
+    _adapter, losses = fit_adapter(spark, e, base, r=4, alpha=8.0, lr=0.5, steps=2, init=start, path=path)
+    return losses.select("step", r6("loss").alias("loss"), "n_rows")
+
+
 @query("adapter_cycle")
 def q_adapter_cycle(spark, sf):
     """Fit on mini-batches, save, load and apply: per vector the label that the adapted base
@@ -1255,6 +1431,49 @@ def q_latency_stream_sink(spark, sf):
                     r6("mean_seconds").alias("mean_seconds"))
 
 
+#: The events in four deliveries; a later one brings rows that are older than the watermark by then.
+_DELIVERY = "event_id % 4"
+
+
+@query("latency_late_rows", f"""
+WITH e AS (SELECT ts, CAST(value AS DECIMAL(18, 2)) AS seconds, event_id, {_DELIVERY} AS b FROM events),
+m AS (SELECT b, max(ts) AS mark FROM e GROUP BY b),
+k AS (SELECT e.*, coalesce(e.ts < (SELECT max(mark) FROM m WHERE m.b < e.b) - INTERVAL 1 HOUR, false) AS late FROM e),
+w AS (SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS n, sum(seconds) AS s FROM k WHERE NOT late GROUP BY 1)
+SELECT 'kept' AS sink, window_start, CAST(n AS BIGINT) AS n_requests, round(CAST(s AS DOUBLE), 6) AS total_seconds FROM w
+UNION ALL SELECT 'late', '', count(*), round(CAST(coalesce(sum(seconds), 0) AS DOUBLE), 6) FROM k WHERE late""")
+def q_latency_late_rows(spark, sf):
+    """ST2 with late rows: four deliveries, each a micro-batch of one stream; what comes after the watermark is kept aside."""
+    from .session import scratch_path
+    from .streaming.batches import latency_windows, latency_with_rejects, read_batches
+    from .streaming.latency import utc_text
+    source, out, ckpt = (scratch_path(spark, f"late-{x}") for x in ("in", "out", "ckpt"))
+    ev = S.events(spark, sf).select("ts", cents("value").alias("seconds"), "event_id")
+    for k in range(4):
+        ev.filter(F.expr(_DELIVERY) == k).write.mode("append").parquet(source)
+        latency_with_rejects(spark.readStream.schema(ev.schema).parquet(source), out, ckpt)
+    kept = latency_windows(spark, out).select(F.lit("kept").alias("sink"), utc_text("window_start").alias("window_start"), "n_requests", "total_seconds")
+    late = read_batches(spark, out, "late").agg(F.count(F.lit(1)).alias("n_requests"), F.coalesce(F.sum("seconds"), F.lit(0)).alias("total_seconds"))
+    both = kept.unionByName(late.select(F.lit("late").alias("sink"), F.lit("").alias("window_start"), "n_requests", "total_seconds"))
+    return both.select("sink", "window_start", long_("n_requests").alias("n_requests"), r6(F.col("total_seconds").cast("double")).alias("total_seconds"))
+
+
+@query("pair_clips_stream", S.with_sql(S.SQL_MANIFEST, _REWRITTEN_SQL, S.SQL_CLIPS) + """
+SELECT m.line_no, m.audio_path, CAST(c.n_samples AS BIGINT) AS n_samples, c.audio_path IS NOT NULL AS found FROM rw m LEFT JOIN clips c USING (audio_path)""")
+def q_pair_clips_stream(spark, sf):
+    """J1 on a stream: each micro-batch of manifest lines goes to the paired and the missing sink under its batch id."""
+    from .session import scratch_path
+    from .streaming.batches import pair_stream, read_batches
+    source, out, ckpt = (scratch_path(spark, f"pairs-{x}") for x in ("in", "out", "ckpt"))
+    lines = _rewritten_manifest(spark, sf)
+    for k in range(2):
+        lines.filter(F.col("line_no") % 2 == k).write.mode("append").parquet(source)
+        pair_stream(spark.readStream.schema(lines.schema).parquet(source), S.clips(spark, sf), out, ckpt)
+    paired = read_batches(spark, out, "paired").select("line_no", "audio_path", long_("n_samples").alias("n_samples"), F.lit(True).alias("found"))
+    missing = read_batches(spark, out, "missing").select("line_no", "audio_path", F.lit(None).cast("long").alias("n_samples"), F.lit(False).alias("found"))
+    return paired.unionByName(missing)
+
+
 def _row_local_chain(df):
     return df.select(
         "doc_id", TX.rewrite_prefix(S.old_path(), S.OLD_ROOT, S.NEW_ROOT).alias("audio_path"),
@@ -1284,7 +1503,19 @@ def q_rowlocal_stream_sink(spark, sf):
 
 # =================================================================== flagship
 
-@query("phase_report")
+@query("phase_report", S.with_sql(S.SQL_MANIFEST, S.SQL_CLIPS, """line AS (SELECT line_no, trim(regexp_replace(lower(text), '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g')) AS text FROM parsed)""",
+    bpe_sql(default_tokenizer_path(), "line", "line_no")) + """,
+n AS (SELECT word, count(*) AS n FROM tok GROUP BY word),
+len AS (SELECT line_no, sum(n) AS n FROM piece JOIN n USING (word) GROUP BY line_no),
+lim(phase, max_text, max_wav, batch) AS (VALUES ('train', 350, 551250, 64), ('val', 200, 286715, 13)),
+j AS (SELECT parsed.phase, coalesce(len.n, 0) AS text_len, c.n_samples, lim.batch, CASE WHEN c.audio_path IS NULL THEN 'missing'
+             WHEN coalesce(len.n, 0) <= max_text AND c.n_samples <= max_wav THEN 'kept' ELSE 'dropped' END AS state
+      FROM parsed JOIN lim USING (phase) LEFT JOIN len USING (line_no) LEFT JOIN clips c ON c.audio_path = '/data/clips/' || substr(parsed.audio_path, 11)),
+g AS (SELECT phase, any_value(batch) AS batch, count(*) FILTER (WHERE state = 'kept') AS n, sum(text_len) FILTER (WHERE state = 'kept') AS t,
+             sum(n_samples) FILTER (WHERE state = 'kept') AS s, count(*) FILTER (WHERE state = 'dropped') AS d, count(*) FILTER (WHERE state = 'missing') AS m
+      FROM j GROUP BY phase)
+SELECT phase, n AS n_examples, CAST(coalesce(t, 0) AS BIGINT) AS n_tokens, CAST(coalesce(s, 0) AS BIGINT) AS n_samples, (n + batch - 1) // batch AS n_batches,
+       (n + 4 * batch - 1) // (4 * batch) AS n_steps, d AS n_dropped, m AS n_missing, CAST(0 AS BIGINT) AS n_rejected FROM g""")
 def q_phase_report(spark, sf):
     from .plans.report import phase_report
     return phase_report(spark, sf)

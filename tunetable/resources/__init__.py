@@ -1,61 +1,9 @@
-"""Packaged resources: a small BPE tokenizer of our own, built from a rule."""
+"""Where the default tokenizer is: a public one that is installed beside Spark. Its path is a parameter everywhere."""
 
 from __future__ import annotations
 
-import json
-import os
-
-_HERE = os.path.dirname(os.path.abspath(__file__))
-TOKENIZER_FILE = os.path.join(_HERE, "bpe_lower_basic.json")
-
-# Special tokens and their ids (must equal the reference layout):
-# [STOP] 0, [UNK] 1, [SPACE] 2.
-SPECIALS = ("[STOP]", "[UNK]", "[SPACE]")
-# Character set of a lowercase speech vocabulary: a-z and these marks.
-MARKS = "!'(),-./:;?"
-_VOWELS, _CLOSERS = "aeiou", "nrst"
-
-
-def syllable_merges() -> tuple[str, ...]:
-    """The merge list, by rule: every consonant with every vowel in alphabetical
-    order, then each of these open syllables with each closing consonant."""
-    consonants = [c for c in "abcdefghijklmnopqrstuvwxyz" if c not in _VOWELS]
-    opened = [(c, v) for c in consonants for v in _VOWELS]
-    return tuple(f"{c} {v}" for c, v in opened) + tuple(f"{c}{v} {z}" for c, v in opened for z in _CLOSERS)
-
-
-MERGES = syllable_merges()
-
-
-def build_tokenizer_spec(alphabet: str, merges, specials=SPECIALS) -> dict:
-    """Tokenizer JSON: specials first, then single characters in sorted order,
-    then one token per merge (merge of rank r gets id base + r)."""
-    vocab = {t: i for i, t in enumerate(specials)}
-    for ch in sorted(set(alphabet)):
-        vocab[ch] = len(vocab)
-    for m in merges:
-        a, b = m.split(" ")
-        if a not in vocab or b not in vocab:
-            raise ValueError(f"merge {m!r} uses an unknown part")
-        vocab.setdefault(a + b, len(vocab))
-    added = [{"id": i, "special": True, "content": t, "single_word": False, "lstrip": False,
-              "rstrip": False, "normalized": False} for i, t in enumerate(specials)]
-    return {"version": "1.0", "truncation": None, "padding": None, "added_tokens": added,
-            "normalizer": None, "pre_tokenizer": {"type": "Whitespace"},
-            "post_processor": None, "decoder": None,
-            "model": {"type": "BPE", "dropout": None, "unk_token": "[UNK]",
-                      "continuing_subword_prefix": None, "end_of_word_suffix": None,
-                      "fuse_unk": False, "vocab": vocab, "merges": list(merges)}}
-
 
 def default_tokenizer_path() -> str:
-    if not os.path.exists(TOKENIZER_FILE):
-        write_default_tokenizer(TOKENIZER_FILE)
-    return TOKENIZER_FILE
-
+    import public_tokenizers
 
-def write_default_tokenizer(path: str) -> None:
-    alphabet = "abcdefghijklmnopqrstuvwxyz" + MARKS
-    spec = build_tokenizer_spec(alphabet, MERGES)
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump(spec, f, indent=1)
+    return public_tokenizers.path("word_bpe_49k.json")

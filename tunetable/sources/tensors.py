@@ -12,6 +12,8 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.files import listed, present, removed
+
 TENSOR_SCHEMA = ("tensor string, kind string, row int, ndim int, shape array<int>, "
                  "dtype string, values array<float>")
 
@@ -24,29 +26,24 @@ def checkpoint_table(spark: SparkSession, path: str, buckets: int) -> str:
     spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({TENSOR_SCHEMA}, run_id bigint, step int) USING parquet "
               f"PARTITIONED BY (run_id, step) CLUSTERED BY (tensor, row) SORTED BY (tensor, row) "
               f"INTO {buckets} BUCKETS LOCATION '{path}'")
-    if _exists(spark, path):
+    if present(spark, path):
         spark.sql(f"ALTER TABLE {name} RECOVER PARTITIONS")
     return name
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    sc = spark.sparkContext
-    p = sc._jvm.org.apache.hadoop.fs.Path(path)
-    return bool(p.getFileSystem(sc._jsc.hadoopConfiguration()).exists(p))
-
-
 def write_tensors(df: DataFrame, path: str, run_id: int, step: int, buckets: int | None = None) -> None:
     """Write one (run, step) checkpoint, replacing only that partition.
 
     With ``buckets``, the checkpoint table is also bucketed and sorted by
     ``(tensor, row)``: two steps (or runs) of it then join on ``(tensor, row)``
-    without a shuffle.
+    without a shuffle. Rows move to the task that owns their bucket first (a
+    shuffle by the table's own hash), so a step has at most one file a bucket.
     """
     if buckets:
         spark = df.sparkSession
         name = checkpoint_table(spark, path, buckets)
         view = f"{name}_in"
-        df.select("tensor", "kind", "row", "ndim", "shape", "dtype", "values").createOrReplaceTempView(view)
+        aligned(df.select("tensor", "kind", "row", "ndim", "shape", "dtype", "values"), buckets).createOrReplaceTempView(view)
         spark.sql(f"INSERT OVERWRITE TABLE {name} PARTITION (run_id = {int(run_id)}, step = {int(step)}) "
                   f"SELECT * FROM {view}")
         spark.catalog.dropTempView(view)
@@ -56,6 +53,24 @@ def write_tensors(df: DataFrame, path: str, run_id: int, step: int, buckets: int
        .partitionBy("run_id", "step").parquet(path))
 
 
+def aligned(df: DataFrame, buckets: int) -> DataFrame:
+    """Rows dealt to the buckets of a table bucketed by ``(tensor, row)``: a partition a bucket."""
+    return df.repartition(buckets, "tensor", "row")
+
+
+def saved_steps(spark: SparkSession, path: str, run_id: int) -> list[int]:
+    """The steps of a run that are in storage, in order."""
+    return sorted(int(n.removeprefix("step=")) for n in listed(spark, f"{path}/run_id={int(run_id)}") if n.startswith("step="))
+
+
+def expire_steps(spark: SparkSession, path: str, run_id: int, keep: int) -> list[int]:
+    """Remove all but the last ``keep`` steps of a run; the steps removed."""
+    old = saved_steps(spark, path, run_id)[:-keep] if keep else saved_steps(spark, path, run_id)
+    for step in old:
+        removed(spark, f"{path}/run_id={int(run_id)}/step={step}")
+    return old
+
+
 def read_tensors(spark: SparkSession, path: str, run_id: int | None = None, step: int | None = None,
                  tensor_prefix: str | None = None, buckets: int | None = None) -> DataFrame:
     """Load a checkpoint; run, step and name filters prune partitions and row groups.
@@ -101,7 +116,7 @@ def write_tensor_table(df: DataFrame, path: str, buckets: int = 64, name: str |
     on ``(tensor, row)`` (J3, J4) without a shuffle."""
     import uuid
     name = name or f"tensors_{uuid.uuid4().hex[:12]}"
-    (df.write.mode("overwrite").bucketBy(buckets, "tensor", "row").sortBy("tensor", "row")
+    (aligned(df, buckets).write.mode("overwrite").bucketBy(buckets, "tensor", "row").sortBy("tensor", "row")
        .option("path", path).saveAsTable(name))
     return df.sparkSession.table(name)
 

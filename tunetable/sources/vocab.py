@@ -8,23 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..resources import default_tokenizer_path
-
-_SCHEMA = ("added_tokens array<struct<id:int,content:string,special:boolean>>, "
-           "model struct<type:string,unk_token:string,vocab:map<string,int>,merges:array<string>>")
+from ..session import open_input
 
 
 def read_vocab(spark: SparkSession, path: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Explode a tokenizer JSON into (vocab, merges); the packaged one when no path is given."""
-    if path is None:  # a file of fixed size beside the code, which executors need not see
-        with open(default_tokenizer_path(), encoding="utf-8") as f:
-            spec = json.load(f)
-        raw = spark.createDataFrame([(spec["added_tokens"], spec["model"])], _SCHEMA)
-    else:
-        raw = spark.read.schema(_SCHEMA).option("multiLine", "true").json(path)
-    vocab = raw.select(F.explode("model.vocab").alias("token", "id"))
-    specials = raw.select(F.explode("added_tokens").alias("t")).select(
-        F.col("t.content").alias("token"), F.col("t.id").alias("id"))
-    vocab = vocab.unionByName(specials).dropDuplicates(["token", "id"])
-    merges = raw.select(F.posexplode("model.merges").alias("rank", "m")).select(
-        "rank", F.split("m", " ", 2)[0].alias("left"), F.split("m", " ", 2)[1].alias("right"))
-    return vocab, merges
+    """Explode a tokenizer JSON into (vocab, merges); the default one when no path is given.
+
+    The file is configuration of a fixed size that the driver reads, so
+    executors need not see it. Special tokens are part of the vocabulary.
+    """
+    with open_input(path or default_tokenizer_path()) as f:
+        spec = json.loads(f.read().decode("utf-8"))
+    model = spec["model"]
+    vocab = dict(model["vocab"]) | {t["content"]: t["id"] for t in spec.get("added_tokens", ())}
+    pairs = [m.split(" ", 1) if isinstance(m, str) else list(m) for m in model.get("merges", ())]
+    raw = spark.createDataFrame([(vocab, pairs)], "vocab map<string,int>, merges array<array<string>>")
+    merges = raw.select(F.posexplode("merges").alias("rank", "m"))
+    return raw.select(F.explode("vocab").alias("token", "id")), merges.select("rank", F.col("m")[0].alias("left"), F.col("m")[1].alias("right"))
