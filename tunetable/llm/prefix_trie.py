@@ -139,32 +139,34 @@ def subtree_totals(nodes: DataFrame, paths: DataFrame, values: tuple[str, ...])
     ``nodes(k, d, weight, ...)`` and ``paths(conv, d, k, up)`` as of ``trie``,
     paths of the nodes' owners at least.
     """
-    top = nodes.filter("d = 0").select("k").first()
-    alive = nodes.select("k", "d", "weight", *values, F.lit(top[0] if top else 0).cast("long").alias("ck"), F.lit(0).cast("long").alias("cd"))
+    top = nodes.filter("d = 0").select("k", "weight").first() or (0, 0)
+    start = nodes.select("k", "d", "weight", *values, *(F.lit(x).cast("long").alias(c) for c, x in (("ck", top[0]), ("cd", 0), ("all", top[1]))))
+    alive = stored(start, "trie-alive")  # all: the weight of the node's component
     comp, added = ["ck", "cd"], []
     while True:
-        tops = alive.filter("k = ck AND d = cd").select(*comp, F.col("weight").alias("all"))
-        heavy = alive.join(tops, comp).filter("2 * weight > all")
-        centre = stored(heavy.groupBy(*comp).agg(F.max(F.struct("d", "k", "weight")).alias("m")).select(*comp, F.col("m.k").alias("mk"), F.col("m.d").alias("md"), F.col("m.weight").alias("lost")), "trie-centres")
+        heavy = alive.filter("2 * weight > all").groupBy(*comp).agg(F.max(F.struct("d", "k", "weight")).alias("m"))
+        centre = stored(heavy.select(*comp, F.col("m.k").alias("mk"), F.col("m.d").alias("md"), F.col("m.weight").alias("lost")), "trie-centres")
         if not centre.take(1):
             break
         # the centroid's path to the top of its component
         spans = centre.select("mk", "md", "lost", F.explode(F.when(F.col("cd") < F.col("md"), F.sequence("cd", F.col("md") - 1, F.lit(_DEPTHS).cast("long")))).alias("s"))
         steps = spans.select(F.col("mk").alias("conv"), "lost", F.explode(F.sequence("s", F.least(F.col("s") + _DEPTHS, "md") - 1)).alias("d"))
-        spine = steps.join(paths.select("conv", "d", "k"), ["conv", "d"]).select("k", "d", "lost")
-        # which owners' nodes lie below the centroid, and below which of its children
-        inside = alive.join(centre, comp)
+        spine = steps.join(paths.select("conv", "d", "k"), ["conv", "d"]).select("k", "d", F.col("lost").alias("cut"))
+        # which owners' nodes lie below the centroid, below which of its children, and what these weigh
+        inside = alive.join(centre, comp)  # a plain join, of which Spark can split a large component
         owners = inside.filter("d > md").select(*comp, "k", "mk", "md").distinct()
         doors = paths.select(F.col("conv").alias("k"), (F.col("d") - 1).alias("md"), F.col("k").alias("door"), F.col("up").alias("mk"))
-        below = owners.join(doors, ["k", "md", "mk"]).select(*comp, "k", "door")
-        moved = inside.join(below, [*comp, "k"], "left").join(spine.withColumnRenamed("lost", "cut"), ["k", "d"], "left")
+        weights = alive.select(F.col("k").alias("door"), (F.col("d") - 1).alias("md"), F.col("weight").alias("part"))
+        below = owners.join(doors, ["k", "md", "mk"]).join(weights, ["door", "md"]).select(*comp, "k", "door", "part")
+        moved = inside.join(below, [*comp, "k"], "left").join(spine, ["k", "d"], "left")
         down = (F.col("d") > F.col("md")) & F.col("door").isNotNull()
         middle = (F.col("k") == F.col("mk")) & (F.col("d") == F.col("md"))
+        pick = lambda x, y: F.when(down, F.col(x)).otherwise(y)  # noqa: B023, E731
         moved = stored(moved.select("k", "d", (F.col("weight") - F.coalesce("cut", F.lit(0))).alias("weight"), *values, *comp, down.alias("down"), middle.alias("middle"), F.col("cut").isNotNull().alias("path"),
-                                    F.when(down, F.col("door")).otherwise(F.col("ck")).alias("nk"), F.when(down, F.col("md") + 1).otherwise(F.col("cd")).alias("nd")), "trie-moved")
+                                    pick("door", F.col("ck")).alias("nk"), F.when(down, F.col("md") + 1).otherwise(F.col("cd")).alias("nd"), pick("part", F.col("all") - F.col("lost")).alias("all")), "trie-moved")
         sums = moved.filter("down OR middle").groupBy(*comp).agg(*(F.sum(v).alias(v) for v in values))
         added.append(stored(moved.filter("path OR middle").select("k", "d", *comp).join(sums, comp).select("k", "d", *values), "trie-added"))
-        alive = moved.filter("NOT middle").select("k", "d", "weight", *values, F.col("nk").alias("ck"), F.col("nd").alias("cd"))
+        alive = moved.filter("NOT middle").select("k", "d", "weight", *values, F.col("nk").alias("ck"), F.col("nd").alias("cd"), "all")
     if not added:
         return nodes.select("k", "d", *values)
     out = added[0]
