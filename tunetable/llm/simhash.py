@@ -38,8 +38,8 @@ from .common import ready, stored, words
 from .components import components
 
 BUDGET, SHINGLE, SEED = 2, 3, 42
-#: Levels of the trie that the turns go down, 64 in all: few pairs exist near the root.
-STRIDES = (8,) + (4,) * 14
+#: Levels of the trie that the turns go down, 64 in all. Pairs are few near the root, and below the levels at which most nodes hold one fingerprint.
+STRIDES = (8, 4, 4, 4, 4, 8, 8, 8, 8, 8)
 
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
