@@ -38,18 +38,35 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHasher, grams, ready, stored, words
+from .common import WordHasher, mix, ready, stored, words
 
 LEAST, RUN = 50, 16
 SPREAD = LEAST - RUN + 1
 #: Other documents on either side in the sorted order with which a suffix is compared.
 NEAR = 6
 _CHUNK = 4096
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 _DOC = ["late", "doc", "mark"]
 _CONTEXT = ["right", *_DOC, "before", "n_right", "n_before", "positions"]
 _HEAVY = "right binary, late boolean, doc long, mark long, before binary, n_right int, n_before int, positions array<int>"
 
 
+def runs(h: np.ndarray, k: int) -> np.ndarray:
+    """The number of each run of ``k`` words, from the words' numbers: runs of 1, 2, 4 ... words, put together by the bits of ``k``."""
+    n = len(h) - k + 1
+    if n <= 0:
+        return np.zeros(0, dtype=np.uint64)
+    out, at, power, width = np.zeros(n, dtype=np.uint64), 0, h, 1
+    while True:
+        if k & width:
+            out = mix(out * _ODD + power[at:at + n])
+            at += width
+        if at == k:
+            return out
+        power = mix(power[:-width] * _ODD + power[width:])
+        width *= 2
+
+
 def minimisers(g: np.ndarray) -> np.ndarray:
     """Positions of the least of every SPREAD consecutive numbers (the first of equals); none if there are fewer."""
     if len(g) < SPREAD:
@@ -66,7 +83,7 @@ def _suffixes(batches):
     for b in batches:
         h, row, pos = [], [], []
         for i, t in enumerate(b.column("text")):
-            g = grams(hasher(words(t.as_py())), RUN)
+            g = runs(hasher(words(t.as_py())), RUN)
             at = minimisers(g)
             h.append(g[at].view(np.int64))
             row.append(np.full(len(at), i))
@@ -107,7 +124,7 @@ def _windows(batches):
     hasher = WordHasher()
     for b in batches:
         for i in range(b.num_rows):
-            g = grams(hasher(words(b.column("text")[i].as_py())), LEAST)
+            g = runs(hasher(words(b.column("text")[i].as_py())), LEAST)
             held = np.zeros(len(g), dtype=bool)
             for p in b.column("crowd")[i].values.to_numpy():
                 held[max(0, p - LEAST + RUN):p + 1] = True
