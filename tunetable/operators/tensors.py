@@ -145,6 +145,14 @@ def key_intersection(left: DataFrame, right: DataFrame, keys=("tensor", "row"))
     return _counted(left, right, list(keys)).filter("__l > 0 AND __r > 0").select(*keys)
 
 
+class LoadError(ValueError):
+    """A checkpoint that can't be loaded as asked; ``counts`` says how many keys have which status."""
+
+    def __init__(self, message: str, counts: dict) -> None:
+        super().__init__(f"{message}: {counts}")
+        self.counts = counts
+
+
 def load_checked(expected: DataFrame, given: DataFrame, strict: bool = True,
                  ignore_mismatched: bool = False, keys=("tensor", "row")) -> DataFrame:
     """Load ``given`` against ``expected``.
@@ -156,10 +164,10 @@ def load_checked(expected: DataFrame, given: DataFrame, strict: bool = True,
     rep = reconcile(expected, given, keys)
     counts = {r["status"]: r["n"] for r in rep.groupBy("status").agg(F.count(F.lit(1)).alias("n")).collect()}
     if counts.get("shape_mismatch", 0) and not ignore_mismatched:
-        raise ValueError(f"shape mismatch on {counts['shape_mismatch']} keys")
+        raise LoadError(f"shape mismatch on {counts['shape_mismatch']} keys", counts)
     bad = counts.get("missing", 0) + counts.get("unexpected", 0)
     if strict and (bad or counts.get("shape_mismatch", 0)):
-        raise ValueError(f"strict load failed: {counts}")
+        raise LoadError("strict load failed", counts)
     ok = rep.filter(F.col("status") == "matched").select(*keys)
     return given.join(ok, list(keys), "left_semi")
 

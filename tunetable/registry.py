@@ -281,6 +281,14 @@ def q_distinct_components(spark, sf):
     return TE.distinct_components(S.base_tensors(spark, sf), depth=4)
 
 
+@query("distinct_layers", S.with_sql(S.SQL_BASE) + """
+SELECT DISTINCT coalesce(string_split(tensor, '.')[3], '') AS component FROM base
+WHERE kind IN ('Linear', 'Embedding', 'Conv2d', 'Conv1D')""")
+def q_distinct_layers(spark, sf):
+    """A8 at the depth of the layer number: layers of other kinds are left out."""
+    return TE.distinct_components(S.base_tensors(spark, sf), depth=2)
+
+
 @query("mark_trainable", S.with_sql(S.SQL_BASE) + """
 SELECT tensor, "row", list_contains(string_split(tensor, '.'), 'c_proj') AS trainable,
        CASE WHEN ndim = 1 THEN 'float32' ELSE dtype END AS dtype
@@ -1073,8 +1081,8 @@ def q_align_text_pair(spark, sf):
     """F5 on the text side (start 255, stop 0)."""
     tok = A.char_codes(F.col("text"))
     i, t = A.align_inputs_targets(A.append_stop(tok, A.TEXT_STOP), A.TEXT_START, A.TEXT_STOP)
-    return S.table(spark, sf, "documents").select("doc_id", F.md5(aj(i).cast("binary")).alias("inputs_md5"),
-                                                  F.md5(aj(t).cast("binary")).alias("targets_md5"))
+    return spread(S.table(spark, sf, "documents").select("doc_id", "text")).select(
+        "doc_id", F.md5(aj(i).cast("binary")).alias("inputs_md5"), F.md5(aj(t).cast("binary")).alias("targets_md5"))
 
 
 @query("seeded_crop", S.with_sql(S.SQL_CODES) + """,
@@ -1098,6 +1106,19 @@ def q_strict_load(spark, sf):
         "tensor", "row", placed("values").alias("value_check"))
 
 
+@query("strict_load_gap", S.with_sql(S.SQL_BASE, S.SQL_TUNED, S.SQL_GIVEN) + """
+SELECT CASE WHEN e.tensor IS NULL THEN 'unexpected' WHEN g.tensor IS NULL THEN 'missing'
+            WHEN e.shape IS DISTINCT FROM g.shape THEN 'shape_mismatch' ELSE 'matched' END AS status, count(*) AS n
+FROM base e FULL OUTER JOIN given g ON e.tensor = g.tensor AND e."row" = g."row" GROUP BY 1""")
+def q_strict_load_gap(spark, sf):
+    """J4's strict load of a checkpoint with gaps: it raises, and says how many keys are wrong in which way."""
+    try:
+        TE.load_checked(S.base_tensors(spark, sf), S.given_tensors(spark, sf), strict=True, ignore_mismatched=True)
+    except TE.LoadError as e:
+        return spark.createDataFrame(sorted(e.counts.items()), "status string, n long")
+    return spark.createDataFrame([], "status string, n long")
+
+
 @query("lenient_load", S.with_sql(S.SQL_BASE, S.SQL_TUNED, S.SQL_GIVEN) + """
 SELECT g.tensor, g."row", """ + _PLACED_SQL.replace('"values"', 'g."values"') + """ AS value_check
 FROM given0 g JOIN base b ON b.tensor = g.tensor AND b."row" = g."row" WHERE len(g."values") = b.shape[1]""")

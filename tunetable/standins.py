@@ -84,7 +84,8 @@ def base_tensors(spark, sf) -> DataFrame:
     name = F.concat(F.lit("gpt.h."), F.col("label").cast("string"), F.lit(".mlp."),
                     F.when(F.col("vec_id") % 2 == 0, F.lit("c_fc")).otherwise(F.lit("c_proj")),
                     F.when(bias, F.lit(".bias")).otherwise(F.lit("")))
-    return e.select(name.alias("tensor"), F.lit("Conv1D").alias("kind"), F.col("vec_id").cast("int").alias("row"),
+    kind = F.when(F.col("label") % 3 == 0, F.lit("Conv1D")).when(F.col("label") % 3 == 1, F.lit("Linear")).otherwise(F.lit("LayerNorm"))
+    return e.select(name.alias("tensor"), kind.alias("kind"), F.col("vec_id").cast("int").alias("row"),
                     F.when(bias, 1).otherwise(2).alias("ndim"),
                     F.array(F.size("embedding")).alias("shape"), F.lit("float16").alias("dtype"),
                     F.col("embedding").alias("values"), "vec_id", "label")
@@ -173,7 +174,7 @@ SQL_CODES = """codes AS (
 SQL_BASE = """base AS (
   SELECT 'gpt.h.' || CAST(label AS VARCHAR) || '.mlp.' || CASE WHEN vec_id % 2 = 0 THEN 'c_fc' ELSE 'c_proj' END
            || CASE WHEN vec_id % 25 = 0 THEN '.bias' ELSE '' END AS tensor,
-         'Conv1D' AS kind, CAST(vec_id AS INTEGER) AS "row", CASE WHEN vec_id % 25 = 0 THEN 1 ELSE 2 END AS ndim,
+         CASE label % 3 WHEN 0 THEN 'Conv1D' WHEN 1 THEN 'Linear' ELSE 'LayerNorm' END AS kind, CAST(vec_id AS INTEGER) AS "row", CASE WHEN vec_id % 25 = 0 THEN 1 ELSE 2 END AS ndim,
          [CAST(len(embedding) AS INTEGER)] AS shape, 'float16' AS dtype, embedding AS "values", vec_id, label
   FROM embeddings)"""
 
