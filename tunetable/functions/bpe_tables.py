@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.lineage import materialize
 from .bpe import BpeModel
 
 #: Around each symbol while a word is rewritten: two noncharacters (fixed values).
@@ -60,9 +61,10 @@ def encode_words(words: DataFrame, model: BpeModel, vocab: DataFrame, merges: Da
     part = F.array_join(F.slice(F.col("c"), F.col("i"), F.col("k")), "")
     at = w.select("word", "c", F.explode(F.sequence(F.lit(1), n)).alias("i"))
     at = at.filter(F.col("i") < F.size("c")).select("word", "c", "i", F.explode(F.sequence(F.lit(2), F.least(F.lit(longest), F.size("c") - F.col("i") + 1))).alias("k"))
-    parts = at.select("word", F.when(F.col("i") + F.col("k") - 1 == F.size("c"), F.concat(part, suffix)).otherwise(part).alias("made")).distinct()
+    parts = at.select("word", F.when(F.col("i") + F.col("k") - 1 == F.size("c"), F.concat(part, suffix)).otherwise(part).alias("made"))
     made = merges.select(F.concat("left", "right").alias("made"), "rank", "left", "right")
-    own = parts.join(made, "made").groupBy("word").agg(F.sort_array(F.collect_list(F.struct("rank", "left", "right"))).alias("m"))  # bounded by the word's parts
+    # most parts are no tokens and end at the join; what is left is bounded by the word's parts
+    own = parts.join(made, "made").groupBy("word").agg(F.sort_array(F.collect_set(F.struct("rank", "left", "right"))).alias("m"))
     last = F.element_at("c", -1)
     start = F.concat(*[F.lit(_OPEN), F.array_join(F.concat(F.slice("c", 1, n - 1), F.array(F.concat(last, suffix))), _CLOSE + _OPEN), F.lit(_CLOSE)])
     pair = lambda m: F.concat(F.lit(_OPEN), m["left"], F.lit(_CLOSE + _OPEN), m["right"], F.lit(_CLOSE))
@@ -79,8 +81,9 @@ def token_usage(df: DataFrame, text_col: str, model: BpeModel, vocab: DataFrame,
     """``(id, n)``: how often each token occurs in a column of texts without special tokens or [SPACE].
 
     Pieces are counted first, so a frequent word is one row after the partial
-    count, and each distinct one is encoded once.
+    count, and each distinct one is encoded once. The counts are stored: the
+    corpus is read once.
     """
-    counted = df.select(F.explode(pieces(F.col(text_col), model)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    counted = materialize(df.select(F.explode(pieces(F.col(text_col), model)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")))
     encoded = encode_words(counted, model, vocab, merges)
     return counted.join(encoded, "word").select("n", F.explode("ids").alias("id")).groupBy("id").agg(F.sum("n").alias("n"))
