@@ -54,19 +54,18 @@ def pieces(text: Column, model: BpeModel) -> Column:
 def encode_words(words: DataFrame, model: BpeModel, vocab: DataFrame, merges: DataFrame, word_col: str = "word") -> DataFrame:
     """``(word, ids array<int>)`` of each distinct piece in ``words``; unknown characters become the unknown id, one each, or nothing if there is none."""
     longest = check_merges(merges)
-    suffix = F.lit(model.suffix)
-    chars = F.transform(F.split(F.col("s"), ""), lambda c: F.when(c.isin(_OPEN, _CLOSE), F.lit("﷒")).otherwise(c))  # none is in a vocabulary
-    w = words.select(F.col(word_col).alias("word")).filter("word <> ''").distinct().withColumn("s", symbols(F.col("word"), model)).select("word", chars.alias("c"))
-    n = F.size("c")
-    part = F.array_join(F.slice(F.col("c"), F.col("i"), F.col("k")), "")
-    at = w.select("word", "c", F.explode(F.sequence(F.lit(1), n)).alias("i"))
-    at = at.filter(F.col("i") < F.size("c")).select("word", "c", "i", F.explode(F.sequence(F.lit(2), F.least(F.lit(longest), F.size("c") - F.col("i") + 1))).alias("k"))
-    parts = at.select("word", F.when(F.col("i") + F.col("k") - 1 == F.size("c"), F.concat(part, suffix)).otherwise(part).alias("made"))
+    suffix, n = F.lit(model.suffix), F.length("s")
+    plain = F.translate(symbols(F.col("word"), model), _OPEN + _CLOSE, "﷒" * 2)  # none is in a vocabulary
+    w = words.select(F.col(word_col).alias("word")).filter("word <> ''").distinct().withColumn("s", plain)
+    at = w.filter(n > 1).select("word", "s", F.explode(F.sequence(F.lit(1), n - 1)).alias("i"))
+    at = at.select("word", "s", "i", F.explode(F.sequence(F.lit(2), F.least(F.lit(max(longest, 2)), n - F.col("i") + 1))).alias("k"))
+    part = F.substr("s", F.col("i"), F.col("k"))
+    parts = at.select("word", F.when(F.col("i") + F.col("k") - 1 == n, F.concat(part, suffix)).otherwise(part).alias("made"))
     made = merges.select(F.concat("left", "right").alias("made"), "rank", "left", "right")
     # most parts are no tokens and end at the join; what is left is bounded by the word's parts
     own = parts.join(made, "made").groupBy("word").agg(F.sort_array(F.collect_set(F.struct("rank", "left", "right"))).alias("m"))
-    last = F.element_at("c", -1)
-    start = F.concat(*[F.lit(_OPEN), F.array_join(F.concat(F.slice("c", 1, n - 1), F.array(F.concat(last, suffix))), _CLOSE + _OPEN), F.lit(_CLOSE)])
+    wrapped = F.regexp_replace(F.substr("s", F.lit(1), n - 1), "(?s)(.)", f"{_OPEN}$1{_CLOSE}")
+    start = F.concat(wrapped, F.lit(_OPEN), F.substr("s", n, F.lit(1)), suffix, F.lit(_CLOSE))
     pair = lambda m: F.concat(F.lit(_OPEN), m["left"], F.lit(_CLOSE + _OPEN), m["right"], F.lit(_CLOSE))
     whole = lambda m: F.concat(F.lit(_OPEN), m["left"], m["right"], F.lit(_CLOSE))
     none = F.array().cast("array<struct<rank:int,left:string,right:string>>")
