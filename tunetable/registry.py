@@ -19,6 +19,7 @@ from .functions import lengths as LN
 from .functions import text as TX
 from .operators import batching, codes as CO, decoding as DE, manifest as MA, metrics as ME, tensors as TE
 from .plans.joins import spread
+from .plans.prefix import int_bucket
 from .resources import default_tokenizer_path
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -650,7 +651,19 @@ FROM i""")
 def q_plan_batches(spark, sf):
     d = S.table(spark, sf, "documents").select("doc_id", S.phase_col().alias("phase"))
     d = d.join(F.broadcast(MA.phase_limits(spark).select("phase", "batch")), "phase")  # constant two-row table
-    b = batching.plan_batches(d, "doc_id", F.col("batch"), micro=4, partition=["phase"])
+    b = batching.plan_batches(d, "doc_id", F.col("batch"), micro=4, partition=["phase"], bucket=int_bucket("doc_id", 64))
+    return b.select(long_("doc_id").alias("doc_id"), "phase", long_("batch_id").alias("batch_id"),
+                    long_("position").alias("position"), long_("micro_id").alias("micro_id"))
+
+
+@query("plan_batches_hashed", """
+WITH d AS (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'val' ELSE 'train' END AS phase, md5(CAST(doc_id AS VARCHAR)) AS k FROM documents),
+i AS (SELECT doc_id, phase, row_number() OVER (PARTITION BY phase ORDER BY k) - 1 AS idx FROM d)
+SELECT doc_id, phase, CAST(idx // 16 AS BIGINT) AS batch_id, CAST(idx % 16 AS BIGINT) AS position, CAST((idx % 16) // 4 AS BIGINT) AS micro_id FROM i""")
+def q_plan_batches_hashed(spark, sf):
+    """W1 by a hashed, textual key, which no width fits: cells are ranges of the keys."""
+    d = S.table(spark, sf, "documents").select("doc_id", S.phase_col().alias("phase"), F.md5(F.col("doc_id").cast("string").cast("binary")).alias("k"))
+    b = batching.plan_batches(d, "k", 16, micro=4, partition=["phase"])
     return b.select(long_("doc_id").alias("doc_id"), "phase", long_("batch_id").alias("batch_id"),
                     long_("position").alias("position"), long_("micro_id").alias("micro_id"))
 
