@@ -3,6 +3,7 @@
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from tunetable import standins as S
@@ -227,3 +228,17 @@ def test_late_rows_are_kept_aside(spark, tmp_path):
         latency_with_rejects(spark.readStream.schema(schema).parquet(src), out, ckpt)
     assert sorted(r.id for r in read_batches(spark, out, "late").collect()) == [3, 5]
     assert sorted((r.n_requests, r.total_seconds) for r in latency_windows(spark, out).collect()) == [(1, 1.0), (1, 16.0), (2, 6.0)]
+
+
+@pytest.mark.parametrize("files", [0, 1, 3])
+def test_stream_of_a_table_in_files(spark, tmp_path, files):
+    """A table is one file or a directory of files, with rows or without: the stream takes it whole."""
+    from tunetable import registry
+    rows = [(i, None if i == 4 else f"Some  TEXT {i}", "en", "src", 20 + i) for i in range(12)] if files else []
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.repartition(max(files, 1)).write.parquet(f"{tmp_path}/many/documents.parquet")
+    docs.toPandas().to_parquet(f"{tmp_path}/documents.parquet")
+    found = [sorted(map(tuple, registry.Q["rowlocal_stream_sink"](spark, d).collect())) for d in (f"{tmp_path}/many", f"{tmp_path}/many/")]
+    assert found[0] == found[1] and [r[0] for r in found[0]] == [r[0] for r in rows]
+    if files:
+        assert found[0] == sorted(map(tuple, registry.Q["rowlocal_stream_sink"](spark, str(tmp_path)).collect()))

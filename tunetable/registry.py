@@ -1531,8 +1531,9 @@ def q_rowlocal_stream_sink(spark, sf):
     from .session import scratch_path
     from .streaming.rowlocal import run_available, stream_parquet
     out, ckpt = scratch_path(spark, "rowlocal-out"), scratch_path(spark, "rowlocal-ckpt")
-    run_available(stream_parquet(spark, f"{sf}/documents.parquet"), _row_local_chain, out, ckpt)
-    return spark.read.parquet(out)
+    docs = stream_parquet(spark, f"{sf}/documents.parquet")
+    run_available(docs, _row_local_chain, out, ckpt)
+    return spark.read.schema(_row_local_chain(docs).schema).parquet(out)
 
 
 # =================================================================== flagship

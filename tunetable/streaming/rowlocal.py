@@ -8,15 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def stream_parquet(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
-    """Stream a Parquet directory, or one file (its directory filtered to that name)."""
-    import os
+    """Stream a Parquet directory, or one file.
+
+    A path's last name is given as a pattern that it alone matches: Spark then
+    takes what it finds there, a file or a directory, in any store it can read.
+    """
     schema = spark.read.parquet(path).schema
     r = spark.readStream.schema(schema)
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
-    if path.endswith(".parquet"):
-        return r.option("pathGlobFilter", os.path.basename(path)).parquet(os.path.dirname(path))
-    return r.parquet(path)
+    head, slash, name = path.rstrip("/").rpartition("/")
+    return r.parquet(f"{head}{slash}{name[:-1]}[{name[-1]}]")
 
 
 def run_available(df: DataFrame, fn: Callable[[DataFrame], DataFrame], sink_path: str,
