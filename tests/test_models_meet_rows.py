@@ -80,6 +80,23 @@ def test_codebook_in_blocks(spark, same_norm, max_bytes):
             assert r.code == code and np.isclose(r.dist, dist)
 
 
+def test_blocks_travel_to_chunks_of_vectors(spark, monkeypatch):
+    """Where norms rule no block out, tasks get vectors twice and codes once a chunk, not every vector once a block."""
+    book, X = rng.normal(size=(400, 6)), rng.normal(size=(2000, 6))
+    book, X = (m / np.sqrt((m * m).sum(axis=1, keepdims=True)) for m in (book, X))
+    rows = [(i, x.tolist()) for i, x in enumerate(X)] + [(9000, None), (9001, [0.5]), (9002, [None] * 6)]
+    vec = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    cb = spark.createDataFrame([(c, b.tolist()) for c, b in enumerate(book)], "code long, embedding array<double>")
+    given, plain = [], type(vec).mapInArrow
+    monkeypatch.setattr(CO, "CHUNK_BYTES", (500 * 48, 500 * 48), raising=False)
+    monkeypatch.setattr(type(vec), "mapInArrow", lambda df, *a, **k: given.append(df) or plain(df, *a, **k))
+    got = {r.vec_id: (r.code, r.dist) for r in assign_codes(vec, cb, max_bytes=480).collect()}
+    assert sum(df.count() for df in given) < 10 * (len(X) + len(book))
+    for i, (dist, code) in enumerate(_brute_codes(X, list(range(400)), book)):
+        assert got[i][0] == code and np.isclose(got[i][1], dist)
+    assert [got[i] for i in (9000, 9001, 9002)] == [(None, None)] * 3 and len(got) == len(rows)
+
+
 def test_an_empty_codebook_raises(spark):
     vec = spark.createDataFrame([(1, [1.0])], "vec_id long, embedding array<double>")
     with pytest.raises(ValueError):

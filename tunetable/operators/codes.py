@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from ..functions import col_of
 from ..plans.joins import bytes_of, matrix_of
 from ..plans.lineage import materialize
-from ..plans.meeting import ROWS_PER_TASK, per_model
+from ..plans.meeting import ROWS_PER_TASK
 
 
 def _as_matrix(list_arr) -> np.ndarray:
@@ -40,7 +40,7 @@ def valid_matrix(list_arr, dim: int) -> tuple[np.ndarray, np.ndarray]:
 def _nearest(x: np.ndarray, codes: np.ndarray, book: np.ndarray, book_sq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Per row of ``x`` the least squared distance to ``book`` and its code, ties to the lowest code, both exact."""
     got_code, got_dist = np.empty(len(x), dtype=np.int64), np.empty(len(x))
-    step = max(1, 16_000_000 // max(len(codes), 1))  # the rows x codes matrix stays near 16M entries
+    step = max(1, 2_000_000 // max(len(codes), 1))  # the rows x codes matrix stays near 2M entries
     for lo in range(0, len(x), step):
         xs = x[lo:lo + step]
         own = (xs * xs).sum(axis=1)
@@ -65,8 +65,8 @@ def assign_codes(vectors: DataFrame, codebook: DataFrame, id_col: str = "vec_id"
 
     A codebook of at most ``max_bytes`` is one block that every task gets; the
     vectors stay where they are. A larger one is cut into blocks of that size,
-    and each vector meets the blocks that may hold its nearest code
-    (``blocked_codes``). Either way a batch is scored with one matrix product,
+    and vectors meet, a chunk of them at a time, the blocks that may hold their
+    nearest codes (``blocked_codes``). Either way a batch is scored with one matrix product,
     and candidates within rounding of the best are re-scored, so distances and
     ties are exact. Output: ``id, code, dist`` (double); a null or wrong-width
     vector gets null code and distance.
@@ -91,81 +91,113 @@ def assign_codes(vectors: DataFrame, codebook: DataFrame, id_col: str = "vec_id"
     return vectors.select(id_col, vec_col).mapInArrow(run, f"{id_col} {id_type}, {code_col} long, dist double")
 
 
+#: Vectors come in some ``CHUNKS`` chunks, of so many bytes as doubles at least and at most.
+CHUNKS, CHUNK_BYTES = 64, (1 << 19, 32 << 20)
+
+
 def blocked_codes(vectors: DataFrame, book: DataFrame, id_col: str, vec_col: str, code_col: str, block_bytes: int,
                   rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """``assign_codes`` for a codebook ``(code, v)`` of any size.
 
-    Codes are dealt by range of (norm, code) into blocks of some ``block_bytes``.
-    A vector first meets the block of its own norm, which gives a distance; by
+    Codes are dealt by range of (norm, code) into blocks of some ``block_bytes``,
+    vectors by range of norm into chunks of at most ``rows_per_task`` rows. A
+    chunk first meets the blocks of its own norms, which gives distances; by
     the triangle inequality a code is farther away than the difference of the
     norms, so only blocks whose norms come nearer than that distance can hold a
-    better code. The vector meets those in a second turn, and the least of all
-    (distance, code) is taken. A task holds one block and one Arrow batch; a
-    block that many vectors meet is copied as often as its count asks for.
+    better code. The chunk meets those in a second turn, and the least of all
+    (distance, code) is taken. A task holds one chunk and one Arrow batch of
+    codes. Blocks travel to chunks, never vectors to blocks: a code is copied
+    ``CHUNKS`` times at most while chunks stay below their greatest size.
     """
-    spark = vectors.sparkSession
+    book = materialize(book.select("code", F.col("v").cast("array<double>").alias("v")))
     dim = book.select(F.size("v")).first()[0]
     blocks = max(2, -(-bytes_of(book, "v") // block_bytes))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    dealt = book.withColumn("norm", norm).repartitionByRange(blocks, "norm", "code").select(F.spark_partition_id().alias("block"), "code", "norm", "v")
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
+    dealt = book.withColumn("norm", norm).repartitionByRange(blocks, "norm", "code").select(F.spark_partition_id().alias("block"), "norm", "v", "code")
     dealt = materialize(dealt)
-    bounds = dealt.groupBy("block").agg(F.min("norm"), F.max("norm")).orderBy("block").collect()  # a row a block
-    bc = spark.sparkContext.broadcast([np.array(c) for c in zip(*bounds)])
-    models = dealt.groupBy("block").agg(F.collect_list(F.struct("code", "v")).alias("codes"))  # bounded by the block's bytes
-    id_type, vec_type = (vectors.schema[c].dataType.simpleString() for c in (id_col, vec_col))
-    row = f"n long, id {id_type}, x {vec_type}"
-    numbered = vectors.select(F.monotonically_increasing_id().alias("n"), F.col(id_col).alias("id"), F.col(vec_col).alias("x"))
-
-    def home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The block whose norms hold the vector's norm or come nearest; null for a vector of another width."""
-        ids, low, high = bc.value
-        for b in batches:
-            mask, x = valid_matrix(b.column("x"), dim)
-            gap = _gaps(np.sqrt((x * x).sum(axis=1)), low, high)
-            at = np.zeros(len(b), dtype=np.int64)
-            at[mask] = ids[gap.argmin(axis=1)] if len(x) else 0
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(at, mask=~mask)], names=["n", "id", "x", "block"])
-
-    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The other blocks that may hold a nearer code, or one as near and lower."""
-        ids, low, high = bc.value
+    bounds = dealt.groupBy("block").agg(F.min("norm").alias("low"), F.max("norm").alias("high"))
+    given = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
+    fits = F.coalesce(F.size("v") == dim, F.lit(False))
+    known = given.filter(fits).select(norm.alias("norm"), "id", "v", F.monotonically_increasing_id().alias("n"))
+    least, most = (max(1, b // (8 * dim)) for b in CHUNK_BYTES)
+    n = given.filter(fits).count()
+    rows = min(max(n // CHUNKS, least), most, rows_per_task)
+    known = known.repartitionByRange(max(1, -(-n // rows)), "norm", "n").select(
+        F.spark_partition_id().alias("chunk"), "norm", "id", "v", F.lit(None).cast("long").alias("code"), F.lit(float("inf")).alias("dist"))
+    known = materialize(known)
+    kind = f"chunk int, norm double, id {given.schema['id'].dataType.simpleString()}, v array<double>, code long, dist double"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = None
         for b in batches:
-            mask, x = valid_matrix(b.column("x"), dim)
-            norms = np.sqrt((x * x).sum(axis=1))
-            best = np.sqrt(b.column("dist").to_numpy(zero_copy_only=False)[mask])
-            seen = b.column("block").to_numpy(zero_copy_only=False)[mask]
-            gap = _gaps(norms, low, high)
-            rows, cols = np.nonzero((gap <= (best + 1e-9 * (1.0 + best + norms))[:, None]) & (ids[None, :] != seen[:, None]))
-            where = pa.array(np.flatnonzero(mask)[rows])
-            yield pa.RecordBatch.from_arrays([*(b.column(c).take(where) for c in ("n", "id", "x")), pa.array(ids[cols].astype(np.int64))], names=["n", "id", "x", "block"])
-
-    def load(_shared, m):
-        codes = m["codes"].values
-        v = codes.field("v").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(codes), -1)
-        return codes.field("code").to_numpy(), v, (v * v).sum(axis=1)
-
-    def score(_shared, model, part: pa.RecordBatch) -> pa.RecordBatch:
-        code, dist = np.zeros(part.num_rows, dtype=np.int64), np.zeros(part.num_rows)
-        mask, x = valid_matrix(part.column("x"), dim)
-        if model is not None and len(x):
-            code[mask], dist[mask] = _nearest(x, *model)
-        none = ~mask if model is not None else np.ones(part.num_rows, dtype=bool)
-        return pa.RecordBatch.from_arrays([*(part.column(c) for c in ("n", "id", "x", "block")), pa.array(code, mask=none), pa.array(dist, mask=none)],
-                                          names=["n", "id", "x", "block", "code", "dist"])
-
-    def turn(rows: DataFrame) -> DataFrame:
-        return per_model(models, rows, "block", load, score, f"{row}, block long, code long, dist double", rows_per_task)
-
-    first = materialize(turn(numbered.mapInArrow(home, f"{row}, block long")))
-    second = turn(first.filter("code IS NOT NULL").select("n", "id", "x", "block", "dist").mapInArrow(others, f"{row}, block long"))
-    both = first.select("n", "id", "code", "dist").unionByName(second.select("n", "id", "code", "dist"))
-    best = both.groupBy("n").agg(F.first("id").alias(id_col), F.min(F.when(F.col("code").isNotNull(), F.struct("dist", "code"))).alias("m"))
-    return best.select(id_col, F.col("m.code").alias(code_col), F.col("m.dist").alias("dist"))
-
-
-def _gaps(norms: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """How far each norm is from each range of norms."""
-    return np.maximum(np.maximum(low[None, :] - norms[:, None], norms[:, None] - high[None, :]), 0.0)
+            chunks, codes = b.column("chunk").to_numpy(), b.column("is_code").to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero((chunks[1:] != chunks[:-1]) | (codes[1:] != codes[:-1])) + 1
+            for lo, hi in zip([0, *cuts], [*cuts, len(b)]):
+                if hi > lo and (now is None or chunks[lo] != now.number):
+                    if now:
+                        yield now.rows()
+                    now = _Chunk(int(chunks[lo]), dim)
+                if hi > lo:
+                    (now.meet if codes[lo] else now.add)(b.slice(lo, hi - lo))
+        if now:
+            yield now.rows()
+
+    def turn(rows: DataFrame, pairs: DataFrame, chunks: int) -> DataFrame:
+        """Each chunk's vectors, then the codes of the blocks that it meets, both in the order of their norms."""
+        met = dealt.join(pairs, "block").select("chunk", F.lit(True).alias("is_code"), "norm", "v", "code")
+        each = rows.withColumn("is_code", F.lit(False)).unionByName(met, allowMissingColumns=True)
+        return each.repartition(chunks, "chunk").sortWithinPartitions("chunk", "is_code", "norm").mapInArrow(run, kind)
+
+    chunks = max(1, -(-n // rows))
+    own = known.groupBy("chunk").agg(F.min("norm").alias("a"), F.max("norm").alias("b"))
+    first_pairs = own.join(bounds, (F.col("low") <= F.col("b")) & (F.col("high") >= F.col("a"))).select("chunk", "block")
+    first = materialize(turn(known, first_pairs, chunks))
+    far = F.sqrt("dist") + 1e-9 * (1.0 + F.sqrt("dist") + F.col("norm"))
+    reach = first.groupBy("chunk").agg(F.min(F.col("norm") - far).alias("a"), F.max(F.col("norm") + far).alias("b"))
+    pairs = reach.join(bounds, (F.col("low") <= F.col("b")) & (F.col("high") >= F.col("a"))).select("chunk", "block").join(first_pairs, ["chunk", "block"], "left_anti")
+    best = turn(first, pairs, chunks).select("id", "code", F.when(F.col("code").isNotNull(), F.col("dist")).alias("dist"))
+    none = given.filter(~fits).select("id", F.lit(None).cast("long").alias("code"), F.lit(None).cast("double").alias("dist"))
+    return best.unionByName(none).select(F.col("id").alias(id_col), F.col("code").alias(code_col), "dist")
+
+
+class _Chunk:
+    """Vectors and the nearest code that each has met."""
+
+    def __init__(self, number: int, dim: int) -> None:
+        self.number, self.dim, self.parts, self.x = number, dim, [], None
+
+    def add(self, part: pa.RecordBatch) -> None:
+        self.parts.append(part)
+
+    def _stack(self) -> None:
+        t = pa.Table.from_batches(self.parts).combine_chunks()
+        self.parts, self.ids, self.vectors = [], t.column("id"), t.column("v")
+        self.x = valid_matrix(self.vectors, self.dim)[1]
+        self.norm, self.dist = (t.column(c).to_numpy().copy() for c in ("norm", "dist"))
+        self.code = t.column("code").fill_null(0).to_numpy().copy()
+
+    def meet(self, part: pa.RecordBatch) -> None:
+        """Codes in the order of their norms; a vector is scored against those that come as near as its best."""
+        if self.x is None:
+            self._stack()
+        mask, book = valid_matrix(part.column("v"), self.dim)
+        if not mask.all():
+            raise ValueError(f"the codebook has vectors of a width other than {self.dim}")
+        norms, far = part.column("norm").to_numpy(), np.sqrt(self.dist)
+        far += 1e-9 * (1.0 + far + self.norm)
+        near = np.flatnonzero((self.norm - far <= norms[-1]) & (self.norm + far >= norms[0]))
+        if not len(near):
+            return
+        code, dist = _nearest(self.x[near], part.column("code").to_numpy(), book, (book * book).sum(axis=1))
+        better = (dist < self.dist[near]) | ((dist == self.dist[near]) & (code < self.code[near]))
+        self.code[near[better]], self.dist[near[better]] = code[better], dist[better]
+
+    def rows(self) -> pa.RecordBatch:
+        if self.x is None:
+            self._stack()
+        one = lambda c: c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(self.dist), self.number, dtype=np.int32)), pa.array(self.norm), one(self.ids), one(self.vectors),
+                                           pa.array(self.code, mask=np.isinf(self.dist)), pa.array(self.dist)], names=["chunk", "norm", "id", "v", "code", "dist"])
 
 
 #: Groups that a task adds up before it hands their sums on.
