@@ -124,3 +124,24 @@ def test_merges_that_have_no_rank_order_raise(spark):
     for bad in (["ab c", "a b"], ["a b", "ab c", "b c", "a bc"]):
         with pytest.raises(ValueError):
             check_merges(table(bad))
+
+
+def test_encoding_holds_a_bounded_part(spark):
+    """Long segments aren't remembered, a batch is encoded in parts, and the ids are those of the whole texts."""
+    import numpy as np
+    import pyarrow as pa
+
+    from tunetable.functions import bpe
+    from tunetable.resources import default_tokenizer_path
+    tok = load_tokenizer(default_tokenizer_path())
+    cache = {}
+    tok.encode_bytes("some words " + "long" * 500, cache)
+    tok.encode("some words " + "long" * 500, kept := {})
+    assert max(len(k) for k in [*cache, *kept] if k) < 100
+    texts = [None, "", "some words", "word " * 300_000, "x" * 3000, None, *(f"text {i} " * 2000 for i in range(150))]
+    parts = list(bpe._parts(pa.array(texts)))
+    assert [t for p in parts for t in p.to_pylist()] == texts and len(parts) > 2
+    assert all(p.nbytes < 2 * bpe._PART for p in parts) and list(bpe._parts(pa.array([], pa.string()))) == []
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, s string").repartition(2)
+    out = {r.i: r.ids for r in df.select("i", bpe_encode("s", tok).alias("ids")).collect()}
+    assert all(out[i] == tok.encode(t) if t is None or len(t) < 4000 else np.array_equal(out[i], tok.encode(t)) for i, t in enumerate(texts))

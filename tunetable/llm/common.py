@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import scratch_path, ship_package
+from ..session import scratch_path, ship_package, small_batches
 
 #: White space of the contracts, ``[\x20\x09-\x0D]``. ``bytes.split()`` uses the same six characters.
 SPACES = " \t\n\x0b\x0c\r"
@@ -26,17 +26,11 @@ def stored(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> Data
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: Limits of an Arrow batch between the JVM and Python workers, set where the session has none: texts may be long, and both sides hold a batch.
-BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
-
-
 def ready(df: DataFrame) -> DataFrame:
     """Make this package importable in the executors' Python workers and keep their batches small."""
     spark = df.sparkSession
     ship_package(spark)
-    for key, limit in BATCH.items():
-        if spark.conf.get(key, None) is None:
-            spark.conf.set(key, limit)
+    small_batches(spark)
     return df
 
 

@@ -84,6 +84,16 @@ def exists_local(path: str) -> bool:
     return os.path.exists(local_path(path))
 
 
+#: Limits of an Arrow batch between the JVM and Python workers, set where the session has none: texts may be long, and both sides hold a batch.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+
+
+def small_batches(spark: SparkSession) -> None:
+    for key, limit in BATCH.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, limit)
+
+
 _SHIPPED: set = set()
 
 
