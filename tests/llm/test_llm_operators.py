@@ -324,6 +324,22 @@ def test_bpe_against_the_library(docs):
         assert o.decoded_sha256 == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
 
 
+def test_bpe_words_are_spelled_from_remembered_pieces():
+    """A word is remembered once, and one with other characters beside its letters is put together from what is known."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, e = Tokenizer.from_file(path), bpe_stream.Encoder(bpe_stream.MergeTable(open(path, "rb").read()))
+    calls, merge = [], e.table.merge
+    e.table.merge = lambda data: calls.append(data) or merge(data)
+    for text in ("thingness, thingness. thingness", "thingness.\nThingness it's 12,5 x,, a.b ., , don't,", "Ünïcödé, 数据. ٣, \u0301a. ß.", ", a", "a  b, c ", "x" * 5000 + ". end,"):
+        n, ids, data = zip(*e.spell(text), strict=True)
+        want = library.encode(text, add_special_tokens=False).ids
+        assert sum(n) == len(want) and ",".join(ids) == ",".join(map(str, want)) and b"".join(data).decode() == text
+    assert calls.count(b" thingness") == 1 and not any(len(p) > 1 and p.strip().isalpha() for p in e.known if p[0] == " ")
+
+
 def test_bpe_streams():
     import random
 

@@ -74,6 +74,9 @@ class MergeTable:
         self.steps = {a << 20 | b: rank << 20 | new for (a, b), (rank, new) in self.pairs.items()}
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", ())}
         self.bytes_of |= {i: t.encode() for t, i in self.special.items()}
+        self.decimals = {i: str(i) for i in self.bytes_of}
+        #: The step of each pair of bytes, by 256 times the first and the second.
+        self.byte_steps = [_NO if a is None or b is None else self.steps.get(a << 20 | b, _NO) for a in self.start for b in self.start]
         self.lookahead = self._lookahead()
 
     def _lookahead(self) -> int:
@@ -87,8 +90,8 @@ class MergeTable:
 
     def merge(self, data: bytes) -> list[int]:
         """The ids of a piece: the pair of lowest rank first, the leftmost of equals."""
-        ids, get = [self.start[b] for b in data], self.steps.get
-        steps = [get(a << 20 | b, _NO) for a, b in zip(ids, ids[1:], strict=False)]
+        ids, get = list(map(self.start.__getitem__, data)), self.steps.get
+        steps = [self.byte_steps[a << 8 | b] for a, b in zip(data, data[1:], strict=False)]
         while steps and (step := min(steps)) != _NO:
             i = steps.index(step)
             ids[i:i + 2] = [new] = [step & _ID]
@@ -137,17 +140,21 @@ class Encoder:
         self.first, self.rest = _Remembered(self.word), _Remembered(lambda w: self.word(" " + w))
         self.ahead = regex.compile(rf" (?=[^{_SPACE}])")
         self.spelled_piece = _Remembered(lambda p: self._spelled(self.piece(p)))
-        self.spelled_word = _Remembered(lambda w: self._spelled(self.word(" " + w)))
+        self.spelled_word = _Remembered(self._spelled_from)
 
-    def piece(self, piece: str) -> list[int]:
+    def piece(self, piece: str) -> tuple[int, ...]:
+        """Ids of a piece, as a tuple of numbers: the collector of cycles doesn't go through those that are remembered."""
+        data = piece.encode("utf-8", "surrogatepass")
+        if len(data) <= _CHUNK:
+            return tuple(self.table.merge(data))
         t = Transducer(self.table)
-        return [*t.feed(piece.encode("utf-8", "surrogatepass")), *t.finish()]
+        return (*t.feed(data), *t.finish())
 
-    def word(self, word: str) -> list[int]:
+    def word(self, word: str) -> tuple[int, ...]:
         """Ids of what stands between two blanks, with the blank before it."""
         if word.lstrip(" ").isalpha():
             return self.known[word]
-        return [i for p in self.pieces.findall(word) for i in self.known[p]]
+        return tuple(i for p in self.pieces.findall(word) for i in self.known[p])
 
     def plain(self, text: str) -> list[int]:
         """Ids of a text without special tokens. A blank before a non-blank always starts a piece, so words stand alone."""
@@ -174,8 +181,22 @@ class Encoder:
             known.clear()
             known.older = {}
 
-    def _spelled(self, ids: list[int]) -> tuple[int, str, bytes]:
-        return len(ids), ",".join(map(str, ids)), b"".join(map(self.table.bytes_of.__getitem__, ids))
+    def _spelled(self, ids: tuple[int, ...]) -> tuple[int, str, bytes]:
+        return len(ids), ",".join([self.table.decimals[i] for i in ids]), b"".join([self.table.bytes_of[i] for i in ids])
+
+    def _spelled_from(self, word: str) -> tuple[int, str, bytes]:
+        """A word with the blank before it: one piece where it has letters only, else from its remembered pieces."""
+        if word.isalpha():
+            return self._spelled(self.piece(" " + word))
+        if word[-1] in ".," and word[:-1].isalpha():
+            (n, ids, data), (m, more, end) = self.spelled_word[word[:-1]], self.spelled_piece[word[-1]]
+            return n + m, f"{ids},{more}", data + end
+        parts = self.pieces.findall(" " + word)
+        return self._joined([self.spelled_word[p[1:]] if p[0] == " " and p[1:].isalpha() else self.spelled_piece[p] for p in parts])
+
+    def _joined(self, spelled: list[tuple[int, str, bytes]]) -> tuple[int, str, bytes]:
+        n, ids, data = zip(*spelled, strict=True)
+        return sum(n), ",".join(ids), b"".join(data)
 
     def spell(self, text: str) -> Iterator[tuple[int, str, bytes]]:
         """The text's ids in parts of some ``_PART`` characters: their number, the decimal ids, and their bytes.
@@ -206,8 +227,7 @@ class Encoder:
             spelled = list(map(self.spelled_word.__getitem__, tail))
             if head:
                 spelled.insert(0, self._spelled(self.word(head)))
-        n, ids, data = zip(*spelled, strict=True)
-        return sum(n), ",".join(ids), b"".join(data)
+        return self._joined(spelled)
 
     def encode_parts(self, parts: Iterable[str]) -> Iterator[int]:
         """Ids of the text that the parts make together, as soon as they are final.
@@ -238,11 +258,11 @@ class Encoder:
 class _Remembered(dict):
     """What ``make`` gives for a key. At ``_KNOWN`` keys the dictionary becomes the older one, from which keys that are still in use come back."""
 
-    def __init__(self, make: Callable[[str], list[int]]) -> None:
+    def __init__(self, make: Callable[[str], tuple]) -> None:
         super().__init__()
         self.make, self.older = make, {}
 
-    def __missing__(self, key: str) -> list[int]:
+    def __missing__(self, key: str) -> tuple:
         value = self.older.get(key)
         if value is None:
             value = self.make(key)
