@@ -3,6 +3,7 @@
 import re
 
 import duckdb
+import pandas as pd
 import pytest
 
 import corpus_pipeline
@@ -13,7 +14,7 @@ SF = "/root/testdata/sf0.001"
 
 def _plain(v):
     """Text of a value; whole numbers alike whether a null beside them made them floats or not."""
-    return "null" if v is None or v != v else str(int(v)) if isinstance(v, float) and v == int(v) else str(v)
+    return "null" if v is None or v is pd.NA or v != v else str(int(v)) if isinstance(v, float) and v == int(v) else str(v)
 
 
 @pytest.mark.parametrize("name", sorted(queries.SQL))
