@@ -89,6 +89,20 @@ def test_turns_halve_the_weights(spark, monkeypatch):
     assert names.count("trie-moved") <= 8  # 201 nodes in a line
 
 
+def test_turns_are_the_logarithm_of_hanging_lines(spark, monkeypatch):
+    stairs = [(5 * c, t, "user", str(t) if t < 8 * c + 8 else "own") for c in range(1, 41) for t in range(8 * c + 9)]  # each line hangs on the one before
+    names = []
+    real = prefix_trie.stored
+    monkeypatch.setattr(prefix_trie, "stored", lambda df, name, *a: (names.append(name), real(df, name, *a))[1])
+    monkeypatch.setattr(prefix_trie, "_DEPTHS", 7)
+    assert got(spark.createDataFrame(stairs, SCHEMA).repartition(3)) == brute(stairs)
+    assert names.count("trie-lines") <= 7  # 39 lines in a row
+    names.clear()
+    rows = [(0, t, "user", str(t)) for t in range(200)] + [(c, t, "user", f"{c} {t}") for c in range(5, 200, 5) for t in range(9)]
+    assert got(spark.createDataFrame(rows, SCHEMA)) == brute(rows)
+    assert names.count("trie-lines") == 1 and len(names) <= 11  # long lines and many on the root take no turns
+
+
 def test_whole_table_against_brute_force(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
     assert {tuple(r) for r in queries.QUERIES["op11_conversation_prefix_trie"](spark, SF).collect()} == brute(rows)

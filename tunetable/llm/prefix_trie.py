@@ -1,4 +1,4 @@
-"""The prefix trie of conversations, rolled up by centroid decomposition.
+"""The prefix trie of conversations, rolled up along its owners' lines.
 
 Every conversation is rebuilt with the first turns of its family's first
 conversation before its own later ones. A node of the trie is a distinct
@@ -13,23 +13,22 @@ each of its turns with its depth: 128 bits that add up in any grouping, so
 running values need no pass over a whole conversation in one task. Members,
 weights and byte counts of a node are plain grouped sums.
 
-Rollup. Subtree totals need every node's edge to its parent, and paths may be
-as long as the longest conversation, so levels can't be walked one by one.
-Instead the forest of parent edges is split at weighted centroids, all
-components at once in a turn. A node weighs as many rows as its members have
-from it on, which is known beforehand for whole subtrees and at least 1 a node.
-A component's centroid is the deepest node above half of the component's
-weight: what lies below each of its children and what remains above it weigh
-half at most, so the turns grow with the logarithm of the rows. In a turn,
+Rollup. A node's smallest member is also the smallest member of every deeper
+node on its own path, so the nodes of one owner are a line: from the depth at
+which it leaves a smaller owner's line down to its end. The forest of parent
+edges is a much smaller tree of lines, and a node's total is what its line holds
+from it on, with the whole totals of the lines that hang there.
 
-- the centroid's path to the component's top is read from the path table by
-  (conversation, depth), whose rows lead to the owners of the nodes;
-- what the component holds from the centroid down is summed, and the sum is
-  added to the centroid and to each node of that path;
-- the weights of the path lose the centroid's weight; the centroid leaves;
-  nodes below it go to components named by its children.
+- A line's own sum is a plain grouped sum. The lines' whole totals come by
+  pointer doubling: in a turn every line adds its sum to the line it points at
+  and then points where that one does, so the turns are the logarithm of how
+  deep lines hang on lines (at most the square root of twice the rows). The
+  line of the root takes no part, so what hangs on it doesn't meet in one key.
+- Along a line totals are running sums from its end, in cells of ``_DEPTHS``
+  depths first and then over the cells, so that a conversation of any length
+  spreads over tasks.
 
-A node's total is the sum of what was added to it. Every turn is stored.
+Every turn is stored.
 
 The digest of a node's ended members runs over their sorted ids: ranges of ids
 become pieces of text first, which are then fed to SHA-256 in order; nothing is
@@ -57,8 +56,8 @@ from pyspark.sql import types as T
 from .common import ready, stored
 
 FAMILY, BORROWED = 5, 9
-#: Ids in a piece of a digest's text, and depths that are made from one row.
-_PIECE, _DEPTHS = 4096, 4096
+#: Ids in a piece of a digest's text, and depths that are summed as one cell.
+_PIECE, _DEPTHS = 4096, 128
 
 
 def _borrowed(conv: Column) -> Column:
@@ -133,46 +132,36 @@ def trie(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     return stored(nodes, "trie-nodes"), stored(paths.select("conv", F.col("depth").alias("d"), "k", "up", (F.col("depth") == F.col("total")).alias("end")), "trie-paths")
 
 
+def _line_totals(lines: DataFrame, values: tuple[str, ...]) -> DataFrame:
+    """``lines(k, ..., to, *values)`` with the sums of ``values`` over each line and all that hang on it, ``to`` by ``to``."""
+    while lines.filter("to IS NOT NULL").take(1):
+        moving = lines.filter("to IS NOT NULL")
+        given = moving.groupBy(F.col("to").alias("k")).agg(*(F.sum(v).alias(f"more_{v}") for v in values))
+        hops = moving.select(F.col("k").alias("to"), F.col("to").alias("next"))
+        nexts = moving.select("k", "to").join(hops, "to").select("k", "next")  # a plain join, of which Spark can split a line on which very many hang
+        lines = lines.join(given, "k", "left").join(nexts, "k", "left").withColumns({"to": F.col("next"), **{v: F.col(v) + F.coalesce(f"more_{v}", F.lit(0)) for v in values}})
+        lines = stored(lines.drop("next", *(f"more_{v}" for v in values)), "trie-lines")
+    return lines
+
+
 def subtree_totals(nodes: DataFrame, paths: DataFrame, values: tuple[str, ...]) -> DataFrame:
     """``(k, d, *values)``: the sums of ``values`` over each node's subtree.
 
-    ``nodes(k, d, weight, ...)`` and ``paths(conv, d, k, up)`` as of ``trie``,
-    paths of the nodes' owners at least.
+    ``nodes(k, d, ...)`` and ``paths(conv, d, k, up)`` as of ``trie``, paths of
+    the nodes' owners at least.
     """
-    top = nodes.filter("d = 0").select("k", "weight").first() or (0, 0)
-    start = nodes.select("k", "d", "weight", *values, *(F.lit(x).cast("long").alias(c) for c, x in (("ck", top[0]), ("cd", 0), ("all", top[1]))))
-    alive = stored(start, "trie-alive")  # all: the weight of the node's component
-    comp, added = ["ck", "cd"], []
-    while True:
-        heavy = alive.filter("2 * weight > all").groupBy(*comp).agg(F.max(F.struct("d", "k", "weight")).alias("m"))
-        centre = stored(heavy.select(*comp, F.col("m.k").alias("mk"), F.col("m.d").alias("md"), F.col("m.weight").alias("lost")), "trie-centres")
-        if not centre.take(1):
-            break
-        # the centroid's path to the top of its component
-        spans = centre.select("mk", "md", "lost", F.explode(F.when(F.col("cd") < F.col("md"), F.sequence("cd", F.col("md") - 1, F.lit(_DEPTHS).cast("long")))).alias("s"))
-        steps = spans.select(F.col("mk").alias("conv"), "lost", F.explode(F.sequence("s", F.least(F.col("s") + _DEPTHS, "md") - 1)).alias("d"))
-        spine = steps.join(paths.select("conv", "d", "k"), ["conv", "d"]).select("k", "d", F.col("lost").alias("cut"))
-        # which owners' nodes lie below the centroid, below which of its children, and what these weigh
-        inside = alive.join(centre, comp)  # a plain join, of which Spark can split a large component
-        owners = inside.filter("d > md").select(*comp, "k", "mk", "md").distinct()
-        doors = paths.select(F.col("conv").alias("k"), (F.col("d") - 1).alias("md"), F.col("k").alias("door"), F.col("up").alias("mk"))
-        weights = alive.select(F.col("k").alias("door"), (F.col("d") - 1).alias("md"), F.col("weight").alias("part"))
-        below = owners.join(doors, ["k", "md", "mk"]).join(weights, ["door", "md"]).select(*comp, "k", "door", "part")
-        moved = inside.join(below, [*comp, "k"], "left").join(spine, ["k", "d"], "left")
-        down = (F.col("d") > F.col("md")) & F.col("door").isNotNull()
-        middle = (F.col("k") == F.col("mk")) & (F.col("d") == F.col("md"))
-        pick = lambda x, y: F.when(down, F.col(x)).otherwise(y)  # noqa: B023, E731
-        moved = stored(moved.select("k", "d", (F.col("weight") - F.coalesce("cut", F.lit(0))).alias("weight"), *values, *comp, down.alias("down"), middle.alias("middle"), F.col("cut").isNotNull().alias("path"),
-                                    pick("door", F.col("ck")).alias("nk"), F.when(down, F.col("md") + 1).otherwise(F.col("cd")).alias("nd"), pick("part", F.col("all") - F.col("lost")).alias("all")), "trie-moved")
-        sums = moved.filter("down OR middle").groupBy(*comp).agg(*(F.sum(v).alias(v) for v in values))
-        added.append(stored(moved.filter("path OR middle").select("k", "d", *comp).join(sums, comp).select("k", "d", *values), "trie-added"))
-        alive = moved.filter("NOT middle").select("k", "d", "weight", *values, F.col("nk").alias("ck"), F.col("nd").alias("cd"), "all")
-    if not added:
-        return nodes.select("k", "d", *values)
-    out = added[0]
-    for more in added[1:]:
-        out = out.unionByName(more)
-    return out.groupBy("k", "d").agg(*(F.sum(v).alias(v) for v in values))
+    sums = [F.sum(v).alias(v) for v in values]
+    root = nodes.filter("d = 0").select("k").first() or (None,)
+    # where each line but the root's leaves another, and what it holds; ``to`` is the line it points at, null for the root's
+    edges = paths.filter("conv = k AND up <> k").select("k", F.col("d").alias("start"), "up", F.when(F.col("up") != root[0], F.col("up")).alias("to"))
+    lines = stored(edges.join(nodes.groupBy("k").agg(*sums), "k"), "trie-lines")
+    hung = _line_totals(lines, values).groupBy(F.col("up").alias("k"), (F.col("start") - 1).alias("d")).agg(*(F.sum(v).alias(f"more_{v}") for v in values))
+    held = nodes.select("k", "d", *values).join(hung, ["k", "d"], "left")
+    held = stored(held.select("k", "d", F.expr(f"d div {_DEPTHS}").alias("cell"), *((F.col(v) + F.coalesce(f"more_{v}", F.lit(0))).alias(v) for v in values)), "trie-held")
+    later = Window.partitionBy("k").orderBy(F.desc("cell")).rowsBetween(Window.unboundedPreceding, -1)  # as many rows as the line has cells
+    cells = held.groupBy("k", "cell").agg(*sums).select("k", "cell", *(F.coalesce(F.sum(v).over(later), F.lit(0)).alias(f"more_{v}") for v in values))
+    below = Window.partitionBy("k", "cell").orderBy(F.desc("d")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return held.withColumns({v: F.sum(v).over(below) for v in values}).join(cells, ["k", "cell"]).select("k", "d", *((F.col(v) + F.col(f"more_{v}")).alias(v) for v in values))
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,10 +212,8 @@ def end_digests(paths: DataFrame) -> DataFrame:
 def prefix_trie(conversations: DataFrame) -> DataFrame:
     """Per node: ``conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256``."""
     nodes, paths = trie(conversations)
-    owners = paths.filter("end AND k = conv").select("conv")
-    own = stored(paths.join(owners, "conv", "left_semi").select("conv", "d", "k", "up"), "trie-own-paths")
-    values = nodes.select("k", "d", "weight", (F.col("kids") == 0).cast("long").alias("leaves"), F.col("gain").alias("saved"))
-    totals = subtree_totals(values, own, ("leaves", "saved"))
+    values = nodes.select("k", "d", (F.col("kids") == 0).cast("long").alias("leaves"), F.col("gain").alias("saved"))
+    totals = subtree_totals(values, paths, ("leaves", "saved"))
     out = nodes.join(totals, ["k", "d"]).join(end_digests(paths), ["k", "d"], "left")
     return out.select(F.col("k").alias("conv_id"), F.col("d").alias("depth"), F.col("up").alias("parent_conv_id"), F.col("n").alias("n_convs"), F.col("kids").alias("n_children"),
                       F.col("leaves").alias("n_leaves"), F.col("saved").alias("saved_tokens"), F.coalesce("sha", F.sha2(F.lit(""), 256)).alias("ends_sha256"))
