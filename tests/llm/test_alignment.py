@@ -110,6 +110,22 @@ def test_small_blocks_and_short_memory(spark, sides, monkeypatch):
         assert ";".join(w[3] for w in found or ()) == ";".join(f"{','.join(map(str, a))}|{','.join(map(str, b))}" for a, b in (brute(both)[0] if both else ()))
 
 
+def test_a_word_is_aligned_and_remembered_once(sides, monkeypatch):
+    both = alignment.Sides(open(A_PATH, "rb").read(), open(B_PATH, "rb").read())
+    texts = [" ".join(f"Wort{i}ä,{i * i}" for i in range(k, k + 20)) for k in (0, 10, 0, 20, 10, 30)]
+    aligner = alignment.Aligner(both)
+    list(aligner.aligned(texts))
+    assert sum(len(x) for x in vars(aligner).values() if isinstance(x, dict)) == 50  # nothing is kept by ids beside the words
+    aligner = alignment.Aligner(both)
+    monkeypatch.setattr(alignment, "KNOWN", 40)
+    monkeypatch.setattr(alignment, "_TEXTS", 2)
+    learnt, learn = [], aligner._learn
+    monkeypatch.setattr(aligner, "_learn", lambda new, into: (learnt.extend(new), learn(new, into)))
+    for t, found in zip(texts, aligner.aligned(texts), strict=True):
+        assert ";".join(w[3] for w in found) == ";".join(f"{','.join(map(str, a))}|{','.join(map(str, b))}" for a, b in brute(sides(t))[0])
+    assert len(learnt) == len(set(learnt)) == 50  # also those that come back from the older generation
+
+
 def test_whole_table_against_brute_force(spark, sides):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
     want = {(r.doc_id, *x) for r, x in zip(docs, rows_of([r.text for r in docs], sides), strict=True)}

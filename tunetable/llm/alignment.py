@@ -4,16 +4,15 @@ A is a byte-level BPE file run on a blank and the text, B a piece model run on
 the text, before which it puts a blank itself. Both tokenise the whole text. A
 place where both have a space-marked token next, and where the bytes of the
 tokens before it are equal (verified), is an anchor: it is a shared end. Anchors
-split a document into token-id windows, mostly a word long. A window's
-alignment depends on its ids only and is remembered by its id tuples: the byte
-offsets at which both sides end a token cut it into groups, and the tokens that
-end there are linked.
+split a document into token-id windows, mostly a word long. The byte offsets at
+which both sides end a token cut a window into groups, and the tokens that end
+there are linked.
 
 Tokenising a word between two anchors does not depend on its neighbours (a
 blank before a non-blank starts a piece for A, and no piece of B holds a blank
-behind another character, which ``Sides`` checks), so a word's window is
-remembered too; words that a batch brings anew are tokenised together, as one
-text, and their windows are aligned together.
+behind another character, which ``Sides`` checks), so a word's window and its
+alignment are remembered by the word; words that a batch brings anew are
+tokenised together, as one text, and their windows are aligned together.
 
 How often an id pair is linked is counted over all documents. Documents are
 handled in blocks of some ``LINKS`` links. A block is one stored row: its
@@ -36,7 +35,6 @@ import gc
 import json
 from collections.abc import Iterator
 from hashlib import sha256
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -68,49 +66,30 @@ class Sides:
         special = {t["content"] for t in spec.get("added_tokens", ())}
         ranks = {bytes(back[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
         self.a = tiktoken.Encoding("a", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.a_bytes = {i: t for t, i in ranks.items()}
         self.model = sentencepiece.SentencePieceProcessor(model_proto=pieces)
         names = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
-        self.b_bytes = {i: bytes([int(p[1:-1], 16)]) if self.model.is_byte(i) else p.replace(_MARK, " ").encode() for i, p in enumerate(names)}
+        b_bytes = [bytes([int(p[1:-1], 16)]) if self.model.is_byte(i) else p.replace(_MARK, " ").encode() for i, p in enumerate(names)]
         if any(_MARK in p.lstrip(_MARK) for p in names):
             raise ValueError("a piece with a blank behind another character: words can't be tokenised apart")
-        #: Of each id: its bytes' length, and whether it is space-marked.
-        self.lengths, self.marked = [], []
-        for table in (self.a_bytes, self.b_bytes):
-            n, mark = np.zeros(max(table) + 1, dtype=np.int64), np.zeros(max(table) + 1, dtype=bool)
-            for i, t in table.items():
-                n[i], mark[i] = len(t), t[:1] == b" "
-            self.lengths.append(n)
-            self.marked.append(mark)
+        by_id = {i: t for t, i in ranks.items()}
+        #: Of each id: its bytes (none where no token has it), their length, and whether it is space-marked.
+        self.tokens, self.lengths, self.marked = [], [], []
+        for table in ([by_id.get(i, b"") for i in range(max(by_id) + 1)], b_bytes):
+            self.tokens.append(pa.array(table, pa.large_binary()))
+            self.lengths.append(np.array(list(map(len, table)), dtype=np.int64))
+            self.marked.append(np.array([t[:1] == b" " for t in table]))
 
     def b(self, text: str) -> list[int]:
         return self.model.encode(text, num_threads=1)
 
-    def both(self, text: str) -> tuple[list[int], list[int]] | None:
+    def both(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
         """Ids of a blank and the text on both sides, None if either side's bytes differ from it."""
-        a, b, data = self.a(" " + text), self.b(text), b" " + text.encode("utf-8", "surrogatepass")
-        if data == b"".join(map(self.a_bytes.__getitem__, a)) and data == b"".join(map(self.b_bytes.__getitem__, b)):
-            return a, b
-        return None
-
-
-class _Two(dict):
-    """A dictionary of two generations: when the newer one is full it becomes the older, from which what is still in use comes back."""
-
-    def __init__(self) -> None:
-        super().__init__()
-        self.older: dict = {}
-
-    def find(self, key):
-        got = self.get(key)
-        if got is None and (got := self.older.get(key)) is not None:
-            self[key] = got
-        return got
-
-    def turn(self) -> None:
-        if len(self) >= KNOWN:
-            self.older = dict(self)
-            self.clear()
+        sides, data = [np.array(x, dtype=np.int32) for x in (self.a(" " + text), self.b(text))], pa.py_buffer(b" " + text.encode("utf-8", "surrogatepass"))
+        for ids, tokens, lengths in zip(sides, self.tokens, self.lengths, strict=True):
+            n = int(lengths[ids].sum())
+            if n != data.size or not tokens.take(pa.array(ids)).buffers()[2].slice(0, n).equals(data):
+                return None
+        return tuple(sides)
 
 
 class Aligner:
@@ -120,10 +99,14 @@ class Aligner:
         import regex
 
         self.sides = sides
-        self.decimal = list(map(str, range(max(map(len, sides.lengths)))))
+        n_a, n_b = map(len, sides.lengths)
+        #: A's ids with the comma inside a group and the bar at its end, B's with the comma, the semicolon and nothing at a window's end.
+        self.written = pa.array([f"{i}{mark}" for n, marks in ((n_a, ",|"), (n_b, (",", ";", ""))) for mark in marks for i in range(n)], pa.large_string())
         self.odd = regex.compile(r" (?=\s|\Z)")
         self.border = regex.compile(r"(?<! ) (?=\S)")
-        self.words, self.windows = _Two(), _Two()
+        #: Words' alignments in two generations: when the newer one is full it becomes the older, from which what is still in use comes back.
+        self.words: dict = {}
+        self.older: dict = {}
 
     def split(self, text: str) -> list[str]:
         """The words of a blank and the text, without the blank that starts each; a word may hold white space that is no anchor."""
@@ -137,10 +120,9 @@ class Aligner:
         and taken apart before space-marked tokens; a word whose ends can't be verified is tried alone, and has no window if that fails too."""
         both = self.sides.both(" ".join(new))
         if both:
-            ids = [np.array(x, dtype=np.int32) for x in both]
-            at = [np.flatnonzero(mark[x]) for x, mark in zip(ids, self.sides.marked, strict=True)] if len(new) > 1 else [np.zeros(1, dtype=np.int64)] * 2
+            at = [np.flatnonzero(mark[x]) for x, mark in zip(both, self.sides.marked, strict=True)] if len(new) > 1 else [np.zeros(1, dtype=np.int64)] * 2
             if len(at[0]) == len(at[1]) == len(new):
-                into.update(zip(new, self._known([self._packed(x, i) for x, i in zip(ids, at, strict=True)]), strict=True))
+                into.update(zip(new, self.align(both, at), strict=True))
                 return
         if len(new) > 1:
             half = len(new) // 2
@@ -149,40 +131,37 @@ class Aligner:
             return
         into[new[0]] = ()
 
-    @staticmethod
-    def _packed(ids: np.ndarray, at: np.ndarray) -> list[bytes]:
-        """The id tuples that start at the places ``at``, packed."""
-        data, ends = ids.tobytes(), (4 * at).tolist()
-        return [data[i:j] for i, j in zip(ends, [*ends[1:], len(data)], strict=True)]
-
-    def _known(self, sides: list[list[bytes]]) -> list[tuple]:
-        """Alignments of windows, given as packed id tuples of both sides; those not remembered are aligned together."""
-        windows = list(zip(*sides, strict=True))
-        new = [w for w in set(windows).difference(self.windows) if self.windows.find(w) is None]
-        made = dict(zip(new, self.align(new), strict=True))
-        self.windows.update((w, x) for w, x in made.items() if len(w[0]) <= 4 * LONGEST)
-        return [made[w] if w in made else self.windows[w] for w in windows]
-
-    def align(self, windows: list[tuple[bytes, bytes]]) -> list[tuple[int, int, int, str, bytes]]:
-        """``(n_a, n_b, n_groups, groups, links)`` of windows whose sides have the same bytes; links as A id * 2^20 + B id.
-
-        Equal bytes in every window make equal offsets at its end, so the
-        windows are aligned as one stream.
+    def align(self, both: tuple[np.ndarray, np.ndarray], at: list[np.ndarray]) -> list[tuple[int, int, int, str, bytes]]:
+        """``(n_a, n_b, n_groups, groups, links)`` of the windows that start at the places ``at`` of both sides; links as A id * 2^20 + B id.
+
+        Both sides of every window have the same bytes, so offsets are equal at
+        its end, and the windows are aligned as one stream.
         """
-        a, b = (np.frombuffer(b"".join(x), dtype=np.int32) for x in zip(*windows, strict=True)) if windows else (np.zeros(0, np.int32),) * 2
-        ends = [np.cumsum(n[x]) for x, n in zip((a, b), self.sides.lengths, strict=True)]
-        _, i, j = np.intersect1d(*ends, assume_unique=True, return_indices=True)
+        a, b = both
+        ends = [np.cumsum(n[x]) for x, n in zip(both, self.sides.lengths, strict=True)]
+        shared = []
+        for x, y in (ends, ends[::-1]):
+            here = np.zeros(y[-1] + 1, dtype=bool)
+            here[y] = True
+            shared.append(here[x])
+        i, j = map(np.flatnonzero, shared)
         links = (a[i].astype(np.int64) * _ID + b[j]).tobytes()
-        texts = [list(map(self.decimal.__getitem__, x.tolist())) for x in (a, b)]
-        p = r = 0
-        x, y = texts
-        groups = []
-        for q, s in zip((i + 1).tolist(), (j + 1).tolist(), strict=True):
-            groups.append(f"{x[p]}|{y[r]}" if q - p == s - r == 1 else f"{','.join(x[p:q])}|{','.join(y[r:s])}")
-            p, r = q, s
-        n = [[len(x) // 4 for x in side] for side in zip(*windows, strict=True)] or [[], []]
-        last = np.searchsorted(i, np.cumsum(n[0]) - 1, side="right").tolist()
-        return [(p, q, y - x, ";".join(groups[x:y]), links[8 * x:8 * y]) for p, q, x, y in zip(*n, [0, *last], last, strict=False)]
+        # a group's tokens of A are written behind B's of the groups before it, and B's behind A's of the same group
+        group = [np.cumsum(x) - x for x in shared]
+        n_a, n_b = map(len, self.sides.lengths)
+        lasts = np.r_[at[1][1:], len(b)] - 1
+        kind_b = shared[1].astype(np.int64)
+        kind_b[lasts] = 2
+        order = np.empty(len(a) + len(b), dtype=np.int64)
+        order[np.arange(len(a)) + np.r_[0, j + 1][group[0]]] = a + n_a * shared[0].astype(np.int64)
+        order[np.arange(len(b)) + (i + 1)[group[1]]] = 2 * n_a + b + n_b * kind_b
+        _, places, data = self.written.take(pa.array(order)).buffers()
+        places = np.frombuffer(places, dtype=np.int64, count=len(order) + 1)
+        text = data.slice(0, int(places[-1])).to_pybytes().decode("ascii")
+        starts = [np.r_[x, len(ids)] for x, ids in zip(at, both, strict=True)]
+        n = [np.diff(x).tolist() for x in starts]
+        cut, first = places[starts[0] + starts[1]].tolist(), [*group[0][at[0]].tolist(), len(i)]
+        return [(p, q, y - x, text[s:e], links[8 * x:8 * y]) for p, q, x, y, s, e in zip(*n, first, first[1:], cut, cut[1:], strict=False)]
 
     def aligned(self, texts: list[str | None]) -> Iterator[list[tuple] | None]:
         """Of each text the alignments of its windows, None for a text without tokens."""
@@ -190,24 +169,30 @@ class Aligner:
             yield from self._aligned(texts[k:k + _TEXTS])
 
     def _aligned(self, texts: list[str | None]) -> Iterator[list[tuple] | None]:
-        self.words.turn()
-        self.windows.turn()
+        if len(self.words) >= KNOWN:
+            self.older, self.words = self.words, {}
         words = [self.split(t) if t else [] for t in texts]
-        new = [w for w in set(chain.from_iterable(words)).difference(self.words) if self.words.find(w) is None]
-        rare: dict = {}  # of these texts only
+        found = [list(map(self.words.get, ws)) for ws in words]
+        gaps = [[i for i, x in enumerate(xs) if x is None] for xs in found]
+        new = {ws[i] for ws, gap in zip(words, gaps, strict=True) for i in gap}
+        old = {w: x for w in new if (x := self.older.get(w)) is not None}
+        self.words.update(old)
+        new.difference_update(old)
         plain = [w for w in new if " " not in w and not w[:1].isspace()]
+        fresh: dict = {}
         for k in range(0, len(plain), _NEW):
-            self._learn(plain[k:k + _NEW], rare)
+            self._learn(plain[k:k + _NEW], fresh)
         for w in new:
-            if w not in rare:
-                self._learn([w], rare)
-        self.words.update((w, x) for w, x in rare.items() if len(w) <= LONGEST)
-        rare = {w: x for w, x in rare.items() if len(w) > LONGEST}
-        for text, ws in zip(texts, words, strict=True):
-            windows = [rare[w] if w in rare else self.words[w] for w in ws] if rare else list(map(self.words.__getitem__, ws))
+            if w not in fresh:
+                self._learn([w], fresh)
+        self.words.update((w, x) for w, x in fresh.items() if len(w) <= LONGEST)
+        fresh.update(old)
+        for text, ws, windows, gap in zip(texts, words, found, gaps, strict=True):
+            for i in gap:
+                windows[i] = fresh[ws[i]]
             if not all(windows):  # no anchors between some of its words: the text is one window, if its bytes agree
                 both = self.sides.both(text)
-                windows = self._known([[np.array(x, dtype=np.int32).tobytes()] for x in both]) if both else []
+                windows = self.align(both, [np.zeros(1, dtype=np.int64)] * 2) if both else []
             yield windows or None
 
 
