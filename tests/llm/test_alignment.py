@@ -126,6 +126,27 @@ def test_a_word_is_aligned_and_remembered_once(sides, monkeypatch):
     assert len(learnt) == len(set(learnt)) == 50  # also those that come back from the older generation
 
 
+def test_blocks_are_bounded_rows_in_bounded_files(spark, monkeypatch):
+    """Spark holds many rows of a file at a time: long blocks, or many in a file, fill an executor's heap on large tables."""
+    words = ["the", "of", "and", "to", "in", "a", "is", "that", "for", "it"]
+    text = " ".join(words[i * i % 10] for i in range(20_000))
+    df = spark.createDataFrame([(i, text if i < 30 else None) for i in range(4030)], "doc_id long, text string").coalesce(1)
+    monkeypatch.setattr(alignment, "ROWS", 2)
+    blocks = alignment._blocks(df, A_PATH, B_PATH, "doc_id", "text")
+    files = blocks.groupBy(F.input_file_name()).count().collect()
+    assert len(files) > 1 and max(r["count"] for r in files) <= 2
+    found = blocks.select(F.expr("aggregate(n_links, 0L, (x, y) -> x + y)").alias("links"), F.size("ids").alias("docs"), F.length("places").alias("size")).collect()
+    assert sum(r.docs for r in found) == 4030 and max(r.docs for r in found) <= 2000  # texts without tokens end a block too
+    assert sum(r.links for r in found) == 30 * 20_000 and max(r.size for r in found) < 300_000
+    got = alignment.alignment_summary(df, A_PATH, B_PATH).collect()
+    assert sorted(r.doc_id for r in got) == list(range(4030)) and {r.n_links for r in got} == {20_000, 0}
+    assert len({(r.n_best, r.count_sum) for r in got if r.n_links}) == 1
+
+
+def test_places_among_many_pairs():
+    assert [alignment._kind(n) for n in (1, 1 << 16, (1 << 16) + 1)] == ["<u2", "<u2", "<i4"]
+
+
 def test_whole_table_against_brute_force(spark, sides):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
     want = {(r.doc_id, *x) for r, x in zip(docs, rows_of([r.text for r in docs], sides), strict=True)}

@@ -17,9 +17,11 @@ tokenised together, as one text, and their windows are aligned together.
 How often an id pair is linked is counted over all documents. Documents are
 handled in blocks of some ``LINKS`` links. A block is one stored row: its
 distinct pairs with their numbers, and each document's links as places among
-these pairs. Only distinct pairs of blocks are exploded, summed and joined with
-the totals; they meet their block again by its number. A frequent pair is
-combined before the shuffle and comes back once a block, not once a link.
+these pairs, compressed. Only distinct pairs of blocks are exploded, summed and
+joined with the totals; they meet their block again by its number. A frequent
+pair is combined before the shuffle and comes back once a block, not once a
+link. Spark's Parquet writer and reader hold many rows at a time, whatever
+their size, so a stored file has ``ROWS`` blocks at most.
 
 Defined cases: a text that is null or empty, or whose joined A or B bytes
 differ from the blank and the text, has no tokens: zeros and the empty string
@@ -46,8 +48,10 @@ from .common import ready, stored
 
 #: The published pattern of byte-level BPE pieces (a fixed value).
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Links from which on a block ends, words that a worker remembers in each of two generations, and the longest such word.
-LINKS, KNOWN, LONGEST = 1 << 19, 100_000, 48
+#: Links from which on a block ends, links that a document's other columns count as, and blocks in a stored file.
+LINKS, DOCUMENT, ROWS = 1 << 17, 100, 32
+#: Words that a worker remembers in each of two generations, and the longest such word.
+KNOWN, LONGEST = 100_000, 48
 #: Texts that are split into words, and new words that are tokenised, at a time.
 _TEXTS, _NEW = 300, 2000
 _MARK = "▁"
@@ -234,8 +238,13 @@ def align_documents(docs: DataFrame, a_path: str, b_path: str, id_col: str = "do
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {name}, groups array<struct<a:array<int>,b:array<int>>>")
 
 
+def _kind(pairs: int) -> str:
+    """The type of places among so many pairs."""
+    return "<u2" if pairs <= 1 << 16 else "<i4"
+
+
 def _blocks(docs: DataFrame, a_path: str, b_path: str, id_col: str, text_col: str) -> DataFrame:
-    """One stored row a block: per document its id, counts, digest and number of links; the links as places in the block's sorted pairs; the pairs with their numbers."""
+    """One stored row a block: per document its id, counts, digest and number of links; the links as places in the block's sorted pairs, compressed; the pairs with their numbers."""
     shared = _shared(docs, a_path, b_path)
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -248,15 +257,17 @@ def _blocks(docs: DataFrame, a_path: str, b_path: str, id_col: str, text_col: st
         def block():
             flat = np.frombuffer(b"".join(links), dtype=np.int64)
             pairs, places, ns = np.unique(flat, return_inverse=True, return_counts=True)
+            places = pa.compress(places.astype(_kind(len(pairs))).tobytes(), codec="zstd", asbytes=True)
             ids, n_a, n_b, n_groups, shas, n_links = zip(*rows, strict=True)
             lists = [pa.array([x], pa.list_(k)) for x, k in ((ids, id_type), (n_a, pa.int64()), (n_b, pa.int64()), (n_groups, pa.int64()), (shas, pa.string()), (n_links, pa.int64()))]
-            return pa.RecordBatch.from_arrays([pa.array([task << 32 | number]), *lists, pa.array([places.astype("<i4").tobytes()], pa.binary()), pa.array([pairs], pa.list_(pa.int64())), pa.array([ns], pa.list_(pa.int64()))],
+            return pa.RecordBatch.from_arrays([pa.array([task << 32 | number]), *lists, pa.array([places], pa.binary()), pa.array([pairs], pa.list_(pa.int64())), pa.array([ns], pa.list_(pa.int64()))],
                                               names=["block", "ids", "n_a", "n_b", "n_groups", "shas", "n_links", "places", "pairs", "ns"])
 
         gc.disable()  # nothing here refers to itself, and remembered words are many to look through
         for b in batches:
             id_type = b.schema.field(0).type
             for key, found in zip(b.column(0).to_pylist(), aligner.aligned(b.column(1).to_pylist()), strict=True):
+                held += DOCUMENT
                 if found is None:
                     rows.append((key, 0, 0, 0, "", 0))
                 else:
@@ -273,7 +284,7 @@ def _blocks(docs: DataFrame, a_path: str, b_path: str, id_col: str, text_col: st
         gc.enable()
 
     schema = f"block long, ids array<{kind}>, n_a array<long>, n_b array<long>, n_groups array<long>, shas array<string>, n_links array<long>, places binary, pairs array<long>, ns array<long>"
-    return stored(docs.select(id_col, text_col).mapInArrow(run, schema), "align-blocks")
+    return stored(docs.select(id_col, text_col).mapInArrow(run, schema), "align-blocks", rows_a_file=ROWS)
 
 
 def _numbers(blocks: DataFrame) -> DataFrame:
@@ -302,9 +313,10 @@ def alignment_summary(docs: DataFrame, a_path: str, b_path: str, id_col: str = "
             for r in range(b.num_rows):
                 get = lambda name: b.column(name)[r]  # noqa: B023, E731
                 n = np.array(get("n_links").as_py(), dtype=np.int64)
-                places = np.frombuffer(get("places").as_py(), dtype="<i4")
                 known = get("known").values
                 if known is not None:
+                    width = np.dtype(_kind(len(known)))
+                    places = np.frombuffer(pa.decompress(get("places").as_buffer(), int(n.sum()) * width.itemsize, codec="zstd"), dtype=width)
                     pair, value = (known.field(k).to_numpy(zero_copy_only=False) for k in ("pair", "value"))
                     at = value[np.argsort(pair)][places]
                     sums = [np.r_[0, np.cumsum(x)] for x in (at & 1, at >> 1)]

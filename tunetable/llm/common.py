@@ -15,14 +15,16 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def stored(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
+def stored(df: DataFrame, name: str, partition_by: tuple[str, ...] = (), rows_a_file: int = 0) -> DataFrame:
     """Write ``df`` once into the cluster's shared folder and read it back.
 
     Cuts the lineage with a copy that outlives executors; several branches of
-    a plan then read it instead of computing it again.
+    a plan then read it instead of computing it again. ``rows_a_file`` bounds
+    the rows of a file, and so what a task holds of long rows (0: as the session has it).
     """
     path = scratch_path(df.sparkSession, f"llm-{name}")
-    df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
+    writer = df.write.option("compression", "zstd").partitionBy(*partition_by)
+    (writer.option("maxRecordsPerFile", rows_a_file) if rows_a_file else writer).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
