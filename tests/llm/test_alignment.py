@@ -126,6 +126,20 @@ def test_a_word_is_aligned_and_remembered_once(sides, monkeypatch):
     assert len(learnt) == len(set(learnt)) == 50  # also those that come back from the older generation
 
 
+def test_long_texts_are_taken_few_at_a_time(sides, monkeypatch):
+    """The words of all texts taken at a time are held, and the new ones remembered."""
+    aligner = alignment.Aligner(alignment.Sides(open(A_PATH, "rb").read(), open(B_PATH, "rb").read()))
+    texts = [f"{'long text here ' * 40_000}{i}" for i in range(6)] + [None, "", "short one", "x" * 5]
+    taken, some = [], aligner._aligned
+    monkeypatch.setattr(aligner, "_aligned", lambda ts: (taken.append(len(ts)), some(ts))[1])
+    got = [found and (sum(w[0] for w in found), ";".join(w[3] for w in found)) for found in aligner.aligned(texts)]
+    assert taken == [1, 1, 1, 1, 1, 5]
+    for t, found in zip(texts, got, strict=True):
+        both = sides(t)
+        assert found == (both and (len(both[0]), ";".join(f"{','.join(map(str, a))}|{','.join(map(str, b))}" for a, b in brute(both)[0])))
+    assert list(aligner.aligned([])) == []
+
+
 def test_blocks_are_bounded_rows_in_bounded_files(spark, monkeypatch):
     """Spark holds many rows of a file at a time: long blocks, or many in a file, fill an executor's heap on large tables."""
     words = ["the", "of", "and", "to", "in", "a", "is", "that", "for", "it"]

@@ -52,8 +52,8 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 LINKS, DOCUMENT, ROWS = 1 << 17, 100, 32
 #: Words that a worker remembers in each of two generations, and the longest such word.
 KNOWN, LONGEST = 100_000, 48
-#: Texts that are split into words, and new words that are tokenised, at a time.
-_TEXTS, _NEW = 300, 2000
+#: Texts that are split into words, the characters that end them earlier, and new words that are tokenised, at a time.
+_TEXTS, _CHARS, _NEW = 300, 1 << 20, 2000
 _MARK = "▁"
 _ID = 1 << 20
 
@@ -169,8 +169,14 @@ class Aligner:
 
     def aligned(self, texts: list[str | None]) -> Iterator[list[tuple] | None]:
         """Of each text the alignments of its windows, None for a text without tokens."""
-        for k in range(0, len(texts), _TEXTS):
-            yield from self._aligned(texts[k:k + _TEXTS])
+        some, size = [], 0
+        for t in texts:
+            if some and (len(some) >= _TEXTS or size + len(t or "") > _CHARS):
+                yield from self._aligned(some)
+                some, size = [], 0
+            some.append(t)
+            size += len(t or "")
+        yield from self._aligned(some)
 
     def _aligned(self, texts: list[str | None]) -> Iterator[list[tuple] | None]:
         if len(self.words) >= KNOWN:
